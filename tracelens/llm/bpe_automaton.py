@@ -146,8 +146,8 @@ class WordTokenizer:
         self.known: dict[str, tuple[bytes, str]] = {}
 
     def _plain(self, text: str) -> list[int]:
-        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):
-            # characters newer than this Python's Unicode tables: the library's own splitting, and only that
+        if not text.isascii() and any(unicodedata.combining(c) or unicodedata.category(c) == "Cn" for c in text):
+            # combining marks, and characters newer than this Python's Unicode tables: the library's own splitting, and only that
             words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
         else:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # a final sigma is no special case here

@@ -11,6 +11,15 @@ from tracelens.session import ship
 from .common import table
 
 
+def op4_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_pack
+    from .bpe_automaton import public_file
+
+    ship(spark)
+    files = token_pack.write_files(table(spark, sf_dir, "documents"), public_file(spark, "byte_bpe_50k.json"), token_pack.pack_folder(spark))
+    return token_pack.digest(token_pack.read_documents(files))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import rlz
 
@@ -18,6 +27,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.spans_digest(rlz.dedup_substrings(table(spark, sf_dir, "documents")))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    ship(spark)
+    return secrets.digest(secrets.findings(*secrets.scan(table(spark, sf_dir, "documents"))))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_join
 
