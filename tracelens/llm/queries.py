@@ -20,6 +20,13 @@ def op4_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.digest(token_pack.read_documents(files))
 
 
+def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_pu
+
+    ship(spark)
+    return quality_pu.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import rlz
 
