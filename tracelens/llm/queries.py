@@ -27,6 +27,13 @@ def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_density
+
+    ship(spark)
+    return html_density.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import rlz
 
