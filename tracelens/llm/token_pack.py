@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import struct
 import uuid
 import zlib
@@ -25,16 +26,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from .bpe_automaton import byte_labels
 from .common import new_folder, slices, texts_of, with_range
+from .presplit import UNKNOWN, PieceTable, classes, code_points, encode
 
 MAGIC = b"TLPACK1\0"
 HEAD = struct.Struct("<8sIIQQ")
-#: Texts split at spaces repeat; a worker holds the ids of so many of them before it starts anew.
-MOST_UNITS = 400_000
+#: Pieces of text repeat; a worker holds the ids of so many of them.
+MOST_PIECES = 300_000
 
 
 def bits_for(vocab_size: int) -> int:
@@ -124,47 +126,35 @@ class PackReader:
 
 
 class Encoder:
-    """The tokenizers library over texts cut at single spaces, where its pattern always cuts; each piece is encoded once.
-
-    A piece keeps its leading space. Texts with a space before white space or at their end, or with the string of a special
-    token in them, are encoded whole.
+    """The tokenizers library over pieces that its byte-level pattern cuts (see presplit); each piece is encoded once while it
+    is held. Texts with the string of a special token, or with characters that this Python's Unicode tables lack, go to the
+    library whole, and so do all texts if the file asks for another way of splitting.
     """
 
-    odd = regex.compile(r" (?=\s|$)|[\x1c-\x1f]")
-
     def __init__(self, file_text: str):
         self.library = Tokenizer.from_str(file_text)
         self.library.no_truncation()
         self.library.no_padding()
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)")
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        spec = json.loads(file_text)
+        pre = spec["pre_tokenizer"] or {}
+        self.by_piece = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE"
+        self.label, self.model = byte_labels(), self.library.model
+        self.table = PieceTable(self._piece, MOST_PIECES)
 
     @property
     def vocab_size(self) -> int:
         return self.library.get_vocab_size(with_added_tokens=True)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > MOST_UNITS:
-            known.clear()
-        whole = [bool(self.odd.search(t) or self.special.search(t)) for t in texts]
-        cut = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        cut = [p and [p[0], *(" " + x for x in p[1:])] for p in cut]
-        missing = [*dict.fromkeys(x for p in cut if p for x in p if x not in known)]
-        fresh = dict(zip(missing, self._library(missing), strict=True))
-        known.update((p, b) for p, b in fresh.items() if len(p) <= 64)
-        rest = iter(self._library([t for t, w in zip(texts, whole, strict=True) if w]))
-        out = []
-        for pieces in cut:
-            if pieces is None:
-                out.append(next(rest))
-            else:
-                out.append(b"".join([known.get(p) or fresh.get(p, b"") for p in pieces]))
-        return out
+    def _piece(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize("".join([self.label[b] for b in piece.encode()]))]
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        newer = [not t.isascii() and bool((classes()[code_points(t)] == UNKNOWN).any()) for t in texts]
+        whole = [not self.by_piece or odd or any(s in t for s in self.special) for t, odd in zip(texts, newer, strict=True)]
+        cut = iter(encode([t for t, w in zip(texts, whole, strict=True) if not w], True, self.table))
+        rest = iter(self.library.encode_batch_fast([t for t, w in zip(texts, whole, strict=True) if w], add_special_tokens=False))
+        return [np.array(next(rest).ids, "<i4") if w else next(cut) for w in whole]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -189,7 +179,7 @@ def write_files(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
         encoder = _encoder(shared.value)
-        tail = np.array([] if end_id is None else [end_id], "<u4").tobytes()
+        tail = np.array([] if end_id is None else [end_id], "<i4")
         writer, now, done = None, None, []
 
         def close() -> None:
@@ -204,7 +194,7 @@ def write_files(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int |
                         if writer:
                             close()
                         writer, now = PackWriter(bits_for(encoder.vocab_size), block_ids), r
-                    writer.add(doc_id, np.frombuffer(data + tail, "<u4"))
+                    writer.add(doc_id, np.concatenate([data, tail]))
         if writer:
             close()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["file", "range_id", "n_docs", "n_ids"])
