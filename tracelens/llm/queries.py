@@ -41,6 +41,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.spans_digest(rlz.dedup_substrings(table(spark, sf_dir, "documents")))
 
 
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import spotsigs
+
+    return spotsigs.digest(spotsigs.fingerprints(table(spark, sf_dir, "documents")))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
@@ -62,6 +68,13 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.public_file(spark, "word_bpe_49k.json")))
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_templates
+
+    ship(spark)
+    return line_templates.digest(line_templates.drop_recurring(table(spark, sf_dir, "documents")))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
