@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import slices, texts_of
+from .presplit import UNKNOWN, PieceTable, classes, code_points, encode
 
-#: Entries of the tables of transitions and of words that a worker holds before it starts them anew.
-MOST_STEPS, MOST_WORDS = 400_000, 300_000
+#: Entries of the tables of transitions and of words that a worker holds.
+MOST_STEPS, MOST_WORDS = 300_000, 300_000
 
 
 def byte_labels() -> list[str]:
@@ -133,58 +134,53 @@ class Automaton:
 class WordTokenizer:
     """A tokenizer file with lower-casing, word ends and byte labels, through the automaton."""
 
-    WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
     def __init__(self, file_text: str):
         spec = json.loads(file_text)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.automaton = Automaton(spec["model"]["vocab"], spec["model"]["merges"], spec["model"]["end_of_word_suffix"])
-        self.labels = self.automaton.labels | {i: t for t, i in self.special.items()}
-        self.bytes, self.word = byte_labels(), regex.compile(self.WORD)
+        labels = self.automaton.labels | {i: t for t, i in self.special.items()}
+        self.label_of = labels.__getitem__
+        self.bytes = byte_labels()
         self.library = Tokenizer.from_str(file_text)
-        self.known: dict[str, tuple[bytes, str]] = {}
-
-    def _plain(self, text: str) -> list[int]:
-        if not text.isascii() and any(unicodedata.combining(c) or unicodedata.category(c) == "Cn" for c in text):
-            # combining marks, and characters newer than this Python's Unicode tables: the library's own splitting, and only that
-            words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
-        else:
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # a final sigma is no special case here
-            words = ["".join([self.bytes[b] for b in word.encode()]) for word in self.word.findall(text)]
-        out: list[int] = []
-        for word in words:
-            symbols = list(word)
-            symbols[-1] += self.automaton.end
-            out += self.automaton.encode(symbols)
-        return out
-
-    def unit(self, unit: str) -> tuple[bytes, str]:
-        """Ids (little-endian, 32 bits) and labels of a run without white space; no word crosses white space."""
-        had = self.known.get(unit)
-        if had is None:
-            ids, at = [], 0
-            for m in self.cut.finditer(unit):
-                ids += [*self._plain(unit[at : m.start()]), self.special[m[0]]]
+        self.table = PieceTable(lambda word: self._word("".join([self.bytes[b] for b in word.encode()])), MOST_WORDS)
+        # what only the library normalises and splits: combining marks, what composes or changes under NFC, and unassigned characters
+        self.odd = classes() == UNKNOWN
+        for c in range(0x80, 0x110000):
+            if unicodedata.combining(chr(c)) or unicodedata.normalize("NFC", chr(c)) != chr(c) or 0x1100 <= c < 0x1200:
+                self.odd[c] = True
+
+    def _word(self, word: str) -> list[int]:
+        return self.automaton.encode([*word[:-1], word[-1] + self.automaton.end])
+
+    def _by_library(self, text: str) -> list[int]:
+        """The library's own normalising and splitting, and only those; special tokens are cut out first."""
+        out, at = [], 0
+        for m in [*self.cut.finditer(text), None]:
+            part = self.library.normalizer.normalize_str(text[at : m.start() if m else len(text)])
+            out += [i for w, _ in self.library.pre_tokenizer.pre_tokenize_str(part) for i in self._word(w)]
+            if m:
+                out.append(self.special[m[0]])
                 at = m.end()
-            ids += self._plain(unit[at:])
-            had = np.array(ids, "<i4").tobytes(), " ".join(self.labels[i] for i in ids)
-            if len(unit) <= 64:
-                if len(self.known) >= MOST_WORDS:
-                    self.known.clear()
-                self.known[unit] = had
-        return had
-
-    _odd = regex.compile(r"[\x1c-\x1f]")
-
-    def text(self, text: str) -> tuple[np.ndarray, str]:
-        """Ids and decoded text: the labels, joined by one space, as this kind of file (it has no decoder) is decoded."""
-        units = regex.split(r"\s+", text) if self._odd.search(text) else text.split()
-        found = [self.unit(u) for u in units if u]
-        return np.frombuffer(b"".join([f[0] for f in found]), "<i4"), " ".join([f[1] for f in found if f[1]])
+        return out
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(self.labels[i] for i in ids)
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Words go through the automaton once while they are held."""
+        plain, whole = [], []
+        for t in texts:
+            odd = bool(self.cut.search(t))
+            if not odd and not t.isascii():
+                odd = bool(self.odd[code_points(t)].any())
+                t = t if odd else t.replace("Σ", "σ")  # a final sigma is no special case here
+            whole.append(odd)
+            if not odd:
+                plain.append(t.lower())
+        done = iter(encode(plain, False, self.table))
+        return [np.array(self._by_library(t), "<i4") if odd else next(done) for t, odd in zip(texts, whole, strict=True)]
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The arcs' labels, joined by one space: as a file of this kind, which names no decoder, is decoded."""
+        return " ".join(map(self.label_of, ids.tolist()))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -211,8 +207,8 @@ def encode_decode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
         tok = _tokenizer(shared.value)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                done = [tok.text(t) for t in texts_of(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists([d[0] for d in done]), pa.array([d[1] for d in done], pa.string())], ["doc_id", "ids", "decoded"])
+                ids = tok.texts(texts_of(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids), pa.array([tok.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -225,7 +221,7 @@ def decode(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([tok.decode(ids or []) for ids in batch.column("ids").to_pylist()], pa.string())], ["doc_id", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([tok.decode(np.array(ids or [], "<i4")) for ids in batch.column("ids").to_pylist()], pa.string())], ["doc_id", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded string")
 
