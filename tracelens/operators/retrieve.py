@@ -52,14 +52,12 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = 20, k1: float = 1.2,
     return top_k(scored, k, "score")
 
 
-def concept_tables(chunks: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def concept_tables(chunks: DataFrame, questions: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chunk side: tenant_id, chunk_id, n, concept, distinct; question side: query_id, tenant_id, concept, qn)."""
-    words = tokens(chunks).select("tenant_id", "chunk_id", F.col("term").alias("token")).distinct().persist()  # read for the vocabulary and for the concepts
-    asked = query_terms(questions).select("query_id", "tenant_id", F.col("term").alias("token"), "qtf")
-    names = ingest.vocabulary(words.select("token").union(asked.select("token")))
-    own = words.join(names, "token").select("tenant_id", "chunk_id", "concept").distinct()
-    size = own.groupBy("chunk_id").agg(F.count("*").alias("n"))
-    return own.join(size, "chunk_id"), asked.join(names, "token").groupBy("query_id", "tenant_id", "concept").agg(F.sum("qtf").alias("qn"))
+    own = tokens(chunks).select("tenant_id", "chunk_id", F.col("term").alias("token")).distinct().join(vocabulary, "token").select("tenant_id", "chunk_id", "concept").distinct()
+    size = Window.partitionBy("chunk_id")
+    asked = query_terms(questions).select("query_id", "tenant_id", F.col("term").alias("token"), "qtf").join(vocabulary, "token")
+    return own.withColumn("n", F.count("*").over(size)), asked.groupBy("query_id", "tenant_id", "concept").agg(F.sum("qtf").alias("qn"))
 
 
 def concept_idf(own: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -68,10 +66,8 @@ def concept_idf(own: DataFrame, chunks: DataFrame) -> DataFrame:
     return own.groupBy("concept").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("concept", "df", "n_docs", ingest.idf(F.col("df"), F.col("n_docs")).alias("idf"))
 
 
-def concept_pairs(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """query_id, chunk_id, coverage, score of every pair in scope that shares a concept."""
-    own, asked = concept_tables(chunks, questions)
-    weight = concept_idf(own, chunks)
+def concept_pairs(chunks: DataFrame, questions: DataFrame, own: DataFrame, asked: DataFrame, weight: DataFrame) -> DataFrame:
+    """query_id, chunk_id, coverage, score of every pair in scope that shares a concept; see concept_tables, concept_idf."""
     total = chunks.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_docs"))
     unseen = ingest.idf(F.lit(0), F.col("n_docs"))
     weighted = asked.join(weight.select("concept", "idf"), "concept", "left").crossJoin(F.broadcast(total)).select("query_id", "tenant_id", "concept", "qn", F.coalesce("idf", unseen).alias("idf"))

@@ -25,6 +25,11 @@ def ident(t: str) -> str:
     return f"((regexp_matches({t}, '[A-Za-z]') AND regexp_matches({t}, '[0-9_.\\-]') AND regexp_full_match({t}, '[A-Za-z0-9_.\\-]+')) OR regexp_full_match({t}, '[0-9]+(\\.[0-9]+)+'))"
 
 
+def disc(text: str) -> str:
+    """Sorted distinct discriminators."""
+    return f"list_sort(list_distinct(list_filter(list_transform({raw(text)}, lambda t: CASE WHEN t IN ({_list(L.POLARITY)}) THEN 'pol:' || t WHEN {ident('t')} OR regexp_full_match(t, '[0-9]+') THEN t END), lambda t: t IS NOT NULL)))"
+
+
 def stem(t: str) -> str:
     cases = " ".join(f"WHEN ends_with({t}, {_q(s)}) AND length({t}) - {len(s)} >= 3 THEN substr({t}, 1, length({t}) - {len(s)}) || {_q(r)}" for s, r in L.SUFFIXES)
     return f"CASE WHEN length({t}) <= 3 OR {ident(t)} THEN {t} {cases} ELSE {t} END"

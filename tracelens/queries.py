@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracle as O
 from .functions import text as T
-from .operators import retrieve, stages
-from .plans.config import configs
+from .operators import calibrate, counterfactual, generate, ingest, judge, retrieve, stages, vectors
+from .plans.config import ABLATIONS, COMPOSITES, configs
+from .session import cut
 from .sources import fixtures as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,10 +36,78 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return S.table(spark, sf, "documents")
 
 
+class Index:
+    """The tables that an index build writes once for a collection, and the legs' results for its questions.
+
+    Each is computed when first asked for and kept in the shared folder for the session.
+    """
+
+    _built: dict[tuple[str, str], Index] = {}
+
+    def __init__(self, spark: SparkSession, sf: str):
+        self.spark, self.sf = spark, sf
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf: str) -> Index:
+        key = (spark.sparkContext.applicationId, sf)
+        if key not in cls._built:
+            cls._built[key] = cls(spark, sf)
+        return cls._built[key]
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        return S.documents(self.spark, self.sf)
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return cut(S.chunks(self.docs))
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        return cut(S.questions(self.docs, S.table(self.spark, self.sf, "benchmark")))
+
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        words = retrieve.tokens(self.chunks).select(F.col("term").alias("token")).union(retrieve.query_terms(self.questions).select(F.col("term").alias("token")))
+        return cut(ingest.vocabulary(words))
+
+    @cached_property
+    def concepts(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Chunks' concepts, questions' concepts, idf."""
+        own, asked = retrieve.concept_tables(self.chunks, self.questions, self.vocabulary)
+        own, asked = cut(own), cut(asked)
+        return own, asked, cut(retrieve.concept_idf(own, self.chunks))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        own, asked, weights = self.concepts
+        return cut(retrieve.concept_pairs(self.chunks, self.questions, own, asked, weights))
+
+    @cached_property
+    def lexical(self) -> DataFrame:
+        return cut(retrieve.bm25(self.chunks, self.questions))
+
+    @cached_property
+    def semantic(self) -> DataFrame:
+        return cut(retrieve.concept_knn(self.pairs))
+
+    @cached_property
+    def legs(self) -> DataFrame:
+        return cut(stages.legs(self.lexical, self.semantic))
+
+    @cached_property
+    def rerank_scores(self) -> DataFrame:
+        return cut(stages.rerank_scores(self.legs, self.pairs, self.questions, self.chunks))
+
+    @cached_property
+    def sweep(self) -> dict[str, DataFrame]:
+        return _sweep(self, SWEEP)
+
+
 def _base(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """documents, chunks, questions."""
-    docs = S.documents(spark, sf)
-    return docs, S.chunks(docs), S.questions(docs, S.table(spark, sf, "benchmark"))
+    i = Index.of(spark, sf)
+    return i.docs, i.chunks, i.questions
 
 
 # Text kernel
@@ -143,26 +213,22 @@ def scope_term_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bm25_topk", "SELECT query_id, chunk_id, score, rank FROM lex_leg", ["lex_leg"])
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    _, c, q = _base(spark, sf)
-    return retrieve.bm25(c, q)
+    return Index.of(spark, sf).lexical
 
 
 @query("concept_df_idf", "SELECT concept, df, round_even(idf, 6) AS idf FROM idf", ["idf"])
 def concept_df_idf(spark: SparkSession, sf: str) -> DataFrame:
-    _, c, q = _base(spark, sf)
-    return retrieve.concept_idf(retrieve.concept_tables(c, q)[0], c).select("concept", "df", F.bround("idf", 6).alias("idf"))
+    return Index.of(spark, sf).concepts[2].select("concept", "df", F.bround("idf", 6).alias("idf"))
 
 
 @query("coverage_matrix", "SELECT query_id, chunk_id, coverage, score FROM pairs", ["pairs"])
 def coverage_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    _, c, q = _base(spark, sf)
-    return retrieve.concept_pairs(c, q)
+    return Index.of(spark, sf).pairs
 
 
 @query("concept_topk", "SELECT query_id, chunk_id, score, rank FROM sem_leg", ["sem_leg"])
 def concept_topk(spark: SparkSession, sf: str) -> DataFrame:
-    _, c, q = _base(spark, sf)
-    return retrieve.concept_knn(retrieve.concept_pairs(c, q))
+    return Index.of(spark, sf).semantic
 
 
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST({0}[i] AS DOUBLE) * CAST({1}[i] AS DOUBLE)))"
@@ -176,23 +242,19 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("neighbour_expansion", "SELECT a.chunk_id, b.ordinal - a.ordinal AS delta, b.chunk_id AS neighbour_id FROM chunks a JOIN chunks b ON a.tenant_id = b.tenant_id AND a.doc_id = b.doc_id AND abs(a.ordinal - b.ordinal) BETWEEN 1 AND 2", ["chunks"])
 def neighbour_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    c = S.chunks(S.documents(spark, sf))
+    c = Index.of(spark, sf).chunks
     return retrieve.neighbours(c.select("chunk_id"), c, 2)
 
 
 # Pipeline stages. One plan serves any list of configurations.
 
 
-def _run(spark: SparkSession, sf: str, names: list[str]) -> dict[str, DataFrame]:
-    _, c, q = _base(spark, sf)
-    cfg = configs(spark, names)
-    pairs = retrieve.concept_pairs(c, q).persist()
-    found = stages.legs(retrieve.bm25(c, q), retrieve.concept_knn(pairs)).persist()
-    cand = stages.fuse(found, cfg)
-    decided = stages.rerank_decision(stages.gate(cand, cfg), cfg)
-    scores = stages.rerank_scores(found, pairs, q, c)
-    ranked = stages.rerank(cand, decided, scores, cfg)
-    return {"chunks": c, "questions": q, "configs": cfg, "pairs": pairs, "legs": found, "cand": cand, "decided": decided, "ranked": ranked}
+def _run(i: Index, names: list[str]) -> dict[str, DataFrame]:
+    cfg = configs(i.spark, names)
+    cand = cut(stages.fuse(i.legs, cfg))
+    decided = cut(stages.rerank_decision(stages.gate(cand, cfg), cfg))
+    ranked = cut(stages.rerank(cand, decided, i.rerank_scores, cfg))
+    return {"chunks": i.chunks, "questions": i.questions, "configs": cfg, "legs": i.legs, "cand": cand, "decided": decided, "ranked": ranked}
 
 
 def _cfg(*names: str) -> dict:
@@ -204,7 +266,7 @@ def _staged(name: str, columns: str, table: str, key: str, *names: str) -> None:
     cols = columns.split(", ")
 
     def f(spark: SparkSession, sf: str) -> DataFrame:
-        out = _run(spark, sf, list(names))
+        out = _run(Index.of(spark, sf), list(names))
         return (stages.context(out["ranked"], out["chunks"], out["configs"]) if key == "ctx" else out[key]).select(*cols)
 
     query(name, f"SELECT {columns} FROM {table}", [table], _cfg(*names))(f)
@@ -219,3 +281,354 @@ _staged("rerank_grayzone", "config_id, query_id, top1, top2, rerank_reason", "de
 _staged("rerank_order", "config_id, query_id, chunk_id, rerank_score, position, promoted", "ranked", "ranked", "baseline", "force_rerank")
 _staged("context_assembly", "config_id, query_id, chunk_id, final_rank, inclusion_reason", "ctx", "ctx", "baseline", "no_gate", "no_expansion", "top_k_1", "force_rerank")
 
+
+
+# Answers, traces and counterfactuals over the baseline, all ablations and the composites
+
+SWEEP = [*ABLATIONS, *COMPOSITES]
+
+
+def _cases(spark: SparkSession, sf: str, q: DataFrame) -> DataFrame:
+    """query_id, kind, answer_key: the longest word of the item, the first of equal ones."""
+    words = S.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode_outer(T.raw_tokens("text")).alias("w")).where("w is not null")
+    key = words.groupBy("query_id").agg(F.min(F.struct((-F.length("w")).alias("n"), "w")).alias("k"))
+    return q.join(key, "query_id", "left").select("query_id", "kind", F.col("k.w").alias("answer_key"))
+
+
+def _sweep(i: Index, names: list[str]) -> dict[str, DataFrame]:
+    r = _run(i, names)
+    c, q, cfg = r["chunks"], r["questions"], r["configs"]
+    own, asked, weights = i.concepts
+    r["ctx"] = cut(stages.context(r["ranked"], c, cfg))
+    runs = q.select("query_id").crossJoin(F.broadcast(cfg.select("config_id")))
+    terms = cut(generate.weighted_terms(q, asked, weights, c))
+    r["answers"] = cut(generate.answers(runs, r["ctx"], r["decided"], cfg, q, c, own, i.vocabulary, terms))
+    r["cases"] = cut(_cases(i.spark, i.sf, q))
+    r["gold"] = cut(_gold(c, r["cases"]))
+    r["diffs"] = cut(counterfactual.diffs(r["answers"], r["cases"]))
+    return r
+
+
+def _gold(c: DataFrame, cases: DataFrame) -> DataFrame:
+    few = cases.where("answer_key is not null and kind = 'answerable'")
+    few = F.broadcast(few) if few.limit(10_001).count() <= 10_000 else few
+    return c.select("chunk_id", "text").join(few, F.contains(F.lower("text"), F.lower("answer_key"))).select("query_id", "chunk_id")
+
+
+_A = {
+    "ctxq": ("SELECT DISTINCT query_id, chunk_id FROM ctx", ["ctx"]),
+    "sent0": (f"SELECT query_id, chunk_id, unnest(l) AS raw, unnest(range(0, len(l))) AS place FROM (SELECT query_id, chunk_id, {_SENT.format('text')} AS l FROM ctxq JOIN chunks USING (chunk_id))", ["ctxq", "chunks"]),
+    "sent": ("SELECT * FROM (SELECT query_id, chunk_id, place, trim(regexp_replace(raw, '^\\s*([-*+]\\s+|[0-9]+[.)]\\s+|#{1,6}\\s+|>\\s+|\\|)', '')) AS s FROM sent0) WHERE length(s) >= 25 AND NOT starts_with(s, '|') AND len(regexp_extract_all(s, '[A-Za-z]{2,}')) >= 5 AND NOT (contains(s, ':') AND NOT regexp_matches(s, '[.!?]$'))", ["sent0"]),
+    "said": (f"SELECT DISTINCT query_id, chunk_id, place, concept FROM (SELECT query_id, chunk_id, place, unnest({O.content('s')}) AS token FROM sent) JOIN voc USING (token)", ["sent", "voc"]),
+    "sent_cov": ("SELECT query_id, chunk_id, place, s AS sentence, round_even(coalesce(c, 0.0), 6) AS coverage FROM sent LEFT JOIN (SELECT query_id, chunk_id, place, sum(qn * idf) / any_value(whole) AS c FROM said JOIN asked_idf USING (query_id, concept) JOIN whole USING (query_id) GROUP BY ALL) USING (query_id, chunk_id, place)", ["sent", "said", "asked_idf", "whole"]),
+    "ctx_cov": ("SELECT config_id, query_id, round_even(sum(qn * idf) / any_value(whole), 6) AS cc FROM (SELECT DISTINCT config_id, query_id, concept FROM ctx JOIN own USING (chunk_id)) JOIN asked_idf USING (query_id, concept) JOIN whole USING (query_id) GROUP BY ALL", ["ctx", "own", "asked_idf", "whole"]),
+    "rs0": ("SELECT config_id, query_id, chunk_id, coverage, sentence || ' [' || final_rank || ']' AS quote, row_number() OVER w AS r, first_value(chunk_id) OVER w AS best, count(*) OVER (PARTITION BY config_id, query_id) AS n FROM ctx JOIN sent_cov USING (query_id, chunk_id) WINDOW w AS (PARTITION BY config_id, query_id ORDER BY coverage DESC, final_rank, sentence)", ["ctx", "sent_cov"]),
+    "picked": ("SELECT config_id, query_id, any_value(n) AS n, arg_min(quote, r) AS q1, arg_min(chunk_id, r) AS c1, arg_min(coverage, r) AS v1, arg_min(quote, r) FILTER (chunk_id <> best) AS q2, arg_min(chunk_id, r) FILTER (chunk_id <> best) AS c2 FROM rs0 GROUP BY ALL", ["rs0"]),
+    "held": (f"SELECT config_id, query_id, count(*) AS sources, list_distinct(flatten(list({O.disc('text')}))) AS held FROM ctx JOIN chunks USING (chunk_id) GROUP BY ALL", ["ctx", "chunks"]),
+    "ans0": (f"SELECT c.config_id, q.query_id, c.discriminator_guard AS guard, CASE WHEN NOT coalesce(gate_passed, true) THEN 'gate' WHEN sources IS NULL THEN 'no sources' WHEN coalesce(cc, 0.0) < 0.18 THEN 'unrelated' WHEN q1 IS NULL THEN 'no sentence' END AS reason, list_filter({O.disc('q.query')}, lambda d: NOT list_contains(coalesce(held, []), d)) AS unmet, p.n, q1, c1, v1, q2, c2 FROM configs c, questions q LEFT JOIN decided d ON d.config_id = c.config_id AND d.query_id = q.query_id LEFT JOIN held h ON h.config_id = c.config_id AND h.query_id = q.query_id LEFT JOIN ctx_cov v ON v.config_id = c.config_id AND v.query_id = q.query_id LEFT JOIN picked p ON p.config_id = c.config_id AND p.query_id = q.query_id", ["configs", "questions", "decided", "held", "ctx_cov", "picked"]),
+    "ans1": ("SELECT config_id, query_id, reason, (guard AND len(unmet) > 0) AS hedge, (v1 >= 0.55 OR n = 1 OR q2 IS NULL) AS alone, unmet, q1, c1, q2, c2 FROM ans0", ["ans0"]),
+    "ans2": ("SELECT config_id, query_id, reason, hedge, CASE WHEN reason IS NOT NULL THEN 'refused' WHEN hedge THEN 'ungrounded' ELSE 'grounded' END AS status, CASE WHEN reason IS NOT NULL THEN 'No supporting evidence: ' || reason WHEN hedge THEN 'Not in the sources: ' || array_to_string(unmet[1:3], ', ') || '. Closest: ' || q1 WHEN alone THEN q1 ELSE q1 || ' ' || q2 END AS answer, CASE WHEN reason IS NOT NULL THEN '' WHEN hedge OR alone THEN c1 ELSE c1 || ' ' || c2 END AS citations FROM ans1", ["ans1"]),
+    "ans": (f"SELECT config_id, query_id, status, (reason IS NOT NULL OR hedge OR regexp_matches(answer, {_HED})) AS hedged, answer, citations FROM ans2", ["ans2"]),
+    "cases": (f"SELECT query_id, kind, arg_min(w, (-length(w), w)) AS answer_key FROM questions LEFT JOIN (SELECT item_id, unnest({O.raw('text')}) AS w FROM benchmark) ON item_id = query_id GROUP BY ALL", ["questions"]),
+    "goldc": ("SELECT query_id, chunk_id FROM cases JOIN chunks ON contains(lower(text), lower(answer_key)) WHERE kind = 'answerable'", ["cases", "chunks"]),
+    "marked": ("SELECT a.config_id, query_id, answer, status = 'refused' AS refused, (status = 'refused' OR hedged) AS flagged, CASE WHEN kind = 'out_of_scope' THEN (status = 'refused' OR hedged) ELSE contains(lower(answer), lower(answer_key)) END AS ok FROM ans a JOIN cases USING (query_id)", ["ans", "cases"]),
+    "diff": ("SELECT v.config_id, v.query_id, CASE WHEN v.answer = b.answer THEN 'identical' WHEN v.ok IS NOT NULL AND b.ok IS NOT NULL THEN CASE WHEN b.ok AND v.ok THEN 'equivalent' WHEN v.ok THEN 'improved' WHEN b.ok AND v.refused THEN 'now_refuses' WHEN b.ok AND v.flagged THEN 'now_wrong' WHEN b.ok THEN 'now_confident_wrong' WHEN b.flagged AND NOT v.flagged THEN 'now_confident_wrong' WHEN NOT b.flagged AND v.flagged THEN CASE WHEN v.refused THEN 'now_refuses' ELSE 'degraded' END ELSE 'equivalent' END WHEN b.refused AND NOT v.refused THEN 'now_answers' WHEN v.refused AND NOT b.refused THEN 'now_refuses' ELSE 'degraded' END AS outcome FROM marked v JOIN marked b ON b.query_id = v.query_id AND b.config_id = 'baseline' WHERE v.config_id <> 'baseline'", ["marked"]),
+    "wrongs": ("SELECT config_id, count_if(outcome = 'now_confident_wrong') AS n FROM diff GROUP BY config_id", ["diff"]),
+}
+_S = _A | _cfg(*SWEEP)
+
+
+def _swept(name: str, final: str, needs: list[str], extra: dict | None = None) -> Callable:
+    """Registers a query over the whole sweep."""
+
+    def put(f: Callable[[dict[str, DataFrame]], DataFrame]) -> Callable:
+        query(name, final, needs, _S | (extra or {}))(lambda spark, sf: f(Index.of(spark, sf).sweep))
+        return f
+
+    return put
+
+
+@_swept("answers", "SELECT config_id, query_id, status, hedged, answer, citations FROM ans", ["ans"])
+def answers(r: dict[str, DataFrame]) -> DataFrame:
+    return r["answers"].select("config_id", "query_id", "status", "hedged", "answer", F.array_join("citations", " ").alias("citations"))
+
+
+@_swept("ablation_sweep", "SELECT config_id, status, count(*) AS n, count_if(hedged) AS hedged FROM ans GROUP BY ALL", ["ans"])
+def ablation_sweep(r: dict[str, DataFrame]) -> DataFrame:
+    return r["answers"].groupBy("config_id", "status").agg(F.count("*").alias("n"), F.count_if("hedged").alias("hedged"))
+
+
+@_swept("classify_outcomes", "SELECT config_id, query_id, outcome FROM diff", ["diff"])
+def classify_outcomes(r: dict[str, DataFrame]) -> DataFrame:
+    return r["diffs"]
+
+
+@_swept("findings_pivot", "SELECT config_id, " + ", ".join(f"count_if(outcome = '{o}') AS {o}" for o in counterfactual.OUTCOMES) + " FROM diff GROUP BY config_id", ["diff"])
+def findings_pivot(r: dict[str, DataFrame]) -> DataFrame:
+    return counterfactual.tabulate(r["diffs"])
+
+
+@_swept("interaction_effects", "SELECT a.config_id, a.n, CAST(sum(b.n) AS BIGINT) AS parts, a.n > sum(b.n) + 2 AS interacts FROM (SELECT config_id, n, unnest(string_split(config_id, '+')) AS part FROM wrongs WHERE contains(config_id, '+')) a JOIN wrongs b ON b.config_id = part GROUP BY a.config_id, a.n", ["wrongs"])
+def interaction_effects(r: dict[str, DataFrame]) -> DataFrame:
+    return counterfactual.interactions(r["diffs"])
+
+
+@_swept("ablation_verdicts", "SELECT config_id, count(*) AS n, CASE WHEN count_if(outcome = 'now_confident_wrong') > 0 THEN 'confirmed' WHEN count_if(outcome IN ('now_refuses', 'now_wrong')) > 0 THEN 'loud' WHEN count_if(outcome IN ('identical', 'equivalent')) >= 0.98 * count(*) THEN 'no effect' ELSE 'changed' END AS verdict FROM diff GROUP BY config_id", ["diff"])
+def ablation_verdicts(r: dict[str, DataFrame]) -> DataFrame:
+    return counterfactual.verdicts(r["diffs"])
+
+
+@_swept("rank_delta", "SELECT v.config_id, b.query_id, b.chunk_id, CAST(coalesce(c.fused_rank - w.fused_rank, 999) AS INTEGER) AS rank_delta FROM ctx b JOIN cand w ON w.config_id = 'baseline' AND w.query_id = b.query_id AND w.chunk_id = b.chunk_id JOIN (SELECT config_id FROM configs WHERE config_id <> 'baseline') v ON true LEFT JOIN cand c ON c.config_id = v.config_id AND c.query_id = b.query_id AND c.chunk_id = b.chunk_id WHERE b.config_id = 'baseline'", ["ctx", "cand", "configs"])
+def rank_delta(r: dict[str, DataFrame]) -> DataFrame:
+    return counterfactual.rank_delta(r["ctx"], r["cand"])
+
+
+_DIAG = {
+    "cl": ("SELECT config_id, query_id, list(chunk_id ORDER BY final_rank) AS ids, max(CASE WHEN g.chunk_id IS NULL THEN 0 ELSE 1 END) AS g FROM ctx LEFT JOIN goldc g USING (query_id, chunk_id) GROUP BY ALL", ["ctx", "goldc"]),
+    "ck": ("SELECT config_id, query_id FROM (SELECT DISTINCT config_id FROM ctx WHERE config_id <> 'baseline'), (SELECT DISTINCT query_id FROM ctx)", ["ctx"]),
+    "dg": ("SELECT k.config_id, k.query_id, coalesce(b.ids, []) AS b, coalesce(v.ids, []) AS v, coalesce(b.g, 0) AS bg, coalesce(v.g, 0) AS vg FROM ck k LEFT JOIN cl b ON b.config_id = 'baseline' AND b.query_id = k.query_id LEFT JOIN cl v ON v.config_id = k.config_id AND v.query_id = k.query_id", ["ck", "cl"]),
+}
+
+
+@_swept("context_diagnosis", "SELECT config_id, query_id, array_to_string(list_filter(b, lambda x: NOT list_contains(v, x)), ' ') AS dropped, CASE WHEN b = v THEN 'same' WHEN list_sort(b) = list_sort(v) THEN 'reordered' WHEN bg = 1 AND vg = 0 THEN 'gold lost' WHEN bg = 0 AND vg = 1 THEN 'gold gained' ELSE 'set changed' END AS diagnosis FROM dg", ["dg"], _DIAG)
+def context_diagnosis(r: dict[str, DataFrame]) -> DataFrame:
+    return counterfactual.context_diagnosis(r["ctx"], r["gold"])
+
+
+@_swept("ablation_drift", "SELECT config_id, outcome, moved FROM (SELECT coalesce(a.config_id, b.config_id) AS config_id, coalesce(a.outcome, b.outcome) AS outcome, round_even(coalesce(a.s, 0) - coalesce(b.s, 0), 6) AS moved FROM (SELECT config_id, outcome, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY config_id) AS s FROM diff GROUP BY ALL) a FULL JOIN (SELECT config_id, outcome, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY config_id) AS s FROM diff WHERE query_id % 2 = 0 GROUP BY ALL) b ON a.config_id = b.config_id AND a.outcome = b.outcome) WHERE abs(moved) > 8.0", ["diff"])
+def ablation_drift(r: dict[str, DataFrame]) -> DataFrame:
+    """The snapshot stands for an earlier sweep: the outcomes of the questions with an even id."""
+    d = r["diffs"]
+    count = lambda x: x.groupBy("config_id", "outcome").agg(F.count("*").alias("n"))
+    return counterfactual.drift(count(d), count(d.where("query_id % 2 = 0")))
+
+
+_WIDE = [1, 2, 3, 5, 8, 12]
+
+
+def _wide(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    names = ["no_gate", "no_gate+no_lexical", "no_gate+no_semantic"]
+    r = _run(Index.of(spark, sf), names)
+    r["configs"] = r["configs"].withColumn("width", F.lit(12))
+    r["ctx"] = stages.context(r["ranked"], r["chunks"], r["configs"])
+    cases = _cases(spark, sf, r["questions"])
+    r["gold"] = _gold(r["chunks"], cases)
+    return r
+
+
+_W = _A | {"configs": (f"SELECT * REPLACE (CAST(12 AS INTEGER) AS width) FROM ({O.configs_cte(['no_gate', 'no_gate+no_lexical', 'no_gate+no_semantic'])})", [])}
+
+
+@query("gold_retention_by_width", f"SELECT config_id, CAST(width AS INTEGER) AS width, count(*) AS n, count_if(best <= width) AS kept FROM (SELECT DISTINCT config_id FROM ctx), (SELECT DISTINCT query_id FROM goldc) q LEFT JOIN (SELECT config_id AS c, query_id AS x, min(final_rank) AS best FROM ctx JOIN goldc USING (query_id, chunk_id) GROUP BY ALL) ON c = config_id AND x = q.query_id, (SELECT unnest({_WIDE}) AS width) GROUP BY ALL", ["ctx", "goldc"], _W)
+def gold_retention_by_width(spark: SparkSession, sf: str) -> DataFrame:
+    r = _wide(spark, sf)
+    return calibrate.retention(r["ctx"], r["gold"], _WIDE)
+
+
+_G = {"sc": ("SELECT query_id, kind = 'answerable' AS answerable, coalesce(top, 0.0) AS score FROM questions LEFT JOIN (SELECT query_id, max(score) AS top FROM {leg} GROUP BY query_id) USING (query_id)", [])}
+
+
+def _gate_sql(leg: str) -> dict:
+    return {
+        "sc": (_G["sc"][0].format(leg=leg), ["questions", leg]),
+        "mid": ("SELECT DISTINCT round_even((a.score + o.score) / 2, 4) AS t FROM sc a, sc o WHERE a.answerable AND NOT o.answerable", ["sc"]),
+        "err": ("SELECT t, count_if(answerable AND score < t) / count_if(answerable) AS fr, count_if(NOT answerable AND score >= t) / count_if(NOT answerable) AS fa FROM mid, sc GROUP BY t", ["mid", "sc"]),
+    }
+
+
+def _gate(leg: str) -> None:
+    def f(spark: SparkSession, sf: str) -> DataFrame:
+        i = Index.of(spark, sf)
+        q, hits = i.questions, i.lexical if leg == "lex_leg" else i.semantic
+        top = hits.groupBy("query_id").agg(F.max("score").alias("top"))
+        scores = q.join(top, "query_id", "left").select((F.col("kind") == "answerable").alias("answerable"), F.coalesce("top", F.lit(0.0)).alias("score"))
+        return calibrate.threshold(scores, leg)
+
+    query(f"gate_calibration_{leg}", f"SELECT t AS threshold, round_even(fr, 4) AS false_refusal, round_even(fa, 4) AS false_admit, '{leg}' AS name FROM err ORDER BY round_even(greatest(fr, fa), 9), t LIMIT 1", ["err"], _gate_sql(leg))(f)
+
+
+_gate("lex_leg")
+_gate("sem_leg")
+
+
+# Measurement, judging, suites and vectors
+
+
+@query("nearest_rank_percentiles", "SELECT source, count(*) AS n, " + ", ".join(f"list_sort(list(n_chars))[CAST(round_even({p} * (count(*) - 1), 0) AS INTEGER) + 1] AS p{round(100 * p)}" for p in (0.1, 0.5, 0.9)) + " FROM documents GROUP BY source")
+def nearest_rank_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    return calibrate.nearest_rank(_docs(spark, sf), "source", "n_chars", [0.1, 0.5, 0.9])
+
+
+_PAIRS = "SELECT quality AS gold, CASE WHEN n_chars >= 300 THEN 1 ELSE 0 END AS predicted FROM labels JOIN documents USING (doc_id)"
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    d = S.table(spark, sf, "labels").join(_docs(spark, sf).select("doc_id", "n_chars"), "doc_id")
+    return d.select(F.col("quality").alias("gold"), F.when(F.col("n_chars") >= 300, 1).otherwise(0).alias("predicted"))
+
+
+@query("confusion", f"SELECT gold, predicted, count(*) AS n FROM ({_PAIRS}) GROUP BY ALL")
+def confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return calibrate.confusion(_labelled(spark, sf))
+
+
+@query("cohens_kappa", f"SELECT n, round_even(po, 6) AS agreement, round_even((po - pe) / (1 - pe), 6) AS kappa FROM (SELECT count(*) AS n, count_if(gold = predicted) / count(*) AS po, (count_if(gold = 1) * count_if(predicted = 1) + count_if(gold = 0) * count_if(predicted = 0)) / (count(*) * count(*)) AS pe FROM ({_PAIRS}))")
+def cohens_kappa(spark: SparkSession, sf: str) -> DataFrame:
+    return calibrate.kappa(_labelled(spark, sf))
+
+
+@query("point_biserial", "SELECT count(*) AS n, round_even(corr(CAST(quality AS DOUBLE), CAST(n_chars AS DOUBLE)), 4) AS r FROM labels JOIN documents USING (doc_id)")
+def point_biserial(spark: SparkSession, sf: str) -> DataFrame:
+    d = S.table(spark, sf, "labels").join(_docs(spark, sf).select("doc_id", "n_chars"), "doc_id")
+    return calibrate.point_biserial(d, F.col("quality"), F.col("n_chars"))
+
+
+@query("stratified_sample", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('4242:' || doc_id)) AS r FROM documents) WHERE r <= 7")
+def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return calibrate.stratified(_docs(spark, sf).select("source", "doc_id"), "source", "doc_id", 7)
+
+
+@query("baseline_diff", "(SELECT doc_id AS case_id, 'new' AS change FROM labels WHERE quality = 0 EXCEPT SELECT doc_id, 'new' FROM labels WHERE toxic = 1) UNION ALL (SELECT doc_id, 'fixed' FROM labels WHERE toxic = 1 EXCEPT SELECT doc_id, 'fixed' FROM labels WHERE quality = 0)")
+def baseline_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Failures now: quality 0; failures in the baseline: toxic 1."""
+    labels = S.table(spark, sf, "labels").withColumnRenamed("doc_id", "case_id")
+    return judge.baseline_diff(labels.where("quality = 0"), labels.where("toxic = 1"))
+
+
+@query("suite_rollup", "SELECT source AS suite, count(*) AS total, count_if(quality = 1) AS n_passed, max(CASE WHEN quality = 0 THEN 2 + toxic ELSE 0 END) AS worst, count_if(quality = 0 AND 2 + toxic >= 3) AS blocking FROM labels JOIN documents USING (doc_id) GROUP BY source")
+def suite_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    d = S.table(spark, sf, "labels").join(_docs(spark, sf).select("doc_id", "source"), "doc_id")
+    return judge.rollup(d.select(F.col("source").alias("suite"), (F.col("quality") == 1).alias("passed"), (2 + F.col("toxic")).alias("severity")))
+
+
+@query("tenant_leak_scan", "SELECT count(*) AS leaks FROM legs JOIN questions q USING (query_id) JOIN chunks k USING (chunk_id) WHERE k.tenant_id <> q.tenant_id AND k.tenant_id <> 'tenant_global'", ["legs", "questions", "chunks"])
+def tenant_leak_scan(spark: SparkSession, sf: str) -> DataFrame:
+    from .operators.scope import leaks
+
+    r = _run(Index.of(spark, sf), ["baseline"])
+    return leaks(r["legs"], r["questions"], r["chunks"]).agg(F.count("*").alias("leaks"))
+
+
+@query("canary_scan", "SELECT d.tenant_id, d.doc_id AS surface, c.tenant_id AS owner, canary FROM docs d JOIN (SELECT tenant_id, 'item-' || item_id AS surface, substr(item_text, 1, 40) AS canary FROM (SELECT item_id, arg_min(tenant_id, doc_no) AS tenant_id, any_value(item_text) AS item_text FROM gold GROUP BY item_id)) c ON d.tenant_id <> c.tenant_id AND contains(d.text, canary)", ["docs", "gold"])
+def canary_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Canaries: the first 40 characters of each item, owned by the tenant of the first document that holds it."""
+    docs = S.documents(spark, sf)
+    items = S.table(spark, sf, "benchmark")
+    owner = S.gold_documents(docs, items).groupBy("item_id").agg(F.min_by("tenant_id", "doc_no").alias("tenant_id"))
+    canaries = items.join(owner, "item_id").select("tenant_id", F.substring("text", 1, 40).alias("canary"))
+    return judge.canary_scan(docs.select("tenant_id", F.col("doc_id").alias("surface"), "text"), canaries)
+
+
+_CONV_VOC = {"voc0": (f"SELECT DISTINCT token, token AS t FROM (SELECT unnest({O.content('text')}) AS token FROM conversations)", [])}
+
+
+def _conv_vocabulary(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    c = S.table(spark, sf, "conversations")
+    return c, ingest.vocabulary(c.select(F.explode_outer(T.content_tokens("text")).alias("token")).where("token is not null"))
+
+
+@query(
+    "semantic_cache_hits",
+    "SELECT a.entry, min(b.entry) AS hit FROM e a JOIN e b ON b.entry < a.entry AND a.ns = b.ns AND a.mark = b.mark AND len(list_intersect(a.cs, b.cs)) >= 0.93 * (len(a.cs) + len(b.cs) - len(list_intersect(a.cs, b.cs))) GROUP BY a.entry",
+    ["e"],
+    _CONV_VOC | {"e": (f"SELECT conv_id * 1000 + turn AS entry, role AS ns, array_to_string({O.disc('text')}, ' ') AS mark, list_sort(list_distinct(list(concept))) AS cs FROM (SELECT conv_id, turn, role, text, unnest({O.content('text')}) AS token FROM conversations) JOIN voc USING (token) GROUP BY conv_id, turn, role, text", ["voc"])},
+)
+def semantic_cache_hits(spark: SparkSession, sf: str) -> DataFrame:
+    c, voc = _conv_vocabulary(spark, sf)
+    c = c.withColumn("entry", F.col("conv_id") * 1000 + F.col("turn"))
+    sets = judge.concept_sets(c, voc, "entry", "text", "concepts")
+    return judge.cache_hits(c.select("entry", F.col("role").alias("ns"), T.discriminators("text").alias("marks")).join(sets, "entry"))
+
+
+@query(
+    "rule_judge",
+    f"SELECT conv_id, turn, CASE WHEN lower(trim(a)) = lower(trim(b)) THEN 'equivalent' WHEN (regexp_matches(a, {_HED}) OR regexp_matches(a, {_REF})) AND (regexp_matches(b, {_HED}) OR regexp_matches(b, {_REF})) THEN 'equivalent' WHEN len(na) > 0 AND len(nb) > 0 AND len(list_intersect(na, nb)) = 0 THEN 'contradictory' WHEN (regexp_matches(a, {_HED}) OR regexp_matches(a, {_REF})) <> (regexp_matches(b, {_HED}) OR regexp_matches(b, {_REF})) THEN 'degraded' WHEN j >= 0.72 THEN 'equivalent' WHEN j >= 0.35 THEN 'degraded' ELSE 'contradictory' END AS verdict FROM jp",
+    ["jp"],
+    _CONV_VOC
+    | {
+        "cset": (f"SELECT conv_id, turn, list_distinct(list(concept)) AS cs FROM (SELECT conv_id, turn, unnest({O.content('text')}) AS token FROM conversations) JOIN voc USING (token) GROUP BY ALL", ["voc"]),
+        "jt": (f"SELECT c.conv_id, c.turn, text, list_distinct(regexp_extract_all(text, '{O.L.NUMBER}')) AS nums, coalesce(cs, []) AS cs FROM conversations c LEFT JOIN cset s ON s.conv_id = c.conv_id AND s.turn = c.turn WHERE role = 'assistant'", ["cset"]),
+        "jp": ("SELECT x.conv_id, x.turn, x.text AS a, y.text AS b, x.nums AS na, y.nums AS nb, CASE WHEN len(x.cs) + len(y.cs) = 0 THEN 1.0 ELSE len(list_intersect(x.cs, y.cs)) / (len(x.cs) + len(y.cs) - len(list_intersect(x.cs, y.cs))) END AS j FROM jt x JOIN jt y ON y.conv_id = x.conv_id AND y.turn = x.turn + 2", ["jt"]),
+    },
+)
+def rule_judge(spark: SparkSession, sf: str) -> DataFrame:
+    """Each assistant turn against the conversation's next one."""
+    c, voc = _conv_vocabulary(spark, sf)
+    key = F.concat_ws(":", "conv_id", "turn")
+    sets = judge.concept_sets(c.withColumn("key", key), voc, "key", "text", "cs")
+    said = c.where("role = 'assistant'").withColumn("key", key).join(sets, "key", "left").select("conv_id", "turn", "text", F.coalesce("cs", F.array().cast("array<string>")).alias("cs"))
+    after = said.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("b"), F.col("cs").alias("cs_b"))
+    j = said.join(after, ["conv_id", "turn"])
+    return j.select("conv_id", "turn", judge.compare(F.col("text"), F.col("b"), F.col("cs"), F.col("cs_b")).alias("verdict"))
+
+
+@query("wrong_confident_rate", "SELECT count(*) AS attempted, count(quality) AS scored, count_if(quality = 0 AND toxic = 0) AS wrong_confident, round_even(count_if(quality = 0 AND toxic = 0) / count(*), 6) AS rate, count(*) = count(quality) AS reportable FROM documents LEFT JOIN labels USING (doc_id)")
+def wrong_confident_rate(spark: SparkSession, sf: str) -> DataFrame:
+    verdict = F.when(F.col("quality") == 1, "ok").when(F.col("toxic") == 1, "wrong_flagged").otherwise("wrong_confident")
+    scored = S.table(spark, sf, "labels").select(F.col("doc_id").alias("case_id"), verdict.alias("verdict"))
+    return judge.wrong_confident(_docs(spark, sf).select(F.col("doc_id").alias("case_id")), scored)
+
+
+@query("vector_stats", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, round_even(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS l2_norm, round_even(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding), 6) AS mean, round_even(CAST(list_min(embedding) AS DOUBLE), 6) AS least, round_even(CAST(list_max(embedding) AS DOUBLE), 6) AS most, CAST(len(list_filter(embedding, lambda x: x <> 0)) AS INTEGER) AS nonzero FROM embeddings")
+def vector_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.stats(S.table(spark, sf, "embeddings"))
+
+
+@query("pca_projection")
+def pca_projection(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.project(S.table(spark, sf, "embeddings"))
+
+
+@query("stage_event_latest", "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
+def stage_event_latest(spark: SparkSession, sf: str) -> DataFrame:
+    return judge.latest(S.table(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"], ["value", "event_id"])
+
+
+@query("stage_timeline", "SELECT user_id, event_type, total_ms, round_even(total_ms / max(total_ms) OVER (PARTITION BY user_id), 6) AS share FROM (SELECT user_id, event_type, round_even(sum(value), 6) AS total_ms FROM events GROUP BY ALL)")
+def stage_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    t = S.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.bround(F.sum("value"), 6).alias("total_ms"))
+    return judge.share_of_slowest(t, "user_id", "total_ms")
+
+
+@query("trace_nested")
+def trace_nested(spark: SparkSession, sf: str) -> DataFrame:
+    r = _sweep(Index.of(spark, sf), ["baseline", "no_gate"])
+    return generate.traces(r["ranked"], r["ctx"], r["answers"])
+
+
+@query("chunk_markdown")
+def chunk_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as Markdown: every line a paragraph, every fifth a heading."""
+    lines = F.split(T.text_of("text"), "\n")
+    md = F.array_join(F.transform(lines, lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("## "), x)).otherwise(x)), "\n\n")
+    return ingest.chunk_markdown(S.documents(spark, sf).select("tenant_id", "doc_id", md.alias("markdown"))).withColumn("heading_path", F.array_join("heading_path", " / "))
+
+
+@query("corpus_version", "SELECT 'corpus@' || substr(sha256(string_agg(p || d, '' ORDER BY p)), 1, 8) AS corpus_version FROM (SELECT substr(d, 1, 3) AS p, sha256(string_agg(d, '' ORDER BY d)) AS d FROM (SELECT sha256(concat_ws(chr(31), tenant_id, doc_id, sha256(coalesce(text, '')))) AS d FROM docs) GROUP BY 1)", ["docs"])
+def corpus_version(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.corpus_version(S.documents(spark, sf))
+
+
+@query("incremental_embed", "SELECT CASE WHEN label < 5 THEN 'reused' ELSE 'todo' END AS state, count(*) AS n FROM embeddings GROUP BY 1")
+def incremental_embed(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of labels under 5 are there already."""
+    v = S.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+    had = v.where("label < 5").select("chunk_id", F.lit("m").alias("model_id"))
+    reused, todo = ingest.incremental(v.select("chunk_id"), had, "m")
+    return reused.select(F.lit("reused").alias("state")).union(todo.select(F.lit("todo"))).groupBy("state").agg(F.count("*").alias("n"))
+
+
+def _followups(spark: SparkSession, sf: str) -> DataFrame:
+    c = S.table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "conv_id", "turn", "text")
+    before = Window.partitionBy("conv_id").orderBy("turn")
+    return c.withColumn("previous", F.lag("text").over(before)).where("previous is not null").select("query_id", F.concat(F.lit("and what about that: "), F.substring("text", 1, 60)).alias("query"), "previous")
+
+
+@query("rewrite_followups")
+def rewrite_followups(spark: SparkSession, sf: str) -> DataFrame:
+    c, voc = _conv_vocabulary(spark, sf)
+    turns = c.select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text")
+    df = judge.concept_sets(turns, voc, "key", "text", "cs").select(F.explode_outer("cs").alias("concept")).groupBy("concept").agg(F.count("*").alias("df"))
+    total = turns.agg(F.count("*").alias("n"))
+    weights = df.crossJoin(F.broadcast(total)).select("concept", "df", ingest.idf(F.col("df"), F.col("n")).alias("idf"))
+    return stages.rewrite(_followups(spark, sf), voc, weights)

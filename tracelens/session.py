@@ -37,3 +37,13 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(root.parent).as_posix())
     sc.addPyFile(path)
     sc._tracelens_shipped = True
+
+
+def cut(df):
+    """The rows of df, computed now and kept in the folder that driver and executors share (spark.checkpoint.dir): later plans
+    start from files, so they stay small and a lost executor repeats nothing before this point."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tracelens-"))
+    return df.checkpoint(eager=True)
