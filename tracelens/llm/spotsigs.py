@@ -66,8 +66,8 @@ def length_partition(size: Column, tau: float) -> Column:
     return F.floor(F.log(F.greatest(size, F.lit(1))) / F.log(F.lit(1 / tau)) + F.lit(1e-9)).cast("int")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds next: a struct of these columns of the row of next higher doc_id, or of the lowest one after the last."""
+def with_next(docs: DataFrame, column: str) -> DataFrame:
+    """Adds next: this column of the row of next higher doc_id, or of the lowest one after the last."""
     ranged = with_range(docs, "doc_id", name="__range")
     # one row for each range, at most 65536 (see with_range)
     firsts = sorted((r["__range"], r["first"]) for r in ranged.groupBy("__range").agg(F.min("doc_id").alias("first")).collect())
@@ -77,17 +77,18 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     places = F.array(F.struct(F.col("__range").alias("r"), F.lit(False).alias("copy")), F.struct(F.col("__into").alias("r"), F.lit(True).alias("copy")))
     dealt = marked.withColumn("__p", F.explode(F.filter(places, lambda p: p["r"].isNotNull())))
     order = Window.partitionBy("__p.r").orderBy("__p.copy", "doc_id", "text")
-    return dealt.withColumn("next", F.lead(F.struct(*columns)).over(order)).where(~F.col("__p.copy")).drop("__p", "__range", "__into")
+    return dealt.withColumn("next", F.lead(column).over(order)).where(~F.col("__p.copy")).drop("__p", "__range", "__into")
 
 
 def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     """doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next, set_size from docs(doc_id, text)."""
-    own = with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sigs", chain)
-    paired = with_next(own, ["text", "sigs"])
+    # only texts are dealt out: signatures are computed again where they are needed
+    paired = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.text", F.lit(1), half))
-    paired = with_signatures(paired.withColumn("edited", edited), "edited", "edited_sigs", chain)
+    paired = paired.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half)))
+    for column, out in (("text", "sigs"), ("next", "next_sigs"), ("edited", "edited_sigs")):
+        paired = with_signatures(paired, column, out, chain)
     return paired.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
@@ -95,7 +96,7 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
         as_text("sigs").alias("fingerprint"),
         as_text("edited_sigs").alias("edited_fingerprint"),
         likeness("sigs", "edited_sigs").alias("near_edited"),
-        likeness("sigs", F.col("next.sigs")).alias("near_next"),
+        likeness("sigs", "next_sigs").alias("near_next"),
         F.size("sigs").cast("long").alias("set_size"),
     )
 
