@@ -12,7 +12,7 @@ from . import oracle as O
 from .functions import text as T
 from .operators import calibrate, counterfactual, generate, ingest, judge, retrieve, stages, vectors
 from .plans.config import ABLATIONS, COMPOSITES, configs
-from .session import cut
+from .session import cut, ship
 from .sources import fixtures as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -395,7 +395,15 @@ def context_diagnosis(r: dict[str, DataFrame]) -> DataFrame:
     return counterfactual.context_diagnosis(r["ctx"], r["gold"])
 
 
-@_swept("ablation_drift", "SELECT config_id, outcome, moved FROM (SELECT coalesce(a.config_id, b.config_id) AS config_id, coalesce(a.outcome, b.outcome) AS outcome, round_even(coalesce(a.s, 0) - coalesce(b.s, 0), 6) AS moved FROM (SELECT config_id, outcome, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY config_id) AS s FROM diff GROUP BY ALL) a FULL JOIN (SELECT config_id, outcome, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY config_id) AS s FROM diff WHERE query_id % 2 = 0 GROUP BY ALL) b ON a.config_id = b.config_id AND a.outcome = b.outcome) WHERE abs(moved) > 8.0", ["diff"])
+_DRIFT = {
+    "dn": ("SELECT config_id, outcome, count(*) AS n FROM diff GROUP BY config_id, outcome", ["diff"]),
+    "de": ("SELECT config_id, outcome, count(*) AS n FROM diff WHERE query_id % 2 = 0 GROUP BY config_id, outcome", ["diff"]),
+    "ds": ("SELECT config_id, outcome, 100.0 * n / sum(n) OVER (PARTITION BY config_id) AS s FROM dn", ["dn"]),
+    "dw": ("SELECT config_id, outcome, 100.0 * n / sum(n) OVER (PARTITION BY config_id) AS s FROM de", ["de"]),
+}
+
+
+@_swept("ablation_drift", "SELECT config_id, outcome, moved FROM (SELECT config_id, outcome, round_even(coalesce(ds.s, 0) - coalesce(dw.s, 0), 6) AS moved FROM ds FULL JOIN dw USING (config_id, outcome)) WHERE abs(moved) > 8.0", ["ds", "dw"], _DRIFT)
 def ablation_drift(r: dict[str, DataFrame]) -> DataFrame:
     """The snapshot stands for an earlier sweep: the outcomes of the questions with an even id."""
     d = r["diffs"]
@@ -599,6 +607,7 @@ def trace_nested(spark: SparkSession, sf: str) -> DataFrame:
 @query("chunk_markdown")
 def chunk_markdown(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as Markdown: every line a paragraph, every fifth a heading."""
+    ship(spark)
     lines = F.split(T.text_of("text"), "\n")
     md = F.array_join(F.transform(lines, lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("## "), x)).otherwise(x)), "\n\n")
     return ingest.chunk_markdown(S.documents(spark, sf).select("tenant_id", "doc_id", md.alias("markdown"))).withColumn("heading_path", F.array_join("heading_path", " / "))
