@@ -13,9 +13,11 @@ becomes empty. Null text: no lines, stays null. Rows are independent: extra colu
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +25,40 @@ from .common import cut, slices
 
 MIN_DOCS, MIN_TOKENS, DEPTH, SIMILARITY = 5, 3, 3, 0.8
 WILD = "<*>"
-#: A token with a digit, an @ or ://.
-VARIABLE = r"\S*(?:[0-9@]|://)\S*"
+#: What makes a token variable: a digit, an @ or ://.
+_VARIABLE = re.compile(r"[0-9@]|://")
 
 
-def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """doc_id, pos, line (masked), n, leaf, h of every line long enough."""
-    line = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "raw"))
-    line = line.select("doc_id", "pos", F.trim(F.regexp_replace(F.regexp_replace("raw", VARIABLE, WILD), r"\s+", " ")).alias("line"))
-    n = F.when(F.col("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    line = line.withColumn("n", n).where(F.col("n") >= min_tokens)
-    return line.select("doc_id", "pos", "line", F.xxhash64("n", F.substring_index("line", " ", depth)).alias("leaf"), F.xxhash64("line").alias("h"))
+def masked(line: str) -> list[str]:
+    return [WILD if _VARIABLE.search(t) else t for t in line.split()]
+
+
+def _lines(docs: DataFrame, depth: int, min_tokens: int, with_text: bool = False) -> DataFrame:
+    """doc_id, pos, leaf, h of every line long enough, and the masked line if asked for.
+
+    A plain Python pass: as SQL expressions, which the optimizer repeats, the query took 951 CPU seconds a GB; so, 259.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows = []
+                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    if not text:
+                        continue
+                    varied = _VARIABLE.search(text) is not None
+                    for pos, raw in enumerate(text.split("\n")):
+                        tokens = masked(raw) if varied and _VARIABLE.search(raw) else raw.split()
+                        if len(tokens) >= min_tokens:
+                            line = " ".join(tokens)
+                            rows.append((doc, pos, signed(digest(f"{len(tokens)} {' '.join(tokens[:depth])}")), signed(digest(line)), line if with_text else None))
+                columns = [*zip(*rows, strict=True)] if rows else [[]] * 5
+                kinds = [("doc_id", pa.int64()), ("pos", pa.int32()), ("leaf", pa.int64()), ("h", pa.int64()), ("line", pa.string())][: 5 if with_text else 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=False)], [n for n, _ in kinds])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, leaf long, h long" + ", line string" * with_text)
 
 
 def grow(leaf_lines: list[tuple[int, str, int, int]], similarity: float) -> list[tuple[int, str, int, int]]:
@@ -86,7 +111,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
     alone = counted.where(F.col("docs") >= min_docs).join(leaves.where("lines = 1").select("leaf"), "leaf", "left_semi")
     # the words of a line are read once, from its first document
     texts = docs.select("doc_id", "text").join(several.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    words = _lines(texts, depth, min_tokens).join(several.withColumnRenamed("first", "doc_id"), ["doc_id", "leaf", "h"]).dropDuplicates(["h"])
+    words = _lines(texts, depth, min_tokens, True).join(several.withColumnRenamed("first", "doc_id"), ["doc_id", "leaf", "h"]).dropDuplicates(["h"])
     dealt = words.select("leaf", "h", "line", "docs", F.col("doc_id").alias("first")).repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "h")
     grown = dealt.mapInArrow(_leaves(similarity), "h long, template string, docs long, first long").where(F.col("docs") >= min_docs)
     return alone.select("h", "docs", "first").union(grown.select("h", "docs", "first"))
@@ -95,7 +120,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
     """All columns of docs, text without the dropped lines, and n_lines, n_dropped (names that docs has are replaced)."""
     out = cut(recurring(docs, min_docs, min_tokens, depth, similarity))
-    place = _lines(docs, depth, min_tokens).select("doc_id", "pos", "h")
+    place = _lines(docs, depth, min_tokens).drop("leaf")
     gone = place.join(out.select("h", "first"), "h").where("doc_id != first").groupBy("doc_id").agg(F.collect_set("pos").alias("__gone"))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     names = [*rest, "n_lines", "n_dropped"]
