@@ -305,6 +305,7 @@ def _sweep(i: Index, names: list[str]) -> dict[str, DataFrame]:
     r["answers"] = cut(generate.answers(runs, r["ctx"], r["decided"], cfg, q, c, own, i.vocabulary, terms))
     r["cases"] = cut(_cases(i.spark, i.sf, q))
     r["gold"] = cut(_gold(c, r["cases"]))
+    r["own"], r["asked"] = own, asked
     r["diffs"] = cut(counterfactual.diffs(r["answers"], r["cases"]))
     return r
 
@@ -641,3 +642,66 @@ def rewrite_followups(spark: SparkSession, sf: str) -> DataFrame:
     total = turns.agg(F.count("*").alias("n"))
     weights = df.crossJoin(F.broadcast(total)).select("concept", "df", ingest.idf(F.col("df"), F.col("n")).alias("idf"))
     return stages.rewrite(_followups(spark, sf), voc, weights)
+
+
+@query("tenant_list", "SELECT tenant_id, count(*) AS n_docs, tenant_id = 'tenant_global' AS is_global FROM docs GROUP BY tenant_id", ["docs"])
+def tenant_list(spark: SparkSession, sf: str) -> DataFrame:
+    return S.documents(spark, sf).groupBy("tenant_id").agg(F.count("*").alias("n_docs")).withColumn("is_global", F.col("tenant_id") == S.GLOBAL)
+
+
+@_swept("trace_totals", "SELECT config_id, count(*) AS runs, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(greatest(1, length(answer) // 4)) AS BIGINT) AS tokens_out, count_if(tokens_in > 0) AS calls FROM ans JOIN (SELECT c.config_id, q.query_id, coalesce(sum(CASE WHEN text IS NOT NULL THEN greatest(1, length(text) // 4) END), 0) AS tokens_in FROM configs c, questions q LEFT JOIN ctx x ON x.config_id = c.config_id AND x.query_id = q.query_id LEFT JOIN chunks k ON k.chunk_id = x.chunk_id GROUP BY ALL) USING (config_id, query_id) GROUP BY config_id", ["ans", "configs", "questions", "ctx", "chunks"])
+def trace_totals(r: dict[str, DataFrame]) -> DataFrame:
+    """Tokens of the contexts read and of the answers written; a run without context makes no call."""
+    read = r["ctx"].join(r["chunks"].select("chunk_id", T.estimate_tokens("text").alias("t")), "chunk_id").groupBy("config_id", "query_id").agg(F.sum("t").alias("t"))
+    j = r["answers"].join(read, ["config_id", "query_id"], "left").withColumn("t", F.coalesce("t", F.lit(0)))
+    return j.groupBy("config_id").agg(F.count("*").alias("runs"), F.sum("t").alias("tokens_in"), F.sum(T.estimate_tokens("answer").cast("long")).alias("tokens_out"), F.count_if(F.col("t") > 0).alias("calls"))
+
+
+@_swept("missing_concepts", f"SELECT query_id, config_id, array_to_string(list_sort(list_filter(asked, lambda c: NOT list_contains(held, c))), ' ') AS missing FROM (SELECT a.query_id, v.config_id, a.asked, coalesce(h.held, []) AS held FROM (SELECT query_id, list_distinct(list(concept)) AS asked FROM asked GROUP BY query_id) a, configs v LEFT JOIN (SELECT config_id, query_id, list_distinct(list(concept)) AS held FROM ctx JOIN own USING (chunk_id) GROUP BY ALL) h ON h.query_id = a.query_id AND h.config_id = v.config_id)", ["asked", "configs", "ctx", "own"])
+def missing_concepts(r: dict[str, DataFrame]) -> DataFrame:
+    """What a question asks and its context doesn't say."""
+    held = r["ctx"].join(r["own"].select("chunk_id", "concept"), "chunk_id").select("config_id", "query_id", "concept").distinct()
+    grid = r["asked"].select("query_id", "concept").crossJoin(F.broadcast(r["configs"].select("config_id")))
+    gone = grid.join(held, ["config_id", "query_id", "concept"], "left_anti").groupBy("config_id", "query_id").agg(F.array_join(F.sort_array(F.collect_set("concept")), " ").alias("missing"))
+    return grid.select("config_id", "query_id").distinct().join(gone, ["config_id", "query_id"], "left").select("config_id", "query_id", F.coalesce("missing", F.lit("")).alias("missing"))
+
+
+@query("embedding_browse", "SELECT query_id, round_even(max(score), 6) AS most, list_sort(list(score))[count(*) // 2 + 1] AS middle, min(score) AS least, count(*) AS n FROM s GROUP BY query_id", ["s"], {"s": (f"SELECT q.vec_id AS query_id, round_even({_DOT.format('v.embedding', 'q.embedding')} / (sqrt({_DOT.format('v.embedding', 'v.embedding')}) * sqrt({_DOT.format('q.embedding', 'q.embedding')})), 6) AS score FROM embeddings v JOIN embeddings q ON v.label = q.label WHERE q.vec_id % 50 = 0", [])})
+def embedding_browse(spark: SparkSession, sf: str) -> DataFrame:
+    """The spread of all scores in a query's scope; the middle one is the upper median."""
+    v = S.table(spark, sf, "embeddings")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
+    scored = v.join(q, "label").select("query_id", "vec_id", T.cosine("embedding", "q").alias("score"))
+    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+    return ranked.groupBy("query_id").agg(F.max("score").alias("most"), F.max(F.when(F.col("r") == F.floor(F.col("n") / 2), F.col("score"))).alias("middle"), F.min("score").alias("least"), F.count("*").alias("n"))
+
+
+@query("signal_separation", "SELECT signal, round_even(list_sort(list(score) FILTER (answerable))[CAST(round_even(0.1 * (count(*) FILTER (answerable) - 1), 0) AS INTEGER) + 1] - list_sort(list(score) FILTER (NOT answerable))[CAST(round_even(0.9 * (count(*) FILTER (NOT answerable) - 1), 0) AS INTEGER) + 1], 4) AS separation FROM sc GROUP BY signal", ["sc"], _cfg("baseline") | {"tops": ("SELECT 'lexical_top1' AS signal, query_id, max(score) AS top FROM lex_leg GROUP BY query_id UNION ALL SELECT 'dense_top1', query_id, max(score) FROM sem_leg GROUP BY query_id UNION ALL SELECT 'fused_top1', query_id, max(fused_score) FROM cand GROUP BY query_id", ["lex_leg", "sem_leg", "cand"]), "sc": ("SELECT s.signal, kind = 'answerable' AS answerable, coalesce(top, 0.0) AS score FROM questions q CROSS JOIN (SELECT DISTINCT signal FROM tops) s LEFT JOIN tops t ON t.signal = s.signal AND t.query_id = q.query_id", ["questions", "tops"])})
+def signal_separation(spark: SparkSession, sf: str) -> DataFrame:
+    """For each gate signal, the 10th percentile of answerable questions less the 90th of the others."""
+    r = _run(Index.of(spark, sf), ["baseline"])
+    c = r["cand"]
+    top = c.groupBy("query_id").agg(F.max("lexical_score").alias("lexical_top1"), F.max("semantic_score").alias("dense_top1"), F.max("fused_score").alias("fused_top1"))
+    j = r["questions"].select("query_id", "kind").join(top, "query_id", "left")
+    names = ["lexical_top1", "dense_top1", "fused_top1"]
+    long = j.select("kind", F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), F.coalesce(n, F.lit(0.0)).alias("score")) for n in names])).alias("s")).select((F.col("kind") == "answerable").alias("answerable"), "s.signal", "s.score")
+    low = calibrate.nearest_rank(long.where("answerable"), "signal", "score", [0.1]).select("signal", "p10")
+    high = calibrate.nearest_rank(long.where("not answerable"), "signal", "score", [0.9]).select("signal", "p90")
+    return low.join(high, "signal").select("signal", F.bround(F.col("p10") - F.col("p90"), 4).alias("separation"))
+
+
+@_swept("trap_verdicts", "SELECT query_id, config_id, CASE WHEN NOT problem THEN 'ok' WHEN flagged THEN 'wrong_flagged' ELSE 'wrong_confident' END AS verdict, CASE WHEN NOT problem THEN 0 WHEN flagged THEN 2 ELSE 3 END AS severity FROM (SELECT query_id, config_id, flagged, (kind = 'out_of_scope' AND NOT flagged) OR (kind = 'answerable' AND NOT contains(lower(answer), lower(answer_key)) AND NOT flagged) OR contains(lower(answer), 'lorem') AS problem FROM marked JOIN cases USING (query_id))", ["marked", "cases"])
+def trap_verdicts(r: dict[str, DataFrame]) -> DataFrame:
+    """Traps: out-of-scope questions must not be answered flatly, others must show their key, and none a word that must not appear."""
+    flagged = (F.col("status") == "refused") | F.col("hedged")
+    j = r["answers"].join(r["cases"], "query_id").withColumn("flagged", flagged)
+    shown = F.contains(F.lower("answer"), F.lower("answer_key"))
+    problem = ((F.col("kind") == "out_of_scope") & ~flagged) | ((F.col("kind") == "answerable") & ~shown & ~flagged) | F.contains(F.lower("answer"), F.lit("lorem"))
+    return j.select("query_id", "config_id", F.when(~problem, "ok").when(F.col("flagged"), "wrong_flagged").otherwise("wrong_confident").alias("verdict"), F.when(~problem, 0).when(F.col("flagged"), 2).otherwise(3).alias("severity"))
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, round_even(sum(value), 6) AS total FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaming extension's tumbling windows, as a batch."""
+    e = S.table(spark, sf, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.bround(F.sum("value"), 6).alias("total"))
+    return e.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
