@@ -346,6 +346,25 @@ def test_repeated_rows(spark):
     assert line_templates.drop_recurring(docs).count() == 4
 
 
+def test_rows_without_id(spark, tmp_path):
+    ship(spark)
+    text = "the same words of the text again and then some more of them " * 9
+    docs = spark.createDataFrame([(None, text, "", 0), (None, None, "", 0), (4, text, "", 0)], KINDS)
+    items = spark.createDataFrame([(1, text), (None, "x"), (2, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(None, 1, 0), (4, 1, None)], "doc_id long, quality int, toxic int")
+    assert [r.doc_id for r in spotsigs.fingerprints(docs).collect()] == [4]
+    assert [r.component_id for r in ngram_join.link_components(docs).collect()] == [4]
+    assert [r.n_removed for r in rlz.dedup_substrings(docs).collect()] == [0]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_pack.digest(token_pack.read_documents(token_pack.write_files(docs, path, f"file://{tmp_path}/n"))).count() == 1
+    assert secrets.findings(*secrets.scan(docs)).count() == 3
+    assert quality_pu.predict(docs, labels).count() == 3
+    assert bpe_automaton.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 3
+    assert line_templates.drop_recurring(docs).count() == 3
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == {(4, 1)}
+    assert decontaminate.clean(docs, items).count() == 2
+
+
 def test_native_operators_run_no_python(spark, docs):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     for out in (spotsigs.fingerprints(docs), spotsigs.near_pairs(docs), decontaminate.contaminated(docs, items)):

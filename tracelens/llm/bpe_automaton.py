@@ -14,7 +14,7 @@ Pre-split words are encoded from left to right: from each reached position, the
 trie, and those with a transition from the state there reach their ends. One arc reaches each position, so the word's path
 is read back from its end. Decoding emits the labels of the arcs.
 
-Null or empty text: no ids, and the empty text decoded. Extra columns are ignored.
+Null or empty text: no ids, and the empty text decoded. Null ids of rows pass through. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ by exact containment over all shingles of the item.
 
 The benchmark's sketches are broadcast while they are under `broadcast_rows` rows, which is checked; beyond that the same
 join is shuffled. Document shingles are only streamed past it. Null or empty texts match nothing; equal items are found
-under each of their ids, and equal documents each with them. Extra columns are ignored.
+under each of their ids, and equal documents each with them. Rows without doc_id match nothing. Extra columns are ignored.
 """
 
 from __future__ import annotations

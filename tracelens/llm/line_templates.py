@@ -8,7 +8,8 @@ of its different lines. Lines of a recurring template go from every document but
 
 Equal lines are counted before anything is dealt by leaf, so a leaf holds different lines only; leaves that can't recur, and
 those with one line, are settled without being gathered. Lines under `min_tokens` tokens stay. A text whose lines all go
-becomes empty. Null text: no lines, stays null. Rows are independent: extra columns are kept, doc_id repeats are one document.
+becomes empty. Null text: no lines, stays null. Rows are independent: extra columns are kept, doc_id repeats are one document;
+rows without doc_id keep their lines and don't count.
 """
 
 from __future__ import annotations

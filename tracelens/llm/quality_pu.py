@@ -10,7 +10,7 @@ and doc_id are never inputs of a score. The fit uses at most `most_positive` pos
 documents, those of least hash; scoring covers every whole text and needs no shuffle.
 
 Null or empty text: all statistics are 0, scored like any other text. No labels: every score is 0.5. Equal texts get equal
-scores. Extra columns are ignored.
+scores. Rows without doc_id are scored, not learnt from. Extra columns are ignored.
 """
 
 from __future__ import annotations

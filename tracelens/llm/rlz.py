@@ -12,7 +12,8 @@ it. Owners, not copies, are told (one row for each different window), so no key
 the result doesn't depend on how documents are dealt out.
 
 Null or empty text: no words, nothing removed. Texts of under `window` words lose nothing. Equal rows: the row of least
-doc_id keeps its words. Repeats inside one document stay. Extra columns are ignored.
+doc_id keeps its words. Repeats inside one document stay. Rows without doc_id are left out.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def _parse(window: int, gram: int):
 
 def dedup_substrings(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFrame:
     """doc_id, n_words, n_removed, n_factors, kept: the words that no duplicate span covers, joined by one space."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
     blocks = docs.mapInArrow(_blocks(window, gram), "block long, doc_id long")
     alone = blocks.groupBy("block").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("most")).where("doc_id = most").groupBy("doc_id").agg(F.collect_list("block").alias("alone"))
     with_alone = docs.join(alone, "doc_id", "left").select("doc_id", "text", "alone")

@@ -6,7 +6,7 @@ many paths or versions carry it, and findings are joined back to every path. New
 for those rules alone; unchanged history costs a join.
 
 Null or empty text is the empty blob, without findings. Very long texts are scanned whole. Equal rows each get the findings
-of their blob. Extra columns are ignored.
+of their blob; a blob that only rows without doc_id have is not scanned. Extra columns are ignored.
 """
 
 from __future__ import annotations

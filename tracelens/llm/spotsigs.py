@@ -12,7 +12,7 @@ over a shared signature of their prefixes.
 A document's neighbour (the next doc_id, the first after the last) is found inside id ranges; each range also gets a copy of
 the first row of the next one, so texts are dealt out once and no window spans more than a range. Null or empty text: empty
 fingerprint, likeness 1 to another empty one and 0 to any other. Equal texts have equal fingerprints. With one document, it
-is its own neighbour. Rows with equal doc_id follow each other by text. Extra columns are ignored.
+is its own neighbour. Rows with equal doc_id follow each other by text; rows without one are left out. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def with_next(docs: DataFrame, column: str) -> DataFrame:
 def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     """doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next, set_size from docs(doc_id, text)."""
     # only texts are dealt out: signatures are computed again where they are needed
-    paired = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text")
+    paired = with_next(docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     paired = paired.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half)))

@@ -9,7 +9,7 @@ ends u64[documents] (ids up to and with each document's last); u64 block offsets
 
 Files are written into a folder that driver and executors share, under a name of their own, and then renamed: a task that
 runs twice leaves one whole file. Null or empty texts hold the end id alone. No documents: no files. doc_id is taken to be
-unique; repeated ids are kept as rows of their own, in unspecified order among themselves. Extra columns are ignored.
+unique; repeated ids are kept as rows of their own, in unspecified order among themselves; rows without one are left out. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -199,7 +199,7 @@ def write_files(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int |
             close()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["file", "range_id", "n_docs", "n_ids"])
 
-    ranged = with_range(docs.select("doc_id", "text"), "doc_id", rows_per_file)
+    ranged = with_range(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", rows_per_file)
     dealt = ranged.repartition("range_id").sortWithinPartitions("range_id", "doc_id")
     files = dealt.mapInArrow(run, "file string, range_id long, n_docs long, n_ids long").toPandas().sort_values("range_id")
     starts = files["n_ids"].cumsum() - files["n_ids"]
