@@ -82,6 +82,16 @@ def test_join_components(docs, rows, limits):
     assert len({find(i) for i in ids}) < len(ids) - 20
 
 
+def test_equal_sets_fall_together_across_batches(spark):
+    ship(spark)
+    text = "one two three four five six seven eight"
+    many = [(i, f"{text} {i}") for i in range(200)] + [(500, text)]
+    few = [(900, text.upper()), (901, "other words")]
+    docs = spark.createDataFrame(many, "doc_id long, text string").coalesce(1).union(spark.createDataFrame(few, "doc_id long, text string").coalesce(1))
+    got = {r.doc_id: r.class_id for r in ngram_join.link_components(docs).collect()}
+    assert got[900] == got[500] == 500 and got[901] == 901
+
+
 def test_signatures_of_linked_sets_meet():
     rng = random.Random(1)
     for _ in range(300):
