@@ -74,3 +74,30 @@ def drift(now: DataFrame, snapshot: DataFrame, tolerance: float = 8.0) -> DataFr
     share = lambda df, name: df.withColumn(name, 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("config_id"))).select("config_id", "outcome", name)
     j = share(now, "is").join(share(snapshot, "was"), ["config_id", "outcome"], "full").na.fill(0.0, ["is", "was"])
     return j.withColumn("moved", F.bround(F.col("is") - F.col("was"), 6)).where(F.abs("moved") > tolerance).select("config_id", "outcome", "moved")
+
+
+def explain(deltas: DataFrame, diagnosis: DataFrame) -> DataFrame:
+    """config_id, query_id, why: in words, what happened to the baseline's context; deltas from rank_delta."""
+    per = deltas.groupBy("config_id", "query_id").agg(F.count_if(F.col("rank_delta") == 999).alias("gone"), F.count_if((F.col("rank_delta") > 0) & (F.col("rank_delta") < 999)).alias("fell"), F.count_if(F.col("rank_delta") < 0).alias("rose"), F.count_if(F.col("rank_delta") == 0).alias("held"))
+    j = diagnosis.join(per, ["config_id", "query_id"], "left")
+    moves = F.concat_ws(", ", *[F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {c}"))) for c in ("gone", "fell", "rose", "held")])
+    return j.select("config_id", "query_id", F.concat(F.col("diagnosis"), F.lit(": "), F.when(moves == "", "no candidates").otherwise(moves)).alias("why"))
+
+
+def worked_example(d: DataFrame, deltas: DataFrame) -> DataFrame:
+    """The one run to show: of the variant with most confidently wrong answers, the question that lost most of its context."""
+    wrong = d.where("outcome = 'now_confident_wrong'")
+    top = wrong.groupBy("config_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "config_id").limit(1)
+    lost = deltas.groupBy("config_id", "query_id").agg(F.count_if(F.col("rank_delta") != 0).alias("moved"))
+    return wrong.join(top.select("config_id"), "config_id").join(lost, ["config_id", "query_id"], "left").orderBy(F.desc_nulls_last("moved"), "query_id").limit(1)
+
+
+def derived_labels(answered: DataFrame, cases: DataFrame) -> DataFrame:
+    """query_id, config_id, label for the judge's calibration: from ground truth, for pairs whose texts differ."""
+    right = F.coalesce(F.contains(F.lower("answer"), F.lower("answer_key")), F.lit(False))
+    a = answered.join(cases.where("kind = 'answerable'").select("query_id", "answer_key"), "query_id").select("config_id", "query_id", "answer", (F.col("status") == "refused").alias("declined"), right.alias("ok"))
+    b = a.where("config_id = 'baseline'").select("query_id", *[F.col(c).alias(f"b_{c}") for c in ("answer", "declined", "ok")])
+    j = a.where("config_id != 'baseline'").join(b, "query_id").where("answer != b_answer")
+    loser = F.when(F.col("ok"), F.col("b_declined")).otherwise(F.col("declined"))
+    label = F.when(F.col("ok") & F.col("b_ok"), "equivalent").when(F.col("ok") != F.col("b_ok"), F.when(loser, "degraded").otherwise("contradictory")).otherwise("degraded")
+    return j.select("query_id", "config_id", label.alias("label"))

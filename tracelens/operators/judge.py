@@ -73,3 +73,8 @@ def latest(events: DataFrame, by: list[str], order: list[str], columns: list[str
 
 def share_of_slowest(stages: DataFrame, run: str, ms: str) -> DataFrame:
     return stages.withColumn("share", F.bround(F.col(ms) / F.max(ms).over(Window.partitionBy(run)), 6))
+
+
+def two_way(forward: Column, backward: Column) -> Column:
+    """A directional judge asked in both orders: its verdict where both agree, else unstable."""
+    return F.when(forward == backward, forward).otherwise("unstable")

@@ -705,3 +705,13 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The streaming extension's tumbling windows, as a batch."""
     e = S.table(spark, sf, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.bround(F.sum("value"), 6).alias("total"))
     return e.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
+
+
+@_swept("derived_labels", "SELECT v.query_id, v.config_id, CASE WHEN v.ok AND b.ok THEN 'equivalent' WHEN v.ok <> b.ok THEN CASE WHEN CASE WHEN v.ok THEN b.refused ELSE v.refused END THEN 'degraded' ELSE 'contradictory' END ELSE 'degraded' END AS label FROM marked v JOIN marked b ON b.query_id = v.query_id AND b.config_id = 'baseline' JOIN cases c ON c.query_id = v.query_id WHERE v.config_id <> 'baseline' AND kind = 'answerable' AND v.answer <> b.answer", ["marked", "cases"])
+def derived_labels(r: dict[str, DataFrame]) -> DataFrame:
+    return counterfactual.derived_labels(r["answers"], r["cases"])
+
+
+@_swept("movement_explained", "SELECT d.config_id, d.query_id, diagnosis || ': ' || CASE WHEN coalesce(moves, '') = '' THEN 'no candidates' ELSE moves END AS why FROM (SELECT config_id, query_id, CASE WHEN b = v THEN 'same' WHEN list_sort(b) = list_sort(v) THEN 'reordered' WHEN bg = 1 AND vg = 0 THEN 'gold lost' WHEN bg = 0 AND vg = 1 THEN 'gold gained' ELSE 'set changed' END AS diagnosis FROM dg) d LEFT JOIN (SELECT config_id, query_id, concat_ws(', ', CASE WHEN count_if(x = 999) > 0 THEN count_if(x = 999) || ' gone' END, CASE WHEN count_if(x > 0 AND x < 999) > 0 THEN count_if(x > 0 AND x < 999) || ' fell' END, CASE WHEN count_if(x < 0) > 0 THEN count_if(x < 0) || ' rose' END, CASE WHEN count_if(x = 0) > 0 THEN count_if(x = 0) || ' held' END) AS moves FROM (SELECT v.config_id, b.query_id, coalesce(c.fused_rank - w.fused_rank, 999) AS x FROM ctx b JOIN cand w ON w.config_id = 'baseline' AND w.query_id = b.query_id AND w.chunk_id = b.chunk_id JOIN (SELECT config_id FROM configs WHERE config_id <> 'baseline') v ON true LEFT JOIN cand c ON c.config_id = v.config_id AND c.query_id = b.query_id AND c.chunk_id = b.chunk_id WHERE b.config_id = 'baseline') GROUP BY ALL) m ON m.config_id = d.config_id AND m.query_id = d.query_id", ["dg", "ctx", "cand", "configs"], _DIAG)
+def movement_explained(r: dict[str, DataFrame]) -> DataFrame:
+    return counterfactual.explain(counterfactual.rank_delta(r["ctx"], r["cand"]), counterfactual.context_diagnosis(r["ctx"], r["gold"]))
