@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,8 +40,13 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed now and kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files behind it once its driver's objects are collected
+    return out
 
 
 def with_range(df: DataFrame, key: str, rows_per_range: int = 256, most: int = 65536, name: str = "range_id") -> DataFrame:

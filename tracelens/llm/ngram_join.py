@@ -12,11 +12,12 @@ nothing). Two link when 100 * intersection >= threshold * union.
    whose members are indexed in combinations of two: with r = tau + 1 - (what came before) and g groups, the first r + g
    frequent shingles of a document hold g + 1 shared ones, so two of them in the same one of g hash groups. g follows the
    set's size (two neighbouring powers of two are indexed), which keeps the combinations in proportion to the text.
-4. Documents with a common signature are candidates, verified by exact intersection of the shared shingles. Short lists
-   are paired whole. In long ones pivots are compared with the list's other components, until each list is in one component
-   or each pair across components is decided: components stay exact, and a group of near copies costs no square.
+4. Documents with a common signature are candidates, verified by exact intersection of the shared shingles. Three times,
+   each document is compared with the two hubs of its lists that it shares most lists with; that joins up groups of near
+   copies at a cost that follows their size. Then pivots are compared with the list's other components, until each list is
+   in one component or each pair across components is decided: components stay exact.
 
-Null or empty text has n_shingles 0 and is its own component. Extra columns are ignored.
+Null or empty text has n_shingles 0 and is its own component. Rows without doc_id are left out. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,43 +27,41 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, slices
 from .components import components
 from .wordhash import Grams, U, gram_starts, mix, words
 
-#: Shingles that a hash range holds, on average; the most documents in which a shingle counts as rare; the longest list
-#: that is paired whole; pivots of a longer list in a round.
-RANGE_SHINGLES, RARE, WHOLE, PIVOTS = 1 << 18, 32, 48, 32
-_LOW48 = U((1 << 48) - 1)
+#: Shingles that a hash range holds, on average; the most documents in which a shingle counts as rare; pivots of a list in
+#: a round.
+RANGE_SHINGLES, RARE, PIVOTS = 1 << 20, 32, 64
 
 
 def shingle_sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, and how many each row has."""
+    """Distinct shingle hashes (the leading bits that fit beside the row's number, 48 at least), and how many each row has."""
     w = words(part.column("text"), lower=True)
     g, n = Grams(w.hash), np.diff(w.first)
     at = gram_starts(w.first, k)
     short = np.flatnonzero((n > 0) & (n < k))
     hashes = np.concatenate([g.of(at, at + k), g.of(w.first[short], w.first[short + 1])])
-    doc = np.concatenate([w.doc[at], short])
-    order = np.lexsort((hashes, doc))
-    hashes, doc = hashes[order], doc[order]
-    new = np.ones(len(doc), dtype=bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-    return hashes[new], np.bincount(doc[new], minlength=len(part))
+    doc = np.concatenate([w.doc[at], short]).astype(U)
+    bits = 64 - max(1, len(part).bit_length())
+    key = np.sort((doc << U(bits)) | (hashes >> U(64 - bits)))
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    return key << U(64 - bits), np.bincount((key >> U(bits)).astype(np.int64), minlength=len(part))
 
 
 def _classes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 h, n = shingle_sets(part, k)
                 at = np.concatenate([[0], np.cumsum(n)])
                 sums = []
                 for salt in (U(0), U(0x2545F4914F6CDD1D)):
-                    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(h + salt), dtype=U)])
+                    total = np.concatenate([np.zeros(1, U), np.cumsum(mix((h >> U(16)) + salt), dtype=U)])
                     sums.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 sums[0] = np.where(n == 0, ids, sums[0])  # empty sets are in no class together
@@ -85,10 +84,10 @@ def _from_planes(data: memoryview, n: int, width: int) -> np.ndarray:
 def _packed(k: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 h, n = shingle_sets(part, k)
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                h, ids = h & _LOW48, np.repeat(ids, n)
+                h, ids = h >> U(16), np.repeat(ids, n)
                 order = np.argsort(h, kind="stable")
                 h, ids = h[order], ids[order]
                 where = ((h >> U(24)) * U(ranges)) >> U(24)
@@ -105,20 +104,24 @@ def _packed(k: int, ranges: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by range; of one range at a time: shingles that two documents or more have, with each document."""
+    """Rows come sorted by range; of one range at a time: shingles that two documents or more have, with each document.
+
+    A shingle is given as its rank: how many documents have it (32767 at most) in the high bits, its hash in the low 48."""
     held: list[tuple] = []
     now = None
 
     def counted() -> pa.RecordBatch:
         token = np.concatenate([_from_planes(p, n, 6) for n, _, _, p in held])
         doc = np.concatenate([_from_planes(memoryview(p)[6 * n :], n, w).view(np.int64) + b for n, b, w, p in held])
+        held.clear()
         order = np.argsort(token, kind="stable")
         token, doc = token[order], doc[order]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         df = np.diff(np.append(starts, len(token)))
         df = np.repeat(df, df)
         many = df > 1
-        return pa.RecordBatch.from_arrays([pa.array(doc[many]), pa.array(token[many].view(np.int64)), pa.array(df[many].astype(np.int64))], ["doc_id", "token", "df"])
+        ranked = ((np.minimum(df, 0x7FFF).astype(U) << U(48)) | token)[many].view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(doc[many]), pa.array(ranked)], ["doc_id", "ranked"])
 
     for batch in batches:
         for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -134,21 +137,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def groups_of(n: int) -> tuple[int, int]:
     """The two group counts under which a set of n shingles indexes its combinations; sets that can link share one."""
     size = n.bit_length()
-    return max(1, (1 << size) // 64), max(1, (1 << (size + 1)) // 64)
+    return max(1, (1 << size) // 16), max(1, (1 << (size + 1)) // 16)
 
 
-def signatures(n: int, df: np.ndarray, token: np.ndarray, threshold: int, rare: int) -> np.ndarray:
-    """Signatures of a set of n shingles, of which those in df and token are shared with other documents."""
+def signatures(n: int, ranked: np.ndarray, threshold: int, rare: int) -> np.ndarray:
+    """Signatures of a set of n shingles, of which those in ranked are shared with other documents."""
     tau = n - (n * threshold + 99) // 100
-    need = tau + 1 - (n - len(token))
+    need = tau + 1 - (n - len(ranked))
     if need <= 0:
         return np.zeros(0, U)
-    order = np.lexsort((token, df))
-    df, token = df[order], token[order].view(U)
-    single = token[df <= rare][:need]
+    ranked = np.sort(ranked.view(U))
+    split = int(np.searchsorted(ranked, U(rare + 1) << U(48)))
+    single = ranked[:split][:need]
     need -= len(single)
     out = [mix(single)]
-    common = token[df > rare]
+    common = ranked[split:]
     for g in sorted(set(groups_of(n))) if need > 0 and len(common) else ():
         prefix = common[: need + g]
         group = mix(prefix + U(7)) % U(g)
@@ -160,70 +163,118 @@ def signatures(n: int, df: np.ndarray, token: np.ndarray, threshold: int, rare:
     return np.unique(np.concatenate(out))
 
 
+SKETCH = ("k0", "k1", "k2", "k3")
+
+
+def sketch(ranked: np.ndarray) -> np.ndarray:
+    """256 parity bits of a set: two sets' sketches differ in no more bits than the sets differ in members."""
+    at = mix(ranked.view(U) + U(11)) >> U(56)
+    bits = U(1) << (at & U(63))
+    return np.array([np.bitwise_xor.reduce(bits[(at >> U(6)) == U(w)], initial=U(0)) for w in range(4)], dtype=U)
+
+
 def _signed(threshold: int, rare: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sigs = [], []
-            df, token = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("df", "token"))
-            at = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(batch.column("df")).to_numpy(zero_copy_only=False))])
-            for i, (doc, n) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("n_shingles").to_pylist(), strict=True)):
-                s = signatures(n, df[at[i] : at[i + 1]], token[at[i] : at[i + 1]], threshold, rare)
-                if len(s):
-                    ids.append(np.full(len(s), doc, dtype=np.int64))
-                    sigs.append(s.view(np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], ["sig", "doc_id"])
+            ranked = batch.column("ranked").flatten().to_numpy(zero_copy_only=False)
+            size = pa.compute.list_value_length(batch.column("ranked")).to_numpy(zero_copy_only=False)
+            at = np.concatenate([[0], np.cumsum(size)])
+            sizes = batch.column("n_shingles").to_pylist()
+            sigs = [signatures(n, ranked[at[i] : at[i + 1]], threshold, rare) for i, n in enumerate(sizes)]
+            each = [len(x) for x in sigs]
+            kept = np.array([sketch(ranked[at[i] : at[i + 1]]) if each[i] else np.zeros(4, U) for i in range(len(sizes))], dtype=U).reshape(-1, 4).view(np.int64)
+            n = np.array(sizes, dtype=np.int64)
+            columns = {"doc_id": batch.column("doc_id").to_numpy(zero_copy_only=False), "n": n, "alone": n - size} | {c: np.ascontiguousarray(kept[:, j]) for j, c in enumerate(SKETCH)}
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sigs, np.zeros(0, U)]).view(np.int64)), *[pa.array(np.repeat(c, each)) for c in columns.values()]], ["sig", *columns])
 
     return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    a = sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("tokens").alias("t_a"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("tokens").alias("t_b"))
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b")), "b")
-    fit = joined.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold).select("a", "b")
-    both = fit.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("t_a", "t_b")))
-    return both.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * threshold).select("a", "b")
+    """Of pairs(a, b, ...) with equal or near sizes, those that link."""
+    a = sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("ranked").alias("t_a"))
+    b = sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("ranked").alias("t_b"))
+    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("t_a", "t_b")))
+    return both.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * threshold).drop("n_a", "n_b", "t_a", "t_b", "common")
+
+
+#: What a row of a list carries about its document.
+ABOUT = ("n", "alone", *SKETCH)
+
 
+def _fit(threshold: int, other: str):
+    """Whether a row's document can link with the one in the struct column `other`: by size, and by how many members the two
+    sets differ in at least (those that only one document has, and the sketches' differing bits)."""
+    x, y = F.col, lambda c: F.col(f"{other}.{c}")
+    size = F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * threshold
+    apart = x("alone") + y("alone")
+    for c in SKETCH:
+        apart = apart + F.bit_count(x(c).bitwiseXOR(y(c)))
+    return size & (apart * (100 + threshold) <= (x("n") + y("n")) * (100 - threshold))
 
-def link_components(docs: DataFrame, threshold: int = 75, k: int = 5, rare: int = RARE, whole: int = WHOLE, pivots: int = PIVOTS, range_shingles: int = RANGE_SHINGLES) -> DataFrame:
+
+def _open(label: DataFrame) -> DataFrame:
+    """The rows of lists that are in more than one component."""
+    many = label.groupBy("sig").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x != y").select("sig")
+    return label.join(many, "sig", "left_semi")
+
+
+def _proposals(label: DataFrame, threshold: int, partners: int = 2) -> DataFrame:
+    """a, b, of_a, of_b: for each document the partners in other components with which it shares most lists, among the lists'
+    hubs; a list's hub is its member with fewest shingles of its own, so the least edited of a group of copies. In number these
+    pairs follow the documents, not the lists."""
+    hubs = label.groupBy("sig").agg(F.min(F.struct("alone", "doc_id", "n", *SKETCH, "of")).alias("hub"))
+    near = label.join(hubs, "sig").where((F.col("of") != F.col("hub.of")) & _fit(threshold, "hub"))
+    near = near.groupBy(F.col("doc_id").alias("a"), F.col("of").alias("of_a"), F.col("hub.doc_id").alias("b"), F.col("hub.of").alias("of_b")).agg(F.count("*").alias("lists"))
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("lists"), "b"))).where(F.col("r") <= partners)
+    return best.select("a", "b", "of_a", "of_b")
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found with the components that the links join up as single nodes, so the graph shrinks from round to round."""
+    step = components(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    moved = found.join(step.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return cut(moved.union(step.join(found, "node", "left_anti").select("node", "component")))
+
+
+def link_components(docs: DataFrame, threshold: int = 75, k: int = 5, rare: int = RARE, pivots: int = PIVOTS, range_shingles: int = RANGE_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (least doc_id with the same set), from docs(doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
     each = cut(docs.mapInArrow(_classes(k), "doc_id long, n_shingles long, h1 long, h2 long"))
     classes = cut(each.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id")))
     total = each.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(1, -(-total // range_shingles))
     packed = docs.mapInArrow(_packed(k, ranges), "range long, n long, base long, width int, payload binary")
-    shared = packed.repartition(min(ranges, 100_000), "range").sortWithinPartitions("range").mapInArrow(_shared, "doc_id long, token long, df long")
+    shared = packed.repartition(min(ranges, 100_000), "range").sortWithinPartitions("range").mapInArrow(_shared, "doc_id long, ranked long")
     reps = classes.where("n_shingles > 0").select(F.col("class_id").alias("doc_id"), "n_shingles")
-    lists = shared.groupBy("doc_id").agg(F.collect_list(F.struct("token", "df")).alias("s"))
-    sets = cut(reps.join(lists, "doc_id").select("doc_id", "n_shingles", F.col("s.token").alias("tokens"), F.col("s.df").alias("df")))
-    signed = sets.select("doc_id", "n_shingles", F.col("tokens").alias("token"), "df").mapInArrow(_signed(threshold, rare), "sig long, doc_id long")
-    sized = signed.groupBy("sig").agg(F.count("*").alias("size"), F.min("doc_id").alias("least")).where("size > 1")
-    listed = cut(signed.join(sized, "sig").select("sig", "doc_id", "size", "least"))
-    short = listed.where(F.col("size") <= whole)
-    pairs = short.select("sig", F.col("doc_id").alias("a")).join(short.select("sig", F.col("doc_id").alias("b")), "sig").where("a < b")
-    stars = listed.where((F.col("size") > whole) & (F.col("doc_id") > F.col("least"))).select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    edges = cut(_verified(pairs.select("a", "b").union(stars).distinct(), sets, threshold))
-    long = listed.where((F.col("size") > whole) & (F.col("doc_id") > F.col("least"))).select("sig", "doc_id")
-    found = cut(components(edges))
-    done: DataFrame | None = None
+    lists = shared.groupBy("doc_id").agg(F.collect_list("ranked").alias("ranked"))
+    sets = cut(reps.join(lists, "doc_id").select("doc_id", "n_shingles", "ranked"))
+    signed = sets.mapInArrow(_signed(threshold, rare), "sig long, doc_id long, " + ", ".join(f"{c} long" for c in ABOUT))
+    sized = signed.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
+    label = cut(signed.join(sized, "sig").select("sig", "doc_id", *ABOUT, F.col("doc_id").alias("of")))
+    sets = cut(sets.join(label.select("doc_id").distinct(), "doc_id", "left_semi"))  # the others have no candidates
+    found = components(_verified(_proposals(label, threshold), sets, threshold))
+    for again in (1, 2, 0):
+        label = cut(_open(label.join(found.withColumnRenamed("node", "of"), "of", "left").select("sig", "doc_id", *ABOUT, F.coalesce("component", "of").alias("of"))))
+        if not again or label.isEmpty():
+            break
+        found = _joined(found, _verified(_proposals(label, threshold), sets, threshold))
     while True:  # a round decides each pair of some pivots with the rest of their lists; pivots then leave the lists
-        label = long.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        label = label if done is None else label.join(done, ["sig", "doc_id"], "left_anti")
-        label = cut(label)
-        parts = label.groupBy("sig", "component").agg(F.count("*").alias("members"))
-        many = parts.groupBy("sig").agg(F.count("*").alias("parts"), F.max(F.struct("members", "component")).alias("largest")).where("parts > 1")
-        open_ = cut(label.join(many.select("sig", F.col("largest.component").alias("largest")), "sig"))
-        if open_.isEmpty():
+        parts = label.groupBy("sig", "of").agg(F.count("*").alias("members"))
+        many = parts.groupBy("sig").agg(F.count("*").alias("parts"), F.sum("members").alias("all"), F.max(F.struct("members", "of")).alias("largest")).where("parts > 1")
+        many = many.select("sig", F.col("largest.of").alias("largest"), (F.col("all") - F.col("largest.members")).alias("outside"))
+        label = cut(label.join(many, "sig"))  # lists in one component are done
+        if label.isEmpty():
             break
-        # the pivots: members outside the list's largest component, those of least hash first
-        slot = F.pmod(F.xxhash64("doc_id", "sig"), F.lit(pivots))
-        chosen = cut(open_.where("component != largest").groupBy("sig", slot.alias("slot")).agg(F.min(F.struct("doc_id", "component")).alias("p")).select("sig", F.col("p.doc_id").alias("a"), F.col("p.component").alias("of")))
-        pairs = open_.join(chosen, "sig").where("component != of").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        edges = cut(edges.union(_verified(pairs, sets, threshold)).distinct())
-        found = cut(components(edges))
-        out = chosen.select("sig", F.col("a").alias("doc_id"))
-        done = cut(out if done is None else done.union(out))
+        # the pivots: members outside the largest component, all or some; the same documents in every list they are in
+        slot = F.when(F.col("outside") <= pivots, F.col("doc_id")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(pivots)))
+        chosen = label.where("of != largest").groupBy("sig", slot.alias("slot")).agg(F.min(F.struct("doc_id", *ABOUT, "of")).alias("p"))
+        chosen = cut(chosen.select("sig", "p"))
+        pairs = label.join(chosen, "sig").where((F.col("of") != F.col("p.of")) & _fit(threshold, "p"))
+        a, b = F.struct(F.col("p.doc_id").alias("id"), F.col("p.of").alias("of")), F.struct(F.col("doc_id").alias("id"), "of")
+        pairs = pairs.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct().select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.of").alias("of_a"), F.col("y.of").alias("of_b"))
+        found = _joined(found, _verified(pairs, sets, threshold))
+        label = label.join(chosen.select("sig", F.col("p.doc_id").alias("doc_id")), ["sig", "doc_id"], "left_anti").select("sig", "doc_id", *ABOUT, "of")
+        label = label.join(found.withColumnRenamed("node", "of"), "of", "left").select("sig", "doc_id", *ABOUT, F.coalesce("component", "of").alias("of"))
     named = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("n_shingles", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     return each.join(cut(named), ["n_shingles", "h1", "h2"]).select("doc_id", "n_shingles", "component_id", "class_id")
