@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -81,6 +83,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         held += int(n)
     if start < len(sizes):
         yield batch.slice(start)
+    _trim()
+
+
+def _trim() -> None:
+    """Gives freed memory back to the system: idle Python workers share an executor's memory with the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def texts_of(column: pa.Array) -> list[str]:
