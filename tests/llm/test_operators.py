@@ -293,6 +293,32 @@ def test_leaf_generalises_what_differs():
     assert line_templates.grow(rows, 0.8) == [(1, "by the author <*> under terms", 6, 3), (2, "by the author <*> under terms", 6, 3), (3, "by the author was not a", 1, 1)]
 
 
+@pytest.mark.parametrize("min_docs", [2, 3, 5])
+def test_template_counts_different_documents(spark, min_docs):
+    ship(spark)
+    rng = random.Random(8)
+    names = ["ann", "bob", "cid", "dan", "eve", "flo"]
+    make = lambda: f"list {rng.choice('aaabcd')} entry has one {rng.choice(names)} in it"
+    texts = {i: "\n".join(make() for _ in range(rng.choice([1, 1, 2]))) for i in range(18)}
+    # one document with four of a template's lines, another with one
+    texts |= {20: "\n".join(f"form field with four {n} inside it here" for n in names[:4]), 21: "form field with four eve inside it here\nsome other line"}
+    occurs: dict[str, set] = {}
+    for i, t in texts.items():
+        for x in t.split("\n"):
+            occurs.setdefault(x, set()).add(i)
+    # lines of one leaf here differ in one token of seven or eight, so they share a template
+    groups: dict[tuple, set] = {}
+    for x, who in occurs.items():
+        groups.setdefault((len(x.split()), *x.split()[:3]), set()).update(who)
+    want = {}
+    for i, t in texts.items():
+        of = lambda x: groups[(len(x.split()), *x.split()[:3])]
+        want[i] = "\n".join(x for x in t.split("\n") if len(of(x)) < min_docs or min(of(x)) == i)
+    docs = spark.createDataFrame([(i, t, "", 0) for i, t in texts.items()], KINDS).repartition(3)
+    assert {r.doc_id: r.text for r in line_templates.drop_recurring(docs, min_docs=min_docs).collect()} == want
+    assert (want[21] == texts[21]) == (min_docs > 2) and want != texts
+
+
 def test_quality_learns_without_negatives(spark):
     rng = random.Random(6)
     words = ["the", "of", "house", "river", "walked", "under", "green", "stone", "morning", "slowly", "bright", "paper", "garden"]

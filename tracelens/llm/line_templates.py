@@ -3,8 +3,8 @@
 Fields with digits, addresses and links are variable and stand as <*>. The tree has a fixed depth: a line goes by its token
 count, then by its first `depth` tokens, to a leaf. In a leaf, lines in order of how many documents have them join the
 template most like them (equal tokens in equal places, of all tokens, at least `similarity`), whose differing places become
-<*>, or start one. A template recurs if its lines occur in at least `min_docs` documents, a document counting once for each
-of its different lines. Lines of a recurring template go from every document but the first (least doc_id) that has one.
+<*>, or start one. A template recurs if its lines occur in at least `min_docs` different documents, however many of its lines a
+document has. Lines of a recurring template go from every document but the first (least doc_id) that has one.
 
 Equal lines are counted before anything is dealt by leaf, so a leaf holds different lines only; leaves that can't recur, and
 those with one line, are settled without being gathered. Lines under `min_tokens` tokens stay. A text whose lines all go
@@ -84,10 +84,28 @@ def grow(leaf_lines: list[tuple[int, str, int, int]], similarity: float) -> list
     return [(row[0], " ".join(t[0]), t[1], t[2]) for row, t in zip(leaf_lines, member, strict=True)]
 
 
+def _known(leaf_lines: list[tuple[int, str, int, int]], similarity: float) -> list[tuple[int, int, int, int, int]]:
+    """(h, template, known, most, first) of one leaf's lines: the template's number, documents it has at least and at most, its first.
+
+    known is exact if each line is in one document, its first; it's the line in most documents or the different firsts otherwise.
+    """
+    templates: dict[str, list] = {}
+    grown = grow(leaf_lines, similarity)
+    for (h, _, docs, first), (_, text, _, _) in zip(leaf_lines, grown, strict=True):
+        t = templates.setdefault(text, [h, 0, 0, set()])
+        t[1], t[2] = max(t[1], docs), t[2] + docs
+        t[3].add(first)
+    out = []
+    for h, text, _, _ in grown:
+        number, docs, total, firsts = templates[text]
+        out.append((h, number, max(docs, len(firsts)), len(firsts) if docs == 1 else total, min(firsts)))
+    return out
+
+
 def _leaves(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*grow(rows, similarity), strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["h", "template", "docs", "first"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*_known(rows, similarity), strict=True)], ["h", "template", "known", "most", "first"])
 
         held, now = [], None
         for batch in batches:
@@ -104,9 +122,10 @@ def _leaves(similarity: float):
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
-    """h (of a masked line), docs, first: the lines of every template that recurs."""
+    """h (of a masked line), first: the lines of every template that recurs."""
     lines = _lines(docs, depth, min_tokens)
     counted = cut(lines.groupBy("leaf", "h").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")))
+    # a leaf's lines together are in at most the sum of their documents
     leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("lines")).where(F.col("all") >= min_docs)
     several = cut(counted.join(leaves.where("lines > 1").select("leaf"), "leaf"))
     alone = counted.where(F.col("docs") >= min_docs).join(leaves.where("lines = 1").select("leaf"), "leaf", "left_semi")
@@ -114,8 +133,14 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
     texts = docs.select("doc_id", "text").join(several.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     words = _lines(texts, depth, min_tokens, True).join(several.withColumnRenamed("first", "doc_id"), ["doc_id", "leaf", "h"]).dropDuplicates(["h"])
     dealt = words.select("leaf", "h", "line", "docs", F.col("doc_id").alias("first")).repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "h")
-    grown = dealt.mapInArrow(_leaves(similarity), "h long, template string, docs long, first long").where(F.col("docs") >= min_docs)
-    return alone.select("h", "docs", "first").union(grown.select("h", "docs", "first"))
+    grown = dealt.mapInArrow(_leaves(similarity), "h long, template long, known long, most long, first long").where(F.col("most") >= min_docs)
+    if min_docs <= 2:  # a template whose lines are in one document each is counted exactly, any other is in two
+        return alone.select("h", "first").union(grown.where(F.col("known") >= min_docs).select("h", "first"))
+    grown = cut(grown)
+    unsure = grown.where(F.col("known") < min_docs).select("h", "template")
+    counts = lines.select("doc_id", "h").join(unsure, "h").groupBy("template").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= min_docs)
+    sure = grown.where(F.col("known") >= min_docs)
+    return alone.select("h", "first").union(sure.select("h", "first")).union(grown.join(counts.select("template"), "template", "left_semi").select("h", "first"))
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
