@@ -319,6 +319,25 @@ def test_template_counts_different_documents(spark, min_docs):
     assert (want[21] == texts[21]) == (min_docs > 2) and want != texts
 
 
+def test_lines_recur_from_two_documents(spark):
+    ship(spark)
+    rng = random.Random(9)
+    # lines that share no words, of 1 to 60 words, each in 1 to 6 documents, once or twice in each
+    lines = [" ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(n)) for k, n in enumerate([1, 2, 3, 8, 60] * 12)]
+    lines += ["12", "13", "page 4", "page 5"]
+    texts: dict[int, list[str]] = {i: [] for i in range(30)}
+    for k, x in enumerate(lines):
+        for i in rng.sample(range(30), k // 5 % 6 + 1):
+            texts[i] += [x] * rng.choice([1, 1, 2]) + [""]
+    first: dict[str, int] = {}
+    for i, ls in texts.items():
+        for x in ls:
+            first.setdefault(x, i)
+    want = {i: "\n".join(x for x in ls if not x or first[x] == i) for i, ls in texts.items()}
+    docs = spark.createDataFrame([(i, "\n".join(ls), "", 0) for i, ls in texts.items()], KINDS).repartition(3)
+    assert {r.doc_id: r.text for r in line_templates.drop_recurring(docs).collect()} == want
+
+
 def test_quality_learns_without_negatives(spark):
     rng = random.Random(6)
     words = ["the", "of", "house", "river", "walked", "under", "green", "stone", "morning", "slowly", "bright", "paper", "garden"]

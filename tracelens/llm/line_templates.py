@@ -7,8 +7,9 @@ template most like them (equal tokens in equal places, of all tokens, at least `
 document has. Lines of a recurring template go from every document but the first (least doc_id) that has one.
 
 Equal lines are counted before anything is dealt by leaf, so a leaf holds different lines only; leaves that can't recur, and
-those with one line, are settled without being gathered. Lines under `min_tokens` tokens stay. A text whose lines all go
-becomes empty. Null text: no lines, stays null. Rows are independent: extra columns are kept, doc_id repeats are one document;
+those with one line, are settled without being gathered. A line under `min_tokens` tokens is a template of its own, as it stands
+(white space aside); lines without tokens stay. A text whose lines all go becomes empty. Null text: no lines, stays null.
+Rows are independent: extra columns are kept, doc_id repeats are one document;
 rows without doc_id keep their lines and don't count.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices
 
-MIN_DOCS, MIN_TOKENS, DEPTH, SIMILARITY = 5, 3, 3, 0.8
+MIN_DOCS, MIN_TOKENS, DEPTH, SIMILARITY = 2, 3, 3, 0.8
 WILD = "<*>"
 #: What makes a token variable: a digit, an @ or ://.
 _VARIABLE = re.compile(r"[0-9@]|://")
@@ -35,7 +36,7 @@ def masked(line: str) -> list[str]:
 
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int, with_text: bool = False) -> DataFrame:
-    """doc_id, pos, leaf, h of every line long enough, and the masked line if asked for.
+    """doc_id, pos, leaf, h of every line with a token, and the masked line if asked for; a line under min_tokens is its own leaf.
 
     A plain Python pass: as SQL expressions, which the optimizer repeats, the query took 951 CPU seconds a GB; so, 259.
     """
@@ -51,10 +52,15 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int, with_text: bool = False
                         continue
                     varied = _VARIABLE.search(text) is not None
                     for pos, raw in enumerate(text.split("\n")):
-                        tokens = masked(raw) if varied and _VARIABLE.search(raw) else raw.split()
-                        if len(tokens) >= min_tokens:
-                            line = " ".join(tokens)
-                            rows.append((doc, pos, signed(digest(f"{len(tokens)} {' '.join(tokens[:depth])}")), signed(digest(line)), line if with_text else None))
+                        tokens = raw.split()
+                        if not tokens:
+                            continue
+                        short = len(tokens) < min_tokens
+                        if varied and not short and _VARIABLE.search(raw):
+                            tokens = masked(raw)
+                        line = " ".join(tokens)
+                        leaf = f"= {line}" if short else f"{len(tokens)} {' '.join(tokens[:depth])}"
+                        rows.append((doc, pos, signed(digest(leaf)), signed(digest(line)), line if with_text else None))
                 columns = [*zip(*rows, strict=True)] if rows else [[]] * 5
                 kinds = [("doc_id", pa.int64()), ("pos", pa.int32()), ("leaf", pa.int64()), ("h", pa.int64()), ("line", pa.string())][: 5 if with_text else 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=False)], [n for n, _ in kinds])
