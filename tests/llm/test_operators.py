@@ -378,6 +378,22 @@ def test_main_text(spark):
     assert got[1].n_chars == len(want) and got[3].url is None
 
 
+def test_only_dense_subtrees_are_kept():
+    para = "<p>A sentence of the article that is long enough, with a good number of words in a row and no link at all in it.</p>"
+    links = "<ul>" + "".join(f"<li><a href={i}>Link number {i}</a></li>" for i in range(12)) + "</ul>"
+    words = " ".join(re.findall(r"<p>(.*)</p>", para) * 4)
+    story, notice = f"<div class=x>{para * 4}</div>", "<div class=y><p><a href=a>Accept</a> or <a href=b>decline</a></p></div>"
+    # neither article elements nor telling names: the blocks differ in their text alone
+    assert html_density.main_text(f"<body><div>{links}</div>{notice}<h1>The title</h1>{story}<div>{links}</div></body>") == "The title " + words
+    assert html_density.main_text(f"<body><div>{links}<div>{links}</div>{story}{links}<a href=1>One</a> | <a href=2>Two</a></div></body>") == words
+    # inside an article too, and a heading goes with what follows it
+    assert html_density.main_text(f"<body><article><header><h1>The title</h1></header>{story}<h2>More</h2>{links}{notice}</article></body>") == "The title " + words
+    # a second dense block beside the main one stays, as does text of the path's own, with its inline elements
+    long = re.findall(r"<p>(.*)</p>", para)[0] + " <b>and</b> " + "more of the same words " * 20
+    got = html_density.main_text(f"<body><div>{links}</div>{long}{story}<div><div>{para * 3}</div></div><div>{links}</div></body>")
+    assert got == " ".join([*re.sub("</?b>", "", long).split(), words, words[: len(words) * 3 // 4].strip()])
+
+
 def test_empty_tables(spark, empty):
     ship(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

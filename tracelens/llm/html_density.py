@@ -3,9 +3,10 @@
 Each node of the page's tree has C characters and T tags below it, of which LC characters and LT tags are in links. Its
 composite density is C/T * ln(C/LC * T/LT) / ln(ln(C/(C-LC) * LC + body's LC / body's C * C + e) + e - 1), counts of 0
 standing as 1: characters for each tag, pressed down where links hold them (e - 1 keeps the divisor at 1 or more on pages
-without links). A node's density sum adds its children's densities. The subtree with the greatest sum is the main one; the least density on the path from it up to the body is the
-threshold, and every subtree hanging from that path whose density reaches the threshold and holds block content beside the
-main one's is kept with it.
+without links). A node's density sum adds its block children's densities (inline ones would make a paragraph the main subtree). The subtree with the greatest sum is the main one; the least density on the path from it up to the body is the
+threshold. The main subtree is kept whole; of what hangs from the path, block children and the runs of text and inline children
+between them, only that is kept whose own density reaches the threshold, and headings (blocks with no other text) right before
+something kept. So link lists, menus and notices beside the main subtree go, inside an article too; those within it stay.
 
 Scripts, styles, navigation, headers and footers of the page, sidebars, forms, notices, adverts and reader comments are cut
 from the tree first, by element, role and class or id words; they would otherwise lend the body their density. Where an
@@ -30,6 +31,7 @@ from .common import slices, texts_of
 
 #: Fixed values of HTML: elements without content, elements whose content is no markup, block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 ENDS_P = BLOCK - frozenset("br option select head html body title legend td th tr tbody thead tfoot".split())
@@ -59,11 +61,11 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "noise", "parent", "tag", "tags", "total")
+    __slots__ = ("chars", "density", "headings", "kids", "link_chars", "link_tags", "noise", "parent", "tag", "tags", "total")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.kids, self.noise = tag, parent, [], False
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.headings = 0
         self.density = self.total = 0.0
 
 
@@ -151,28 +153,73 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
-def measure(root: Node) -> list[Node]:
+def _density(c: int, t: int, lc: int, lt: int, share: float) -> float:
+    base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+    return c / max(1, t) * math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(base + math.e - 1)
+
+
+def _own_chars(kids: list) -> int:
+    return sum(len(" ".join(html.unescape(k).split())) for k in kids if isinstance(k, str))
+
+
+def measure(root: Node) -> tuple[list[Node], float]:
+    """The nodes that aren't noise, measured, and the share of the body's text in links."""
     nodes = _order(root)
     for node in nodes:
-        node.chars = sum(len(" ".join(html.unescape(k).split())) for k in node.kids if isinstance(k, str))
+        node.chars = _own_chars(node.kids)
     for node in reversed(nodes):
         for k in node.kids:
             if not isinstance(k, str) and not k.noise:
                 node.chars += k.chars
                 node.tags += 1 + k.tags
+                node.headings += k.headings
                 node.link_chars += k.link_chars
                 node.link_tags += k.link_tags + (k.tag == "a")
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.tags
+        if node.tag in HEADINGS:
+            node.headings = node.chars
     body = next((n for n in nodes if n.tag == "body"), root)
     share = body.link_chars / max(1, body.chars)
     for node in nodes:
-        c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, max(1, node.link_tags)
-        base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
-        node.density = c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / math.log(base + math.e - 1)
+        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, share)
     for node in nodes:
-        node.total = sum(k.density for k in node.kids if not isinstance(k, str) and not k.noise)
-    return nodes
+        node.total = sum(k.density for k in node.kids if not isinstance(k, str) and not k.noise and k.tag in BLOCK)
+    return nodes, share
+
+
+def _run_density(run: list, share: float) -> float:
+    """Of texts and inline children side by side, as if an element held them; of one child alone, its own."""
+    kids = [k for k in run if not isinstance(k, str) and not k.noise]
+    own = _own_chars(run)
+    if len(kids) == 1 and not own:
+        return kids[0].density
+    return _density(own + sum(k.chars for k in kids), sum(1 + k.tags for k in kids), sum(k.link_chars for k in kids), sum(k.link_tags + (k.tag == "a") for k in kids), share)
+
+
+def _prune(node: Node, on: Node, threshold: float, share: float) -> None:
+    """Takes from a node of the path what is not dense enough; `on` is the path's next node below it."""
+    kept: list = []
+    headings: list = []
+    run: list = []
+
+    def settle(entries: list, keep: bool, heading: bool = False) -> None:
+        if keep:
+            kept.extend(headings + entries)
+        elif not heading:
+            kept.append(" ")
+        headings[:] = entries if heading and not keep else []
+
+    for k in [*node.kids, None]:
+        if k is not None and (isinstance(k, str) or (k is not on and (k.noise or k.tag not in BLOCK))):
+            run.append(k)
+            continue
+        if any(k.strip() if isinstance(k, str) else k.chars and not k.noise for k in run):
+            settle(run, _run_density(run, share) >= threshold)
+        run = []
+        if k is not None and (k is on or k.chars):
+            settle([k], k is on or k.density >= threshold, k.headings == k.chars)
+    node.kids = kept
 
 
 def _text(node: Node) -> str:
@@ -196,7 +243,7 @@ def _text(node: Node) -> str:
 
 def main_text(page: str) -> str:
     root = parse(page)
-    nodes = measure(root)
+    nodes, share = measure(root)
     top = next((n for n in nodes if n.tag == "body"), root)
     holders = [n for n in nodes if n.tag in ("article", "main") and n.chars]
     if holders:
@@ -207,12 +254,13 @@ def main_text(page: str) -> str:
     while path[-1] is not top:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    # climb while the path's next node has other subtrees that reach the threshold, or plain text of its own
-    keep = best
-    for node in path[1:]:
-        if node.density >= threshold and any((isinstance(k, str) and k.strip()) or (not isinstance(k, str) and not k.noise and k.chars and k not in path and (k.density >= threshold or k.tag in BLOCK)) for k in node.kids):
-            keep = node
-    return _text(keep)
+    outer = top
+    while outer.tag != "body" and outer.parent is not None:
+        outer = outer.parent
+        threshold = min(threshold, outer.density) if outer.chars else threshold
+    for node, on in zip(path[1:], path, strict=False):
+        _prune(node, on, threshold, share)
+    return _text(top)
 
 
 def extract(pages: DataFrame) -> DataFrame:
