@@ -394,6 +394,26 @@ def test_only_dense_subtrees_are_kept():
     assert got == " ".join([*re.sub("</?b>", "", long).split(), words, words[: len(words) * 3 // 4].strip()])
 
 
+def test_noise_is_named_by_whole_classes():
+    text = "The article's own text in a good number of words, to be found whole."
+    other = "<div><p>Some more of the page's words that are not the article, and long enough to hold more than half of all its text.</p></div>"
+    for name in ["overflow-hidden", "has-sidebar", "no-sidebar", "print-area", "widget-area", "share-enabled", "print:hidden", "sidebar", "hidden"]:
+        # noise or not by its name, the block around the article stays
+        assert html_density.main_text(f'<body><div class="{name}"><article><p>{text}</p></article></div>{other}</body>') == text, name
+        assert html_density.main_text(f'<body><div class="x {name}"><p>{text}</p></div></body>') == text, name
+    for name in ["overflow-hidden", "has-sidebar", "no-sidebar", "print-area", "widget-area", "share-enabled", "print:hidden"]:
+        assert html_density.main_text(f'<body><article><p class="{name}">{text}</p>{other}</article></body>').startswith(text), name
+    for attributes in ['title="the hidden cost"', 'data-hidden="false"', "data-x='a class=ad b'", 'data-class="ad"', "alt=hidden"]:
+        assert html_density.main_text(f"<body><article><p {attributes}>{text}</p>{other}</article></body>").startswith(text), attributes
+    for attributes in ["class=sidebar", 'id="cookie-notice"', "class='x adSlot'", "hidden", 'style="display: none"', 'class="comment-list"', "aria-hidden=true"]:
+        assert text not in html_density.main_text(f"<body><article><div {attributes}><p>{text}</p></div>{other}</article></body>"), attributes
+    # an article can be a comment
+    page = f'<body><div>{other}</div><section><article class="comment"><p>{text}</p></article></section></body>'
+    assert text not in html_density.main_text(page) and "more of the page" in html_density.main_text(page)
+    # a form around the whole page
+    assert html_density.main_text(f"<body><form><div><p>{text}</p></div><nav><a href=1>Menu</a></nav></form></body>") == text
+
+
 def test_empty_tables(spark, empty):
     ship(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -9,8 +9,10 @@ between them, only that is kept whose own density reaches the threshold, and hea
 something kept. So link lists, menus and notices beside the main subtree go, inside an article too; those within it stay.
 
 Scripts, styles, navigation, headers and footers of the page, sidebars, forms, notices, adverts and reader comments are cut
-from the tree first, by element, role and class or id words; they would otherwise lend the body their density. Where an
-article or main element is there, path nodes outside it are not considered.
+from the tree first, by element, role and class or id; they would otherwise lend the body their density. A class or id counts
+as a whole: all its words must be words of boilerplate, or of its layout beside one at least (has-sidebar, overflow-hidden and
+print-area are none). What holds an article or main element that stays, or more than half of the page's text outside links, is
+never cut, scripts and the like apart. Where an article or main element is there, path nodes outside it are not considered.
 
 Null or empty html, and pages without a body text, give the empty text. Broken markup is read as browsers mend it: an open
 paragraph ends where another block begins, an unfinished tag at the end is dropped. White space inside a block becomes one
@@ -55,8 +57,13 @@ NOISE_WORDS = frozenset(
     " nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget related recommended share sharing social footer header masthead topbar toolbar comment comments disqus respond reply replies pagination pager skip print hidden".split()
 )
 
+#: Words that may stand beside those in one class or id name.
+NOISE_PARTS = frozenset("bar block bottom box button buttons container footer global icon icons inner item items left link links list main outer posts primary right secondary section site slot top unit wrap wrapper".split())
+#: Noise whatever it holds: no text of the page is in them.
+NEVER_TEXT = frozenset("script style noscript template svg canvas iframe object embed head select textarea input button".split())
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(/?)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'/=>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -69,6 +76,14 @@ class Node:
         self.density = self.total = 0.0
 
 
+def _names_noise(name: str) -> bool:
+    """Whether a whole class or id names boilerplate; names with a colon hold under conditions only."""
+    if ":" in name:
+        return False
+    words = [w.lower() for w in _WORD.findall(name)]
+    return any(w in NOISE_WORDS for w in words) and all(w in NOISE_WORDS or w in NOISE_PARTS for w in words)
+
+
 def _is_noise(tag: str, attributes: str, inside: bool) -> bool:
     if tag in NOISE_TAGS or (tag == "header" and not inside):
         return True
@@ -80,7 +95,7 @@ def _is_noise(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "role" and value.lower() in NOISE_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(w.lower() in NOISE_WORDS for w in _WORD.findall(value)):
+        if name in ("class", "id") and tag not in ("html", "body") and any(map(_names_noise, value.split())):
             return True
     return False
 
@@ -143,6 +158,28 @@ def parse(page: str) -> Node:
     return root
 
 
+def _spare(root: Node) -> None:
+    """Takes the mark of noise from what holds an article or main that stays, or most of the page's text outside links."""
+    nodes, stack = [], [(root, False)]
+    while stack:
+        node, linked = stack.pop()
+        nodes.append((node, linked))
+        if node.tag not in NEVER_TEXT:
+            stack += [(k, linked or k.tag == "a") for k in node.kids if not isinstance(k, str)]
+    sizes: dict[Node, int] = {}
+    for node, linked in reversed(nodes):
+        own = 0 if linked or node.tag in NEVER_TEXT else _own_chars(node.kids)
+        sizes[node] = own + sum(sizes.get(k, 0) for k in node.kids if not isinstance(k, str))
+    holders: set[Node] = set()
+    for node, _ in reversed(nodes):
+        kids = [k for k in node.kids if not isinstance(k, str) and not k.noise]
+        holds = any(k in holders or (k.tag in ("article", "main") and sizes.get(k, 0)) for k in kids)
+        if node.noise and node.tag not in NEVER_TEXT and (holds or 2 * sizes[node] > sizes[root]):
+            node.noise = False
+        if holds:
+            holders.add(node)
+
+
 def _order(root: Node) -> list[Node]:
     """Nodes that aren't noise, parents first."""
     out, stack = [], [root]
@@ -243,6 +280,7 @@ def _text(node: Node) -> str:
 
 def main_text(page: str) -> str:
     root = parse(page)
+    _spare(root)
     nodes, share = measure(root)
     top = next((n for n in nodes if n.tag == "body"), root)
     holders = [n for n in nodes if n.tag in ("article", "main") and n.chars]
