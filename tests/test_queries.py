@@ -47,3 +47,9 @@ def test_ranking_limits_rows_before_the_shuffle(spark):
     df = spark.range(100).selectExpr("id % 5 AS query_id", "id AS chunk_id", "id * 0.1 AS score")
     plan = retrieve.top_k(df, 3, "score")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Python" not in plan
+
+
+def test_followups_hold_whole_turns(spark):
+    turns = {r.conv_id * 1000 + r.turn: r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user'").collect()}
+    got = {r.query_id: r.query for r in QUERIES["rewrite_followups"](spark, SF).collect()}
+    assert got == {i: f"and what about that: {turns[i]}" for i in got} and any(len(turns[i]) > 60 for i in got)

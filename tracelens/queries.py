@@ -631,7 +631,7 @@ def incremental_embed(spark: SparkSession, sf: str) -> DataFrame:
 def _followups(spark: SparkSession, sf: str) -> DataFrame:
     c = S.table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "conv_id", "turn", "text")
     before = Window.partitionBy("conv_id").orderBy("turn")
-    return c.withColumn("previous", F.lag("text").over(before)).where("previous is not null").select("query_id", F.concat(F.lit("and what about that: "), F.substring("text", 1, 60)).alias("query"), "previous")
+    return c.withColumn("previous", F.lag("text").over(before)).where("previous is not null").select("query_id", F.concat(F.lit("and what about that: "), "text").alias("query"), "previous")
 
 
 @query("rewrite_followups")
