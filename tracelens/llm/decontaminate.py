@@ -6,8 +6,8 @@ of its shingles are in the document.
 
 Items are partitioned by size in powers of two. An item's sketch holds its shingles of least hash: in a partition of sizes up
 to s, the floor((1 - t) * s) + 1 least ones (all, where it has no more). A document that contains t of an item lacks fewer
-shingles than the sketch holds, so it has one of the sketch at least: the search loses nothing, however short the item and
-however long the document. Documents too small for the item (under t of its size) are passed over. Candidates are verified
+shingles than the sketch holds, so it has one of the sketch at least: the search loses no set that contains it, however
+long the document; but an item under five words is one shingle, which only a text of just those words has. Documents too small for the item (under t of its size) are passed over. Candidates are verified
 by exact containment over all shingles of the item.
 
 The benchmark's sketches are broadcast while they are under `broadcast_rows` rows, which is checked; beyond that the same
