@@ -61,7 +61,7 @@ def shingles(words: list[str]) -> frozenset:
     return frozenset() if not words else frozenset([tuple(words)]) if len(words) < 5 else frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
 
 
-@pytest.mark.parametrize("limits", [{}, {"rare": 2, "pivots": 2, "range_shingles": 500}])
+@pytest.mark.parametrize("limits", [{}, {"rare": 2, "direct": 1, "range_shingles": 500, "hot": 8}, {"rare": 2, "direct": 0}])
 def test_join_components(docs, rows, limits):
     sets = {i: shingles(WORD.findall(lower(t or ""))) for i, t in rows}
     root = {i: i for i in sets}
@@ -92,20 +92,64 @@ def test_equal_sets_fall_together_across_batches(spark):
     assert got[900] == got[500] == 500 and got[901] == 901
 
 
+def as_shared(members: set) -> tuple[np.ndarray, np.ndarray]:
+    """df and token of members, which are (df, token)."""
+    pairs = np.array(sorted(members), dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0], np.ascontiguousarray(pairs[:, 1])
+
+
 def test_signatures_of_linked_sets_meet():
     rng = random.Random(1)
+    member = lambda: (rng.randrange(2, 200), rng.randrange(1 << 62))
     for _ in range(300):
         n = rng.randrange(2, 200)
-        common = [(rng.randrange(2, 200) << 48) | rng.randrange(1 << 40) for _ in range(n)]
+        common = [member() for _ in range(n)]
         a = set(common)
-        b = set(common[: len(common) - rng.randrange(0, max(1, n // 8))]) | {(rng.randrange(2, 200) << 48) | rng.randrange(1 << 40) for _ in range(rng.randrange(0, max(1, n // 8)))}
+        b = set(common[: len(common) - rng.randrange(0, max(1, n // 8))]) | {member() for _ in range(rng.randrange(0, max(1, n // 8)))}
         if a != b and 100 * len(a & b) >= 75 * len(a | b):
-            x, y = (ngram_join.signatures(len(s), np.array(sorted(s), dtype=np.int64), 75, 32) for s in (a, b))
+            x, y = (ngram_join.signatures(len(s), *as_shared(s), 75, 32) for s in (a, b))
             assert set(x) & set(y)
-            differing = sum(int(v).bit_count() for v in ngram_join.sketch(np.array(sorted(a), dtype=np.int64)) ^ ngram_join.sketch(np.array(sorted(b), dtype=np.int64)))
+            differing = sum(int(v).bit_count() for v in ngram_join.sketch(as_shared(a)[1]) ^ ngram_join.sketch(as_shared(b)[1]))
             assert differing <= len(a ^ b)
 
 
+@pytest.mark.parametrize("threshold", [75, 50, 90])
+def test_components_of_near_copies(spark, threshold):
+    """Chains, copies of copies, parts of texts and mixtures of two, in groups far larger than lists that are compared in pairs."""
+    ship(spark)
+    rng = random.Random(threshold)
+    texts: list[list[str]] = []
+    for size, edits in ((60, 12), (90, 20), (30, 3)):
+        base = [f"w{rng.randrange(400)}" for _ in range(size)]
+        group = [base]
+        for _ in range(70):
+            words = list(rng.choice(group) if rng.random() < 0.4 else base)
+            for _ in range(rng.randrange(edits)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.choice([0, 1, 1, 1, 2])] = [f"x{rng.randrange(10**6)}"] * rng.choice([0, 1, 1, 1])
+            if rng.random() < 0.2:
+                words = words[rng.randrange(len(words) // 4) :]
+            group.append(words)
+        texts += group + ([[*group[0], *texts[0]]] if texts else [])
+    sets = [shingles(w) for w in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, s in enumerate(sets):
+        for b in range(a):
+            if s and 100 * len(s & sets[b]) >= threshold * len(s | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id int, text string").repartition(4)
+    for limits in ({"direct": 0, "rare": 2}, {"direct": 2}):
+        assert {r.doc_id: r.component_id for r in ngram_join.link_components(docs, threshold=threshold, **limits).collect()} == {i: find(i) for i in range(len(texts))}
+    assert 3 < len({find(i) for i in range(len(texts))}) < len(texts)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,15 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new local one on a local master
+    (tests), and an error on any other: executors could not see it."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
+    now = sc._jsc.sc().getCheckpointDir()
+    if not path and now.isDefined():
+        path = now.get()
     if not path:
-        now = sc._jsc.sc().getCheckpointDir()
-        path = now.get() if now.isDefined() else "file://" + tempfile.mkdtemp(prefix="tracelens-")
-        if not now.isDefined():
-            sc.setCheckpointDir(path)
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tracelens-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
 
@@ -41,16 +42,23 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed now and kept in the shared folder, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    out = df.checkpoint(eager=True)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files behind it once its driver's objects are collected
+    """The rows of df, written as Parquet in the shared folder and read from there: later plans start from files, and a lost
+    executor costs no recomputation. Shuffle files behind it go with the plan."""
+    path = new_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tracelens_path = path
     return out
 
 
+def drop(*tables: DataFrame) -> None:
+    """Removes tables made by `cut` that no later plan reads."""
+    for df in tables:
+        if path := getattr(df, "_tracelens_path", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def with_range(df: DataFrame, key: str, rows_per_range: int = 256, most: int = 65536, name: str = "range_id") -> DataFrame:
     """Adds the number of the id range that a row falls in: ranges ascend with key and hold about rows_per_range rows.
 

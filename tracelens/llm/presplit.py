@@ -2,8 +2,8 @@
 
 Characters are classed by a table over all code points: letter, number, white space, other. Both patterns used here cut
 where the class changes; what else they do (a space joins the piece after it; a number stands alone; English contractions)
-is done on the cuts. Pieces are named by 64-bit hashes, each different piece of a slice is looked up once, and ids are
-gathered with numpy.
+is done on the cuts. Pieces are found by 64-bit hashes and compared byte by byte, each different piece of a slice is looked up
+once, and ids are gathered with numpy.
 """
 
 from __future__ import annotations
@@ -14,10 +14,9 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .wordhash import U, inverse, mix, powers
+from .wordhash import same_spans, span_hashes
 
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
-_BASE = 0x9E3779B97F4A7C15
 _tables: list[np.ndarray] = []
 
 
@@ -91,44 +90,40 @@ def split(cp: np.ndarray, ends: np.ndarray, spaces: bool) -> tuple[np.ndarray, n
     return at[:-1], at[1:]
 
 
-def hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Of pieces, in runs of about 2**18 characters."""
-    out, i = np.empty(len(start), dtype=U), 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + (1 << 18), "right")))
-        lo, hi = int(start[i]), int(end[j - 1])
-        total = np.zeros(hi - lo + 1, dtype=U)
-        np.cumsum(mix(cp[lo:hi].astype(U) * U(_BASE) + U(1)) * powers(_BASE, hi - lo), out=total[1:])
-        a, b = start[i:j] - lo, end[i:j] - lo
-        out[i:j] = (total[b] - total[a]) * powers(inverse(_BASE), hi - lo + 1)[a]
-        i = j
-    return mix(out ^ (end - start).astype(U) * U(_BASE))
-
-
 class PieceTable:
-    """hash -> ids (little-endian, 32 bits) of pieces; `make` gives a piece's ids.
+    """ids (little-endian, 32 bits) of pieces of text, found by hash and held with the piece itself, which is compared; `make`
+    gives a piece's ids.
 
     Above `most` entries, those that none of the last slices had are dropped; pieces over 64 characters aren't kept.
     """
 
     def __init__(self, make: Callable[[str], list[int]], most: int, slices: int = 6):
-        self.make, self.most, self.known = make, most, {}
+        self.make, self.most = make, most
+        self.known: dict[int, tuple[str, bytes]] = {}
         self.recent: deque[list[int]] = deque(maxlen=slices)
 
-    def ids(self, text: str, hashed: np.ndarray, start: np.ndarray, end: np.ndarray, starts_of: np.ndarray) -> list[np.ndarray]:
-        """Ids of each text, given its pieces in all texts joined; starts_of: index of each text's first piece, and the number of pieces."""
-        if not len(hashed):
+    def ids(self, text: str, data: np.ndarray, bytes_at: np.ndarray | None, start: np.ndarray, end: np.ndarray, starts_of: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text, given its pieces in all texts joined, as characters start to end; data: their UTF-8 bytes, bytes_at:
+        where each character begins in them (None: in ASCII, at its own place); starts_of: index of each text's first piece, and
+        the number of pieces."""
+        if not len(start):
             return [np.zeros(0, "<i4")] * (len(starts_of) - 1)
-        names, first, which = np.unique(hashed, return_index=True, return_inverse=True)
+        low, high = (start, end) if bytes_at is None else (bytes_at[start], bytes_at[end])
+        names, first, which = np.unique(span_hashes(data, low, high), return_index=True, return_inverse=True)
         names = names.tolist()
-        found = list(map(self.known.get, names))
-        a, b = start[first].tolist(), end[first].tolist()
+        odd = np.flatnonzero(~same_spans(data, low, high, first[which]))
+        found: list[bytes] = []
         fresh = {}
-        for i, value in enumerate(found):
-            if value is None:
-                found[i] = np.array(self.make(text[a[i] : b[i]]), "<i4").tobytes()
-                if b[i] - a[i] <= 64:
-                    fresh[names[i]] = found[i]
+        for name, a, b in zip(names, start[first].tolist(), end[first].tolist(), strict=True):
+            piece, held = text[a:b], self.known.get(name)
+            if held is None or held[0] != piece:
+                held = (piece, np.array(self.make(piece), "<i4").tobytes())
+                if b - a <= 64:
+                    fresh[name] = held
+            found.append(held[1])
+        for i in odd.tolist():  # another piece has the same hash: its ids are made on their own
+            which[i] = len(found)
+            found.append(np.array(self.make(text[start[i] : end[i]]), "<i4").tobytes())
         if len(self.known) + len(fresh) > self.most and self.known:
             keep = set(names).union(*self.recent)
             self.known = {k: v for k, v in self.known.items() if k in keep}
@@ -150,5 +145,8 @@ def encode(texts: list[str], spaces: bool, table: PieceTable) -> list[np.ndarray
     if not len(cp):
         return [np.zeros(0, "<i4")] * len(texts)
     start, end = split(cp, ends, spaces)
+    data, bytes_at = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), None
+    if len(data) != len(cp):
+        bytes_at = np.concatenate([[0], np.cumsum(1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000).astype(np.int64))])
     at = np.searchsorted(start, np.concatenate([[0], ends]))
-    return table.ids(text, hashes(cp, start, end), start, end, at)
+    return table.ids(text, data, bytes_at, start, end, at)

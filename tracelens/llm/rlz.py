@@ -27,27 +27,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .wordhash import Grams, U, gram_starts, mix, sliding_min, words
+from .wordhash import U, gram_starts, mix, runs, sliding_min, words
 
 
 def _windows(batch: pa.RecordBatch, window: int, gram: int):
-    """The words, the word index at which each window starts, the window's minimizer and the grams."""
+    """The words, the word index at which each window starts, and the window's minimizer."""
     w = words(batch.column("text"), lower=False)
-    g = Grams(w.hash)
     at = gram_starts(w.first, window)
-    if not len(at):
-        return w, at, np.zeros(0, U), g
-    short = gram_starts(w.first, gram)
-    least = np.full(len(w.hash), np.iinfo(U).max, dtype=U)
-    least[short] = g.of(short, short + gram)
-    return w, at, sliding_min(least, window - gram + 1)[at], g
+    return w, at, sliding_min(runs(w.hash, gram), window - gram + 1)[at] if len(at) else np.zeros(0, U)
 
 
 def _blocks(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                w, at, block, _ = _windows(part, window, gram)
+                w, at, block = _windows(part, window, gram)
                 doc = w.doc[at]
                 new = np.ones(len(at), dtype=bool)
                 new[1:] = (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])
@@ -74,11 +68,11 @@ def _lookups(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                w, at, block, g = _windows(part, window, gram)
+                w, at, block = _windows(part, window, gram)
                 doc = w.doc[at]
                 shared = ~_within(block, doc, part.column("alone"))
                 at, doc = at[shared], doc[shared]
-                h1, h2 = g.of(at, at + window), Grams(w.hash, 1).of(at, at + window)
+                h1, h2 = runs(w.hash, window)[at], runs(w.hash, window, 1)[at]
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[doc])], ["h1", "h2", "doc_id"])
 
@@ -89,11 +83,11 @@ def _parse(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                w, at, block, g = _windows(part, window, gram)
+                w, at, block = _windows(part, window, gram)
                 doc = w.doc[at]
                 shared = ~_within(block, doc, part.column("alone"))
                 at, doc = at[shared], doc[shared]
-                copied = ~_within(g.of(at, at + window), doc, part.column("own"))
+                copied = ~(_within(runs(w.hash, window)[at], doc, part.column("own")) & _within(runs(w.hash, window, 1)[at], doc, part.column("own2")))
                 at = at[copied]
                 step = np.zeros(len(w.hash) + 1, dtype=np.int64)
                 np.add.at(step, at, 1)
@@ -123,8 +117,8 @@ def dedup_substrings(docs: DataFrame, window: int = 50, gram: int = 16) -> DataF
     alone = blocks.groupBy("block").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("most")).where("doc_id = most").groupBy("doc_id").agg(F.collect_list("block").alias("alone"))
     with_alone = docs.join(alone, "doc_id", "left").select("doc_id", "text", "alone")
     owners = with_alone.mapInArrow(_lookups(window, gram), "h1 long, h2 long, doc_id long").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
-    own = owners.groupBy("doc_id").agg(F.collect_list("h1").alias("own"))
-    return with_alone.join(own, "doc_id", "left").select("doc_id", "text", "alone", "own").mapInArrow(_parse(window, gram), "doc_id long, n_words long, n_removed long, n_factors long, kept string")
+    own = owners.groupBy("doc_id").agg(F.collect_list("h1").alias("own"), F.collect_list("h2").alias("own2"))
+    return with_alone.join(own, "doc_id", "left").select("doc_id", "text", "alone", "own", "own2").mapInArrow(_parse(window, gram), "doc_id long, n_words long, n_removed long, n_factors long, kept string")
 
 
 def spans_digest(result: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Words and word n-grams of Arrow string columns as 64-bit hashes, computed in numpy without a Python step per word.
+"""Words and runs of words of Arrow string columns as 64-bit hashes, computed in numpy without a Python step per word.
 
-A word is a run of bytes other than ASCII white space (0x20, 0x09-0x0D), which never cuts a UTF-8 character. Hashes are
-polynomials modulo 2**64 over a table of mixed byte values, taken from prefix sums, and are mixed once more.
+A word is a run of bytes other than ASCII white space (0x20, 0x09-0x0D), which never cuts a UTF-8 character. A hash takes
+eight bytes a step, each step through a finaliser that is no polynomial: no arrangement of letters or words makes two
+inputs meet other than by chance. Runs of words are hashed by doubling, in the same way.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-_BASE, _CHAIN = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so each has an inverse modulo 2**64
-CHUNK = 1 << 20
+_KEY, _STEP, _JOIN, _SHORT = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95), U(0xAF251AF3B0F025B5), U(0x71D67FFFEDA60000)
+#: Spans over so many bytes are hashed one by one.
+LONG_SPAN = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,30 +26,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    had = _powers.get(base)
-    if had is None or len(had) < n:
-        steps = np.full(max(n, 1 << 16), base, dtype=U)
-        steps[0] = 1
-        had = np.cumprod(steps, dtype=U)
-        if len(had) <= 4 * CHUNK:
-            _powers[base] = had
-    return had[:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTES = mix(np.arange(1, 257, dtype=U) * U(_BASE))
-_LOWER = _BYTES.copy()
-_LOWER[0x41:0x5B] = _BYTES[0x61:0x7B]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U)
+
+
+def blocks(data: np.ndarray) -> np.ndarray:
+    """For each byte of data, the eight bytes from it on as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    size, view = end - start, blocks(data)
+    out = mix(size.astype(U) * _STEP + _KEY)
+    out = mix(out * _JOIN + (view[start] & _MASKS[np.minimum(size, 8)]))
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), int(_KEY) >> 1)
+    rest, at = np.flatnonzero((size > 8) & (size <= LONG_SPAN)), 8
+    while len(rest):
+        out[rest] = mix(out[rest] * _JOIN + (view[start[rest] + at] & _MASKS[np.minimum(size[rest] - at, 8)]))
+        at += 8
+        rest = rest[size[rest] > at]
+    return out
+
+
+def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Whether each span holds the same bytes as the span whose index is in `like`."""
+    size, view = end - start, blocks(data)
+    other = start[like]
+    out = size == size[like]
+    out &= ((view[start] ^ view[other]) & _MASKS[np.minimum(size, 8)]) == 0
+    rest, at = np.flatnonzero((size > 8) & out & (like != np.arange(len(like)))), 8
+    while len(rest):
+        out[rest] &= ((view[start[rest] + at] ^ view[other[rest] + at]) & _MASKS[np.minimum(size[rest] - at, 8)]) == 0
+        at += 8
+        rest = rest[(size[rest] > at) & out[rest]]
+    return out
 
 
 @dataclass
@@ -63,19 +81,20 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def last(self) -> np.ndarray:
-        """For each word, the index after its document's last word."""
-        return np.repeat(self.first[1:], np.diff(self.first))
 
-
-def words(column: pa.Array, lower: bool) -> Words:
-    """The words of each text in the column (null: none); with lower, A-Z count as a-z."""
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the column's texts, end to end, and where each begins, with the end of the last (null: empty)."""
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
     column = column.fill_null("") if column.null_count else column
     _, offsets, values = column.buffers()
-    at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(values, dtype=np.uint8)[at[0] : at[-1]] if values is not None and len(column) else np.zeros(0, np.uint8)
-    at = at - at[0]
+    return data, at - at[0]
+
+
+def words(column: pa.Array, lower: bool) -> Words:
+    """The words of each text in the column (null: none); with lower, A-Z count as a-z."""
+    data, at = text_bytes(column)
     n = len(data)
     word = ~_IS_SPACE[data]
     edge = np.zeros(n + 1, dtype=bool)
@@ -86,30 +105,34 @@ def words(column: pa.Array, lower: bool) -> Words:
     after = np.empty(n, dtype=bool)
     after[-1:], after[:-1] = False, word[1:]
     end = np.flatnonzero(word & (~after | edge[1:])) + 1
-    hashes = np.empty(len(start), dtype=U)
-    table, i = _LOWER if lower else _BYTES, 0
-    while i < len(start):  # whole words of about CHUNK bytes: the arrays of the sums stay small
-        j = max(i + 1, int(np.searchsorted(end, start[i] + CHUNK, "right")))
-        lo, hi = int(start[i]), int(end[j - 1])
-        total = np.zeros(hi - lo + 1, dtype=U)
-        np.cumsum(table[data[lo:hi]] * powers(_BASE, hi - lo), out=total[1:])
-        a, b = start[i:j] - lo, end[i:j] - lo
-        hashes[i:j] = (total[b] - total[a]) * powers(inverse(_BASE), hi - lo + 1)[a]
-        i = j
-    return Words(data, start, end, mix(hashes ^ (end - start).astype(U) * U(_CHAIN)), np.searchsorted(start, at).astype(np.int64))
-
-
-class Grams:
-    """Hashes of runs of words, for any length, from one prefix sum."""
-
-    def __init__(self, hashes: np.ndarray, lane: int = 0):
-        n = len(hashes)
-        self.total = np.zeros(n + 1, dtype=U)
-        np.cumsum(mix(hashes + U(lane * _BASE % (1 << 64))) * powers(_CHAIN, n), out=self.total[1:])
-        self.back = powers(inverse(_CHAIN), n + 1)
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix(((self.total[end] - self.total[start]) * self.back[start]) ^ (end - start).astype(U) * U(_BASE))
+    return Words(data, start, end, span_hashes(_LOWER[data] if lower else data, start, end), np.searchsorted(start, at).astype(np.int64))
+
+
+def runs(hashes: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
+    """Hash of the k consecutive words from each word on (as far as there are k), whatever documents they are of."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    span, level, out, done = 1, mix(hashes ^ U((lane + 1) * int(_KEY) % (1 << 64))), None, 0
+    while True:
+        if k & span:
+            part = level[done : done + n]
+            out = part if out is None else mix(out * _JOIN + part)
+            done += span
+        if 2 * span > k:
+            return mix(out + U(k * int(_STEP) % (1 << 64)))
+        level = mix(level[:-span] * _JOIN + level[span:])
+        span *= 2
+
+
+def short_runs(w: Words, docs: np.ndarray, most: int) -> np.ndarray:
+    """Hash of the whole sequence of documents (by index) that have 1 to `most` words."""
+    first, n = w.first[docs], w.first[docs + 1] - w.first[docs]
+    out = mix(w.hash[first] ^ _SHORT)
+    for j in range(1, most):
+        more = np.flatnonzero(n > j)
+        out[more] = mix(out[more] * _JOIN + w.hash[first[more] + j])
+    return mix(out + n.astype(U) * _STEP)
 
 
 def gram_starts(first: np.ndarray, k: int) -> np.ndarray:
