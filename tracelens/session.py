@@ -26,8 +26,10 @@ def build(app: str = "tracelens", cores: str = "*", shuffle_partitions: int | No
 
 
 def ship(spark: SparkSession) -> None:
-    """Once per application, makes this package importable in the executors' Python workers, wherever the driver found it."""
+    """Makes this package importable in the executors' Python workers, wherever the driver found it (once per application), and
+    bounds the bytes of the batches that they are handed, which rows of long texts would make large."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     if getattr(sc, "_tracelens_shipped", False):
         return
     root = Path(__file__).resolve().parent
