@@ -1,20 +1,23 @@
 """BPE encoding and decoding with an automaton compiled from the merge list.
 
-The automaton reads token labels: its states are "the last arc's token" and a start state. Merges are applied one by one,
-in priority order, each as a gadget: where an arc u is followed by an arc v, an arc labelled uv is added beside them and the
-path u v is closed, also for every longer arc that still ended in u, or began with v, when the merge took place. A sequence
-of arcs is then a path exactly if it is what byte-pair encoding makes of the text it spells, and every text has one path.
-
-The gadgets are kept in factored form. Each arc has a right spine (the parts that stand at its end while it is built up) and
-a left spine, with the merge ranks between which each part is there. The merge u v -> uv closes x y if u is on x's right
-spine before x's next merge there, and v on y's left spine before or at y's next one (equal merges run from the left). The
-transition table over (state, arc) holds each answer once it has been looked up.
-
-Pre-split words are encoded from left to right: from each reached position, the arcs that spell what follows are read off a
-trie, and those with a transition from the state there reach their ends. One arc reaches each position, so the word's path
-is read back from its end. Decoding emits the labels of the arcs.
-
-Null or empty text: no ids, and the empty text decoded. Null ids of rows pass through. Extra columns are ignored.
+The automaton reads arcs labelled by tokens. It begins as one state with an arc to itself for each symbol. Merges are applied one
+by one, in priority order, each as a gadget: where an arc u is followed by an arc v, the target of the arcs u is copied into a
+new state without the arc v, the arcs u now lead to that, and beside them arcs uv lead where v did. A sequence of arcs is then a
+path exactly if it is what byte-pair encoding makes of the text it spells, and every text has one path.
+
+All arcs with one label lead to one state, so a state is what its arcs' label lacks. A closed arc stays closed for those made
+from it later (uv gets an arc only beside u), so tokens are numbered such that those made from a token's left end stand together
+in the order of their merges, the token itself after them: each merge then closes one interval of numbers. The compiled table
+holds, for each state, its closed intervals: those of its own merges, and those that the state it was copied from had by then.
+All states' intervals stand in two sorted arrays; a transition is one binary search in them.
+
+Pre-split words are encoded from left to right by the tables alone: from each reached position, the arcs that spell what follows
+are read off a trie, and those with a transition from the state there reach their ends. One arc reaches each position, so the
+word's path is read back from its end. Decoding emits the labels of the arcs.
+
+Only files of the kind described (see `WordTokenizer`) are taken; others raise. Null or empty text: no ids, and the empty text
+decoded. Null ids of rows pass through, repeated rows are rows of their own, an empty table gives an empty one. Very long texts
+are encoded one at a time. There are no ties: a text has one path. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +38,8 @@ from tokenizers import Tokenizer
 from .common import slices, texts_of
 from .presplit import UNKNOWN, PieceTable, classes, code_points, encode
 
-#: Entries of the tables of transitions and of words that a worker holds.
-MOST_STEPS, MOST_WORDS = 300_000, 300_000
+#: Words whose ids a worker holds.
+MOST_WORDS = 300_000
 
 
 def byte_labels() -> list[str]:
@@ -46,31 +50,90 @@ def byte_labels() -> list[str]:
 
 
 class Automaton:
+    """The compiled tables: trie (node and symbol to node), arc (token at a node), number (of a token), closed_from and
+    closed_to (state and number, as one integer, of the closed intervals of all states)."""
+
     def __init__(self, vocab: dict[str, int], merges: list, end: str = "</w>"):
         self.end, self.labels = end, {i: t for t, i in vocab.items()}
-        n = max(vocab.values()) + 1
-        self.rank, self.left, self.right = [-1] * n, list(range(n)), list(range(n))
-        self.gadget: dict[int, int] = {}  # u * n + v -> rank
-        self.n = n
-        self.steps: dict[int, bool] = {}
-        for rank, pair in enumerate(merges):
-            u, v = (vocab[x] for x in (pair if isinstance(pair, list | tuple) else pair.split(" ")))
-            self.apply(rank, u, v, vocab[self.labels[u] + self.labels[v]])
+        self.n = max(vocab.values()) + 1
+        pairs = [tuple(vocab[x] for x in (pair if isinstance(pair, list | tuple) else pair.split(" "))) for pair in merges]
+        self._number(vocab, pairs)
+        self._compile(vocab, pairs)
+        self._trie(vocab)
+
+    def _number(self, vocab: dict[str, int], pairs: list[tuple[int, int]]) -> None:
+        """Numbers tokens so that those whose left end is a token come before it, in the order of their merges; made[v] lists
+        the merges with v at their left, first[v] the number with which each of their tokens' own run begins."""
+        made: list[list[int]] = [[] for _ in range(self.n)]
+        self.joined = [vocab[self.labels[u] + self.labels[v]] for u, v in pairs]
+        if len(set(self.joined)) < len(self.joined):
+            raise ValueError("two merges make one token")
+        for rank, (u, _) in enumerate(pairs):
+            made[u].append(rank)
+        whole = set(self.joined)
+        self.number, self.first = [0] * self.n, [[] for _ in range(self.n)]
+        now = 0
+        for token in sorted(set(vocab.values()) - whole):
+            stack = [(token, 0)]
+            while stack:
+                x, k = stack.pop()
+                if k < len(made[x]):
+                    self.first[x].append(now)
+                    stack += [(x, k + 1), (self.joined[made[x][k]], 0)]
+                else:
+                    self.number[x] = now
+                    now += 1
+        self.made = made
+
+    def _closes(self, v: int, rank: int) -> tuple[int, int]:
+        """The interval that leaves a state at merge `rank` with the arc v: v, and what is made from its left end from then on."""
+        later = bisect_left(self.made[v], rank)
+        return (self.first[v][later] if later < len(self.made[v]) else self.number[v]), self.number[v]
+
+    def _compile(self, vocab: dict[str, int], pairs: list[tuple[int, int]]) -> None:
+        """Applies the merges one by one; a state is (the state it was copied from, the interval closed then), 0 the first."""
+        parent, closed = [0], [(0, -1)]
+        target = [0] * self.n  # the state that arcs with a label lead to
+        self.dead: set[int] = set()
+        for rank, ((u, v), uv) in enumerate(zip(pairs, self.joined, strict=True)):
+            state, at = target[u], self.number[v]
+            while state and not closed[state][0] <= at <= closed[state][1]:
+                state = parent[state]
+            if state or u in self.dead or v in self.dead:
+                self.dead.add(uv)  # no arc u is followed by an arc v here any more: this merge adds nothing
+                continue
+            target[uv] = target[v]
+            parent.append(target[u])
+            closed.append(self._closes(v, rank))
+            target[u] = len(parent) - 1
+        starts, ends = [], []
+        for label in set(vocab.values()) - self.dead:
+            state, base = target[label], label * self.n
+            while state:
+                a, b = closed[state]
+                starts.append(base + a)
+                ends.append(base + b)
+                state = parent[state]
+        order = np.argsort(np.array(starts, np.int64), kind="stable")
+        self.closed_from = np.array(starts, np.int64)[order]
+        self.closed_to = np.maximum.accumulate(np.array(ends, np.int64)[order]) if len(ends) else np.zeros(0, np.int64)
+        self.states = len(parent)
+
+    def _trie(self, vocab: dict[str, int]) -> None:
         self.symbol: dict[str, int] = {}
         self.next: dict[int, int] = {}
         self.arc = [-1]
         for text, i in vocab.items():
-            if self.rank[i] >= 0 and not self.open(self.left[i], self.right[i], self.rank[i]):
-                continue  # an arc that an earlier merge always closes
+            if i in self.dead:
+                continue
             node = 0
             for s in self.symbols_of(text):
                 s = self.symbol.setdefault(s, len(self.symbol))
-                key = node * 1024 + s
-                if key not in self.next:
-                    self.next[key] = len(self.arc)
+                node = self.next.setdefault(node * 1024 + s, len(self.arc))
+                if node == len(self.arc):
                     self.arc.append(-1)
-                node = self.next[key]
             self.arc[node] = i
+        self.starts, self.ends = self.closed_from.tolist(), self.closed_to.tolist()
 
     def symbols_of(self, text: str) -> list[str]:
         if text.endswith(self.end) and len(text) > len(self.end):
@@ -78,34 +141,11 @@ class Automaton:
             return [*text[:-1], text[-1] + self.end]
         return list(text)
 
-    def apply(self, rank: int, u: int, v: int, uv: int) -> None:
-        """The gadget of one merge."""
-        self.gadget[u * self.n + v] = rank
-        self.rank[uv], self.left[uv], self.right[uv] = rank, u, v
-
-    def open(self, x: int, y: int, before: int = 1 << 60) -> bool:
-        """Whether arc y may follow arc x: no merge made before `before` closes the path."""
-        rank, left, right, gadget, n = self.rank, self.left, self.right, self.gadget, self.n
-        until_x, until_y = before, before - 1  # a merge of this rank or more comes too late, on either side
-        while True:
-            r = gadget.get(x * n + y)
-            if r is not None and r < until_x and r <= until_y:
-                return False
-            if rank[x] < 0 and rank[y] < 0:
-                return True
-            if rank[x] >= rank[y]:  # undo the later merge of the two
-                until_x, x = rank[x], right[x]
-            else:
-                until_y, y = rank[y], left[y]
-
     def step(self, x: int, y: int) -> bool:
-        key = x * self.n + y
-        known = self.steps.get(key)
-        if known is None:
-            if len(self.steps) >= MOST_STEPS:
-                self.steps.clear()
-            known = self.steps[key] = self.open(x, y)
-        return known
+        """Whether the state that arcs x lead to has an arc y."""
+        key = x * self.n + self.number[y]
+        at = bisect_right(self.starts, key) - 1
+        return at < 0 or self.ends[at] < key
 
     def encode(self, symbols: list[str]) -> list[int]:
         size = len(symbols)
@@ -115,7 +155,7 @@ class Automaton:
         for i in range(size):
             here = state[i]
             if here < 0 and i:
-                raise ValueError("no path")
+                continue  # no path ends here
             node = 0
             for j in range(i, size):
                 node = following(node * 1024 + code[j], -1)
@@ -124,6 +164,8 @@ class Automaton:
                 to = arc[node]
                 if to >= 0 and (here < 0 or step(here, to)):
                     state[j + 1], back[j + 1] = to, i
+        if size and state[size] < 0:
+            raise ValueError("no path")
         out, at = [], size
         while at:
             out.append(state[at])
@@ -132,10 +174,11 @@ class Automaton:
 
 
 class WordTokenizer:
-    """A tokenizer file with lower-casing, word ends and byte labels, through the automaton."""
+    """A tokenizer file with NFC, lower-casing, word ends and byte labels, through the automaton; another kind of file raises."""
 
     def __init__(self, file_text: str):
         spec = json.loads(file_text)
+        self._check(spec)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.automaton = Automaton(spec["model"]["vocab"], spec["model"]["merges"], spec["model"]["end_of_word_suffix"])
@@ -150,6 +193,23 @@ class WordTokenizer:
             if unicodedata.combining(chr(c)) or unicodedata.normalize("NFC", chr(c)) != chr(c) or 0x1100 <= c < 0x1200:
                 self.odd[c] = True
 
+    @staticmethod
+    def _check(spec: dict) -> None:
+        model, split = spec["model"], {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+        normal = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+        kind = {
+            "normalizer": spec["normalizer"] == {"type": "Sequence", "normalizers": normal},
+            "pre_tokenizer": [p.get("type") for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])] == ["Split", "ByteLevel"]
+            and spec["pre_tokenizer"]["pretokenizers"][0] == {"type": "Split", "pattern": split, "behavior": "Removed", "invert": True}
+            and not spec["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"]
+            and not spec["pre_tokenizer"]["pretokenizers"][1]["use_regex"],
+            "decoder": spec["decoder"] is None,
+            "model": model["type"] == "BPE" and bool(model["end_of_word_suffix"]) and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")),
+            "added_tokens": not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+        }
+        if wrong := [k for k, right in kind.items() if not right]:
+            raise ValueError(f"no tokenizer file of this operator's kind: {', '.join(wrong)}")
+
     def _word(self, word: str) -> list[int]:
         return self.automaton.encode([*word[:-1], word[-1] + self.automaton.end])
 

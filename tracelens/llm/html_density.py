@@ -3,10 +3,12 @@
 Each node of the page's tree has C characters and T tags below it, of which LC characters and LT tags are in links. Its
 composite density is C/T * ln(C/LC * T/LT) / ln(ln(C/(C-LC) * LC + body's LC / body's C * C + e) + e - 1), counts of 0
 standing as 1: characters for each tag, pressed down where links hold them (e - 1 keeps the divisor at 1 or more on pages
-without links). A node's density sum adds its block children's densities (inline ones would make a paragraph the main subtree). The subtree with the greatest sum is the main one; the least density on the path from it up to the body is the
-threshold. The main subtree is kept whole; of what hangs from the path, block children and the runs of text and inline children
-between them, only that is kept whose own density reaches the threshold, and headings (blocks with no other text) right before
-something kept. So link lists, menus and notices beside the main subtree go, inside an article too; those within it stay.
+without links). A node's density sum adds its block children's densities (inline ones would make a paragraph the main subtree).
+The subtree with the greatest sum is the main one, and is kept whole. The path from it up to the body gives two thresholds, the
+greatest and the least density on it. Of what hangs from the path, block children and the runs of text and inline children
+between them, that is kept whose own density reaches the greatest, block children too that reach the least and hold blocks
+whose densities add up to the greatest, and headings (blocks with no other text) right before something kept. So link lists,
+menus, notices and footers beside the main subtree go, inside an article too; those within it stay.
 
 Scripts, styles, navigation, headers and footers of the page, sidebars, forms, notices, adverts and reader comments are cut
 from the tree first, by element, role and class or id; they would otherwise lend the body their density. A class or id counts
@@ -234,7 +236,13 @@ def _run_density(run: list, share: float) -> float:
     return _density(own + sum(k.chars for k in kids), sum(1 + k.tags for k in kids), sum(k.link_chars for k in kids), sum(k.link_tags + (k.tag == "a") for k in kids), share)
 
 
-def _prune(node: Node, on: Node, threshold: float, share: float) -> None:
+def _dense(node: Node, low: float, high: float) -> bool:
+    """Whether a subtree beside the path is as dense as the path's densest node, or no less dense than its least and holds blocks
+    whose densities add up to that."""
+    return node.density >= high or (node.density >= low and max(n.total for n in _order(node)) >= high)
+
+
+def _prune(node: Node, on: Node, low: float, high: float, share: float) -> None:
     """Takes from a node of the path what is not dense enough; `on` is the path's next node below it."""
     kept: list = []
     headings: list = []
@@ -252,10 +260,10 @@ def _prune(node: Node, on: Node, threshold: float, share: float) -> None:
             run.append(k)
             continue
         if any(k.strip() if isinstance(k, str) else k.chars and not k.noise for k in run):
-            settle(run, _run_density(run, share) >= threshold)
+            settle(run, _run_density(run, share) >= high)
         run = []
         if k is not None and (k is on or k.chars):
-            settle([k], k is on or k.density >= threshold, k.headings == k.chars)
+            settle([k], k is on or _dense(k, low, high), k.headings == k.chars)
     node.kids = kept
 
 
@@ -291,13 +299,9 @@ def main_text(page: str) -> str:
     path = [best]
     while path[-1] is not top:
         path.append(path[-1].parent)
-    threshold = min(n.density for n in path)
-    outer = top
-    while outer.tag != "body" and outer.parent is not None:
-        outer = outer.parent
-        threshold = min(threshold, outer.density) if outer.chars else threshold
+    low, high = min(n.density for n in path), max(n.density for n in path)
     for node, on in zip(path[1:], path, strict=False):
-        _prune(node, on, threshold, share)
+        _prune(node, on, low, high, share)
     return _text(top)
 
 

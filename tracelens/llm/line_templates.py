@@ -7,14 +7,17 @@ template most like them (equal tokens in equal places, of all tokens, at least `
 document has. Lines of a recurring template go from every document but the first (least doc_id) that has one.
 
 Equal lines are counted before anything is dealt by leaf, so a leaf holds different lines only; leaves that can't recur, and
-those with one line, are settled without being gathered. A line under `min_tokens` tokens is a template of its own, as it stands
-(white space aside); lines without tokens stay. A text whose lines all go becomes empty. Null text: no lines, stays null.
-Rows are independent: extra columns are kept, doc_id repeats are one document;
-rows without doc_id keep their lines and don't count.
+those with one line, are settled without being gathered. In a leaf, templates are found by blocks of their tokens, one of which
+a similar line shares, so a line is not compared with every template. A line under `min_tokens` tokens is a template of its own,
+as it stands (white space aside); lines without tokens stay. A text whose lines all go becomes empty. Null text: no lines, stays
+null. Very long texts are taken one at a time. Ties between templates go to the older one, between lines in as many documents to
+the lesser hash. Rows of one doc_id are one document; rows without doc_id keep their lines and don't count. An empty table gives
+an empty one. Extra columns are kept whatever their names, but n_lines and n_dropped are replaced. doc_id: any integer type.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -65,38 +68,70 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int, with_text: bool = False
                 kinds = [("doc_id", pa.int64()), ("pos", pa.int32()), ("leaf", pa.int64()), ("h", pa.int64()), ("line", pa.string())][: 5 if with_text else 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=False)], [n for n, _ in kinds])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, leaf long, h long" + ", line string" * with_text)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, pos int, leaf long, h long" + ", line string" * with_text)
 
 
-def grow(leaf_lines: list[tuple[int, str, int, int]], similarity: float) -> list[tuple[int, str, int, int]]:
-    """(h, line, docs, first) of one leaf, in order -> (h, template, docs of the template, first of the template)."""
+class _Index:
+    """Templates of one leaf by blocks of positions: at most `apart` positions of a line differ from its template, so of
+    apart + 1 blocks one is equal. The positions that all lines of the leaf share are in no block."""
+
+    def __init__(self, tokens: int, depth: int, similarity: float):
+        apart = tokens - math.ceil(similarity * tokens - 1e-9)
+        free, n = tokens - min(depth, tokens), apart + 1
+        self.cuts = [(depth + i * free // n, depth + (i + 1) * free // n) for i in range(n)] if free >= n else [(0, 0)]
+        self.held: dict[tuple, list[int]] = {}
+
+    def keys(self, tokens: list[str]) -> Iterator[tuple]:
+        return ((i, *tokens[a:b]) for i, (a, b) in enumerate(self.cuts))
+
+    def add(self, number: int, tokens: list[str]) -> None:
+        for key in self.keys(tokens):
+            known = self.held.setdefault(key, [])
+            if not known or known[-1] != number:
+                known.append(number)
+
+    def like(self, tokens: list[str]) -> list[int]:
+        found = [self.held[key] for key in self.keys(tokens) if key in self.held]
+        return found[0] if len(found) == 1 else sorted(set().union(*found))
+
+
+def grow(leaf_lines: list[tuple[int, str, int, int]], similarity: float, depth: int = 0) -> list[tuple[int, str, int, int]]:
+    """(h, line, docs, first) of one leaf, in order -> (h, template, docs of the template, first of the template). All lines have
+    the same number of tokens, of which the first `depth` are equal."""
     templates: list[list] = []
     member = []
+    index = None
     for _, line, docs, first in leaf_lines:
         tokens = line.split(" ")
+        index = index or _Index(len(tokens), depth, similarity)
         best, most = None, similarity * len(tokens)
-        for t in templates:
-            same = sum(map(str.__eq__, t[0], tokens))
+        for number in sorted(set(index.like(tokens))):
+            same = sum(map(str.__eq__, templates[number][0], tokens))
             if same >= most and (best is None or same > most):
-                best, most = t, same
+                best, most = number, same
         if best is None:
-            best = [tokens, 0, first]
-            templates.append(best)
+            best = len(templates)
+            templates.append([tokens, 0, first])
+            index.add(best, tokens)
         else:
-            best[0] = [x if x == y else WILD for x, y in zip(best[0], tokens, strict=True)]
-        best[1] += docs
-        best[2] = min(best[2], first)
-        member.append(best)
+            merged = [x if x == y else WILD for x, y in zip(templates[best][0], tokens, strict=True)]
+            if merged != templates[best][0]:
+                templates[best][0] = merged
+                index.add(best, merged)
+        t = templates[best]
+        t[1] += docs
+        t[2] = min(t[2], first)
+        member.append(t)
     return [(row[0], " ".join(t[0]), t[1], t[2]) for row, t in zip(leaf_lines, member, strict=True)]
 
 
-def _known(leaf_lines: list[tuple[int, str, int, int]], similarity: float) -> list[tuple[int, int, int, int, int]]:
+def _known(leaf_lines: list[tuple[int, str, int, int]], similarity: float, depth: int) -> list[tuple[int, int, int, int, int]]:
     """(h, template, known, most, first) of one leaf's lines: the template's number, documents it has at least and at most, its first.
 
     known is exact if each line is in one document, its first; it's the line in most documents or the different firsts otherwise.
     """
     templates: dict[str, list] = {}
-    grown = grow(leaf_lines, similarity)
+    grown = grow(leaf_lines, similarity, depth)
     for (h, _, docs, first), (_, text, _, _) in zip(leaf_lines, grown, strict=True):
         t = templates.setdefault(text, [h, 0, 0, set()])
         t[1], t[2] = max(t[1], docs), t[2] + docs
@@ -108,10 +143,10 @@ def _known(leaf_lines: list[tuple[int, str, int, int]], similarity: float) -> li
     return out
 
 
-def _leaves(similarity: float):
+def _leaves(similarity: float, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*_known(rows, similarity), strict=True)], ["h", "template", "known", "most", "first"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*_known(rows, similarity, depth), strict=True)], ["h", "template", "known", "most", "first"])
 
         held, now = [], None
         for batch in batches:
@@ -136,10 +171,10 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
     several = cut(counted.join(leaves.where("lines > 1").select("leaf"), "leaf"))
     alone = counted.where(F.col("docs") >= min_docs).join(leaves.where("lines = 1").select("leaf"), "leaf", "left_semi")
     # the words of a line are read once, from its first document
-    texts = docs.select("doc_id", "text").join(several.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(several.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     words = _lines(texts, depth, min_tokens, True).join(several.withColumnRenamed("first", "doc_id"), ["doc_id", "leaf", "h"]).dropDuplicates(["h"])
     dealt = words.select("leaf", "h", "line", "docs", F.col("doc_id").alias("first")).repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "h")
-    grown = dealt.mapInArrow(_leaves(similarity), "h long, template long, known long, most long, first long").where(F.col("most") >= min_docs)
+    grown = dealt.mapInArrow(_leaves(similarity, depth), "h long, template long, known long, most long, first long").where(F.col("most") >= min_docs)
     if min_docs <= 2:  # a template whose lines are in one document each is counted exactly, any other is in two
         return alone.select("h", "first").union(grown.where(F.col("known") >= min_docs).select("h", "first"))
     grown = cut(grown)
@@ -153,8 +188,9 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int =
     """All columns of docs, text without the dropped lines, and n_lines, n_dropped (names that docs has are replaced)."""
     out = cut(recurring(docs, min_docs, min_tokens, depth, similarity))
     place = _lines(docs, depth, min_tokens).drop("leaf")
-    gone = place.join(out.select("h", "first"), "h").where("doc_id != first").groupBy("doc_id").agg(F.collect_set("pos").alias("__gone"))
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    mark = next(c for i in range(len(rest) + 1) if (c := f"gone_{i}") not in {x.lower() for x in rest})
+    gone = place.join(out.select("h", "first"), "h").where("doc_id != first").groupBy("doc_id").agg(F.collect_set("pos").alias(mark))
     names = [*rest, "n_lines", "n_dropped"]
     schema = docs.select(*rest).withColumn("n_lines", F.lit(0).cast("long")).withColumn("n_dropped", F.lit(0).cast("long")).schema
 
@@ -162,7 +198,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int =
         for batch in batches:
             for part in slices(batch, "text"):
                 texts, n, dropped = [], [], []
-                for text, drop in zip(part.column("text").to_pylist(), part.column("__gone").to_pylist(), strict=True):
+                for text, drop in zip(part.column("text").to_pylist(), part.column(mark).to_pylist(), strict=True):
                     lines = text.split("\n") if text else []
                     n.append(len(lines))
                     drop = set(drop or ())

@@ -34,7 +34,10 @@ SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(component_id,
 DECONTAMINATE = f"""
 WITH i AS (SELECT item_id, {_GRAMS} AS g FROM (SELECT item_id, {_PLAIN.format('text')} AS l FROM benchmark)),
 ix AS MATERIALIZED (SELECT item_id, len(g) AS n, unnest(g) AS x FROM i),
-d AS MATERIALIZED (SELECT doc_id, unnest({_GRAMS}) AS x FROM (SELECT doc_id, {_PLAIN.format('text')} AS l FROM documents)),
+t AS MATERIALIZED (SELECT doc_id, {_PLAIN.format('text')} AS l FROM documents),
+size AS (SELECT unnest([1, 2, 3, 4]) AS n),
+d AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' '))) AS x FROM t
+UNION SELECT doc_id, 'short ' || array_to_string(l[i:i + n - 1], ' ') FROM (SELECT doc_id, l, n, unnest(range(1, len(l) - n + 2)) AS i FROM t, size WHERE n IN (SELECT len(l) FROM (SELECT {_PLAIN.format('text')} AS l FROM benchmark)))),
 f AS (SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_found FROM d JOIN ix USING (x) GROUP BY ALL)
 SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment FROM f WHERE n_found >= 0.75 * n_shingles
 """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracelens.session import ship
 
-from .common import table
+from .common import new_folder, table
 
 
 def op4_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
     ship(spark)
-    return secrets.digest(secrets.findings(*secrets.scan(table(spark, sf_dir, "documents"))))
+    return secrets.digest(secrets.findings(*secrets.update(table(spark, sf_dir, "documents"), new_folder(spark, "ledger"))))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,12 @@ found; a scan looks only at blob and rule-version pairs that the ledger doesn't
 many paths or versions carry it, and findings are joined back to every path. New rules or raised versions rescan all blobs
 for those rules alone; unchanged history costs a join.
 
+The ledger is a Parquet table (see `update`): each scan appends what it found, empty findings too, and reads the whole back.
+
+Base rules are those of the contract; the method's own add the tokens of known issuers, private keys and signed web tokens.
 Null or empty text is the empty blob, without findings. Very long texts are scanned whole. Equal rows each get the findings
-of their blob; a blob that only rows without doc_id have is not scanned. Extra columns are ignored.
+of their blob; rows without doc_id get theirs too. Ties: kinds that start at one place are ordered as the rules are. An empty
+table gives no rows and an empty ledger. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +53,18 @@ BASE_RULES = (
 )
 
 
+#: Formats that issuers publish for their tokens and keys.
+ISSUED_RULES = (
+    Rule("private_key", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 27, ("PRIVATE KEY-----",)),
+    Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 35, ("eyJ",)),
+    Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15, ("xox",)),
+    Rule("google", 1, r"AIza[A-Za-z0-9_-]{35}", 0, 39, ("AIza",)),
+    Rule("stripe", 1, r"[rs]k_live_[A-Za-z0-9]{16,}", 0, 24, ("k_live_",)),
+)
+RULES = BASE_RULES + ISSUED_RULES
+
+
 def find(rule: Rule, compiled: re.Pattern, text: str, folded: str) -> list[tuple[int, int]]:
     if rule.hint and not any(h in (folded if rule.fold else text) for h in rule.hint):
         return []
@@ -72,8 +88,9 @@ def _scan(rules: tuple[Rule, ...]):
     return run
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE_RULES) -> tuple[DataFrame, DataFrame]:
-    """(paths, ledger): paths has doc_id and blob of each row of docs(doc_id, text); ledger has all blobs scanned so far.
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """(paths, found): paths has doc_id and blob of each row of docs(doc_id, text); found has a ledger's rows of every pair of
+    blob and rule version that `ledger` lacks.
 
     doc_id stands for a path at a version. Of equal blobs, the row of least doc_id is read.
     """
@@ -85,15 +102,27 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     if ledger is None:
         todo = blobs.withColumn("todo", current)
     else:
-        wanted = spark.createDataFrame([(r.name, r.version) for r in rules], "rule string, version int")
+        wanted = spark.createDataFrame([(r.name, r.version) for r in rules], "rule string, version int")  # as many as there are rules
         seen = ledger.join(F.broadcast(wanted), ["rule", "version"]).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(current, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("todo") > 0)
-    text = docs.select("doc_id", "text", blob).join(todo.select("doc_id", "blob", "todo"), ["doc_id", "blob"])
-    found = text.select("blob", "todo", "text").mapInArrow(_scan(rules), LEDGER)
-    return paths, found if ledger is None else ledger.unionByName(found)
+    row, wants = docs.select("doc_id", "text", blob).alias("row"), todo.select("doc_id", "blob", "todo").alias("wants")
+    text = row.join(wants, (F.col("row.blob") == F.col("wants.blob")) & F.col("row.doc_id").eqNullSafe(F.col("wants.doc_id")))
+    return paths, text.select("row.blob", "todo", "text").mapInArrow(_scan(rules), LEDGER)
+
+
+def update(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """(paths, ledger): scans what the ledger at that path (a folder that driver and executors share; new or from earlier scans)
+    hasn't seen and appends it there; ledger is the whole table as it is then, each pair of blob and rule version once."""
+    spark = docs.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
+    known = spark.read.schema(LEDGER).parquet(ledger_path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
+    paths, found = scan(docs, known, rules)
+    found.write.mode("append").parquet(ledger_path)
+    # rows without doc_id, equal rows and two scans at once can add a pair twice
+    return paths, spark.read.schema(LEDGER).parquet(ledger_path)
 
 
-def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, blob, and spans: array<struct<start, place, end, kind>> sorted, of the current rules, for every path."""
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
     hit = ledger.where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s"), order[F.col("rule")].alias("place"), F.col("rule").alias("kind"), "version")
