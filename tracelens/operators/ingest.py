@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -13,85 +15,64 @@ from ..functions import ids, lexicon
 from ..functions import text as T
 
 TARGET_TOKENS, MIN_TOKENS, OVERLAP = 800, 30, 120
-_FENCE, _HEADING = re.compile(r"^\s*(```|~~~)"), re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
-
-
-def _estimate(text: str) -> int:
-    return max(1, len(text) // 4)
-
-
-def _scan(text: str) -> Iterator[tuple[str, bool, bool]]:
-    """Lines with: whether the line is inside a fence or opens or closes one, whether it is a fence mark."""
-    mark = None
-    for line in text.splitlines():
-        found = _FENCE.match(line)
-        if found:
-            mark = found[1] if mark is None else None if mark == found[1] else mark
-            yield line, True, True
-        else:
-            yield line, mark is not None, False
-
-
-def sections(markdown: str) -> list[tuple[list[str], str]]:
-    """(heading path, body) of sections with a body; headings in fences are text."""
-    path: list[tuple[int, str]] = []
-    out: list[tuple[list[str], list[str]]] = [([], [])]
-    for line, fenced, _ in _scan(markdown):
-        heading = None if fenced else _HEADING.match(line)
-        if heading:
-            level = len(heading[1])
-            path = [p for p in path if p[0] < level] + [(level, heading[2].strip())]
-            out.append(([title for _, title in path], []))
-        else:
-            out[-1][1].append(line)
-    return [(p, body) for p, lines in out if (body := "\n".join(lines).strip())]
-
-
-def _blocks(body: str) -> list[str]:
-    """Runs of lines between blank lines; a fence is never cut."""
-    out: list[list[str]] = [[]]
-    for line, fenced, _ in _scan(body):
-        if not fenced and not line.strip():
-            if out[-1]:
-                out.append([])
-        else:
-            out[-1].append(line)
-    return ["\n".join(b) for b in out if b]
+CHARS_PER_TOKEN = 4
+#: What a document is made of: a fence with all up to the line that closes it (or the end), a heading, a blank line, any other line.
+_UNIT = re.compile(
+    r"^[^\S\n]*(?P<mark>```|~~~)[^\n]*(?:(?:\n.*?)??\n[^\S\n]*(?P=mark)[^\n]*|.*\Z)"
+    r"|^(?P<level>\#{1,6})[^\S\n]+(?P<title>[^\n]*?)[^\S\n]*\#*[^\S\n]*$|^(?P<blank>[^\S\n]*)$|^[^\n]+$",
+    re.M | re.S,
+)
+
+
+def sections(markdown: str) -> list[tuple[list[str], list[str], int]]:
+    """(heading path, blocks, characters) of sections with any text. Blocks are runs of lines without a blank one; headings and
+    blank lines inside a fence are text, so a fence is never cut."""
+    text = "\n".join(markdown.splitlines())
+    units = [*_UNIT.finditer(text)]
+    slots: list[str | None] = [None] * 6  # the heading of each level, which clears those under it
+    out = []
+    bounds = [-1, *(i for i, u in enumerate(units) if u["level"]), len(units)]
+    for at, after in itertools.pairwise(bounds):
+        if at >= 0:
+            level = len(units[at]["level"])
+            slots[level - 1 :] = [units[at]["title"].strip(), *[None] * (6 - level)]
+        inside = units[at + 1 : after]
+        blocks = ["\n".join(u[0] for u in run) for kept, run in itertools.groupby(inside, lambda u: u["blank"] is None) if kept]
+        if blocks:
+            blocks[0] = blocks[0].lstrip()
+            blocks[-1] = blocks[-1].rstrip()
+            out.append(([s for s in slots if s is not None], blocks, len(text[inside[0].start() : inside[-1].end()].strip())))
+    return out
+
+
+def _sizable(found: list[tuple[list[str], list[str], int]], least: int) -> Iterator[tuple[list[str], list[str]]]:
+    """Runs of sections with `least` tokens together, under the last one's headings; what is left at the end joins the run before."""
+    ends = [0, *itertools.accumulate(chars + 2 for _, _, chars in found)]
+    chars = least * CHARS_PER_TOKEN + 2 if least > 1 else 0
+    cuts = [0]
+    while cuts[-1] < len(found) and (after := bisect.bisect_left(ends, ends[cuts[-1]] + chars, cuts[-1] + 1)) <= len(found):
+        cuts.append(after)
+    if len(cuts) == 1 and found:  # all of it together is short
+        cuts.append(len(found))
+    rest = found[cuts[-1] :]
+    for i, (a, b) in enumerate(itertools.pairwise(cuts)):
+        tail = rest if i == len(cuts) - 2 else []
+        yield found[b - 1][0], [x for _, blocks, _ in (*found[a:b], *tail) for x in blocks]
+
+
+def _packed(blocks: list[str], target: int, overlap: int) -> Iterator[str]:
+    """As many blocks as fit the target, over again from the last ones that fit the overlap; a block over the target stays whole."""
+    total = [0, *itertools.accumulate(max(1, len(b) // CHARS_PER_TOKEN) for b in blocks)]
+    start = stop = 0
+    while stop < len(blocks):
+        start = max(start, bisect.bisect_left(total, total[stop] - overlap)) if stop else 0
+        stop = max(stop + 1, bisect.bisect_right(total, total[start] + target) - 1)
+        yield "\n\n".join(blocks[start:stop]).strip()
 
 
 def pieces(markdown: str, target: int = TARGET_TOKENS, least: int = MIN_TOKENS, overlap: int = OVERLAP) -> list[tuple[list[str], str]]:
     """Chunks of a document: short sections join the next one, long ones are packed from blocks with an overlapping tail."""
-    joined: list[tuple[list[str], str]] = []
-    waiting: tuple[list[str], str] | None = None
-    for path, body in sections(markdown):
-        if waiting:
-            body, waiting = waiting[1] + "\n\n" + body, None
-        if _estimate(body) < least:
-            waiting = (path, body)
-        else:
-            joined.append((path, body))
-    if waiting:
-        if joined:
-            joined[-1] = (joined[-1][0], joined[-1][1] + "\n\n" + waiting[1])
-        else:
-            joined.append(waiting)
-    out = []
-    for path, body in joined:
-        held: list[str] = []
-        packs: list[list[str]] = []
-        for block in _blocks(body):
-            if held and sum(map(_estimate, held)) + _estimate(block) > target:
-                packs.append(held)
-                tail: list[str] = []
-                for b in reversed(held):
-                    if sum(map(_estimate, tail)) + _estimate(b) > overlap:
-                        break
-                    tail.insert(0, b)
-                held = tail
-            held = [*held, block]
-        packs += [held] if held else []
-        out += [(path, text) for p in packs or [[body]] if (text := "\n\n".join(p).strip())]
-    return out
+    return [(path, text) for path, blocks in _sizable(sections(markdown), least) for text in _packed(blocks, target, overlap) if text]
 
 
 def chunk_markdown(docs: DataFrame) -> DataFrame:
@@ -111,7 +92,7 @@ def chunk_markdown(docs: DataFrame) -> DataFrame:
 def corpus_version(docs: DataFrame, label: str = "corpus") -> DataFrame:
     """label@ and 8 hex digits over the sorted document digests, whatever their order.
 
-    Digests are combined in two levels, so no task gathers all of them: by the first two hex digits, then the 256 results.
+    Digests are combined in two levels, so no task gathers all of them: by the first three hex digits, then the 4096 results.
     """
     digest = docs.select(F.sha2(F.concat_ws("\x1f", "tenant_id", "doc_id", F.sha2(T.text_of("text"), 256)), 256).alias("d"))
     parts = digest.groupBy(F.substring("d", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("d")), ""), 256).alias("d"))

@@ -93,18 +93,34 @@ CTES: dict[str, tuple[str, list[str]]] = {
 }
 
 
-def configs_cte(names: list[str]) -> str:
-    from dataclasses import astuple, fields
-
-    from .plans.config import Config, compose, normalise
+#: The settings of each configuration, as the survey lists them (A1, A2); they are stated here again, so that the queries'
+#: own list can't vouch for itself.
+CONFIG_COLUMNS = "config_id, lexical_top_k, k1, b, semantic_top_k, rrf_k, gate_threshold, gate_signal, rerank, gray_ratio, margin_ratio, shortlist, neighbours, width, rewrite, discriminator_guard"
+CONFIG_ROWS = {
+    "baseline": "('baseline', 20, 1.2, 0.75, 20, 60, 0.42, 'dense_top1', 'gray', 1.6, 0.15, 10, 1, 3, true, true)",
+    "no_lexical": "('no_lexical', NULL, 1.2, 0.75, 20, 60, 0.42, 'dense_top1', 'gray', 1.6, 0.15, 10, 1, 3, true, true)",
+    "no_semantic": "('no_semantic', 20, 1.2, 0.75, NULL, 60, 0.42, 'dense_top1', 'gray', 1.6, 0.15, 10, 1, 3, true, true)",
+    "no_fusion": "('no_fusion', 20, 1.2, 0.75, 20, NULL, 0.42, 'dense_top1', 'gray', 1.6, 0.15, 10, 1, 3, true, true)",
+    "no_gate": "('no_gate', 20, 1.2, 0.75, 20, 60, NULL, 'dense_top1', 'gray', 1.6, 0.15, 10, 1, 3, true, true)",
+    "no_rerank": "('no_rerank', 20, 1.2, 0.75, 20, 60, 0.42, 'dense_top1', NULL, 1.6, 0.15, 10, 1, 3, true, true)",
+    "force_rerank": "('force_rerank', 20, 1.2, 0.75, 20, 60, 0.42, 'dense_top1', 'always', 1.6, 0.15, 10, 1, 3, true, true)",
+    "no_expansion": "('no_expansion', 20, 1.2, 0.75, 20, 60, 0.42, 'dense_top1', 'gray', 1.6, 0.15, 10, NULL, 3, true, true)",
+    "top_k_1": "('top_k_1', 20, 1.2, 0.75, 20, 60, 0.42, 'dense_top1', 'gray', 1.6, 0.15, 10, 1, 1, true, true)",
+    "no_rewrite": "('no_rewrite', 20, 1.2, 0.75, 20, 60, 0.42, 'dense_top1', 'gray', 1.6, 0.15, 10, 1, 3, false, true)",
+    "gate_on_fused": "('gate_on_fused', 20, 1.2, 0.75, 20, 60, 0.025, 'fused_top1', 'gray', 1.6, 0.15, 10, 1, 3, true, true)",
+    "no_discriminator_guard": "('no_discriminator_guard', 20, 1.2, 0.75, 20, 60, 0.42, 'dense_top1', 'gray', 1.6, 0.15, 10, 1, 3, true, false)",
+    "no_discriminator_guard+no_lexical": "('no_discriminator_guard+no_lexical', NULL, 1.2, 0.75, 20, 60, 0.42, 'dense_top1', 'gray', 1.6, 0.15, 10, 1, 3, true, false)",
+    "no_gate+no_lexical": "('no_gate+no_lexical', NULL, 1.2, 0.75, 20, 60, NULL, 'dense_top1', 'gray', 1.6, 0.15, 10, 1, 3, true, true)",
+    "no_gate+no_semantic": "('no_gate+no_semantic', 20, 1.2, 0.75, NULL, 60, NULL, 'dense_top1', 'gray', 1.6, 0.15, 10, 1, 3, true, true)",
+    "no_discriminator_guard+no_gate": "('no_discriminator_guard+no_gate', 20, 1.2, 0.75, 20, 60, NULL, 'dense_top1', 'gray', 1.6, 0.15, 10, 1, 3, true, false)",
+}
+CONFIG_KINDS = "VARCHAR INTEGER DOUBLE DOUBLE INTEGER INTEGER DOUBLE VARCHAR VARCHAR DOUBLE DOUBLE INTEGER INTEGER INTEGER BOOLEAN BOOLEAN".split()
 
-    def lit(v, kind: str) -> str:
-        sql = "DOUBLE" if "float" in kind else "BOOLEAN" if "bool" in kind else "INTEGER" if "int" in kind else "VARCHAR"
-        return f"CAST({'NULL' if v is None else _q(v) if isinstance(v, str) else str(v)} AS {sql})"
 
-    kinds = [str(f.type) for f in fields(Config)]
-    rows = ", ".join("(" + ", ".join([_q(normalise(n)), *(lit(v, k) for v, k in zip(astuple(compose(n)), kinds, strict=True))]) + ")" for n in names)
-    return f"SELECT * FROM (VALUES {rows}) c(config_id, {', '.join(f.name for f in fields(Config))})"
+def configs_cte(names: list[str]) -> str:
+    rows = ", ".join(CONFIG_ROWS["+".join(sorted(n.split("+")))] for n in names)
+    columns = ", ".join(f"CAST({c} AS {k}) AS {c}" for c, k in zip(CONFIG_COLUMNS.split(", "), CONFIG_KINDS, strict=True))
+    return f"SELECT {columns} FROM (VALUES {rows}) c({CONFIG_COLUMNS})"
 
 
 def sql(final: str, needs: list[str], extra: dict[str, tuple[str, list[str]]] | None = None) -> str:
