@@ -18,7 +18,9 @@ never cut, scripts and the like apart. Where an article or main element is there
 
 Null or empty html, and pages without a body text, give the empty text. Broken markup is read as browsers mend it: an open
 paragraph ends where another block begins, an unfinished tag at the end is dropped. White space inside a block becomes one
-space, blocks are joined by one space; nothing is capped. Equal rows give equal texts. Extra columns are ignored.
+space, blocks are joined by one space; nothing is capped, and very long pages are read one at a time. Of subtrees with equal sums
+the first is the main one. Equal rows give equal texts, a row each; rows without page_id are kept; an empty table gives an empty
+one. page_id: any integer type. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import slices, texts_of
 
@@ -314,4 +317,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(p) for p in texts_of(part.column("html"))]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

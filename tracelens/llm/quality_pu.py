@@ -9,8 +9,10 @@ Labels are learnt only from rows outside the held-out third (crc32 of doc_id as
 and doc_id are never inputs of a score. The fit uses at most `most_positive` positives and `most_unlabelled` unlabelled
 documents, those of least hash; scoring covers every whole text and needs no shuffle.
 
-Null or empty text: all statistics are 0, scored like any other text. No labels: every score is 0.5. Equal texts get equal
-scores. Rows without doc_id are scored, not learnt from. Extra columns are ignored.
+Null or empty text: all statistics are 0, scored like any other text. No labels, or no documents to learn from: every score is
+0.5, and `keep` keeps all. Equal texts get equal scores, so repeated rows do; of rows with equal doc_id one is learnt from. Ties at
+0.5 count as good. Very long texts are read whole, one at a time. Rows without doc_id are scored, not learnt from. doc_id: any
+integer type. Extra columns are ignored by `predict` and kept by `keep`. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -149,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "positive", "x"])
 
     # at most most_positive + most_unlabelled ids are broadcast: a bound that doesn't follow the input
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text").mapInArrow(run, "doc_id long, positive boolean, x array<double>").toPandas()
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text").mapInArrow(run, "doc_id long, positive boolean, x array<double>")
+    sample = sample.groupBy("doc_id", "positive").agg(F.min("x").alias("x")).toPandas()  # one row for each id chosen
     sample = sample.sort_values(["doc_id", "positive"], kind="stable")
     x, positive = np.array(sample["x"].tolist(), dtype=float), sample["positive"].to_numpy(dtype=bool)
     if not positive.any() or positive.all():
@@ -166,7 +169,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 x = np.array([statistics(t) for t in texts_of(part.column("text"))])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(x) if model else np.full(len(x), 0.5))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:

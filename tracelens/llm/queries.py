@@ -51,7 +51,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secrets
 
     ship(spark)
-    return secrets.digest(secrets.findings(*secrets.update(table(spark, sf_dir, "documents"), new_folder(spark, "ledger"))))
+    paths, ledger = secrets.update(table(spark, sf_dir, "documents"), new_folder(spark, "ledger"))
+    return secrets.digest(secrets.findings(paths, ledger, secrets.RULES))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

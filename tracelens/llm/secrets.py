@@ -88,9 +88,14 @@ def _scan(rules: tuple[Rule, ...]):
     return run
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(paths, found): paths has doc_id and blob of each row of docs(doc_id, text); found has a ledger's rows of every pair of
-    blob and rule version that `ledger` lacks.
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE_RULES) -> tuple[DataFrame, DataFrame]:
+    """(paths, ledger): paths has doc_id and blob of each row of docs(doc_id, text); ledger has all blobs scanned so far."""
+    paths, found = _unseen(docs, ledger, rules)
+    return paths, found if ledger is None else ledger.unionByName(found)
+
+
+def _unseen(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> tuple[DataFrame, DataFrame]:
+    """paths, and a ledger's rows of every pair of blob and rule version that `ledger` lacks.
 
     doc_id stands for a path at a version. Of equal blobs, the row of least doc_id is read.
     """
@@ -116,13 +121,13 @@ def update(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -
     spark = docs.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
     known = spark.read.schema(LEDGER).parquet(ledger_path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
-    paths, found = scan(docs, known, rules)
+    paths, found = _unseen(docs, known, rules)
     found.write.mode("append").parquet(ledger_path)
     # rows without doc_id, equal rows and two scans at once can add a pair twice
     return paths, spark.read.schema(LEDGER).parquet(ledger_path)
 
 
-def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
     """doc_id, blob, and spans: array<struct<start, place, end, kind>> sorted, of the current rules, for every path."""
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
     hit = ledger.where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s"), order[F.col("rule")].alias("place"), F.col("rule").alias("kind"), "version")

@@ -12,7 +12,9 @@ over a shared signature of their prefixes.
 A document's neighbour (the next doc_id, the first after the last) is found inside id ranges; each range also gets a copy of
 the first row of the next one, so texts are dealt out once and no window spans more than a range. Null or empty text: empty
 fingerprint, likeness 1 to another empty one and 0 to any other. Equal texts have equal fingerprints. With one document, it
-is its own neighbour. Rows with equal doc_id follow each other by text; rows without one are left out. Extra columns are ignored.
+is its own neighbour. Rows with equal doc_id follow each other by text; rows without one are left out. Very long texts are one
+row's arrays at a time. Empty tables give no rows. Where a text has no signature its fingerprint is of another kind (words, not
+chains), so its likeness to one with chains is 0 or near it. Extra columns are ignored.
 """
 
 from __future__ import annotations

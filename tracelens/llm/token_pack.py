@@ -8,14 +8,17 @@ Layout (little-endian): magic "TLPACK1\\0"; u32 bits; u32 ids in a block; u64 do
 ends u64[documents] (ids up to and with each document's last); u64 block offsets[blocks + 1], from the file's start; blocks.
 
 Files are written into a folder that driver and executors share, under a name of their own, and then renamed: a task that
-runs twice leaves one whole file. Null or empty texts hold the end id alone. No documents: no files. doc_id is taken to be
-unique; repeated ids are kept as rows of their own, in unspecified order among themselves; rows without one are left out. Extra columns are ignored.
+runs twice leaves one whole file. A range's next file begins when the one before it has `roll_bytes` of blocks, so what a task
+holds is bounded by that and the longest text. Null or empty texts hold the end id alone. No documents: no files. doc_id is
+taken to be unique and of any integer type; repeated ids are kept as rows of their own, in the order of their texts; rows
+without one are left out. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import json
 import struct
 import uuid
@@ -23,20 +26,22 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe_automaton import byte_labels
-from .common import new_folder, slices, texts_of, with_range
+from .common import cut, new_folder, slices, texts_of, with_range
 from .presplit import UNKNOWN, PieceTable, classes, code_points, encode
 
 MAGIC = b"TLPACK1\0"
 HEAD = struct.Struct("<8sIIQQ")
 #: Pieces of text repeat; a worker holds the ids of so many of them.
 MOST_PIECES = 300_000
+#: Bytes of blocks from which on a file is closed; tasks that read files.
+ROLL_BYTES, MOST_TASKS = 32 << 20, 100_000
 
 
 def bits_for(vocab_size: int) -> int:
@@ -67,6 +72,11 @@ class PackWriter:
         self.sizes: list[int] = []
         self.blocks, self.rest, self.held, self.total = io.BytesIO(), [], 0, 0
 
+    @property
+    def packed(self) -> int:
+        """Bytes of the blocks packed so far."""
+        return self.blocks.tell()
+
     def add(self, doc_id: int, ids: np.ndarray) -> None:
         self.total += len(ids)
         self.doc_ids.append(doc_id)
@@ -167,9 +177,9 @@ def _encoder(file_text: str) -> Encoder:
     return _encoders[key]
 
 
-def write_files(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int | None = 0, block_ids: int = 4096, rows_per_file: int = 2048) -> DataFrame:
+def write_files(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int | None = 0, block_ids: int = 4096, rows_per_file: int = 2048, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Encodes docs(doc_id, text) into files in folder (a URI that pyarrow opens); returns file, n_docs, n_ids, start, one row
-    for each file, in ascending doc_id order. Their number is bounded (see with_range), so this list is held on the driver."""
+    for each file. The driver holds one number for each id range, of which there are 65536 at most (see with_range)."""
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
@@ -180,31 +190,33 @@ def write_files(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int |
         fs, path = pafs.FileSystem.from_uri(folder)
         encoder = _encoder(shared.value)
         tail = np.array([] if end_id is None else [end_id], "<i4")
-        writer, now, done = None, None, []
+        writer, now, part_no, done = None, None, 0, []
 
         def close() -> None:
-            name = f"range-{now:06d}.tlpack"
-            done.append((name, now, len(writer.doc_ids), writer.save(fs, f"{path}/{name}")))
+            name = f"range-{now:06d}-{part_no:06d}.tlpack"
+            done.append((f"{folder}/{name}", now, part_no, len(writer.doc_ids), writer.save(fs, f"{path}/{name}")))
 
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 encoded = encoder.texts(texts_of(part.column("text")))
                 for r, doc_id, data in zip(part.column("range_id").to_pylist(), part.column("doc_id").to_pylist(), encoded, strict=True):
-                    if r != now:
+                    if r != now or writer.packed >= roll_bytes:
                         if writer:
                             close()
+                        part_no = part_no + 1 if r == now else 0
                         writer, now = PackWriter(bits_for(encoder.vocab_size), block_ids), r
                     writer.add(doc_id, np.concatenate([data, tail]))
         if writer:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["file", "range_id", "n_docs", "n_ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 5, (pa.string(), *[pa.int64()] * 4), strict=True)], ["file", "range_id", "part", "n_docs", "n_ids"])
 
-    ranged = with_range(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", rows_per_file)
-    dealt = ranged.repartition("range_id").sortWithinPartitions("range_id", "doc_id")
-    files = dealt.mapInArrow(run, "file string, range_id long, n_docs long, n_ids long").toPandas().sort_values("range_id")
-    starts = files["n_ids"].cumsum() - files["n_ids"]
-    made = pd.DataFrame({"file": files["file"].astype(str), "n_docs": files["n_docs"].astype("int64"), "n_ids": files["n_ids"].astype("int64"), "start": starts.astype("int64")})
-    return spark.createDataFrame([(folder + "/" + f, n, k, s) for f, n, k, s in made.itertuples(index=False)], "file string, n_docs long, n_ids long, start long")
+    ranged = with_range(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", rows_per_file)
+    dealt = ranged.repartition("range_id").sortWithinPartitions("range_id", "doc_id", "text")
+    files = cut(dealt.mapInArrow(run, "file string, range_id long, part long, n_docs long, n_ids long"))
+    ranges = sorted((r["range_id"], r["n"]) for r in files.groupBy("range_id").agg(F.sum("n_ids").alias("n")).collect())
+    before = spark.createDataFrame(list(zip([r for r, _ in ranges], itertools.accumulate([n for _, n in ranges], initial=0), strict=False)), "range_id long, before long")
+    within = F.coalesce(F.sum("n_ids").over(Window.partitionBy("range_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return files.join(F.broadcast(before), "range_id").select("file", "n_docs", "n_ids", (F.col("before") + within).alias("start"))
 
 
 def read_documents(files: DataFrame) -> DataFrame:
@@ -225,8 +237,7 @@ def read_documents(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(reader.doc_ids[place:stop]), pa.array(start + base + at[:-1]), lists], ["doc_id", "start", "ids"])
                     place = stop
 
-    count = files.count()
-    return files.repartition(max(1, count)).mapInArrow(run, "doc_id long, start long, ids array<int>")
+    return files.repartition(max(1, min(files.count(), MOST_TASKS)), "file").mapInArrow(run, "doc_id long, start long, ids array<int>")
 
 
 def digest(read: DataFrame) -> DataFrame:
