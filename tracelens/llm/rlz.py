@@ -155,7 +155,9 @@ def dedup_substrings(docs: DataFrame, window: int = 50, gram: int = 16) -> DataF
     blocks = docs.mapInArrow(_blocks(window, gram), "block long, doc_id long")
     alone = blocks.groupBy("block").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("most")).where("doc_id = most").groupBy("doc_id").agg(F.collect_list("block").alias("alone"))
     with_alone = docs.join(alone, "doc_id", "left").select("doc_id", "text", "alone")
-    owners = with_alone.mapInArrow(_lookups(window, gram), "h1 long, h2 long, doc_id long, place int").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("source"))
+    lookups = with_alone.mapInArrow(_lookups(window, gram), "h1 long, h2 long, doc_id long, place int")
+    # the filter changes no row; a later join on h1 and h2 would add it on its side alone, and the two uses could not share a shuffle
+    owners = lookups.where("h1 is not null and h2 is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "place")).alias("source"))
     own = owners.groupBy(F.col("source.doc_id").alias("doc_id")).agg(F.collect_list("h1").alias("own0"), F.collect_list("h2").alias("own1"))
     tiles = with_alone.join(own, "doc_id", "left").select("doc_id", "text", "alone", "own0", "own1").mapInArrow(_tiles(window, gram), "h1 long, h2 long, doc_id long, place int, run int")
     found = tiles.join(owners, ["h1", "h2"]).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("run", "place", F.col("source.doc_id").alias("source_id"), F.col("source.place").alias("source_place")))).alias("tiles"))
