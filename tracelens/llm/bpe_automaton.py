@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -35,11 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import slices, texts_of
+from .common import slices, texts_of, trim
 from .presplit import UNKNOWN, PieceTable, classes, code_points, encode
 
 #: Words whose ids a worker holds.
-MOST_WORDS = 300_000
+MOST_WORDS = 120_000
 
 
 def byte_labels() -> list[str]:
@@ -133,7 +134,7 @@ class Automaton:
                 if node == len(self.arc):
                     self.arc.append(-1)
             self.arc[node] = i
-        self.starts, self.ends = self.closed_from.tolist(), self.closed_to.tolist()
+        self.starts, self.ends = array("q", self.closed_from.tobytes()), array("q", self.closed_to.tobytes())
 
     def symbols_of(self, text: str) -> list[str]:
         if text.endswith(self.end) and len(text) > len(self.end):
@@ -250,6 +251,7 @@ def _tokenizer(file_text: str) -> WordTokenizer:
     key = hashlib.sha256(file_text.encode()).hexdigest()
     if key not in _tokenizers:
         _tokenizers[key] = WordTokenizer(file_text)
+        trim()
     return _tokenizers[key]
 
 
@@ -270,7 +272,7 @@ def encode_decode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
                 ids = tok.texts(texts_of(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids), pa.array([tok.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def decode(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
@@ -283,7 +285,7 @@ def decode(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([tok.decode(np.array(ids or [], "<i4")) for ids in batch.column("ids").to_pylist()], pa.string())], ["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, decoded string")
 
 
 def digest(result: DataFrame) -> DataFrame:

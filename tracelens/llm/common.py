@@ -10,11 +10,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that an operator holds in numpy arrays at a time (one document at least).
 SLICE_BYTES = 4 << 20
+#: Rows of a file of a table known to be small, and the least number of such files.
+ROWS_PER_FILE, LEAST_FILES = 50_000, 6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,16 +43,25 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, most: int | None = None, **totals: Column) -> DataFrame:
     """The rows of df, written as Parquet in the shared folder and read from there: later plans start from files, and a lost
-    executor costs no recomputation. Shuffle files behind it go with the plan."""
+    executor costs no computation before that point again. most: rows that df has at most, if known; a small table then gets
+    few files (one for ROWS_PER_FILE rows, one task each) however many partitions its plan has. totals: aggregates to be taken on
+    the way (see `total`)."""
     path = new_folder(df.sparkSession, "cut")
-    df.write.parquet(path)
+    seen = Observation()
+    out = df if most is None else df.coalesce(max(LEAST_FILES, -(-most // ROWS_PER_FILE)))
+    out.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in totals.items()]).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._tracelens_path = path
+    out._tracelens_path, out._tracelens_totals = path, seen.get
     return out
 
 
+def total(table: DataFrame, name: str = "rows"):
+    """An aggregate that `cut` took while it wrote the table; its rows are always counted."""
+    return table._tracelens_totals[name]
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes tables made by `cut` that no later plan reads."""
     for df in tables:
@@ -91,10 +102,10 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         held += int(n)
     if start < len(sizes):
         yield batch.slice(start)
-    _trim()
+    trim()
 
 
-def _trim() -> None:
+def trim() -> None:
     """Gives freed memory back to the system: idle Python workers share an executor's memory with the next stage."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

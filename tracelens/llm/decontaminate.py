@@ -72,7 +72,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, item_id, n_shingles (of the item), n_found, containment: every pair at or over the threshold."""
-    index = cut(sketches(items, threshold, k))
+    index = cut(sketches(items, threshold, k), items.count())
     lengths = sorted(r["words"] for r in index.where("words is not null").select("words").distinct().collect())  # under k of them
     key = index.select(F.explode("sketch").alias("h"), "item_id", "size")
     hashes = _small(key.select("h").distinct(), broadcast_rows)

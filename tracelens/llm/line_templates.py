@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, total
 
 MIN_DOCS, MIN_TOKENS, DEPTH, SIMILARITY = 2, 3, 3, 0.8
 WILD = "<*>"
@@ -162,13 +162,13 @@ def _leaves(similarity: float, depth: int):
     return run
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
-    """h (of a masked line), first: the lines of every template that recurs."""
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similarity: float = SIMILARITY) -> tuple[DataFrame, int]:
+    """h (of a masked line), first: the lines of every template that recurs; and how many there are at most."""
     lines = _lines(docs, depth, min_tokens)
     counted = cut(lines.groupBy("leaf", "h").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")))
     # a leaf's lines together are in at most the sum of their documents
     leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("lines")).where(F.col("all") >= min_docs)
-    several = cut(counted.join(leaves.where("lines > 1").select("leaf"), "leaf"))
+    several = cut(counted.join(leaves.where("lines > 1").select("leaf"), "leaf"), total(counted))
     alone = counted.where(F.col("docs") >= min_docs).join(leaves.where("lines = 1").select("leaf"), "leaf", "left_semi")
     # the words of a line are read once, from its first document
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(several.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -176,17 +176,17 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
     dealt = words.select("leaf", "h", "line", "docs", F.col("doc_id").alias("first")).repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "h")
     grown = dealt.mapInArrow(_leaves(similarity, depth), "h long, template long, known long, most long, first long").where(F.col("most") >= min_docs)
     if min_docs <= 2:  # a template whose lines are in one document each is counted exactly, any other is in two
-        return alone.select("h", "first").union(grown.where(F.col("known") >= min_docs).select("h", "first"))
-    grown = cut(grown)
+        return alone.select("h", "first").union(grown.where(F.col("known") >= min_docs).select("h", "first")), total(counted)
+    grown = cut(grown, total(several))
     unsure = grown.where(F.col("known") < min_docs).select("h", "template")
     counts = lines.select("doc_id", "h").join(unsure, "h").groupBy("template").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= min_docs)
     sure = grown.where(F.col("known") >= min_docs)
-    return alone.select("h", "first").union(sure.select("h", "first")).union(grown.join(counts.select("template"), "template", "left_semi").select("h", "first"))
+    return alone.select("h", "first").union(sure.select("h", "first")).union(grown.join(counts.select("template"), "template", "left_semi").select("h", "first")), total(counted)
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
     """All columns of docs, text without the dropped lines, and n_lines, n_dropped (names that docs has are replaced)."""
-    out = cut(recurring(docs, min_docs, min_tokens, depth, similarity))
+    out = cut(*recurring(docs, min_docs, min_tokens, depth, similarity))
     place = _lines(docs, depth, min_tokens).drop("leaf")
     rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     mark = next(c for i in range(len(rest) + 1) if (c := f"gone_{i}") not in {x.lower() for x in rest})

@@ -33,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, slices
+from .common import cut, drop, slices, total
 from .components import components
 from .wordhash import U, gram_starts, mix, runs, short_runs, words
 
@@ -45,6 +45,8 @@ from .wordhash import U, gram_starts, mix, runs, short_runs, words
 #: without being counted further.
 RANGE_SHINGLES, RARE, DIRECT, HOT = 1 << 20, 32, 32, 1 << 12
 HOT_COUNT = (1 << 31) - 1
+#: A row with a set counts as so many when files are dealt out.
+WIDE = 8
 SHARED = "array<struct<df:int,token:long>>"
 
 
@@ -255,13 +257,14 @@ def _proposals(label: DataFrame, threshold: int, partners: int = 2) -> DataFrame
     return best.select("a", "b", "of_a", "of_b")
 
 
-def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
-    """found (node, component) with the components that the links join up as single nodes, so the graph shrinks from round to round."""
-    step = components(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+def _joined(found: DataFrame | None, links: DataFrame, most: int) -> DataFrame:
+    """found (node, component) with the components that the links join up as single nodes, so the graph shrinks from round to round.
+    most: documents in lists, so as many nodes at most; links are not more than a few for each."""
+    step = components(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")), most)
     if found is None:
-        return cut(step)
+        return cut(step, most)
     moved = found.join(step.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    out = cut(moved.union(step.join(found, "node", "left_anti").select("node", "component")))
+    out = cut(moved.union(step.join(found, "node", "left_anti").select("node", "component")), most)
     drop(found)
     return out
 
@@ -283,9 +286,8 @@ def _open(label: DataFrame, direct: int) -> tuple[DataFrame, int, int]:
     lists = lists.where((F.col("x") != F.col("y")) & (~sided | ((F.col("one") > 0) & (F.col("two") > 0))))
     pairs = F.when(sided, F.col("one") * F.col("two")).otherwise(F.col("rows") * (F.col("rows") - 1) / 2)
     lists = lists.select("sig", F.when(pairs > direct * F.col("rows"), F.col("hub.doc_id")).alias("hub"))
-    seen = Observation()
-    out = cut(label.join(lists, "sig").observe(seen, F.count_if(F.col("hub").isNull()).alias("few"), F.count_if(F.col("hub").isNotNull()).alias("many")))
-    return out, seen.get["few"], seen.get["many"]
+    out = cut(label.join(lists, "sig"), total(label), few=F.count_if(F.col("hub").isNull()), many=F.count_if(F.col("hub").isNotNull()))
+    return out, total(out, "few"), total(out, "many")
 
 
 def _direct(label: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -331,7 +333,7 @@ def _measured(label: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFr
     own, ref = sets.select("doc_id", F.col("shared").alias("own")), sets.select(F.col("doc_id").alias("hub"), F.col("shared").alias("ref"))
     both = pairs.join(own, "doc_id").join(ref, "hub")
     kinds = ", ".join(f"{c} long" for c in ("hub", "doc_id", *ABOUT, "of"))
-    out = cut(both.select("hub", "doc_id", *ABOUT, "of", "own", "ref").mapInArrow(_measure(threshold), kinds + ", e long, place int, delta array<long>"))
+    out = cut(both.select("hub", "doc_id", *ABOUT, "of", "own", "ref").mapInArrow(_measure(threshold), kinds + ", e long, place int, delta array<long>"), WIDE * total(label, "many"))
     least = out.groupBy("hub").agg(F.min(F.struct("e", "doc_id", "of")).alias("z"), F.min(F.when(F.col("place") > 0, F.col("e"))).alias("least_far"))
     out = out.join(least.select("hub", F.col("z.e").alias("z_e"), F.col("z.of").alias("z_of"), "least_far"), "hub")
     return out, out.where("e + z_e <= 0 and of != z_of").select(F.col("of").alias("of_a"), F.col("z_of").alias("of_b")).distinct()
@@ -358,24 +360,23 @@ def _refined(measured: DataFrame, threshold: int) -> DataFrame:
 def link_components(docs: DataFrame, threshold: int = 75, k: int = 5, rare: int = RARE, direct: int = DIRECT, range_shingles: int = RANGE_SHINGLES, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (least doc_id with the same set), from docs(doc_id, text)."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    each = cut(docs.mapInArrow(_classes(k), "doc_id long, n_shingles long, h1 long, h2 long"))
-    classes = cut(each.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id")))
-    total = each.agg(F.sum("n_shingles")).first()[0] or 0
-    ranges = max(1, -(-total // range_shingles))
+    each = cut(docs.mapInArrow(_classes(k), "doc_id long, n_shingles long, h1 long, h2 long"), shingles=F.sum("n_shingles"))
+    classes = cut(each.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id")), total(each))
+    ranges = max(1, -(-(total(each, "shingles") or 0) // range_shingles))
     packed = docs.mapInArrow(_packed(k, ranges), "range long, n long, base long, width int, payload binary")
     shared = packed.repartition(min(ranges, 100_000), "range").sortWithinPartitions("range").mapInArrow(_shared(4 * range_shingles, hot), "doc_id long, df int, token long")
     reps = classes.where("n_shingles > 0").select(F.col("class_id").alias("doc_id"), "n_shingles")
     lists = shared.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("shared"))
     # with fewer shared shingles than the threshold asks for, a set links with none
-    sets = cut(reps.join(lists, "doc_id").where(F.size("shared") * 100 >= F.col("n_shingles") * threshold).select("doc_id", "n_shingles", "shared"))
+    sets = cut(reps.join(lists, "doc_id").where(F.size("shared") * 100 >= F.col("n_shingles") * threshold).select("doc_id", "n_shingles", "shared"), WIDE * total(classes))
     signed = cut(sets.mapInArrow(_signed(threshold, rare), "sig long, doc_id long, " + ", ".join(f"{c} long" for c in ABOUT)))
     sized = signed.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1").select("sig")
-    label = cut(signed.join(sized, "sig").select("sig", "doc_id", F.lit(0).alias("side"), *ABOUT, F.col("doc_id").alias("of")))
+    label = cut(signed.join(sized, "sig").select("sig", "doc_id", F.lit(0).alias("side"), *ABOUT, F.col("doc_id").alias("of")), total(signed))
     drop(signed)
     found = None
     for _ in range(2):
-        found = _joined(found, _verified(_proposals(label, threshold), sets, threshold))
-        old, label = label, cut(_still_open(_renamed(label, found)))
+        found = _joined(found, _verified(_proposals(label, threshold), sets, threshold), total(sets))
+        old, label = label, cut(_still_open(_renamed(label, found)), total(label))
         drop(old)
     while True:
         old, (label, few, many) = label, _open(label, direct)
@@ -386,13 +387,13 @@ def link_components(docs: DataFrame, threshold: int = 75, k: int = 5, rare: int
         if many:
             measured, outright = _measured(label, sets, threshold)
             links = links.union(outright) if few else outright
-        found = _joined(found, links)
+        found = _joined(found, links, total(sets))
         drop(label)
         if measured is None:
             break
         label = cut(_refined(_renamed(_renamed(measured, found), found, "z_of"), threshold))
     named = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("n_shingles", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    return each.join(cut(named), ["n_shingles", "h1", "h2"]).select("doc_id", "n_shingles", "component_id", "class_id")
+    return each.join(cut(named, total(classes)), ["n_shingles", "h1", "h2"]).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 def _still_open(label: DataFrame) -> DataFrame:
