@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import small
 
 EQUIVALENT_FROM, DEGRADED_FROM, CACHE_FROM = 0.72, 0.35, 0.93
 
@@ -39,8 +40,8 @@ def rollup(findings: DataFrame) -> DataFrame:
 
 
 def canary_scan(surfaces: DataFrame, canaries: DataFrame) -> DataFrame:
-    """Surfaces (tenant_id, surface, text) that show another tenant's canary; canaries(tenant_id, canary) are few and broadcast."""
-    c = F.broadcast(canaries.select(F.col("tenant_id").alias("owner"), "canary"))
+    """Surfaces (tenant_id, surface, text) that show another tenant's canary; canaries(tenant_id, canary) are broadcast if they are few."""
+    c = small(canaries.select(F.col("tenant_id").alias("owner"), "canary"))
     return surfaces.join(c, (F.col("tenant_id") != F.col("owner")) & F.contains(F.col("text"), F.col("canary"))).select("tenant_id", "surface", "owner", "canary")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import small
 from . import ingest
 from .scope import scope_map
 
@@ -32,29 +33,38 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return each.groupBy("query_id", "tenant_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def scope_stats(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """tenant_id (of questions), n, avgdl of its scope."""
-    own = chunks.select("tenant_id", F.size(T.content_tokens("text")).alias("dl")).groupBy("tenant_id").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
+def postings(chunks: DataFrame) -> DataFrame:
+    """tenant_id, chunk_id, dl, term, tf of every chunk: what an index build stores."""
+    return tokens(chunks).groupBy("tenant_id", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def scope_stats(chunks: DataFrame, questions: DataFrame, posted: DataFrame | None = None) -> DataFrame:
+    """tenant_id (of questions), n, avgdl of its scope; with the postings, chunks are counted and not read."""
+    if posted is None:
+        own = chunks.select("tenant_id", F.size(T.content_tokens("text")).alias("dl")).groupBy("tenant_id").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
+    else:
+        length = posted.groupBy("tenant_id").agg(F.sum("tf").alias("total"))
+        own = chunks.groupBy("tenant_id").agg(F.count("*").alias("n")).join(length, "tenant_id", "left").na.fill(0, ["total"])
     return own.withColumnRenamed("tenant_id", "chunk_tenant").join(scope_map(questions), "chunk_tenant").groupBy("tenant_id").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("avgdl"))
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, chunk_id, score, rank."""
+def bm25(chunks: DataFrame, questions: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, posted: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank; posted: stored postings of the chunks, if there are any."""
     wanted = query_terms(questions)
-    postings = tokens(chunks).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("tenant_id", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    postings = postings.withColumnRenamed("tenant_id", "chunk_tenant")
+    all_posted = postings(chunks) if posted is None else posted
+    hit = all_posted.join(wanted.select("term").distinct(), "term", "left_semi").withColumnRenamed("tenant_id", "chunk_tenant")
     scope = scope_map(questions)
-    df = postings.groupBy("chunk_tenant", "term").agg(F.count("*").alias("df")).join(scope, "chunk_tenant").groupBy("tenant_id", "term").agg(F.sum("df").alias("df"))
-    hits = wanted.join(scope, "tenant_id").join(postings, ["chunk_tenant", "term"]).join(df, ["tenant_id", "term"]).join(scope_stats(chunks, questions), "tenant_id")
+    df = hit.groupBy("chunk_tenant", "term").agg(F.count("*").alias("df")).join(scope, "chunk_tenant").groupBy("tenant_id", "term").agg(F.sum("df").alias("df"))
+    hits = wanted.join(scope, "tenant_id").join(hit, ["chunk_tenant", "term"]).join(df, ["tenant_id", "term"]).join(scope_stats(chunks, questions, posted), "tenant_id")
     rarity = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * rarity * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.bround(F.sum(part), 6).alias("score")).where("score > 0")
     return top_k(scored, k, "score")
 
 
-def concept_tables(chunks: DataFrame, questions: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chunk side: tenant_id, chunk_id, n, concept, distinct; question side: query_id, tenant_id, concept, qn)."""
-    own = tokens(chunks).select("tenant_id", "chunk_id", F.col("term").alias("token")).distinct().join(vocabulary, "token").select("tenant_id", "chunk_id", "concept").distinct()
+def concept_tables(posted: DataFrame, questions: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunk side: tenant_id, chunk_id, n, concept, distinct; question side: query_id, tenant_id, concept, qn), from postings."""
+    own = posted.select("tenant_id", "chunk_id", F.col("term").alias("token")).join(vocabulary, "token").select("tenant_id", "chunk_id", "concept").distinct()
     size = Window.partitionBy("chunk_id")
     asked = query_terms(questions).select("query_id", "tenant_id", F.col("term").alias("token"), "qtf").join(vocabulary, "token")
     return own.withColumn("n", F.count("*").over(size)), asked.groupBy("query_id", "tenant_id", "concept").agg(F.sum("qtf").alias("qn"))
@@ -66,12 +76,25 @@ def concept_idf(own: DataFrame, chunks: DataFrame) -> DataFrame:
     return own.groupBy("concept").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("concept", "df", "n_docs", ingest.idf(F.col("df"), F.col("n_docs")).alias("idf"))
 
 
-def concept_pairs(chunks: DataFrame, questions: DataFrame, own: DataFrame, asked: DataFrame, weight: DataFrame) -> DataFrame:
-    """query_id, chunk_id, coverage, score of every pair in scope that shares a concept; see concept_tables, concept_idf."""
+def _weighted(chunks: DataFrame, asked: DataFrame, weight: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Questions' concepts with idf, and what they weigh together."""
     total = chunks.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_docs"))
     unseen = ingest.idf(F.lit(0), F.col("n_docs"))
     weighted = asked.join(weight.select("concept", "idf"), "concept", "left").crossJoin(F.broadcast(total)).select("query_id", "tenant_id", "concept", "qn", F.coalesce("idf", unseen).alias("idf"))
-    whole = weighted.groupBy("query_id").agg(F.sum(F.col("qn") * F.col("idf")).alias("whole"))
+    return weighted, weighted.groupBy("query_id").agg(F.sum(F.col("qn") * F.col("idf")).alias("whole"))
+
+
+def coverage_of(candidates: DataFrame, chunks: DataFrame, own: DataFrame, asked: DataFrame, weight: DataFrame) -> DataFrame:
+    """query_id, chunk_id, coverage of the given pairs alone that share a concept."""
+    weighted, whole = _weighted(chunks, asked, weight)
+    met = candidates.select("query_id", "chunk_id").distinct().join(own.select("chunk_id", "concept"), "chunk_id").join(weighted, ["query_id", "concept"])
+    part = met.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qn") * F.col("idf")).alias("part")).join(whole, "query_id")
+    return part.select("query_id", "chunk_id", F.bround(F.col("part") / F.col("whole"), 6).alias("coverage"))
+
+
+def concept_pairs(chunks: DataFrame, questions: DataFrame, own: DataFrame, asked: DataFrame, weight: DataFrame) -> DataFrame:
+    """query_id, chunk_id, coverage, score of every pair in scope that shares a concept; see concept_tables, concept_idf."""
+    weighted, whole = _weighted(chunks, asked, weight)
     met = weighted.join(scope_map(questions), "tenant_id").join(own.withColumnRenamed("tenant_id", "chunk_tenant"), ["chunk_tenant", "concept"])
     part = met.groupBy("query_id", "chunk_id", "n").agg(F.sum(F.col("qn") * F.col("idf")).alias("part")).join(whole, "query_id")
     share = F.col("part") / F.col("whole")
@@ -85,13 +108,16 @@ def concept_knn(pairs: DataFrame, k: int = 20) -> DataFrame:
 def dense_knn(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, vec_id, score, rank by exact cosine within a scope column.
 
-    vectors(vec_id, scope, embedding), queries(query_id, scope, embedding). The queries are the small side: they meet the
-    vectors of their scope by an equi-join, and each partition ranks its own before the last ranking.
+    vectors(vec_id, scope, embedding), queries(query_id, scope, embedding). The queries are the small side: while they are few,
+    which is counted, they are broadcast to the vectors, whatever scope holds most of those; else both are dealt by scope. Each
+    partition ranks its own before the last ranking. Unequal dimensions are an error.
     """
     unit = lambda v: F.when(_norm(v) == 0, F.lit(1.0)).otherwise(_norm(v))
     left = vectors.select("vec_id", "scope", F.col("embedding").alias("v"), unit(F.col("embedding")).alias("nv"))
     right = queries.select("query_id", "scope", F.col("embedding").alias("q"), unit(F.col("embedding")).alias("nq"))
-    met = left.join(right, "scope")
+    met = left.join(small(right), "scope")
+    unequal = F.raise_error(F.concat_ws(" ", F.lit("vectors of dimensions"), F.size("v"), F.size("q")))
+    met = met.withColumn("q", F.when(F.size("v") != F.size("q"), unequal.cast(right.schema["q"].dataType)).otherwise(F.col("q")))
     scored = met.select("query_id", "vec_id", F.bround(_dot(F.col("v"), F.col("q")) / (F.col("nv") * F.col("nq")), 6).alias("score")).where("score > 0")
     return top_k(scored, k, "score", item="vec_id")
 

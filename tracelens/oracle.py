@@ -54,7 +54,7 @@ CTES: dict[str, tuple[str, list[str]]] = {
     "chunks": ("SELECT 'c_' || substr(sha256(concat_ws(chr(31), tenant_id, doc_id, CAST(ordinal AS VARCHAR), text)), 1, 16) AS chunk_id, tenant_id, doc_id, ordinal, text FROM chunk_rows", ["chunk_rows"]),
     "gold": ("SELECT item_id, doc_no, tenant_id, b.text AS item_text FROM docs d JOIN benchmark b ON contains(d.text, b.text)", ["docs"]),
     "gold_tenant": ("SELECT item_id, arg_min(tenant_id, doc_no) AS tenant_id FROM gold GROUP BY item_id", ["gold"]),
-    "questions": (f"SELECT b.item_id AS query_id, coalesce(g.tenant_id, 'tenant_src1') AS tenant_id, array_to_string(({content('b.text')})[1:12], ' ') AS query, CASE WHEN g.item_id IS NULL THEN 'out_of_scope' ELSE 'answerable' END AS kind FROM benchmark b LEFT JOIN gold_tenant g ON b.item_id = g.item_id", ["gold_tenant"]),
+    "questions": (f"SELECT b.item_id AS query_id, coalesce(g.tenant_id, 'tenant_src1') AS tenant_id, array_to_string({content('b.text')}, ' ') AS query, CASE WHEN g.item_id IS NULL THEN 'out_of_scope' ELSE 'answerable' END AS kind FROM benchmark b LEFT JOIN gold_tenant g ON b.item_id = g.item_id", ["gold_tenant"]),
     "scope": ("SELECT DISTINCT tenant_id, unnest([tenant_id, 'tenant_global']) AS chunk_tenant FROM questions", ["questions"]),
     "tok": (f"SELECT tenant_id, chunk_id, len(l) AS dl, unnest(l) AS term FROM (SELECT tenant_id, chunk_id, {content('text')} AS l FROM chunks)", ["chunks"]),
     "qterm": (f"SELECT query_id, tenant_id, term, count(*) AS qtf FROM (SELECT query_id, tenant_id, unnest({content('query')}) AS term FROM questions) GROUP BY ALL", ["questions"]),

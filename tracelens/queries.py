@@ -12,7 +12,7 @@ from . import oracle as O
 from .functions import text as T
 from .operators import calibrate, counterfactual, generate, ingest, judge, retrieve, stages, vectors
 from .plans.config import ABLATIONS, COMPOSITES, configs
-from .session import cut, ship
+from .session import cut, ship, small
 from .sources import fixtures as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,30 +66,34 @@ class Index:
     def questions(self) -> DataFrame:
         return cut(S.questions(self.docs, S.table(self.spark, self.sf, "benchmark")))
 
+    @cached_property
+    def postings(self) -> DataFrame:
+        return cut(retrieve.postings(self.chunks))
+
     @cached_property
     def vocabulary(self) -> DataFrame:
-        words = retrieve.tokens(self.chunks).select(F.col("term").alias("token")).union(retrieve.query_terms(self.questions).select(F.col("term").alias("token")))
+        words = self.postings.select(F.col("term").alias("token")).union(retrieve.query_terms(self.questions).select(F.col("term").alias("token")))
         return cut(ingest.vocabulary(words))
 
     @cached_property
     def concepts(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Chunks' concepts, questions' concepts, idf."""
-        own, asked = retrieve.concept_tables(self.chunks, self.questions, self.vocabulary)
+        own, asked = retrieve.concept_tables(self.postings, self.questions, self.vocabulary)
         own, asked = cut(own), cut(asked)
         return own, asked, cut(retrieve.concept_idf(own, self.chunks))
 
-    @cached_property
     def pairs(self) -> DataFrame:
+        """Each question with every chunk in its scope that shares a concept with it: not kept, as the legs rank it at once."""
         own, asked, weights = self.concepts
-        return cut(retrieve.concept_pairs(self.chunks, self.questions, own, asked, weights))
+        return retrieve.concept_pairs(self.chunks, self.questions, own, asked, weights)
 
     @cached_property
     def lexical(self) -> DataFrame:
-        return cut(retrieve.bm25(self.chunks, self.questions))
+        return cut(retrieve.bm25(self.chunks, self.questions, posted=self.postings))
 
     @cached_property
     def semantic(self) -> DataFrame:
-        return cut(retrieve.concept_knn(self.pairs))
+        return cut(retrieve.concept_knn(self.pairs()))
 
     @cached_property
     def legs(self) -> DataFrame:
@@ -97,7 +101,9 @@ class Index:
 
     @cached_property
     def rerank_scores(self) -> DataFrame:
-        return cut(stages.rerank_scores(self.legs, self.pairs, self.questions, self.chunks))
+        own, asked, weights = self.concepts
+        covered = retrieve.coverage_of(self.legs, self.chunks, own, asked, weights)
+        return cut(stages.rerank_scores(self.legs, covered, self.questions, self.chunks))
 
     @cached_property
     def sweep(self) -> dict[str, DataFrame]:
@@ -223,7 +229,7 @@ def concept_df_idf(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("coverage_matrix", "SELECT query_id, chunk_id, coverage, score FROM pairs", ["pairs"])
 def coverage_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return Index.of(spark, sf).pairs
+    return Index.of(spark, sf).pairs()
 
 
 @query("concept_topk", "SELECT query_id, chunk_id, score, rank FROM sem_leg", ["sem_leg"])
@@ -312,8 +318,7 @@ def _sweep(i: Index, names: list[str]) -> dict[str, DataFrame]:
 
 def _gold(c: DataFrame, cases: DataFrame) -> DataFrame:
     few = cases.where("answer_key is not null and kind = 'answerable'")
-    few = F.broadcast(few) if few.limit(10_001).count() <= 10_000 else few
-    return c.select("chunk_id", "text").join(few, F.contains(F.lower("text"), F.lower("answer_key"))).select("query_id", "chunk_id")
+    return c.select("chunk_id", "text").join(small(few), F.contains(F.lower("text"), F.lower("answer_key"))).select("query_id", "chunk_id")
 
 
 _A = {
@@ -398,7 +403,7 @@ def context_diagnosis(r: dict[str, DataFrame]) -> DataFrame:
 
 _DRIFT = {
     "dn": ("SELECT config_id, outcome, count(*) AS n FROM diff GROUP BY config_id, outcome", ["diff"]),
-    "de": ("SELECT config_id, outcome, count(*) AS n FROM diff WHERE query_id % 2 = 0 GROUP BY config_id, outcome", ["diff"]),
+    "de": ("SELECT config_id, outcome, count(*) AS n FROM diff JOIN cases USING (query_id) WHERE kind = 'answerable' GROUP BY config_id, outcome", ["diff", "cases"]),
     "ds": ("SELECT config_id, outcome, 100.0 * n / sum(n) OVER (PARTITION BY config_id) AS s FROM dn", ["dn"]),
     "dw": ("SELECT config_id, outcome, 100.0 * n / sum(n) OVER (PARTITION BY config_id) AS s FROM de", ["de"]),
 }
@@ -406,10 +411,10 @@ _DRIFT = {
 
 @_swept("ablation_drift", "SELECT config_id, outcome, moved FROM (SELECT config_id, outcome, round_even(coalesce(ds.s, 0) - coalesce(dw.s, 0), 6) AS moved FROM ds FULL JOIN dw USING (config_id, outcome)) WHERE abs(moved) > 8.0", ["ds", "dw"], _DRIFT)
 def ablation_drift(r: dict[str, DataFrame]) -> DataFrame:
-    """The snapshot stands for an earlier sweep: the outcomes of the questions with an even id."""
+    """The snapshot is that of an earlier test set, before questions out of scope were added to it."""
     d = r["diffs"]
     count = lambda x: x.groupBy("config_id", "outcome").agg(F.count("*").alias("n"))
-    return counterfactual.drift(count(d), count(d.where("query_id % 2 = 0")))
+    return counterfactual.drift(count(d), count(d.join(r["cases"].where("kind = 'answerable'").select("query_id"), "query_id", "left_semi")))
 
 
 _WIDE = [1, 2, 3, 5, 8, 12]
@@ -518,13 +523,13 @@ def tenant_leak_scan(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(r["legs"], r["questions"], r["chunks"]).agg(F.count("*").alias("leaks"))
 
 
-@query("canary_scan", "SELECT d.tenant_id, d.doc_id AS surface, c.tenant_id AS owner, canary FROM docs d JOIN (SELECT tenant_id, 'item-' || item_id AS surface, substr(item_text, 1, 40) AS canary FROM (SELECT item_id, arg_min(tenant_id, doc_no) AS tenant_id, any_value(item_text) AS item_text FROM gold GROUP BY item_id)) c ON d.tenant_id <> c.tenant_id AND contains(d.text, canary)", ["docs", "gold"])
+@query("canary_scan", "SELECT d.tenant_id, d.doc_id AS surface, c.tenant_id AS owner, canary FROM docs d JOIN (SELECT tenant_id, 'item-' || item_id AS surface, item_text AS canary FROM (SELECT item_id, arg_min(tenant_id, doc_no) AS tenant_id, any_value(item_text) AS item_text FROM gold GROUP BY item_id)) c ON d.tenant_id <> c.tenant_id AND contains(d.text, canary)", ["docs", "gold"])
 def canary_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Canaries: the first 40 characters of each item, owned by the tenant of the first document that holds it."""
+    """Canaries: each whole item, owned by the tenant of the first document that holds it."""
     docs = S.documents(spark, sf)
     items = S.table(spark, sf, "benchmark")
     owner = S.gold_documents(docs, items).groupBy("item_id").agg(F.min_by("tenant_id", "doc_no").alias("tenant_id"))
-    canaries = items.join(owner, "item_id").select("tenant_id", F.substring("text", 1, 40).alias("canary"))
+    canaries = items.join(owner, "item_id").select("tenant_id", F.col("text").alias("canary"))
     return judge.canary_scan(docs.select("tenant_id", F.col("doc_id").alias("surface"), "text"), canaries)
 
 

@@ -41,11 +41,21 @@ def ship(spark: SparkSession) -> None:
     sc._tracelens_shipped = True
 
 
+def small(df, rows: int = 10_000):
+    """df marked for broadcast if it has that many rows at most, which is counted; else as it is, for a shuffled join."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def cut(df):
     """The rows of df, computed now and kept in the folder that driver and executors share (spark.checkpoint.dir): later plans
     start from files, so they stay small and a lost executor repeats nothing before this point."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tracelens-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="tracelens-"))
     return df.checkpoint(eager=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
+from ..session import small
 
 GLOBAL = "tenant_global"
 
@@ -39,14 +40,13 @@ def gold_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     The test is a substring, so it is a nested loop; items are the small side, and broadcast only if they are few.
     """
-    small = items.select("item_id", F.col("text").alias("item_text"))
-    small = F.broadcast(small) if small.limit(10_001).count() <= 10_000 else small
-    return docs.join(small, F.contains(F.col("text"), F.col("item_text"))).select("item_id", "doc_no", "tenant_id")
+    few = small(items.select("item_id", F.col("text").alias("item_text")))
+    return docs.join(few, F.contains(F.col("text"), F.col("item_text"))).select("item_id", "doc_no", "tenant_id")
 
 
 def questions(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """query_id, tenant_id, query, kind: the first 12 content tokens of each item, asked by the tenant that holds it."""
+    """query_id, tenant_id, query, kind: the content tokens of each whole item, asked by the tenant that holds it."""
     gold = gold_documents(docs, items).groupBy("item_id").agg(F.min_by("tenant_id", "doc_no").alias("tenant_id"))
-    q = items.select("item_id", F.array_join(F.slice(T.content_tokens("text"), 1, 12), " ").alias("query"))
+    q = items.select("item_id", F.array_join(T.content_tokens("text"), " ").alias("query"))
     joined = q.join(gold, "item_id", "left")
     return joined.select(F.col("item_id").alias("query_id"), F.coalesce("tenant_id", F.lit("tenant_src1")).alias("tenant_id"), "query", F.when(F.col("tenant_id").isNull(), "out_of_scope").otherwise("answerable").alias("kind"))
