@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 
 
 def nearest_rank(df: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
-    """group, n, and p<share>: the value at the (half-even rounded) rank share * (n - 1); exact, by ranks, with no list held."""
-    n = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
-    ranked = df.where(F.col(value).isNotNull()).withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1).join(n, group)
-    at = lambda p: F.bround(F.lit(p) * (F.col("n") - 1), 0).cast("int")
-    return ranked.groupBy(group).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("r") == at(p), F.col(value))).alias(f"p{round(100 * p)}") for p in shares])
+    """group, n, and p<share>: the value at the (half-even rounded) rank share * (n - 1); exact. Values are counted first, so what
+    is sorted within a group are its different values."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("times"))
+    run = counted.withColumn("upto", F.sum("times").over(Window.partitionBy(group).orderBy(value)))
+    n = counted.groupBy(group).agg(F.sum("times").alias("n"))
+    at = lambda p: F.bround(F.lit(p) * (F.col("n") - 1), 0)
+    return run.join(n, group).groupBy(group).agg(F.first("n").alias("n"), *[F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(f"p{round(100 * p)}") for p in shares])
 
 
 def threshold(scores: DataFrame, name: str = "gate") -> DataFrame:
     """scores(answerable boolean, score) -> threshold, false_refusal, false_admit.
 
     Each midpoint of an answerable and an unanswerable score is a candidate; the one with the least of the worse of both
-    errors wins, the lowest of equal ones. Errors are read from running counts over distinct scores, not by comparing all
+    errors wins, the lowest of equal ones, and is rounded to three places, at which the errors are taken again. Errors are read from running counts over distinct scores, not by comparing all
     scores with all candidates.
     """
     a = scores.where("answerable").groupBy("score").agg(F.count("*").alias("n"))
     o = scores.where("not answerable").groupBy("score").agg(F.count("*").alias("n"))
     mid = a.select(F.col("score").alias("x")).crossJoin(o.select(F.col("score").alias("y"))).select(F.bround((F.col("x") + F.col("y")) / 2, 4).alias("t")).distinct()
-    return _best(_errors(scores, mid)).withColumn("name", F.lit(name))
+    best = _best(_errors(scores, mid)).select(F.bround("threshold", 3).alias("t"))
+    return _best(_errors(scores, best)).withColumn("name", F.lit(name))
 
 
 def _errors(scores: DataFrame, at: DataFrame) -> DataFrame:
@@ -78,6 +81,36 @@ def retention(context: DataFrame, gold: DataFrame, widths: list[int]) -> DataFra
     return each.groupBy("config_id", "width").agg(F.count("*").alias("n"), F.count_if(F.col("at") <= F.col("width")).alias("kept"))
 
 
+def spread(kept: DataFrame) -> DataFrame:
+    """width, spread: between the configurations that keep most and least gold at a width, in percent points; from `retention`."""
+    share = 100.0 * F.col("kept") / F.col("n")
+    return kept.groupBy("width").agg(F.bround(F.max(share) - F.min(share), 6).alias("spread"))
+
+
+def retention_by_kind(context: DataFrame, gold: DataFrame, kinds: DataFrame) -> DataFrame:
+    """config_id, kind, n, kept: questions of a kind with a gold chunk, and those with one in their context; kinds(query_id, kind)."""
+    asked = gold.select("query_id").distinct().join(kinds, "query_id")
+    found = context.join(gold, ["query_id", "chunk_id"]).select("config_id", "query_id").distinct().withColumn("found", F.lit(1))
+    grid = context.select("config_id").distinct().crossJoin(asked).join(found, ["config_id", "query_id"], "left")
+    return grid.groupBy("config_id", "kind").agg(F.count("*").alias("n"), F.count("found").alias("kept"))
+
+
+def worst_confusion(pairs: DataFrame) -> DataFrame:
+    """gold, predicted, n of the commonest mistake (of equal ones, the first in order); no rows if there is none."""
+    wrong = confusion(pairs).where("gold != predicted")
+    return wrong.orderBy(F.desc("n"), "gold", "predicted").limit(1)
+
+
+def shared_sample(df: DataFrame, stratum: str, key: str, n: int, seed: str = "4242") -> DataFrame:
+    """n rows (all, if there are fewer): n divided by the number of strata from each, at least one, then from all that are left;
+    those of least md5 of seed and key."""
+    strata = df.select(stratum).distinct().count()
+    each = max(1, n // max(1, strata))
+    draw = F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string")).cast("binary"))
+    drawn = df.withColumn("draw", draw).withColumn("r", F.row_number().over(Window.partitionBy(stratum).orderBy("draw")))
+    return drawn.orderBy((F.col("r") > each).cast("int"), "draw").limit(n).drop("draw", "r")
+
+
 def stratified(df: DataFrame, stratum: str, key: str, each: int, seed: str = "4242") -> DataFrame:
     """Exactly `each` rows of every stratum (all, if it has fewer), those of least md5 of seed and key."""
     order = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string")).cast("binary")))

@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 OUTCOMES = ["identical", "equivalent", "improved", "degraded", "now_refuses", "now_answers", "now_wrong", "now_confident_wrong", "error"]
 
 
-def diffs(answered: DataFrame, cases: DataFrame) -> DataFrame:
-    """config_id, query_id, outcome for each variant run; cases(query_id, kind, answer_key)."""
+def with_failures(answered: DataFrame, errors: dict[str, str], questions: DataFrame) -> DataFrame:
+    """answered and a row without an answer for every question under each configuration that could not run."""
+    if not errors:
+        return answered
+    failed = answered.sparkSession.createDataFrame(list(errors.items()), "config_id string, reason string")
+    rows = questions.select("query_id").crossJoin(F.broadcast(failed))  # as many as there are names in a sweep
+    return answered.unionByName(rows, allowMissingColumns=True)
+
+
+def diffs(answered: DataFrame, cases: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+    """config_id, query_id, outcome for each variant run; cases(query_id, kind, answer_key).
+
+    A run without an answer failed: neither it nor what is compared with it agrees with anything. judged(config_id, query_id,
+    verdict), if given, decides pairs without ground truth of which neither refuses.
+    """
     key = cases.select("query_id", "kind", "answer_key")
     flagged = (F.col("status") == "refused") | F.col("hedged")
     right = F.when(F.col("kind") == "out_of_scope", flagged).otherwise(F.contains(F.lower("answer"), F.lower("answer_key")))
@@ -18,11 +33,15 @@ def diffs(answered: DataFrame, cases: DataFrame) -> DataFrame:
     v = a.where("config_id != 'baseline'").join(b, "query_id")
     x = lambda c: F.col(c)
     known = x("ok").isNotNull() & x("b_ok").isNotNull()
-    out = F.when(x("answer") == x("b_answer"), "identical")
+    out = F.when(x("answer").isNull() | x("b_answer").isNull(), "error").when(x("answer") == x("b_answer"), "identical")
     out = out.when(known & x("b_ok") & x("ok"), "equivalent").when(known & ~x("b_ok") & x("ok"), "improved")
     out = out.when(known & x("b_ok") & ~x("ok") & x("refused"), "now_refuses").when(known & x("b_ok") & ~x("ok") & x("flagged"), "now_wrong").when(known & x("b_ok") & ~x("ok"), "now_confident_wrong")
     out = out.when(known & x("b_flagged") & ~x("flagged"), "now_confident_wrong").when(known & ~x("b_flagged") & x("flagged") & x("refused"), "now_refuses").when(known & ~x("b_flagged") & x("flagged"), "degraded").when(known, "equivalent")
-    out = out.when(x("b_refused") & ~x("refused"), "now_answers").when(x("refused") & ~x("b_refused"), "now_refuses").otherwise("degraded")
+    out = out.when(x("b_refused") & ~x("refused"), "now_answers").when(x("refused") & ~x("b_refused"), "now_refuses")
+    if judged is not None:
+        v = v.join(judged.select("config_id", "query_id", "verdict"), ["config_id", "query_id"], "left")
+        out = out.when(x("verdict") == "equivalent", "equivalent").when(x("verdict") == "contradictory", F.when(x("flagged"), "now_wrong").otherwise("now_confident_wrong"))
+    out = out.otherwise("degraded")
     return v.select("config_id", "query_id", out.alias("outcome"))
 
 
@@ -31,6 +50,31 @@ def tabulate(d: DataFrame) -> DataFrame:
     return d.groupBy("config_id").pivot("outcome", OUTCOMES).count().na.fill(0)
 
 
+def usage(context: DataFrame, chunks: DataFrame, answered: DataFrame, model: str = "small") -> DataFrame:
+    """config_id, query_id, tokens_in, tokens_out, cost_usd of each run: the context read and the answer written. A run without
+    context calls no model."""
+    read = context.join(chunks.select("chunk_id", T.estimate_tokens("text").alias("t")), "chunk_id").groupBy("config_id", "query_id").agg(F.sum("t").alias("tokens_in"))
+    j = answered.join(read, ["config_id", "query_id"], "left").withColumn("tokens_in", F.coalesce("tokens_in", F.lit(0)).cast("long"))
+    j = j.withColumn("tokens_out", F.when(F.col("answer").isNull(), 0).otherwise(T.estimate_tokens("answer")).cast("long"))
+    cost = F.when(F.col("tokens_in") > 0, T.price_of(F.lit(model), F.col("tokens_in"), F.col("tokens_out"))).otherwise(0.0)
+    return j.select("config_id", "query_id", "tokens_in", "tokens_out", cost.alias("cost_usd"))
+
+
+def usage_deltas(used: DataFrame) -> DataFrame:
+    """config_id, query_id, and what each variant run read, wrote and cost beyond the baseline's."""
+    columns = ("tokens_in", "tokens_out", "cost_usd")
+    base = used.where("config_id = 'baseline'").select("query_id", *[F.col(c).alias(f"b_{c}") for c in columns])
+    j = used.where("config_id != 'baseline'").join(base, "query_id")
+    return j.select("config_id", "query_id", *[F.bround(F.col(c) - F.col(f"b_{c}"), 8).alias(f"d_{c}") if c == "cost_usd" else (F.col(c) - F.col(f"b_{c}")).alias(f"d_{c}") for c in columns])
+
+
+def costs(d: DataFrame, deltas: DataFrame) -> DataFrame:
+    """config_id, runs, confident_wrong, and the sums of the deltas: what an ablation breaks and what it saves."""
+    spent = deltas.groupBy("config_id").agg(F.sum("d_tokens_in").alias("d_tokens_in"), F.sum("d_tokens_out").alias("d_tokens_out"), F.bround(F.sum("d_cost_usd"), 8).alias("d_cost_usd"))
+    wrong = d.groupBy("config_id").agg(F.count("*").alias("runs"), F.count_if(F.col("outcome") == "now_confident_wrong").alias("confident_wrong"))
+    return wrong.join(spent, "config_id", "left")
+
+
 def interactions(d: DataFrame, slack: int = 2) -> DataFrame:
     """Composites whose confidently wrong answers exceed the sum of their parts' by more than slack."""
     wrong = d.groupBy("config_id").agg(F.count_if(F.col("outcome") == "now_confident_wrong").alias("n"))
@@ -76,6 +120,14 @@ def drift(now: DataFrame, snapshot: DataFrame, tolerance: float = 8.0) -> DataFr
     return j.withColumn("moved", F.bround(F.col("is") - F.col("was"), 6)).where(F.abs("moved") > tolerance).select("config_id", "outcome", "moved")
 
 
+def drift_findings(now: DataFrame, snapshot: DataFrame, same_provenance: bool, tolerance: float = 8.0) -> DataFrame:
+    """config_id, passed, severity (0 information, 2 medium, 3 high), moved cells: one finding for each ablation of the sweep now.
+    What moved is high, or medium where the provenance moved too; an ablation that the snapshot lacks is no failure."""
+    cells = drift(now.join(snapshot.select("config_id").distinct(), "config_id", "left_semi"), snapshot, tolerance).groupBy("config_id").agg(F.count("*").alias("moved"))
+    every = now.select("config_id").distinct().join(cells, "config_id", "left").withColumn("moved", F.coalesce("moved", F.lit(0)))
+    return every.select("config_id", (F.col("moved") == 0).alias("passed"), F.when(F.col("moved") == 0, 0).otherwise(3 if same_provenance else 2).alias("severity"), "moved")
+
+
 def explain(deltas: DataFrame, diagnosis: DataFrame) -> DataFrame:
     """config_id, query_id, why: in words, what happened to the baseline's context; deltas from rank_delta."""
     per = deltas.groupBy("config_id", "query_id").agg(F.count_if(F.col("rank_delta") == 999).alias("gone"), F.count_if((F.col("rank_delta") > 0) & (F.col("rank_delta") < 999)).alias("fell"), F.count_if(F.col("rank_delta") < 0).alias("rose"), F.count_if(F.col("rank_delta") == 0).alias("held"))

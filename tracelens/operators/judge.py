@@ -76,6 +76,25 @@ def share_of_slowest(stages: DataFrame, run: str, ms: str) -> DataFrame:
     return stages.withColumn("share", F.bround(F.col(ms) / F.max(ms).over(Window.partitionBy(run)), 6))
 
 
-def two_way(forward: Column, backward: Column) -> Column:
-    """A directional judge asked in both orders: its verdict where both agree, else unstable."""
-    return F.when(forward == backward, forward).otherwise("unstable")
+VERDICTS = ("equivalent", "degraded", "contradictory")
+
+
+def two_way(forward: Column, backward: Column, symmetric: bool = False) -> Column:
+    """A directional judge asked in both orders: its verdict where both agree, else unstable. A symmetric judge is asked once."""
+    return forward if symmetric else F.when(forward == backward, forward).otherwise("unstable")
+
+
+def parse_verdict(reply: Column) -> Column:
+    """A model's verdict: the first word of its first line that is one; unstable where none is."""
+    first = F.lower(F.regexp_extract(F.trim(reply), r"^[^\n]*", 0))
+    word = F.regexp_extract(first, r"\b(" + "|".join(VERDICTS) + r")\b", 1)
+    return F.when(F.coalesce(word, F.lit("")) == "", "unstable").otherwise(word)
+
+
+def model_judge(pairs: DataFrame, ask, prompt: Column, family: str, answered_by: str) -> DataFrame:
+    """pairs with verdict, from a model: ask is a function from batches of prompts (pandas Series) to replies, run as an Arrow
+    batch function. A judge of the family that wrote the answers is refused."""
+    if family == answered_by:
+        raise ValueError(f"{family} can't judge its own answers")
+    call = F.pandas_udf(ask, "string")
+    return pairs.withColumn("verdict", parse_verdict(call(prompt)))

@@ -84,6 +84,18 @@ def compose(name: str, config: Config | None = None) -> Config:
     return config
 
 
+def plan(names: list[str]) -> tuple[list[str], dict[str, str]]:
+    """(names that give a configuration, the error of each other name by its normal form): what a sweep runs, and what it reports
+    as failed instead of leaving out."""
+    errors = {}
+    for name in names:
+        try:
+            compose(name)
+        except ValueError as error:
+            errors[normalise(name)] = str(error)
+    return [n for n in names if normalise(n) not in errors], errors
+
+
 def configs(spark: SparkSession, names: list[str]) -> DataFrame:
     """config_id and a column for each setting, one row for each ablation name."""
     kinds = "config_id string, lexical_top_k int, k1 double, b double, semantic_top_k int, rrf_k int, gate_threshold double, gate_signal string, rerank string, gray_ratio double, margin_ratio double, shortlist int, neighbours int, width int, rewrite boolean, discriminator_guard boolean"

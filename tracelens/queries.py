@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import oracle as O
 from .functions import text as T
 from .operators import calibrate, counterfactual, generate, ingest, judge, retrieve, stages, vectors
-from .plans.config import ABLATIONS, COMPOSITES, configs
+from .plans.config import ABLATIONS, COMPOSITES, configs, plan
 from .session import cut, ship, small
 from .sources import fixtures as S
 
@@ -458,13 +458,83 @@ def _gate(leg: str) -> None:
         scores = q.join(top, "query_id", "left").select((F.col("kind") == "answerable").alias("answerable"), F.coalesce("top", F.lit(0.0)).alias("score"))
         return calibrate.threshold(scores, leg)
 
-    query(f"gate_calibration_{leg}", f"SELECT t AS threshold, round_even(fr, 4) AS false_refusal, round_even(fa, 4) AS false_admit, '{leg}' AS name FROM err ORDER BY round_even(greatest(fr, fa), 9), t LIMIT 1", ["err"], _gate_sql(leg))(f)
+    query(f"gate_calibration_{leg}", f"SELECT b.t AS threshold, round_even(count_if(answerable AND score < b.t) / count_if(answerable), 4) AS false_refusal, round_even(count_if(NOT answerable AND score >= b.t) / count_if(NOT answerable), 4) AS false_admit, '{leg}' AS name FROM sc, (SELECT round_even(t, 3) AS t FROM err ORDER BY round_even(greatest(fr, fa), 9), err.t LIMIT 1) b GROUP BY b.t", ["err", "sc"], _gate_sql(leg))(f)
 
 
 _gate("lex_leg")
 _gate("sem_leg")
 
 
+# Failures, costs, provenance and stability of a sweep
+
+_USED = {
+    "used": ("SELECT a.config_id, a.query_id, CAST(coalesce(t, 0) AS BIGINT) AS tokens_in, CAST(greatest(1, length(answer) // 4) AS BIGINT) AS tokens_out, CASE WHEN coalesce(t, 0) > 0 THEN round_even((t * CAST(0.05 AS DOUBLE) + greatest(1, length(answer) // 4) * CAST(0.08 AS DOUBLE)) / 1e6, 8) ELSE 0.0 END AS cost_usd FROM ans a LEFT JOIN (SELECT config_id, query_id, sum(greatest(1, length(text) // 4)) AS t FROM ctx JOIN chunks USING (chunk_id) GROUP BY ALL) r ON r.config_id = a.config_id AND r.query_id = a.query_id", ["ans", "ctx", "chunks"]),
+    "delta": ("SELECT v.config_id, v.query_id, v.tokens_in - b.tokens_in AS d_tokens_in, v.tokens_out - b.tokens_out AS d_tokens_out, round_even(v.cost_usd - b.cost_usd, 8) AS d_cost_usd FROM used v JOIN used b ON b.query_id = v.query_id AND b.config_id = 'baseline' WHERE v.config_id <> 'baseline'", ["used"]),
+}
+
+
+def _used(r: dict[str, DataFrame]) -> DataFrame:
+    return counterfactual.usage(r["ctx"], r["chunks"], r["answers"])
+
+
+@_swept("run_deltas", "SELECT config_id, query_id, d_tokens_in, d_tokens_out, d_cost_usd FROM delta", ["delta"], _USED)
+def run_deltas(r: dict[str, DataFrame]) -> DataFrame:
+    return counterfactual.usage_deltas(_used(r))
+
+
+@_swept("ablation_costs", "SELECT config_id, runs, confident_wrong, d_tokens_in, d_tokens_out, d_cost_usd FROM (SELECT config_id, count(*) AS runs, count_if(outcome = 'now_confident_wrong') AS confident_wrong FROM diff GROUP BY config_id) JOIN (SELECT config_id, CAST(sum(d_tokens_in) AS BIGINT) AS d_tokens_in, CAST(sum(d_tokens_out) AS BIGINT) AS d_tokens_out, round_even(sum(d_cost_usd), 8) AS d_cost_usd FROM delta GROUP BY config_id) USING (config_id)", ["diff", "delta"], _USED)
+def ablation_costs(r: dict[str, DataFrame]) -> DataFrame:
+    return counterfactual.costs(r["diffs"], counterfactual.usage_deltas(_used(r)))
+
+
+@_swept("error_outcomes", "SELECT 'gate_on_fused+no_gate' AS config_id, query_id, 'error' AS outcome FROM cases UNION ALL SELECT 'force_rerank+no_rerank', query_id, 'error' FROM cases UNION ALL SELECT config_id, query_id, outcome FROM diff WHERE config_id = 'no_rerank'", ["cases", "diff"])
+def error_outcomes(r: dict[str, DataFrame]) -> DataFrame:
+    """Two names that no configuration can have and one that has: the first two fail for every question, and are not left out."""
+    names, errors = plan(["baseline", "no_rerank", "no_gate+gate_on_fused", "no_rerank+force_rerank"])
+    ran = r["answers"].where(F.col("config_id").isin(names))
+    return counterfactual.diffs(counterfactual.with_failures(ran, errors, r["cases"]), r["cases"])
+
+
+@_swept("judged_outcomes", "SELECT v.config_id, v.query_id, CASE WHEN v.answer = b.answer THEN 'identical' WHEN b.refused AND NOT v.refused THEN 'now_answers' WHEN v.refused AND NOT b.refused THEN 'now_refuses' WHEN v.query_id % 3 = 0 THEN 'equivalent' WHEN v.query_id % 3 = 1 THEN CASE WHEN v.flagged THEN 'now_wrong' ELSE 'now_confident_wrong' END ELSE 'degraded' END AS outcome FROM marked v JOIN marked b ON b.query_id = v.query_id AND b.config_id = 'baseline' WHERE v.config_id <> 'baseline'", ["marked"])
+def judged_outcomes(r: dict[str, DataFrame]) -> DataFrame:
+    """The judge's branch, for questions without ground truth; the verdicts here follow the question's number."""
+    truthless = r["cases"].select("query_id", F.lit("open").alias("kind"), F.lit(None).cast("string").alias("answer_key"))
+    verdict = F.element_at(F.array(F.lit("equivalent"), F.lit("contradictory"), F.lit("degraded")), (F.col("query_id") % 3 + 1).cast("int"))
+    judged = r["answers"].select("config_id", "query_id", verdict.alias("verdict"))
+    return counterfactual.diffs(r["answers"], truthless, judged)
+
+
+@_swept("drift_findings", "SELECT config_id, moved = 0 AS passed, CAST(CASE WHEN moved = 0 THEN 0 ELSE 3 END AS INTEGER) AS severity, moved FROM (SELECT c.config_id, count(x.config_id) AS moved FROM (SELECT DISTINCT config_id FROM ds) c LEFT JOIN (SELECT config_id, round_even(coalesce(ds.s, 0) - coalesce(dw.s, 0), 6) AS m FROM ds FULL JOIN dw USING (config_id, outcome)) x ON x.config_id = c.config_id AND abs(m) > 8.0 GROUP BY c.config_id)", ["ds", "dw"], _DRIFT)
+def drift_findings(r: dict[str, DataFrame]) -> DataFrame:
+    d = r["diffs"]
+    count = lambda x: x.groupBy("config_id", "outcome").agg(F.count("*").alias("n"))
+    before = d.join(r["cases"].where("kind = 'answerable'").select("query_id"), "query_id", "left_semi")
+    return counterfactual.drift_findings(count(d), count(before), same_provenance=True)
+
+
+_KIND = "CASE WHEN regexp_matches(answer_key, '^[0-9]+$') THEN 'value' WHEN " + O.ident("answer_key") + " THEN 'identifier' ELSE 'word' END"
+
+
+@_swept("gold_retention_by_kind", f"SELECT config_id, kind, count(*) AS n, count(found) AS kept FROM (SELECT DISTINCT config_id FROM ctx), (SELECT query_id, {_KIND} AS kind FROM cases WHERE query_id IN (SELECT query_id FROM goldc)) k LEFT JOIN (SELECT DISTINCT config_id AS c, query_id AS q, 1 AS found FROM ctx JOIN goldc USING (query_id, chunk_id)) ON c = config_id AND q = k.query_id GROUP BY ALL", ["ctx", "goldc", "cases"])
+def gold_retention_by_kind(r: dict[str, DataFrame]) -> DataFrame:
+    """Kinds of questions by what their key is: a value, an identifier or a word."""
+    kind = F.when(F.col("answer_key").rlike("^[0-9]+$"), "value").when(T.is_identifier("answer_key"), "identifier").otherwise("word")
+    return calibrate.retention_by_kind(r["ctx"], r["gold"], r["cases"].select("query_id", kind.alias("kind")))
+
+
+@query("gold_retention_spread", f"SELECT width, round_even(max(100.0 * kept / n) - min(100.0 * kept / n), 6) AS spread FROM (SELECT config_id, CAST(width AS INTEGER) AS width, count(*) AS n, count_if(best <= width) AS kept FROM (SELECT DISTINCT config_id FROM ctx), (SELECT DISTINCT query_id FROM goldc) q LEFT JOIN (SELECT config_id AS c, query_id AS x, min(final_rank) AS best FROM ctx JOIN goldc USING (query_id, chunk_id) GROUP BY ALL) ON c = config_id AND x = q.query_id, (SELECT unnest({_WIDE}) AS width) GROUP BY ALL) GROUP BY width", ["ctx", "goldc"], _W)
+def gold_retention_spread(spark: SparkSession, sf: str) -> DataFrame:
+    r = _wide(spark, sf)
+    return calibrate.spread(calibrate.retention(r["ctx"], r["gold"], _WIDE))
+
+
+@query("stage_grid", "SELECT config_id, CAST(seq AS INTEGER) AS seq, stage, enabled FROM (SELECT config_id, unnest([{seq: 0, stage: 'rewrite', enabled: rewrite}, {seq: 1, stage: 'embed', enabled: semantic_top_k IS NOT NULL}, {seq: 2, stage: 'retrieve_dense', enabled: semantic_top_k IS NOT NULL}, {seq: 3, stage: 'retrieve_sparse', enabled: lexical_top_k IS NOT NULL}, {seq: 4, stage: 'fuse', enabled: rrf_k IS NOT NULL}, {seq: 5, stage: 'gate', enabled: gate_threshold IS NOT NULL}, {seq: 6, stage: 'rerank', enabled: rerank IS NOT NULL}, {seq: 7, stage: 'expand', enabled: neighbours IS NOT NULL}, {seq: 8, stage: 'generate', enabled: true}], recursive := true) FROM configs)", ["configs"], _cfg(*SWEEP))
+def stage_grid(spark: SparkSession, sf: str) -> DataFrame:
+    from .plans.provenance import stage_grid as grid
+
+    return grid(configs(spark, SWEEP))
+
+
 # Measurement, judging, suites and vectors
 
 
@@ -502,6 +572,17 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     return calibrate.stratified(_docs(spark, sf).select("source", "doc_id"), "source", "doc_id", 7)
 
 
+@query("worst_confusion", f"SELECT gold, predicted, count(*) AS n FROM ({_PAIRS}) WHERE gold <> predicted GROUP BY ALL ORDER BY n DESC, gold, predicted LIMIT 1")
+def worst_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return calibrate.worst_confusion(_labelled(spark, sf))
+
+
+@query("shared_sample", "SELECT source, doc_id FROM (SELECT source, doc_id, d, row_number() OVER (PARTITION BY source ORDER BY d) AS r, (SELECT greatest(1, 100 // count(DISTINCT source)) FROM documents) AS each FROM (SELECT source, doc_id, md5('4242:' || doc_id) AS d FROM documents)) ORDER BY r > each, d LIMIT 100")
+def shared_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """A hundred documents, as evenly over the sources as they allow."""
+    return calibrate.shared_sample(_docs(spark, sf).select("source", "doc_id"), "source", "doc_id", 100)
+
+
 @query("baseline_diff", "(SELECT doc_id AS case_id, 'new' AS change FROM labels WHERE quality = 0 EXCEPT SELECT doc_id, 'new' FROM labels WHERE toxic = 1) UNION ALL (SELECT doc_id, 'fixed' FROM labels WHERE toxic = 1 EXCEPT SELECT doc_id, 'fixed' FROM labels WHERE quality = 0)")
 def baseline_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Failures now: quality 0; failures in the baseline: toxic 1."""
