@@ -17,3 +17,8 @@ def base32(hexes: Column) -> Column:
     bits = F.concat(F.lit("00"), *[F.lpad(F.conv(F.substring(hexes, 8 * i + 1, 8), 16, 2), 32, "0") for i in range(4)])
     letters = F.array(*[F.lit(c) for c in ALPHABET])
     return F.concat(*[F.element_at(letters, F.conv(F.substring(bits, 5 * i + 1, 5), 2, 10).cast("int") + 1) for i in range(26)])
+
+
+def content_id(*parts: Column) -> Column:
+    """The id of something that these columns make up, 26 characters."""
+    return base32(F.sha2(F.concat_ws("\x1f", *parts), 256))

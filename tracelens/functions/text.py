@@ -143,8 +143,10 @@ def parse_scores(reply: str | Column) -> Column:
     return F.coalesce(whole, pairs.cast(kind))
 
 
-def unwrap(reply: str | Column) -> Column:
-    return F.trim(F.regexp_replace(text_of(reply), r"(?is)<think>.*?</think>", ""))
+def unwrap(reply: str | Column, *reasoning: str | Column) -> Column:
+    """A model's answer: its content, or where that is blank the first of its reasoning fields that isn't, without thoughts."""
+    said = [F.when(F.trim(text_of(c)) != "", F.trim(text_of(c))) for c in (reply, *reasoning)]
+    return F.trim(F.regexp_replace(F.coalesce(*said, F.lit("")), r"(?is)<think>.*?</think>", ""))
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:

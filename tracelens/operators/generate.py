@@ -58,9 +58,44 @@ def answers(runs: DataFrame, context: DataFrame, decided: DataFrame, configs: Da
 
 
 def traces(ranked: DataFrame, context: DataFrame, answered: DataFrame) -> DataFrame:
-    """One nested row for each run: its candidates in final, then fused order, each with its fate, and its answer."""
-    c = ranked.join(context, ["config_id", "query_id", "chunk_id"], "left")
+    """One nested row for each run: its candidates in final, then fused order, each with its fate, and its answer. Neighbours that
+    only the context has are among them."""
+    c = ranked.join(context, ["config_id", "query_id", "chunk_id"], "full")
     fate = F.when(~F.col("gate_passed"), "gate").when(F.col("final_rank").isNull(), "top_k")
     one = F.struct(F.coalesce("final_rank", F.lit(1_000_000)).alias("final_rank"), "fused_rank", "chunk_id", "lexical_rank", "semantic_rank", "fused_score", "rerank_score", fate.alias("rejected_by"), "inclusion_reason")
     # a run has the two legs' top k at most
     return answered.join(c.groupBy("config_id", "query_id").agg(F.array_sort(F.collect_list(one)).alias("candidates")), ["config_id", "query_id"], "left")
+
+
+def run_stages(configs: DataFrame, decided: DataFrame, answered: DataFrame) -> DataFrame:
+    """config_id, query_id, stages: for every run, in order, whether each stage ran or why it was skipped."""
+    from ..plans.provenance import stage_grid
+
+    runs = answered.select("config_id", "query_id").join(decided.select("config_id", "query_id", "gate_checked", "gate_passed", "rerank_reason"), ["config_id", "query_id"], "left")
+    each = runs.join(F.broadcast(stage_grid(configs)), "config_id")
+    found = F.col("gate_passed").isNotNull()
+    why = F.when(~F.col("enabled"), "ablated").when(F.col("stage").isin("gate", "rerank", "expand") & ~found, "no candidates")
+    why = why.when((F.col("stage") == "gate") & ~F.col("gate_checked"), "not checked").when((F.col("stage") == "expand") & ~F.col("gate_passed"), "gate refused")
+    why = why.when((F.col("stage") == "rerank") & (F.col("rerank_reason") != "run"), F.col("rerank_reason"))
+    record = F.struct("seq", "stage", F.when(why.isNull(), "ran").otherwise("skipped").alias("state"), why.alias("reason"))
+    return each.groupBy("config_id", "query_id").agg(F.array_sort(F.collect_list(record)).alias("stages"))
+
+
+def attribute(replies: DataFrame, sources: DataFrame, vocabulary: DataFrame, support: float = CONFIDENT_FROM) -> DataFrame:
+    """reply_id, place, sentence, chunk_ids, supported, of replies(reply_id, text) and their sources(reply_id, n, chunk_id, text).
+
+    A sentence stands on the sources it cites by number, else on the one that holds most of its concepts if that is `support` of
+    them at least (of equal ones, the least number), else on none.
+    """
+    s = replies.select("reply_id", F.posexplode_outer(T.sentences("text")).alias("place", "sentence")).where("sentence is not null")
+    cited = s.select("reply_id", "place", F.posexplode(T.citations("sentence")).alias("seq", "n")).join(sources.select("reply_id", "n", "chunk_id"), ["reply_id", "n"])
+    cited = cited.groupBy("reply_id", "place").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk_id"))).alias("c")).select("reply_id", "place", F.array_distinct(F.col("c.chunk_id")).alias("cited"))
+    said = s.select("reply_id", "place", F.explode_outer(T.content_tokens("sentence")).alias("token")).join(vocabulary, "token").groupBy("reply_id", "place", "concept").agg(F.count("*").alias("w"))
+    whole = said.groupBy("reply_id", "place").agg(F.sum("w").alias("whole"))
+    held = sources.select("reply_id", "n", "chunk_id", F.explode_outer(T.content_tokens("text")).alias("token")).join(vocabulary, "token").select("reply_id", "n", "chunk_id", "concept").distinct()
+    part = said.join(held, ["reply_id", "concept"]).groupBy("reply_id", "place", "n", "chunk_id").agg(F.sum("w").alias("part")).join(whole, ["reply_id", "place"])
+    best = part.groupBy("reply_id", "place").agg(F.min(F.struct((-F.col("part") / F.col("whole")).alias("c"), "n", "chunk_id")).alias("b"))
+    best = best.where(-F.col("b.c") >= support).select("reply_id", "place", F.array("b.chunk_id").alias("best"))
+    j = s.join(cited, ["reply_id", "place"], "left").join(best, ["reply_id", "place"], "left")
+    ids = F.coalesce("cited", "best", F.array().cast("array<string>"))
+    return j.select("reply_id", "place", "sentence", ids.alias("chunk_ids"), (F.size(ids) > 0).alias("supported"))

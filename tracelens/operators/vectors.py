@@ -14,20 +14,24 @@ def stats(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
     return vectors.select(key, F.size(vector).alias("dim"), F.bround(F.sqrt(total(lambda x: x * x)), 6).alias("l2_norm"), F.bround(total(lambda x: x) / F.size(vector), 6).alias("mean"), F.bround(F.array_min(v), 6).alias("least"), F.bround(F.array_max(v), 6).alias("most"), F.size(F.filter(v, lambda x: x != 0)).alias("nonzero"))
 
 
-def project(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 3) -> DataFrame:
+def project(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 3, queries: DataFrame | None = None) -> DataFrame:
     """key, point: k coordinates scaled by the largest absolute one, and the share of variance each explains.
 
     Vectors are centred first (the library's projection doesn't); each axis' sign is set so that its largest loading is positive.
+    queries(key, vector), if given, are placed by the vectors' mean, axes and scale, and come after them.
     """
     dim = vectors.select(F.size(vector)).first()
     if dim is None:
         return vectors.select(key, F.array().cast("array<double>").alias("point"), F.array().cast("array<double>").alias("explained"))
     means = vectors.agg(*[F.avg(F.get(vector, F.lit(i)).cast("double")).alias(f"m{i}") for i in range(dim[0])]).first()
-    centred = vectors.select(key, array_to_vector(F.zip_with(F.transform(vector, lambda x: x.cast("double")), F.array(*[F.lit(float(m)) for m in means]), lambda x, m: x - m)).alias("v"))
+    centre = lambda df: df.select(key, array_to_vector(F.zip_with(F.transform(vector, lambda x: x.cast("double")), F.array(*[F.lit(float(m)) for m in means]), lambda x, m: x - m)).alias("v"))
+    centred = centre(vectors)
     model = PCA(k=k, inputCol="v", outputCol="p").fit(centred)
     axes = model.pc.toArray()
     signs = [1.0 if axes[abs(axes[:, j]).argmax(), j] > 0 else -1.0 for j in range(k)]
-    placed = model.transform(centred).select(key, F.zip_with(vector_to_array("p"), F.array(*[F.lit(s) for s in signs]), lambda x, s: x * s).alias("p"))
+    place = lambda df: model.transform(df).select(key, F.zip_with(vector_to_array("p"), F.array(*[F.lit(s) for s in signs]), lambda x, s: x * s).alias("p"))
+    placed = place(centred)
     most = placed.agg(F.max(F.array_max(F.transform("p", F.abs))).alias("m")).first()["m"] or 1.0
     explained = F.array(*[F.lit(float(x)) for x in model.explainedVariance.toArray()])
+    placed = placed if queries is None else placed.union(place(centre(queries)))
     return placed.select(key, F.transform("p", lambda x: x / most).alias("point"), explained.alias("explained"))

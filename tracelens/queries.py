@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracle as O
+from .engine import Engine
 from .functions import text as T
 from .operators import calibrate, counterfactual, generate, ingest, judge, retrieve, stages, vectors
 from .plans.config import ABLATIONS, COMPOSITES, configs, plan
@@ -36,16 +37,13 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return S.table(spark, sf, "documents")
 
 
-class Index:
-    """The tables that an index build writes once for a collection, and the legs' results for its questions.
-
-    Each is computed when first asked for and kept in the shared folder for the session.
-    """
+class Index(Engine):
+    """The engine over the driver's tables, once for each collection and application; `docs` are its documents."""
 
     _built: dict[tuple[str, str], Index] = {}
 
     def __init__(self, spark: SparkSession, sf: str):
-        self.spark, self.sf = spark, sf
+        self.spark, self.sf, self.stored = spark, sf, {}
 
     @classmethod
     def of(cls, spark: SparkSession, sf: str) -> Index:
@@ -58,52 +56,13 @@ class Index:
     def docs(self) -> DataFrame:
         return S.documents(self.spark, self.sf)
 
-    @cached_property
-    def chunks(self) -> DataFrame:
-        return cut(S.chunks(self.docs))
-
-    @cached_property
-    def questions(self) -> DataFrame:
-        return cut(S.questions(self.docs, S.table(self.spark, self.sf, "benchmark")))
-
-    @cached_property
-    def postings(self) -> DataFrame:
-        return cut(retrieve.postings(self.chunks))
-
-    @cached_property
-    def vocabulary(self) -> DataFrame:
-        words = self.postings.select(F.col("term").alias("token")).union(retrieve.query_terms(self.questions).select(F.col("term").alias("token")))
-        return cut(ingest.vocabulary(words))
-
-    @cached_property
-    def concepts(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Chunks' concepts, questions' concepts, idf."""
-        own, asked = retrieve.concept_tables(self.postings, self.questions, self.vocabulary)
-        own, asked = cut(own), cut(asked)
-        return own, asked, cut(retrieve.concept_idf(own, self.chunks))
-
-    def pairs(self) -> DataFrame:
-        """Each question with every chunk in its scope that shares a concept with it: not kept, as the legs rank it at once."""
-        own, asked, weights = self.concepts
-        return retrieve.concept_pairs(self.chunks, self.questions, own, asked, weights)
-
-    @cached_property
-    def lexical(self) -> DataFrame:
-        return cut(retrieve.bm25(self.chunks, self.questions, posted=self.postings))
-
-    @cached_property
-    def semantic(self) -> DataFrame:
-        return cut(retrieve.concept_knn(self.pairs()))
+    @property
+    def given_chunks(self) -> DataFrame:
+        return S.chunks(self.docs)
 
-    @cached_property
-    def legs(self) -> DataFrame:
-        return cut(stages.legs(self.lexical, self.semantic))
-
-    @cached_property
-    def rerank_scores(self) -> DataFrame:
-        own, asked, weights = self.concepts
-        covered = retrieve.coverage_of(self.legs, self.chunks, own, asked, weights)
-        return cut(stages.rerank_scores(self.legs, covered, self.questions, self.chunks))
+    @property
+    def given_questions(self) -> DataFrame:
+        return S.questions(self.docs, S.table(self.spark, self.sf, "benchmark"))
 
     @cached_property
     def sweep(self) -> dict[str, DataFrame]:
@@ -256,11 +215,7 @@ def neighbour_expansion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run(i: Index, names: list[str]) -> dict[str, DataFrame]:
-    cfg = configs(i.spark, names)
-    cand = cut(stages.fuse(i.legs, cfg))
-    decided = cut(stages.rerank_decision(stages.gate(cand, cfg), cfg))
-    ranked = cut(stages.rerank(cand, decided, i.rerank_scores, cfg))
-    return {"chunks": i.chunks, "questions": i.questions, "configs": cfg, "legs": i.legs, "cand": cand, "decided": decided, "ranked": ranked}
+    return i.retrieve(names)
 
 
 def _cfg(*names: str) -> dict:
@@ -302,16 +257,9 @@ def _cases(spark: SparkSession, sf: str, q: DataFrame) -> DataFrame:
 
 
 def _sweep(i: Index, names: list[str]) -> dict[str, DataFrame]:
-    r = _run(i, names)
-    c, q, cfg = r["chunks"], r["questions"], r["configs"]
-    own, asked, weights = i.concepts
-    r["ctx"] = cut(stages.context(r["ranked"], c, cfg))
-    runs = q.select("query_id").crossJoin(F.broadcast(cfg.select("config_id")))
-    terms = cut(generate.weighted_terms(q, asked, weights, c))
-    r["answers"] = cut(generate.answers(runs, r["ctx"], r["decided"], cfg, q, c, own, i.vocabulary, terms))
-    r["cases"] = cut(_cases(i.spark, i.sf, q))
-    r["gold"] = cut(_gold(c, r["cases"]))
-    r["own"], r["asked"] = own, asked
+    r = i.run(names)
+    r["cases"] = cut(_cases(i.spark, i.sf, r["questions"]))
+    r["gold"] = cut(_gold(r["chunks"], r["cases"]))
     r["diffs"] = cut(counterfactual.diffs(r["answers"], r["cases"]))
     return r
 
@@ -691,6 +639,21 @@ def trace_nested(spark: SparkSession, sf: str) -> DataFrame:
     return generate.traces(r["ranked"], r["ctx"], r["answers"])
 
 
+@query("trace_candidates", "SELECT coalesce(r.config_id, x.config_id) AS config_id, coalesce(r.query_id, x.query_id) AS query_id, coalesce(r.chunk_id, x.chunk_id) AS chunk_id, x.final_rank, r.fused_rank, CASE WHEN NOT r.gate_passed THEN 'gate' WHEN x.final_rank IS NULL THEN 'top_k' END AS rejected_by, x.inclusion_reason FROM ranked r FULL JOIN ctx x ON x.config_id = r.config_id AND x.query_id = r.query_id AND x.chunk_id = r.chunk_id", ["ranked", "ctx"], _cfg("baseline", "no_gate"))
+def trace_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """The candidates of nested traces, a row each."""
+    r = _sweep(Index.of(spark, sf), ["baseline", "no_gate"])
+    c = generate.traces(r["ranked"], r["ctx"], r["answers"]).select("config_id", "query_id", F.explode("candidates").alias("c"))
+    rank = F.when(F.col("c.final_rank") < 1_000_000, F.col("c.final_rank")).alias("final_rank")
+    return c.select("config_id", "query_id", "c.chunk_id", rank, "c.fused_rank", "c.rejected_by", "c.inclusion_reason")
+
+
+@query("run_stages", "SELECT config_id, query_id, CAST(seq AS INTEGER) AS seq, stage, CASE WHEN why IS NULL THEN 'ran' ELSE 'skipped' END AS state, why AS reason FROM (SELECT a.config_id, a.query_id, s.seq, s.stage, CASE WHEN NOT s.enabled THEN 'ablated' WHEN s.stage IN ('gate', 'rerank', 'expand') AND d.gate_passed IS NULL THEN 'no candidates' WHEN s.stage = 'gate' AND NOT d.gate_checked THEN 'not checked' WHEN s.stage = 'expand' AND NOT d.gate_passed THEN 'gate refused' WHEN s.stage = 'rerank' AND d.rerank_reason <> 'run' THEN d.rerank_reason END AS why FROM ans a JOIN sg s ON s.config_id = a.config_id LEFT JOIN decided d ON d.config_id = a.config_id AND d.query_id = a.query_id)", ["ans", "sg", "decided"], _A | _cfg("baseline", "no_gate", "no_lexical") | {"sg": ("SELECT config_id, unnest([{seq: 0, stage: 'rewrite', enabled: rewrite}, {seq: 1, stage: 'embed', enabled: semantic_top_k IS NOT NULL}, {seq: 2, stage: 'retrieve_dense', enabled: semantic_top_k IS NOT NULL}, {seq: 3, stage: 'retrieve_sparse', enabled: lexical_top_k IS NOT NULL}, {seq: 4, stage: 'fuse', enabled: rrf_k IS NOT NULL}, {seq: 5, stage: 'gate', enabled: gate_threshold IS NOT NULL}, {seq: 6, stage: 'rerank', enabled: rerank IS NOT NULL}, {seq: 7, stage: 'expand', enabled: neighbours IS NOT NULL}, {seq: 8, stage: 'generate', enabled: true}], recursive := true) FROM configs", ["configs"])})
+def run_stages(spark: SparkSession, sf: str) -> DataFrame:
+    r = _sweep(Index.of(spark, sf), ["baseline", "no_gate", "no_lexical"])
+    return generate.run_stages(r["configs"], r["decided"], r["answers"]).select("config_id", "query_id", F.explode("stages").alias("s")).select("config_id", "query_id", "s.*")
+
+
 @query("chunk_markdown")
 def chunk_markdown(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as Markdown: every line a paragraph, every fifth a heading."""
@@ -720,7 +683,18 @@ def _followups(spark: SparkSession, sf: str) -> DataFrame:
     return c.withColumn("previous", F.lag("text").over(before)).where("previous is not null").select("query_id", F.concat(F.lit("and what about that: "), "text").alias("query"), "previous")
 
 
-@query("rewrite_followups")
+_DEICTIC = "(" + ", ".join(O._q(w) for w in O.L.DEICTIC) + ")"
+_FOLLOW = _CONV_VOC | {
+    "fq": ("SELECT conv_id * 1000 + turn AS query_id, 'and what about that: ' || text AS query, previous FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations WHERE role = 'user') WHERE previous IS NOT NULL", []),
+    "fw": (f"SELECT concept, greatest(0.25, ln((n + 1) / (df + 1)) + 0.5) AS idf FROM (SELECT concept, count(DISTINCT conv_id || ':' || turn) AS df FROM (SELECT conv_id, turn, unnest({O.content('text')}) AS token FROM conversations) JOIN voc USING (token) GROUP BY concept), (SELECT count(*) AS n FROM conversations)", ["voc"]),
+    "fs": (f"SELECT DISTINCT query_id, concept FROM (SELECT query_id, unnest({O.content('query')}) AS token FROM fq) JOIN voc USING (token)", ["fq", "voc"]),
+    "ft": (f"SELECT query_id, token, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN {O.ident('token')} THEN 0 ELSE 1 END, round_even(idf, 9) DESC, token) AS r FROM (SELECT query_id, unnest({O.content('previous')}) AS token FROM fq WHERE list_has_any({O.raw('query')}, [{_DEICTIC[1:-1]}])) t JOIN voc USING (token) JOIN fw USING (concept) ANTI JOIN fs USING (query_id, concept) WHERE length(token) > 2", ["fq", "voc", "fw", "fs"]),
+    "fp": ("SELECT query_id, CASE WHEN count(*) = 2 AND min(token) = max(token) THEN min(token) ELSE string_agg(token, ' ' ORDER BY r) END AS phrase FROM ft WHERE r <= 2 GROUP BY query_id", ["ft"]),
+    "fa": (f"SELECT query_id, query, phrase, words, list_position(list_transform(words, lambda w: trim(lower(w), '.,?!:;') IN {_DEICTIC}), true) AS pos FROM (SELECT query_id, query, list_filter(regexp_split_to_array(query, '\\s+'), lambda w: w <> '') AS words FROM fq) LEFT JOIN fp USING (query_id)", ["fq", "fp"]),
+}
+
+
+@query("rewrite_followups", "SELECT query_id, query, CASE WHEN phrase IS NOT NULL AND pos > 0 THEN array_to_string(list_transform(words, lambda w, i: CASE WHEN i = pos THEN phrase ELSE w END), ' ') ELSE query END AS rewritten FROM fa", ["fa"], _FOLLOW)
 def rewrite_followups(spark: SparkSession, sf: str) -> DataFrame:
     c, voc = _conv_vocabulary(spark, sf)
     turns = c.select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text")
