@@ -70,6 +70,6 @@ def test_pieces_of_one_hash_keep_their_ids(monkeypatch):
     from tracelens.llm import presplit
 
     monkeypatch.setattr(presplit, "span_hashes", lambda data, a, b: span_hashes(data, a, b) % np.uint64(3))
-    table = PieceTable(lambda piece: [ord(c) for c in piece], 10)
+    table = PieceTable(lambda pieces: [[ord(c) for c in p] for p in pieces], 10)
     for texts in (["one two three", "four é five six"], ["seven one", "two 你 é", ""]):
         assert ["".join(map(chr, ids)) for ids in encode(texts, True, table)] == texts
