@@ -37,6 +37,17 @@ SYNONYMS = {
 
 TOKEN = r"[A-Za-z_][A-Za-z0-9_.\-]*[A-Za-z0-9_]|[A-Za-z]|\d+(?:\.\d+)+|\d+"
 NUMBER = r"\b\d[\d,._]*\b"
+# What an identifier, a fence, a paragraph's and a sentence's end, a word of prose and a list mark look like.
+IDENTIFIER = r"^(?=.*[A-Za-z])(?=.*[0-9_.\-])[A-Za-z0-9_.\-]+$|^[0-9]+(?:\.[0-9]+)+$"
+FENCED = r"(?s)```.*?```"
+PARAGRAPH_END = r"\n[ \t]*\n"
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z(`\[])"
+PROSE_WORD = "[A-Za-z]{2,}"
+TERMINAL = r"[.!?]$"
+LIST_MARK = r"^\s*(?:[-*+]\s+|\d+[.)]\s+|#{1,6}\s+|>\s+|\|)"
+CITED = r"\[(\d+(?:\s*,\s*\d+)*)\]"
+SCORED = r"(\d+)\s*[:=]\s*(\d+(?:\.\d+)?)"
+THOUGHT = r"(?is)<think>.*?</think>"
 
 REFUSAL = [
     r"\b(?:do|does|did)(?:\s+not|n't)\s+(?:\w+\s+){0,2}(?:state|say|specify|document|mention|rank|list|provide|indicate|contain|include|address|appear|exist)",

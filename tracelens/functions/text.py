@@ -30,7 +30,7 @@ def raw_tokens(text: str | Column) -> Column:
 
 
 def is_identifier(token: str | Column) -> Column:
-    return _c(token).rlike(r"^(?=.*[A-Za-z])(?=.*[0-9_.\-])[A-Za-z0-9_.\-]+$|^[0-9]+(?:\.[0-9]+)+$")
+    return _c(token).rlike(L.IDENTIFIER)
 
 
 def stem(token: str | Column) -> Column:
@@ -61,13 +61,13 @@ def numbers(text: str | Column) -> Column:
 
 
 def strip_code_fences(text: str | Column) -> Column:
-    return F.regexp_replace(text_of(text), r"(?s)```.*?```", " ")
+    return F.regexp_replace(text_of(text), L.FENCED, " ")
 
 
 def sentences(text: str | Column) -> Column:
     """Trimmed sentences: paragraphs at blank lines, line ends as spaces, cuts after . ! ? before a capital, ( ` or [."""
-    paragraphs = F.split(text_of(text), r"\n[ \t]*\n")
-    cut = F.flatten(F.transform(paragraphs, lambda p: F.split(F.replace(p, F.lit("\n"), F.lit(" ")), r"(?<=[.!?])\s+(?=[A-Z(`\[])")))
+    paragraphs = F.split(text_of(text), L.PARAGRAPH_END)
+    cut = F.flatten(F.transform(paragraphs, lambda p: F.split(F.replace(p, F.lit("\n"), F.lit(" ")), L.SENTENCE_END)))
     return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: s != "")
 
 
@@ -89,12 +89,12 @@ def sentence_spans(text: str | Column) -> Column:
 def is_prose(sentence: str | Column) -> Column:
     s = F.trim(text_of(sentence))
     marked = s.startswith("```") | s.startswith("~~~") | s.startswith("|")
-    words = F.size(F.regexp_extract_all(s, F.lit("[A-Za-z]{2,}"), F.lit(0)))
-    return ~marked & (words >= 5) & ~(s.contains(":") & ~s.rlike(r"[.!?]$"))
+    words = F.size(F.regexp_extract_all(s, F.lit(L.PROSE_WORD), F.lit(0)))
+    return ~marked & (words >= 5) & ~(s.contains(":") & ~s.rlike(L.TERMINAL))
 
 
 def clean_sentence(sentence: str | Column) -> Column:
-    return F.trim(F.regexp_replace(text_of(sentence), r"^\s*(?:[-*+]\s+|\d+[.)]\s+|#{1,6}\s+|>\s+|\|)", ""))
+    return F.trim(F.regexp_replace(text_of(sentence), L.LIST_MARK, ""))
 
 
 def _any(patterns: list[str]) -> str:
@@ -130,7 +130,7 @@ def jaccard(a: str | Column, b: str | Column) -> Column:
 
 def citations(text: str | Column) -> Column:
     """Source numbers in [1] and [1, 2] groups, in order, distinct."""
-    groups = F.regexp_extract_all(text_of(text), F.lit(r"\[(\d+(?:\s*,\s*\d+)*)\]"), F.lit(1))
+    groups = F.regexp_extract_all(text_of(text), F.lit(L.CITED), F.lit(1))
     return F.array_distinct(F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*,\s*"))), lambda n: n.cast("int")))
 
 
@@ -138,7 +138,7 @@ def parse_scores(reply: str | Column) -> Column:
     """array<struct<n,score>> of a reranker's reply: JSON with a list of scores, else n: score pairs."""
     kind = "array<struct<n:int,score:double>>"
     whole = F.from_json(text_of(reply), f"scores {kind}")["scores"]
-    pair = r"(\d+)\s*[:=]\s*(\d+(?:\.\d+)?)"
+    pair = L.SCORED
     pairs = F.transform(F.regexp_extract_all(text_of(reply), F.lit(pair), F.lit(0)), lambda p: F.struct(F.regexp_extract(p, pair, 1).cast("int").alias("n"), F.regexp_extract(p, pair, 2).cast("double").alias("score")))
     return F.coalesce(whole, pairs.cast(kind))
 
@@ -146,10 +146,15 @@ def parse_scores(reply: str | Column) -> Column:
 def unwrap(reply: str | Column, *reasoning: str | Column) -> Column:
     """A model's answer: its content, or where that is blank the first of its reasoning fields that isn't, without thoughts."""
     said = [F.when(F.trim(text_of(c)) != "", F.trim(text_of(c))) for c in (reply, *reasoning)]
-    return F.trim(F.regexp_replace(F.coalesce(*said, F.lit("")), r"(?is)<think>.*?</think>", ""))
+    return F.trim(F.regexp_replace(F.coalesce(*said, F.lit("")), L.THOUGHT, ""))
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = lambda x: F.when(dot(x, x) == 0, F.lit(1.0)).otherwise(F.sqrt(dot(x, x)))
     return F.bround(dot(_c(a), _c(b)) / (norm(_c(a)) * norm(_c(b))), 6)
+
+
+def missing(asked: str | Column, held: str | Column) -> Column:
+    """The distinct members of asked that held lacks, in asked's order."""
+    return F.array_except(_c(asked), _c(held))

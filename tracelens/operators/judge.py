@@ -33,9 +33,14 @@ def baseline_diff(now: DataFrame, before: DataFrame) -> DataFrame:
     return new.withColumn("change", F.lit("new")).union(fixed.withColumn("change", F.lit("fixed")))
 
 
-def rollup(findings: DataFrame) -> DataFrame:
-    """suite, total, passed, worst severity, blocking (severity 3 or more among failures)."""
+def rollup(findings: DataFrame, acknowledged: DataFrame | None = None) -> DataFrame:
+    """suite, total, passed, worst severity, blocking (severity 3 or more among failures). Failures in acknowledged(suite, case_id)
+    are known: they count as failed, but neither as worst nor as blocking."""
     failed = ~F.col("passed")
+    if acknowledged is not None:
+        known = acknowledged.select("suite", "case_id", F.lit(True).alias("known")).distinct()
+        findings = findings.join(known, ["suite", "case_id"], "left")
+        failed = failed & F.col("known").isNull()
     return findings.groupBy("suite").agg(F.count("*").alias("total"), F.count_if("passed").alias("n_passed"), F.max(F.when(failed, F.col("severity")).otherwise(0)).alias("worst"), F.count_if(failed & (F.col("severity") >= 3)).alias("blocking"))
 
 
@@ -60,6 +65,13 @@ def cache_hits(asked: DataFrame, threshold: float = CACHE_FROM) -> DataFrame:
     return met.groupBy("entry").agg(F.min("earlier").alias("hit"))
 
 
+def cache_report(asked: DataFrame, threshold: float = CACHE_FROM) -> DataFrame:
+    """entry, hit, rejected: as cache_hits, and whether an earlier question of like concepts was turned down for its discriminators."""
+    plain = asked.withColumn("marks", F.array().cast("array<string>"))
+    like = cache_hits(plain, threshold).select("entry", F.lit(True).alias("like"))
+    return like.join(cache_hits(asked, threshold), "entry", "left").select("entry", "hit", F.col("hit").isNull().alias("rejected"))
+
+
 def wrong_confident(attempted: DataFrame, scored: DataFrame) -> DataFrame:
     """attempted, scored, wrong_confident, rate over what was attempted, reportable (nothing is missing)."""
     j = attempted.select("case_id").join(scored.select("case_id", "verdict"), "case_id", "left")

@@ -258,6 +258,7 @@ def _cases(spark: SparkSession, sf: str, q: DataFrame) -> DataFrame:
 
 def _sweep(i: Index, names: list[str]) -> dict[str, DataFrame]:
     r = i.run(names)
+    r["vocabulary"] = i.vocabulary
     r["cases"] = cut(_cases(i.spark, i.sf, r["questions"]))
     r["gold"] = cut(_gold(r["chunks"], r["cases"]))
     r["diffs"] = cut(counterfactual.diffs(r["answers"], r["cases"]))
@@ -583,6 +584,25 @@ def semantic_cache_hits(spark: SparkSession, sf: str) -> DataFrame:
     return judge.cache_hits(c.select("entry", F.col("role").alias("ns"), T.discriminators("text").alias("marks")).join(sets, "entry"))
 
 
+_ASKED = "SELECT 2 * query_id AS entry, tenant_id AS ns, query AS text FROM questions UNION ALL SELECT 2 * query_id + 1, tenant_id, CASE WHEN query_id % 2 = 0 THEN 'the ' || query || ' of' ELSE query || ' 77' END FROM questions"
+
+
+@query(
+    "semantic_cache_report",
+    "SELECT entry, hit, hit IS NULL AS rejected FROM (SELECT a.entry, min(b.entry) FILTER (a.mark = b.mark) AS hit FROM e a JOIN e b ON b.entry < a.entry AND a.ns = b.ns AND len(list_intersect(a.cs, b.cs)) >= 0.93 * (len(a.cs) + len(b.cs) - len(list_intersect(a.cs, b.cs))) GROUP BY a.entry)",
+    ["e"],
+    {"ask": (_ASKED, ["questions"]), "voc0": (f"SELECT DISTINCT token, token AS t FROM (SELECT unnest({O.content('text')}) AS token FROM ask)", ["ask"]), "e": (f"SELECT entry, ns, array_to_string({O.disc('text')}, ' ') AS mark, list_sort(list_distinct(list(concept))) AS cs FROM (SELECT entry, ns, text, unnest({O.content('text')}) AS token FROM ask) JOIN voc USING (token) GROUP BY entry, ns, text", ["ask", "voc"])},
+)
+def semantic_cache_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Every question again: in other words without weight, which hits, or with a number of its own, which is turned down."""
+    q = Index.of(spark, sf).questions
+    again = F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("the "), "query", F.lit(" of"))).otherwise(F.concat("query", F.lit(" 77")))
+    asked = q.select((2 * F.col("query_id")).alias("entry"), F.col("tenant_id").alias("ns"), F.col("query").alias("text")).union(q.select(2 * F.col("query_id") + 1, "tenant_id", again))
+    voc = ingest.vocabulary(asked.select(F.explode_outer(T.content_tokens("text")).alias("token")).where("token is not null"))
+    sets = judge.concept_sets(asked, voc, "entry", "text", "concepts")
+    return judge.cache_report(asked.select("entry", "ns", T.discriminators("text").alias("marks")).join(sets, "entry"))
+
+
 @query(
     "rule_judge",
     f"SELECT conv_id, turn, CASE WHEN lower(trim(a)) = lower(trim(b)) THEN 'equivalent' WHEN (regexp_matches(a, {_HED}) OR regexp_matches(a, {_REF})) AND (regexp_matches(b, {_HED}) OR regexp_matches(b, {_REF})) THEN 'equivalent' WHEN len(na) > 0 AND len(nb) > 0 AND len(list_intersect(na, nb)) = 0 THEN 'contradictory' WHEN (regexp_matches(a, {_HED}) OR regexp_matches(a, {_REF})) <> (regexp_matches(b, {_HED}) OR regexp_matches(b, {_REF})) THEN 'degraded' WHEN j >= 0.72 THEN 'equivalent' WHEN j >= 0.35 THEN 'degraded' ELSE 'contradictory' END AS verdict FROM jp",
@@ -717,13 +737,14 @@ def trace_totals(r: dict[str, DataFrame]) -> DataFrame:
     return j.groupBy("config_id").agg(F.count("*").alias("runs"), F.sum("t").alias("tokens_in"), F.sum(T.estimate_tokens("answer").cast("long")).alias("tokens_out"), F.count_if(F.col("t") > 0).alias("calls"))
 
 
-@_swept("missing_concepts", f"SELECT query_id, config_id, array_to_string(list_sort(list_filter(asked, lambda c: NOT list_contains(held, c))), ' ') AS missing FROM (SELECT a.query_id, v.config_id, a.asked, coalesce(h.held, []) AS held FROM (SELECT query_id, list_distinct(list(concept)) AS asked FROM asked GROUP BY query_id) a, configs v LEFT JOIN (SELECT config_id, query_id, list_distinct(list(concept)) AS held FROM ctx JOIN own USING (chunk_id) GROUP BY ALL) h ON h.query_id = a.query_id AND h.config_id = v.config_id)", ["asked", "configs", "ctx", "own"])
+@_swept("missing_concepts", f"SELECT query_id, config_id, array_to_string(list_filter(asked, lambda c: NOT list_contains(held, c)), ' ') AS missing FROM (SELECT a.query_id, v.config_id, a.asked, coalesce(h.held, []) AS held FROM (SELECT query_id, list(concept ORDER BY p) AS asked FROM (SELECT query_id, concept, min(p) AS p FROM (SELECT query_id, unnest({O.content('query')}) AS token, unnest(range(0, len({O.content('query')}))) AS p FROM questions) JOIN voc USING (token) GROUP BY ALL) GROUP BY query_id) a, configs v LEFT JOIN (SELECT config_id, query_id, list_distinct(list(concept)) AS held FROM ctx JOIN own USING (chunk_id) GROUP BY ALL) h ON h.query_id = a.query_id AND h.config_id = v.config_id)", ["questions", "voc", "configs", "ctx", "own"])
 def missing_concepts(r: dict[str, DataFrame]) -> DataFrame:
-    """What a question asks and its context doesn't say."""
-    held = r["ctx"].join(r["own"].select("chunk_id", "concept"), "chunk_id").select("config_id", "query_id", "concept").distinct()
-    grid = r["asked"].select("query_id", "concept").crossJoin(F.broadcast(r["configs"].select("config_id")))
-    gone = grid.join(held, ["config_id", "query_id", "concept"], "left_anti").groupBy("config_id", "query_id").agg(F.array_join(F.sort_array(F.collect_set("concept")), " ").alias("missing"))
-    return grid.select("config_id", "query_id").distinct().join(gone, ["config_id", "query_id"], "left").select("config_id", "query_id", F.coalesce("missing", F.lit("")).alias("missing"))
+    """What a question asks and its context doesn't say, in the question's order."""
+    held = r["ctx"].join(r["own"].select("chunk_id", "concept"), "chunk_id").groupBy("config_id", "query_id").agg(F.collect_set("concept").alias("held"))
+    said = r["questions"].select("query_id", F.posexplode_outer(T.content_tokens("query")).alias("p", "token")).join(r["vocabulary"], "token").groupBy("query_id", "concept").agg(F.min("p").alias("p"))
+    asked = said.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("p", "concept"))).alias("a")).select("query_id", F.col("a.concept").alias("asked"))
+    grid = asked.crossJoin(F.broadcast(r["configs"].select("config_id"))).join(held, ["config_id", "query_id"], "left")
+    return grid.select("config_id", "query_id", F.array_join(T.missing("asked", F.coalesce("held", F.array().cast("array<string>"))), " ").alias("missing"))
 
 
 @query("embedding_browse", "SELECT query_id, round_even(max(score), 6) AS most, list_sort(list(score))[count(*) // 2 + 1] AS middle, min(score) AS least, count(*) AS n FROM s GROUP BY query_id", ["s"], {"s": (f"SELECT q.vec_id AS query_id, round_even({_DOT.format('v.embedding', 'q.embedding')} / (sqrt({_DOT.format('v.embedding', 'v.embedding')}) * sqrt({_DOT.format('q.embedding', 'q.embedding')})), 6) AS score FROM embeddings v JOIN embeddings q ON v.label = q.label WHERE q.vec_id % 50 = 0", [])})
