@@ -269,3 +269,20 @@ def test_projection_equals_the_singular_vectors(spark):
     assert np.allclose([got[i].point for i in range(60)], points, atol=1e-6)
     assert np.allclose(got[0].explained, (size**2 / (size**2).sum())[:3], atol=1e-6)
     assert np.allclose(got[100].point, got[7].point) and np.allclose(got[101].point, 0, atol=1e-6)
+
+
+def test_a_follow_up_is_put_rewritten_unless_that_is_taken_away(spark):
+    ship(spark)
+    texts = ["The zorblax queue holds forty two messages before its owners hear of it in writing.", "The archive of the north is kept for ninety days and then given to the museum of the town."]
+    chunks = spark.createDataFrame([(f"c{k}", "tenant_a", "d", k, t) for k, t in enumerate(texts)], "chunk_id string, tenant_id string, doc_id string, ordinal int, text string")
+    asked = spark.createDataFrame([(1, "tenant_a", "and how many does it hold", "tell me about the zorblax queue"), (2, "tenant_a", "how long is the archive kept", None), (3, "tenant_a", "what about that", "")], "query_id long, tenant_id string, query string, previous string")
+    e = engine.Engine(spark, chunks, asked)
+    r = e.run(["no_gate", "no_gate+no_rewrite"])
+    put = {(x.config_id, x.query_id): x.query for x in r["forms"].collect()}
+    assert put["no_gate", 1] == "and how many does queue zorblax hold" and put["no_gate+no_rewrite", 1] == "and how many does it hold"
+    assert put["no_gate", 2] == put["no_gate+no_rewrite", 2] and len(put) == 6
+    first = {(x.config_id, x.query_id): x.chunk_id for x in r["ranked"].where("position = 1").collect()}
+    assert first["no_gate", 1] == "c0" and first["no_gate", 2] == first["no_gate+no_rewrite", 2] == "c1"
+    assert r["answers"].count() == 6 and "forty two" in next(x.answer for x in r["answers"].collect() if x.query_id == 1 and x.config_id == "no_gate")
+    told = {(x.config_id, x.query_id): x.query for x in e.query(["no_gate"]).collect()}
+    assert told["no_gate", 1].endswith("queue zorblax hold") and len(told) == 3

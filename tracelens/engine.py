@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ids
+from .functions import text as T
 from .operators import generate, ingest, retrieve, stages
 from .plans import provenance
 from .plans.config import compose, configs, normalise, plan
@@ -18,6 +19,10 @@ from .sources import files
 class Engine:
     """chunks(chunk_id, tenant_id, doc_id, ordinal, text) and the questions(query_id, tenant_id, query) put to them.
 
+    Questions may have a column previous: the turn before, null if there is none. A question that points to it is then also put as
+    it reads rewritten, and a configuration that rewrites gets that one. Both are rows of `questions`, under ids of their own;
+    results have the questions' ids.
+
     Tables are computed when first asked for and kept in the shared folder; `stored` gives those that an index on disk has.
     """
 
@@ -28,8 +33,32 @@ class Engine:
     def chunks(self) -> DataFrame:
         return self.stored.get("chunks") or cut(self.given_chunks)
 
+    @cached_property
+    def asks(self) -> DataFrame | None:
+        """ask_id, query_id, rewritten, only (whether there is no rewritten form), tenant_id, query of questions with a turn before;
+        None if the questions have none."""
+        if "previous" not in self.given_questions.columns:
+            return None
+        q = cut(self.given_questions.select("query_id", "tenant_id", "query", "previous"))
+        said = [q.select(F.explode_outer(T.content_tokens(c)).alias("token")) for c in ("query", "previous")]
+        words = self.postings.select(F.col("term").alias("token")).union(said[0]).union(said[1]).where("token is not null")
+        vocabulary = cut(ingest.vocabulary(words))
+        own, _ = retrieve.concept_tables(self.postings, q, vocabulary)
+        new = stages.rewrite(q.select("query_id", "query", F.coalesce("previous", F.lit("")).alias("previous")), vocabulary, retrieve.concept_idf(own, self.chunks))
+        j = q.select("query_id", "tenant_id", "query").join(new.select("query_id", F.col("rewritten").alias("text")), "query_id")
+        forms = F.array(F.struct(F.lit(False).alias("rewritten"), F.col("query").alias("q")), F.struct(F.lit(True).alias("rewritten"), F.when(F.col("text") != F.col("query"), F.col("text")).alias("q")))
+        rows = j.withColumn("only", F.col("text") == F.col("query")).select("query_id", "only", "tenant_id", F.explode(forms).alias("f")).where("f.q is not null")
+        return cut(rows.select(F.xxhash64("query_id", "f.rewritten").alias("ask_id"), "query_id", "f.rewritten", "only", "tenant_id", F.col("f.q").alias("query")))
+
+    def chosen(self, cfg: DataFrame) -> DataFrame:
+        """config_id, ask_id, query_id: in which form each configuration puts each question."""
+        both = self.asks.select("ask_id", "query_id", "rewritten", "only").crossJoin(F.broadcast(cfg.select("config_id", "rewrite")))
+        return both.where(F.col("rewritten") == (F.col("rewrite") & ~F.col("only"))).select("config_id", "ask_id", "query_id")
+
     @cached_property
     def questions(self) -> DataFrame:
+        if self.asks is not None:
+            return self.asks.select(F.col("ask_id").alias("query_id"), "tenant_id", "query")
         return cut(self.given_questions)
 
     @cached_property
@@ -73,18 +102,41 @@ class Engine:
 
     def retrieve(self, names: list[str]) -> dict[str, DataFrame]:
         """Candidates, decisions and final order under each configuration named."""
+        return self._named(self._retrieve(names))
+
+    def run(self, names: list[str]) -> dict[str, DataFrame]:
+        """The same, and contexts and answers."""
+        return self._named(self._run(names))
+
+    def _named(self, r: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Results under the questions' own ids; questions are then the forms in which the first configuration puts them."""
+        if self.asks is None:
+            return r
+        own = cut(self.chosen(r["configs"]))
+        for name in {"cand", "decided", "ranked", "ctx", "answers"} & r.keys():
+            ids_ = own.select("config_id", F.col("ask_id").alias("query_id"), F.col("query_id").alias("own_id"))
+            r[name] = r[name].join(ids_, ["config_id", "query_id"]).withColumn("query_id", F.col("own_id")).drop("own_id")
+        r["forms"] = own.join(self.asks.select("ask_id", "tenant_id", "query"), "ask_id").select("config_id", "query_id", "tenant_id", "query")
+        return r
+
+    def _retrieve(self, names: list[str]) -> dict[str, DataFrame]:
         cfg = configs(self.spark, names)
-        cand = cut(stages.fuse(self.legs, cfg))
+        cand = stages.fuse(self.legs, cfg)
+        if self.asks is not None:
+            cand = cand.join(self.chosen(cfg).select("config_id", F.col("ask_id").alias("query_id")), ["config_id", "query_id"], "left_semi")
+        cand = cut(cand)
         decided = cut(stages.rerank_decision(stages.gate(cand, cfg), cfg))
         ranked = cut(stages.rerank(cand, decided, self.rerank_scores, cfg))
         return {"chunks": self.chunks, "questions": self.questions, "configs": cfg, "legs": self.legs, "cand": cand, "decided": decided, "ranked": ranked}
 
-    def run(self, names: list[str]) -> dict[str, DataFrame]:
-        """The same, and contexts and answers."""
-        r = self.retrieve(names)
+    def _run(self, names: list[str]) -> dict[str, DataFrame]:
+        r = self._retrieve(names)
         own, asked, weights = self.concepts
         r["ctx"] = cut(stages.context(r["ranked"], r["chunks"], r["configs"]))
-        runs = r["questions"].select("query_id").crossJoin(F.broadcast(r["configs"].select("config_id")))
+        if self.asks is None:
+            runs = r["questions"].select("query_id").crossJoin(F.broadcast(r["configs"].select("config_id")))
+        else:
+            runs = self.chosen(r["configs"]).select("config_id", F.col("ask_id").alias("query_id"))
         terms = cut(generate.weighted_terms(r["questions"], asked, weights, r["chunks"]))
         r["answers"] = cut(generate.answers(runs, r["ctx"], r["decided"], r["configs"], r["questions"], r["chunks"], own, self.vocabulary, terms))
         r["own"], r["asked"] = own, asked
@@ -100,7 +152,8 @@ class Engine:
         r = self.run(names)
         traces = generate.traces(r["ranked"], r["ctx"], r["answers"]).join(generate.run_stages(r["configs"], r["decided"], r["answers"]), ["config_id", "query_id"])
         stamps = self.spark.createDataFrame([(normalise(n), compose(n).hash(), *(provenance.versions(compose(n), corpus)[k] for k in provenance.report.COMPARED)) for n in names], "config_id string, config_hash string, " + ", ".join(f"{k} string" for k in provenance.report.COMPARED))
-        named = traces.join(F.broadcast(stamps), "config_id").join(r["questions"].select("query_id", "tenant_id", "query"), "query_id")
+        put = r["questions"].select("query_id", "tenant_id", "query").crossJoin(F.broadcast(r["configs"].select("config_id"))) if self.asks is None else r["forms"]
+        named = traces.join(F.broadcast(stamps), "config_id").join(put.select("config_id", "query_id", "tenant_id", "query"), ["config_id", "query_id"])
         versions = F.struct(*provenance.report.COMPARED).alias("versions")
         key = ids.content_id(F.col("config_hash"), F.col("tenant_id"), F.col("query_id").cast("string"), F.col("query"))
         return named.select(key.alias("trace_id"), "config_id", "config_hash", "query_id", "tenant_id", "query", "status", "hedged", "answer", "citations", "candidates", "stages", versions)

@@ -35,15 +35,16 @@ def stem(t: str) -> str:
     return f"CASE WHEN length({t}) <= 3 OR {ident(t)} THEN {t} {cases} ELSE {t} END"
 
 
-def _concept_ctes() -> dict[str, tuple[str, list[str]]]:
+def concept_ctes(p: str = "") -> dict[str, tuple[str, list[str]]]:
+    """voc from voc0; p names another such chain."""
     out = {"lex": (f"SELECT * FROM (VALUES {', '.join(f'({_q(a)}, {_q(b)})' for a, b in L.SYNONYMS.items())}) v(word, instead)", [])}
-    last = "voc0"
+    last = f"{p}voc0"
     for i in range(4):
-        out[f"v{i}a"] = (f"SELECT token, coalesce(instead, t) AS t FROM {last} LEFT JOIN lex ON t = word", [last, "lex"])
-        out[f"v{i}b"] = (f"SELECT token, {stem('t')} AS t FROM v{i}a", [f"v{i}a"])
-        out[f"v{i}c"] = (f"SELECT token, coalesce(instead, t) AS t FROM v{i}b LEFT JOIN lex ON t = word", [f"v{i}b", "lex"])
-        last = f"v{i}c"
-    out["voc"] = (f"SELECT token, CASE WHEN word IS NULL AND {ident('token')} THEN 'id:' || regexp_replace(token, '[0-9]+', '#', 'g') ELSE t END AS concept FROM {last} LEFT JOIN lex ON token = word", [last, "lex"])
+        out[f"{p}v{i}a"] = (f"SELECT token, coalesce(instead, t) AS t FROM {last} LEFT JOIN lex ON t = word", [last, "lex"])
+        out[f"{p}v{i}b"] = (f"SELECT token, {stem('t')} AS t FROM {p}v{i}a", [f"{p}v{i}a"])
+        out[f"{p}v{i}c"] = (f"SELECT token, coalesce(instead, t) AS t FROM {p}v{i}b LEFT JOIN lex ON t = word", [f"{p}v{i}b", "lex"])
+        last = f"{p}v{i}c"
+    out[f"{p}voc"] = (f"SELECT token, CASE WHEN word IS NULL AND {ident('token')} THEN 'id:' || regexp_replace(token, '[0-9]+', '#', 'g') ELSE t END AS concept FROM {last} LEFT JOIN lex ON token = word", [last, "lex"])
     return out
 
 
@@ -89,7 +90,7 @@ CTES: dict[str, tuple[str, list[str]]] = {
     "ctx0": ("SELECT config_id, query_id, chunk_id, width, min(position * 10 + slot) AS place FROM slots GROUP BY ALL", ["slots"]),
     "ctx1": ("SELECT *, CAST(row_number() OVER (PARTITION BY config_id, query_id ORDER BY place) AS INTEGER) AS final_rank FROM ctx0", ["ctx0"]),
     "ctx": ("SELECT config_id, query_id, chunk_id, final_rank, CASE WHEN r.promoted IS NULL THEN 'neighbor_expansion' WHEN r.promoted THEN 'rerank_promoted' ELSE 'fused_top_k' END AS inclusion_reason FROM ctx1 LEFT JOIN ranked r USING (config_id, query_id, chunk_id) WHERE final_rank <= width", ["ctx1", "ranked"]),
-    **_concept_ctes(),
+    **concept_ctes(),
 }
 
 

@@ -724,6 +724,25 @@ def rewrite_followups(spark: SparkSession, sf: str) -> DataFrame:
     return stages.rewrite(_followups(spark, sf), voc, weights)
 
 
+_ASK = O.concept_ctes("r") | {
+    "item": (f"SELECT b.item_id AS query_id, coalesce(g.tenant_id, 'tenant_src1') AS tenant_id, 'and what about that' AS query, {O.content('b.text')} AS told FROM benchmark b LEFT JOIN gold_tenant g ON b.item_id = g.item_id", ["gold_tenant"]),
+    "rvoc0": ("SELECT token, token AS t FROM (SELECT term AS token FROM tok UNION SELECT unnest(told) FROM item)", ["tok", "item"]),
+    "rdf": ("SELECT concept, greatest(0.25, ln((n_docs + 1) / (df + 1)) + 0.5) AS idf FROM (SELECT concept, count(DISTINCT chunk_id) AS df FROM tok JOIN rvoc ON term = token GROUP BY concept), n_docs", ["tok", "rvoc", "n_docs"]),
+    "rtold": (f"SELECT query_id, token, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN {O.ident('token')} THEN 0 ELSE 1 END, round_even(idf, 9) DESC, token) AS r FROM (SELECT query_id, unnest(told) AS token FROM item) JOIN rvoc USING (token) JOIN rdf USING (concept) WHERE length(token) > 2", ["item", "rvoc", "rdf"]),
+    "rphrase": ("SELECT query_id, CASE WHEN count(*) = 2 AND min(token) = max(token) THEN min(token) ELSE string_agg(token, ' ' ORDER BY r) END AS phrase FROM rtold WHERE r <= 2 GROUP BY query_id", ["rtold"]),
+    "questions": ("SELECT 2 * query_id AS query_id, tenant_id, query, 'x' AS kind FROM item UNION ALL SELECT 2 * query_id + 1, tenant_id, 'and what about ' || phrase, 'x' FROM item JOIN rphrase USING (query_id)", ["item", "rphrase"]),
+} | _cfg("baseline", "no_rewrite")
+
+
+@query("followup_context", "SELECT config_id, query_id // 2 AS query_id, chunk_id, final_rank, inclusion_reason FROM ctx WHERE (query_id % 2 = 1) = (config_id = 'baseline' AND query_id // 2 IN (SELECT query_id FROM rphrase))", ["ctx", "rphrase"], _ASK)
+def followup_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Each item told in the turn before, and a question that points to it: with and without rewriting."""
+    i = Index.of(spark, sf)
+    asked = i.questions.select("query_id", "tenant_id", F.lit("and what about that").alias("query"), F.col("query").alias("previous"))
+    e = Engine(spark, i.chunks, asked, {"chunks": i.chunks, "postings": i.postings})
+    return e.run(["baseline", "no_rewrite"])["ctx"].select("config_id", "query_id", "chunk_id", "final_rank", "inclusion_reason")
+
+
 @query("tenant_list", "SELECT tenant_id, count(*) AS n_docs, tenant_id = 'tenant_global' AS is_global FROM docs GROUP BY tenant_id", ["docs"])
 def tenant_list(spark: SparkSession, sf: str) -> DataFrame:
     return S.documents(spark, sf).groupBy("tenant_id").agg(F.count("*").alias("n_docs")).withColumn("is_global", F.col("tenant_id") == S.GLOBAL)
