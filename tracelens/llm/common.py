@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that an operator holds in numpy arrays at a time (one document at least).
 SLICE_BYTES = 4 << 20
 #: Rows of a file of a table known to be small, and the least number of such files.
-ROWS_PER_FILE, LEAST_FILES = 50_000, 6
+ROWS_PER_FILE, LEAST_FILES = 250_000, 3
+#: Bytes of a source table for which a table made from it gets a file.
+SOURCE_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,13 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def compact(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df in one partition for SOURCE_BYTES of the table that it comes from, or as many as it has, if they are fewer: small inputs
+    that are dealt over many partitions don't become as many small files."""
+    files = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // SOURCE_BYTES
+    return df.coalesce(max(LEAST_FILES, files)) if files < 1 << 20 else df  # an unknown size counts as a very large one
+
+
 def cut(df: DataFrame, most: int | None = None, **totals: Column) -> DataFrame:
     """The rows of df, written as Parquet in the shared folder and read from there: later plans start from files, and a lost
     executor costs no computation before that point again. most: rows that df has at most, if known; a small table then gets

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, total
+from .common import compact, cut, slices, total
 
 MIN_DOCS, MIN_TOKENS, DEPTH, SIMILARITY = 2, 3, 3, 0.8
 WILD = "<*>"
@@ -165,14 +165,15 @@ def _leaves(similarity: float, depth: int):
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similarity: float = SIMILARITY) -> tuple[DataFrame, int]:
     """h (of a masked line), first: the lines of every template that recurs; and how many there are at most."""
     lines = _lines(docs, depth, min_tokens)
-    counted = cut(lines.groupBy("leaf", "h").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")))
+    counted = cut(compact(lines.groupBy("leaf", "h").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")), docs))
     # a leaf's lines together are in at most the sum of their documents
     leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("lines")).where(F.col("all") >= min_docs)
     several = cut(counted.join(leaves.where("lines > 1").select("leaf"), "leaf"), total(counted))
     alone = counted.where(F.col("docs") >= min_docs).join(leaves.where("lines = 1").select("leaf"), "leaf", "left_semi")
-    # the words of a line are read once, from its first document
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(several.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    words = _lines(texts, depth, min_tokens, True).join(several.withColumnRenamed("first", "doc_id"), ["doc_id", "leaf", "h"]).dropDuplicates(["h"])
+    # the words of a line are read once, from its first document; the tables joined here grow with the corpus, so they are
+    # dealt out at every size
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(several.select(F.col("first").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    words = _lines(texts, depth, min_tokens, True).join(several.withColumnRenamed("first", "doc_id").hint("merge"), ["doc_id", "leaf", "h"]).dropDuplicates(["h"])
     dealt = words.select("leaf", "h", "line", "docs", F.col("doc_id").alias("first")).repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "h")
     grown = dealt.mapInArrow(_leaves(similarity, depth), "h long, template long, known long, most long, first long").where(F.col("most") >= min_docs)
     if min_docs <= 2:  # a template whose lines are in one document each is counted exactly, any other is in two
@@ -190,7 +191,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int =
     place = _lines(docs, depth, min_tokens).drop("leaf")
     rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     mark = next(c for i in range(len(rest) + 1) if (c := f"gone_{i}") not in {x.lower() for x in rest})
-    gone = place.join(out.select("h", "first"), "h").where("doc_id != first").groupBy("doc_id").agg(F.collect_set("pos").alias(mark))
+    gone = place.join(out.select("h", "first").hint("merge"), "h").where("doc_id != first").groupBy("doc_id").agg(F.collect_set("pos").alias(mark))
     names = [*rest, "n_lines", "n_dropped"]
     schema = docs.select(*rest).withColumn("n_lines", F.lit(0).cast("long")).withColumn("n_dropped", F.lit(0).cast("long")).schema
 
@@ -208,7 +209,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int =
                 columns = {c: part.column(c) for c in rest} | {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
                 yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
-    return docs.select(*rest).join(gone, "doc_id", "left").mapInArrow(run, schema)
+    return docs.select(*rest).join(gone.hint("merge"), "doc_id", "left").mapInArrow(run, schema)
 
 
 def digest(result: DataFrame) -> DataFrame:
