@@ -25,9 +25,9 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from array import array
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ from tokenizers import Tokenizer
 from .common import slices, texts_of, trim
 from .presplit import UNKNOWN, PieceTable, classes, code_points, encode
 
-#: Words whose ids a worker holds.
-MOST_WORDS = 120_000
+#: Words whose ids a worker holds; words that step through the tables together; symbols that a key has room for.
+MOST_WORDS, TOGETHER, SYMBOLS = 120_000, 8192, 1024
 
 
 def byte_labels() -> list[str]:
@@ -61,6 +61,7 @@ class Automaton:
         self._number(vocab, pairs)
         self._compile(vocab, pairs)
         self._trie(vocab)
+        del self.made, self.first, self.joined, self.number  # only the tables are kept
 
     def _number(self, vocab: dict[str, int], pairs: list[tuple[int, int]]) -> None:
         """Numbers tokens so that those whose left end is a token come before it, in the order of their merges; made[v] lists
@@ -121,20 +122,26 @@ class Automaton:
         self.states = len(parent)
 
     def _trie(self, vocab: dict[str, int]) -> None:
+        """node_key (node and symbol, ascending), node_next: the trie's transitions; arc: the token that ends at a node, or -1."""
         self.symbol: dict[str, int] = {}
-        self.next: dict[int, int] = {}
-        self.arc = [-1]
+        steps: dict[int, int] = {}
+        arc = [-1]
         for text, i in vocab.items():
             if i in self.dead:
                 continue
             node = 0
             for s in self.symbols_of(text):
                 s = self.symbol.setdefault(s, len(self.symbol))
-                node = self.next.setdefault(node * 1024 + s, len(self.arc))
-                if node == len(self.arc):
-                    self.arc.append(-1)
-            self.arc[node] = i
-        self.starts, self.ends = array("q", self.closed_from.tobytes()), array("q", self.closed_to.tobytes())
+                node = steps.setdefault(node * SYMBOLS + s, len(arc))
+                if node == len(arc):
+                    arc.append(-1)
+            arc[node] = i
+        if len(self.symbol) > SYMBOLS:
+            raise ValueError("too many symbols")
+        keys = np.array(list(steps), np.int64)
+        order = np.argsort(keys)
+        self.node_key, self.node_next = keys[order], np.array(list(steps.values()), np.int64)[order]
+        self.arc, self.places = np.array(arc, np.int64), np.array(self.number, np.int64)
 
     def symbols_of(self, text: str) -> list[str]:
         if text.endswith(self.end) and len(text) > len(self.end):
@@ -142,36 +149,49 @@ class Automaton:
             return [*text[:-1], text[-1] + self.end]
         return list(text)
 
-    def step(self, x: int, y: int) -> bool:
-        """Whether the state that arcs x lead to has an arc y."""
-        key = x * self.n + self.number[y]
-        at = bisect_right(self.starts, key) - 1
-        return at < 0 or self.ends[at] < key
-
-    def encode(self, symbols: list[str]) -> list[int]:
-        size = len(symbols)
-        code = [self.symbol[s] for s in symbols]
-        state, back = [-1] * (size + 1), [0] * (size + 1)
-        following, arc, step = self.next.get, self.arc, self.step
-        for i in range(size):
-            here = state[i]
-            if here < 0 and i:
-                continue  # no path ends here
-            node = 0
-            for j in range(i, size):
-                node = following(node * 1024 + code[j], -1)
-                if node < 0:
+    def steps(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the states that arcs x lead to have the arcs y."""
+        key = x * self.n + self.places[y]
+        at = np.searchsorted(self.closed_from, key, "right") - 1
+        return (at < 0) | (self.closed_to[at] < key) if len(self.closed_to) else np.ones(len(x), dtype=bool)
+
+    def _follow(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The trie's next nodes, -1 where there is none."""
+        key = node * SYMBOLS + symbol
+        at = np.minimum(np.searchsorted(self.node_key, key), len(self.node_key) - 1)
+        return np.where(self.node_key[at] == key, self.node_next[at], -1)
+
+    def encode_all(self, codes: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        """Tokens of words given as rows of symbols, of `size` symbols each: all words step through the tables together."""
+        n, most = codes.shape
+        state, back = np.full((n, most + 1), -1, np.int64), np.zeros((n, most + 1), np.int64)
+        for i in range(most):
+            row = np.flatnonzero((size > i) & ((state[:, i] >= 0) | (i == 0)))
+            node = np.zeros(len(row), np.int64)
+            for j in range(i, most):
+                node = self._follow(node, codes[row, j])
+                row, node = row[node >= 0], node[node >= 0]
+                to = self.arc[node]
+                ends = np.flatnonzero(to >= 0)
+                if i:
+                    ends = ends[self.steps(state[row[ends], i], to[ends])]
+                state[row[ends], j + 1], back[row[ends], j + 1] = to[ends], i
+                on = size[row] > j + 1
+                row, node = row[on], node[on]
+                if not len(row):
                     break
-                to = arc[node]
-                if to >= 0 and (here < 0 or step(here, to)):
-                    state[j + 1], back[j + 1] = to, i
-        if size and state[size] < 0:
+        at, rows, out = size.copy(), np.arange(n), []
+        if (state[rows, size] < 0).any():
             raise ValueError("no path")
-        out, at = [], size
-        while at:
-            out.append(state[at])
-            at = back[at]
-        return out[::-1]
+        while at.any():  # paths are read back from the words' ends
+            out.append(np.where(at > 0, state[rows, at], -1))
+            at = np.where(at > 0, back[rows, at], 0)
+        path = np.array(out[::-1]).reshape(len(out), n).T
+        return [x[x >= 0] for x in path]
+
+    def encode(self, symbols: list[str]) -> list[int]:
+        codes = np.array([[self.symbol[s] for s in symbols]], np.int64)
+        return self.encode_all(codes, np.array([len(symbols)]))[0].tolist() if symbols else []
 
 
 class WordTokenizer:
@@ -183,17 +203,26 @@ class WordTokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.automaton = Automaton(spec["model"]["vocab"], spec["model"]["merges"], spec["model"]["end_of_word_suffix"])
-        labels = self.automaton.labels | {i: t for t, i in self.special.items()}
-        self.label_of = labels.__getitem__
+        self.automaton.labels.update({i: t for t, i in self.special.items()})
+        self.label_of = self.automaton.labels.__getitem__
         self.bytes = byte_labels()
-        self.library = Tokenizer.from_str(file_text)
-        self.table = PieceTable(lambda word: self._word("".join([self.bytes[b] for b in word.encode()])), MOST_WORDS)
+        self.byte_of = {c: b for b, c in enumerate(self.bytes)}
+        self.file_text = file_text
+        self.table = PieceTable(self._words, MOST_WORDS)
+        symbol = self.automaton.symbol
+        self.inner = np.array([symbol.get(c, -1) for c in self.bytes], np.int64)
+        self.last = np.array([symbol.get(c + self.automaton.end, -1) for c in self.bytes], np.int64)
         # what only the library normalises and splits: combining marks, what composes or changes under NFC, and unassigned characters
         self.odd = classes() == UNKNOWN
         for c in range(0x80, 0x110000):
             if unicodedata.combining(chr(c)) or unicodedata.normalize("NFC", chr(c)) != chr(c) or 0x1100 <= c < 0x1200:
                 self.odd[c] = True
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """For its normalising and splitting; made when a text needs it."""
+        return Tokenizer.from_str(self.file_text)
+
     @staticmethod
     def _check(spec: dict) -> None:
         model, split = spec["model"], {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
@@ -211,15 +240,33 @@ class WordTokenizer:
         if wrong := [k for k, right in kind.items() if not right]:
             raise ValueError(f"no tokenizer file of this operator's kind: {', '.join(wrong)}")
 
-    def _word(self, word: str) -> list[int]:
-        return self.automaton.encode([*word[:-1], word[-1] + self.automaton.end])
+    def _words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words, those of like length together."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+        data = [w.encode("utf-8", "surrogateescape") for w in words]
+        order = sorted(range(len(words)), key=lambda i: len(data[i]))
+        while order:
+            longest = len(data[order[-1]])
+            take = max(1, min(TOGETHER, (TOGETHER * 32) // max(1, longest)))
+            some, order = order[-take:], order[:-take]
+            size = np.array([len(data[i]) for i in some], np.int64)
+            flat = np.frombuffer(b"".join([data[i] for i in some]), np.uint8)
+            codes = np.zeros((len(some), longest), np.int64)
+            codes[np.arange(longest) < size[:, None]] = self.inner[flat]
+            ends = np.cumsum(size) - 1
+            codes[np.arange(len(some))[size > 0], size[size > 0] - 1] = self.last[flat[ends[size > 0]]]
+            for i, ids in zip(some, self.automaton.encode_all(codes, size), strict=True):
+                out[i] = ids
+        return out
 
     def _by_library(self, text: str) -> list[int]:
         """The library's own normalising and splitting, and only those; special tokens are cut out first."""
         out, at = [], 0
         for m in [*self.cut.finditer(text), None]:
             part = self.library.normalizer.normalize_str(text[at : m.start() if m else len(text)])
-            out += [i for w, _ in self.library.pre_tokenizer.pre_tokenize_str(part) for i in self._word(w)]
+            words = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(part)]
+            labelled = [bytes(map(self.byte_of.__getitem__, w)).decode("utf-8", "surrogateescape") for w in words]
+            out += [i for ids in self._words(labelled) for i in ids.tolist()]
             if m:
                 out.append(self.special[m[0]])
                 at = m.end()

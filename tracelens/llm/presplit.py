@@ -9,12 +9,11 @@ once, and ids are gathered with numpy.
 from __future__ import annotations
 
 import unicodedata
-from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 
-from .wordhash import same_spans, span_hashes
+from .wordhash import U, same_bytes, same_spans, span_hashes
 
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
 _tables: list[np.ndarray] = []
@@ -91,16 +90,18 @@ def split(cp: np.ndarray, ends: np.ndarray, spaces: bool) -> tuple[np.ndarray, n
 
 
 class PieceTable:
-    """ids (little-endian, 32 bits) of pieces of text, found by hash and held with the piece itself, which is compared; `make`
-    gives a piece's ids.
+    """ids (little-endian, 32 bits) of pieces of text, found by hash and held with the piece's bytes, which are compared; `make`
+    gives the ids of a list of pieces. The table is a set of arrays in the order of the hashes.
 
     Above `most` entries, those that none of the last slices had are dropped; pieces over 64 characters aren't kept.
     """
 
-    def __init__(self, make: Callable[[str], list[int]], most: int, slices: int = 6):
-        self.make, self.most = make, most
-        self.known: dict[int, tuple[str, bytes]] = {}
-        self.recent: deque[list[int]] = deque(maxlen=slices)
+    def __init__(self, make: Callable[[list[str]], Sequence], most: int, slices: int = 6):
+        self.make, self.most, self.slices, self.now = make, most, slices, 0
+        self.names = np.zeros(0, U)
+        #: Of each entry: where its bytes and its ids are and how many, and the slice that had it last.
+        self.rows = np.zeros((0, 5), np.int64)
+        self.bytes, self.flat = np.zeros(0, np.uint8), np.zeros(0, "<i4")
 
     def ids(self, text: str, data: np.ndarray, bytes_at: np.ndarray | None, start: np.ndarray, end: np.ndarray, starts_of: np.ndarray) -> list[np.ndarray]:
         """Ids of each text, given its pieces in all texts joined, as characters start to end; data: their UTF-8 bytes, bytes_at:
@@ -110,33 +111,55 @@ class PieceTable:
             return [np.zeros(0, "<i4")] * (len(starts_of) - 1)
         low, high = (start, end) if bytes_at is None else (bytes_at[start], bytes_at[end])
         names, first, which = np.unique(span_hashes(data, low, high), return_index=True, return_inverse=True)
-        names = names.tolist()
         odd = np.flatnonzero(~same_spans(data, low, high, first[which]))
-        found: list[bytes] = []
-        fresh = {}
-        for name, a, b in zip(names, start[first].tolist(), end[first].tolist(), strict=True):
-            piece, held = text[a:b], self.known.get(name)
-            if held is None or held[0] != piece:
-                held = (piece, np.array(self.make(piece), "<i4").tobytes())
-                if b - a <= 64:
-                    fresh[name] = held
-            found.append(held[1])
-        for i in odd.tolist():  # another piece has the same hash: its ids are made on their own
-            which[i] = len(found)
-            found.append(np.array(self.make(text[start[i] : end[i]]), "<i4").tobytes())
-        if len(self.known) + len(fresh) > self.most and self.known:
-            keep = set(names).union(*self.recent)
-            self.known = {k: v for k, v in self.known.items() if k in keep}
-        self.known.update(fresh)
-        self.recent.append(names)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), "<i4")
+        self.now += 1
+        at = np.searchsorted(self.names, names)
+        taken = np.flatnonzero(at < len(self.names))
+        taken = taken[self.names[at[taken]] == names[taken]]
+        row = self.rows[at[taken]]
+        known = taken[same_bytes(data, low[first[taken]], (high - low)[first[taken]], self.bytes, row[:, 0], row[:, 1])]
+        self.rows[at[known], 4] = self.now
+        new = np.ones(len(names), dtype=bool)
+        new[known] = False
+        new = np.flatnonzero(new)
+        # pieces that have another one's hash in this slice are made on their own
+        asked = np.concatenate([first[new], odd])
+        made = [np.asarray(ids, "<i4") for ids in self.make([text[a:b] for a, b in zip(start[asked].tolist(), end[asked].tolist(), strict=True)])]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        flat = np.concatenate([self.flat, *made])
+        where, size = np.zeros(len(names) + len(odd), np.int64), np.zeros(len(names) + len(odd), np.int64)
+        where[known], size[known] = self.rows[at[known], 2], self.rows[at[known], 3]
+        own = np.concatenate([new, len(names) + np.arange(len(odd))])
+        where[own], size[own] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
+        which[odd] = len(names) + np.arange(len(odd))
+        fresh = np.setdiff1d(new, taken, assume_unique=True)
+        fresh = fresh[(end - start)[first[fresh]] <= 64]
+        self._add(names[fresh], data, low[first[fresh]], (high - low)[first[fresh]], where[fresh], size[fresh], flat)
         each = size[which]
         total = np.concatenate([[0], np.cumsum(each)])
-        out = flat[np.repeat((np.cumsum(size) - size)[which] - total[:-1], each) + np.arange(total[-1])]
+        out = flat[np.repeat(where[which] - total[:-1], each) + np.arange(total[-1])]
         cuts = total[starts_of].tolist()
         return [out[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
 
+    def _add(self, names: np.ndarray, data: np.ndarray, low: np.ndarray, n: np.ndarray, where: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        rows = np.stack([len(self.bytes) + np.cumsum(n) - n, n, where, size, np.full(len(n), self.now)], axis=1)
+        self.bytes = np.concatenate([self.bytes, data[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]])
+        self.flat = flat
+        place = np.searchsorted(self.names, names)
+        self.names, self.rows = np.insert(self.names, place, names), np.insert(self.rows, place, rows, axis=0)
+        if len(self.names) > self.most:
+            stay = self.rows[:, 4] > self.now - self.slices
+            self.names, rows = self.names[stay], self.rows[stay]
+            for of, column in ((self.bytes, 0), (self.flat, 2)):
+                n = rows[:, column + 1]
+                kept = of[np.repeat(rows[:, column] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                rows[:, column] = np.cumsum(n) - n
+                if column:
+                    self.flat = kept
+                else:
+                    self.bytes = kept
+            self.rows = rows
+
 
 def encode(texts: list[str], spaces: bool, table: PieceTable) -> list[np.ndarray]:
     text = "".join(texts)

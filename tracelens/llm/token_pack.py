@@ -149,15 +149,15 @@ class Encoder:
         spec = json.loads(file_text)
         pre = spec["pre_tokenizer"] or {}
         self.by_piece = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE"
-        self.label, self.model = byte_labels(), self.library.model
-        self.table = PieceTable(self._piece, MOST_PIECES)
+        self.label, self.model = dict(enumerate(byte_labels())), self.library.model
+        self.table = PieceTable(lambda pieces: [self._piece(p) for p in pieces], MOST_PIECES)
 
     @property
     def vocab_size(self) -> int:
         return self.library.get_vocab_size(with_added_tokens=True)
 
     def _piece(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join([self.label[b] for b in piece.encode()]))]
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.label))]
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         newer = [not t.isascii() and bool((classes()[code_points(t)] == UNKNOWN).any()) for t in texts]

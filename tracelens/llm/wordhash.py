@@ -55,15 +55,23 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, like: np.ndarray) -> np.ndarray:
     """Whether each span holds the same bytes as the span whose index is in `like`."""
-    size, view = end - start, blocks(data)
-    other = start[like]
-    out = size == size[like]
-    out &= ((view[start] ^ view[other]) & _MASKS[np.minimum(size, 8)]) == 0
-    rest, at = np.flatnonzero((size > 8) & out & (like != np.arange(len(like)))), 8
+    out = np.ones(len(like), dtype=bool)
+    others = np.flatnonzero(like != np.arange(len(like)))
+    out[others] = same_bytes(data, start[others], (end - start)[others], data, start[like[others]], (end - start)[like[others]])
+    return out
+
+
+def same_bytes(a: np.ndarray, at: np.ndarray, size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether spans of a hold the same bytes as spans of b."""
+    x, y = blocks(a), blocks(b) if b is not a else None
+    y = x if y is None else y
+    out = size == b_size
+    out &= ((x[at] ^ y[np.minimum(b_at, len(y) - 1)]) & _MASKS[np.minimum(size, 8)]) == 0
+    rest, n = np.flatnonzero((size > 8) & out), 8
     while len(rest):
-        out[rest] &= ((view[start[rest] + at] ^ view[other[rest] + at]) & _MASKS[np.minimum(size[rest] - at, 8)]) == 0
-        at += 8
-        rest = rest[(size[rest] > at) & out[rest]]
+        out[rest] &= ((x[at[rest] + n] ^ y[b_at[rest] + n]) & _MASKS[np.minimum(size[rest] - n, 8)]) == 0
+        n += 8
+        rest = rest[(size[rest] > n) & out[rest]]
     return out
 
 
