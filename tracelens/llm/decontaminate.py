@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import compact, cut
 
 WORDS, THRESHOLD, BROADCAST_ROWS = 5, 0.75, 500_000
 
@@ -79,7 +79,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     documents = with_shingles(docs.select("doc_id", "text"), k, lengths).select("doc_id", F.size("shingles").alias("n"), "shingles")
     hits = documents.select("doc_id", "n", F.explode_outer("shingles").alias("h")).join(hashes, "h", "left_semi").distinct()
     candidates = hits.join(_small(key, broadcast_rows), "h").where(F.col("n") >= F.lit(threshold) * F.col("size")).select("doc_id", "item_id").distinct()
-    candidates = cut(candidates)
+    candidates = cut(compact(candidates, docs))
     # candidate documents are read again, once each, and met with all the shingles of their items
     again = docs.select("doc_id", "text").join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
     seen = with_shingles(again, k, lengths).select("doc_id", F.explode_outer("shingles").alias("h"))
@@ -91,5 +91,5 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = WORDS) -> DataFrame:
     """The rows of docs, all columns, that no item contaminates."""
-    bad = cut(contaminated(docs, items, threshold, k).select("doc_id").distinct())
+    bad = cut(compact(contaminated(docs, items, threshold, k).select("doc_id").distinct(), docs))
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)

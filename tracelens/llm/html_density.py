@@ -4,7 +4,8 @@ Each node of the page's tree has C characters and T tags below it, of which LC c
 composite density is C/T * ln(C/LC * T/LT) / ln(ln(C/(C-LC) * LC + body's LC / body's C * C + e) + e - 1), counts of 0
 standing as 1: characters for each tag, pressed down where links hold them (e - 1 keeps the divisor at 1 or more on pages
 without links). A node's density sum adds its block children's densities (inline ones would make a paragraph the main subtree).
-The subtree with the greatest sum is the main one, and is kept whole. The path from it up to the body gives two thresholds, the
+The subtree with the greatest sum is the main one, and is kept whole; but where no article or main element marks it, its block
+children that are mostly links and less dense than the whole path go. The path from it up to the body gives two thresholds, the
 greatest and the least density on it. Of what hangs from the path, block children and the runs of text and inline children
 between them, that is kept whose own density reaches the greatest, block children too that reach the least and hold blocks
 whose densities add up to the greatest, and headings (blocks with no other text) right before something kept. So link lists,
@@ -303,6 +304,8 @@ def main_text(page: str) -> str:
     while path[-1] is not top:
         path.append(path[-1].parent)
     low, high = min(n.density for n in path), max(n.density for n in path)
+    if not holders:
+        best.kids = [" " if not isinstance(k, str) and k.tag in BLOCK and 2 * k.link_chars > k.chars and k.density < low else k for k in best.kids]
     for node, on in zip(path[1:], path, strict=False):
         _prune(node, on, low, high, share)
     return _text(top)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, slices, total
+from .common import compact, cut, drop, slices, total
 from .components import components
 from .wordhash import U, gram_starts, mix, runs, short_runs, words
 
@@ -102,9 +102,9 @@ def _packed(k: int, ranges: int):
                 order = np.argsort(h, kind="stable")
                 h, ids = h[order], ids[order]
                 where = ((h >> U(32)) * U(ranges)) >> U(32)
-                cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(h) else np.zeros(0, np.int64)
+                cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
                 rows = []
-                for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True):
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     base = int(ids[a:b].min())
                     offset = (ids[a:b] - base).astype(np.int64).view(U)
                     width = max(1, (int(offset.max()).bit_length() + 7) // 8)
@@ -360,7 +360,7 @@ def _refined(measured: DataFrame, threshold: int) -> DataFrame:
 def link_components(docs: DataFrame, threshold: int = 75, k: int = 5, rare: int = RARE, direct: int = DIRECT, range_shingles: int = RANGE_SHINGLES, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (least doc_id with the same set), from docs(doc_id, text)."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    each = cut(docs.mapInArrow(_classes(k), "doc_id long, n_shingles long, h1 long, h2 long"), shingles=F.sum("n_shingles"))
+    each = cut(compact(docs.mapInArrow(_classes(k), "doc_id long, n_shingles long, h1 long, h2 long"), docs), shingles=F.sum("n_shingles"))
     classes = cut(each.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id")), total(each))
     ranges = max(1, -(-(total(each, "shingles") or 0) // range_shingles))
     packed = docs.mapInArrow(_packed(k, ranges), "range long, n long, base long, width int, payload binary")
@@ -391,9 +391,9 @@ def link_components(docs: DataFrame, threshold: int = 75, k: int = 5, rare: int
         drop(label)
         if measured is None:
             break
-        label = cut(_refined(_renamed(_renamed(measured, found), found, "z_of"), threshold))
+        label = cut(compact(_refined(_renamed(_renamed(measured, found), found, "z_of"), threshold), docs))
     named = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("n_shingles", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    return each.join(cut(named, total(classes)), ["n_shingles", "h1", "h2"]).select("doc_id", "n_shingles", "component_id", "class_id")
+    return each.join(named, ["n_shingles", "h1", "h2"]).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 def _still_open(label: DataFrame) -> DataFrame:

@@ -94,6 +94,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The non-negative unbiased risk of scores z of positives and unlabelled texts, with sigmoid loss: l(z, +) = s(-z), l(z, -) = s(z)."""
+    p, u = _sigmoid(positive), _sigmoid(unlabelled)
+    return float(prior * (1 - p).mean() + max(0.0, u.mean() - prior * p.mean()))
+
+
+def slopes(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The direction of a step for each score: the risk's derivative, or, where its negative part is below 0 (over-fitted), that of
+    the negative part alone, reversed."""
+    p, u = _sigmoid(positive), _sigmoid(unlabelled)
+    at_p, at_u = p * (1 - p) / len(p), u * (1 - u) / len(u)
+    return (-2 * prior * at_p, at_u) if u.mean() - prior * p.mean() >= 0 else (prior * at_p, -at_u)
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-2) -> Model:
     both = np.concatenate([positive, unlabelled])
     edges = []
@@ -110,17 +128,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     p, u = model.design(positive), model.design(unlabelled)
     model.weight = np.zeros(p.shape[1])
     m, v, mb, vb = np.zeros_like(model.weight), np.zeros_like(model.weight), 0.0, 0.0
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
-        zp, zu = p @ model.weight + model.bias, u @ model.weight + model.bias
-        # sigmoid loss: l(z, +) = sig(-z), l(z, -) = sig(z); both slopes are -+ s(1-s)
-        sp, su = sig(zp), sig(zu)
-        negative = su.mean() - prior * sp.mean()
-        slope_p, slope_u = sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
-        if negative >= 0:
-            gp, gu = -2 * prior * slope_p, slope_u
-        else:  # over-fitted: step back along the negative part alone
-            gp, gu = prior * slope_p, -slope_u
+        gp, gu = slopes(p @ model.weight + model.bias, u @ model.weight + model.bias, prior)
         g, gb = p.T @ gp + u.T @ gu + decay * model.weight / len(edges), float(gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb

@@ -1,4 +1,5 @@
-"""The queries op1_ to op10_ and the pipeline: thin calls of the operators with production parameters."""
+"""The queries op1_ to op10_: thin calls of the operators with production parameters. Results of small inputs come in few
+partitions, see `compact`."""
 
 from __future__ import annotations
 
@@ -8,78 +9,88 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracelens.session import ship
 
-from .common import new_folder, table
+from .common import compact, new_folder, table
 
 
-def op4_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import token_pack
-    from .bpe_automaton import public_file
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import spotsigs
 
-    ship(spark)
-    files = token_pack.write_files(table(spark, sf_dir, "documents"), public_file(spark, "byte_bpe_50k.json"), token_pack.pack_folder(spark))
-    return token_pack.digest(token_pack.read_documents(files))
+    docs = table(spark, sf_dir, "documents")
+    return compact(spotsigs.digest(spotsigs.fingerprints(docs)), docs)
 
 
-def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import quality_pu
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
 
     ship(spark)
-    return quality_pu.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents")
+    paths, ledger = secrets.update(docs, new_folder(spark, "ledger"))
+    return compact(secrets.digest(secrets.findings(paths, ledger, secrets.RULES)), docs)
 
 
-def op6_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import html_density
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
 
     ship(spark)
-    return html_density.extract(table(spark, sf_dir, "pages"))
+    docs = table(spark, sf_dir, "documents")
+    return compact(ngram_join.link_components(docs), docs)
 
 
-def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import rlz
+def op4_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_pack
+    from .bpe_automaton import public_file
 
     ship(spark)
-    return rlz.spans_digest(rlz.dedup_substrings(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    files = token_pack.write_files(docs, public_file(spark, "byte_bpe_50k.json"), token_pack.pack_folder(spark))
+    return compact(token_pack.digest(token_pack.read_documents(files)), docs)
 
 
-def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import spotsigs
+def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_pu
 
-    return spotsigs.digest(spotsigs.fingerprints(table(spark, sf_dir, "documents")))
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    return compact(quality_pu.predict(docs, table(spark, sf_dir, "labels")), docs)
 
 
-def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import secrets
+def op6_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_density
 
     ship(spark)
-    paths, ledger = secrets.update(table(spark, sf_dir, "documents"), new_folder(spark, "ledger"))
-    return secrets.digest(secrets.findings(paths, ledger, secrets.RULES))
+    pages = table(spark, sf_dir, "pages")
+    return compact(html_density.extract(pages), pages)
 
 
-def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import ngram_join
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import rlz
 
     ship(spark)
-    return ngram_join.link_components(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return compact(rlz.spans_digest(rlz.dedup_substrings(docs)), docs)
 
 
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe_automaton as bpe
 
     ship(spark)
-    return bpe.digest(bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.public_file(spark, "word_bpe_49k.json")))
+    docs = table(spark, sf_dir, "documents")
+    return compact(bpe.digest(bpe.encode_decode(docs, bpe.public_file(spark, "word_bpe_49k.json"))), docs)
 
 
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_templates
 
     ship(spark)
-    return line_templates.digest(line_templates.drop_recurring(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    return compact(line_templates.digest(line_templates.drop_recurring(docs)), docs)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    docs = table(spark, sf_dir, "documents")
+    return compact(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, texts_of
+from .common import compact, cut, slices, texts_of
 
 LEDGER = "blob string, rule string, version int, spans array<struct<start:long,end:long>>"
 
@@ -122,7 +122,7 @@ def update(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -
     where = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
     known = spark.read.schema(LEDGER).parquet(ledger_path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
     paths, found = _unseen(docs, known, rules)
-    found.write.mode("append").parquet(ledger_path)
+    compact(found, docs).write.mode("append").parquet(ledger_path)
     # rows without doc_id, equal rows and two scans at once can add a pair twice
     return paths, spark.read.schema(LEDGER).parquet(ledger_path)
 

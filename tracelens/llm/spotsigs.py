@@ -110,12 +110,16 @@ def digest(result: DataFrame) -> DataFrame:
 def near_pairs(docs: DataFrame, tau: float = 0.75, chain: int = CHAIN) -> DataFrame:
     """a, b (a < b), likeness >= tau: pairs of different fingerprints, by the least doc_id that has each; see `representatives`.
 
+    Two such sets share one of the rarest signatures of each, as many as a set may lack and one more, so pairs meet over those.
     Documents without words are paired with nothing.
     """
     own = with_signatures(docs.select("doc_id", "text"), "text", "sigs", chain).select("doc_id", "sigs")
     sets = representatives(own).where(F.size("sigs") > 0).withColumn("size", F.size("sigs")).withColumn("p", length_partition(F.col("size"), tau))
-    prefix = F.slice("sigs", F.lit(1), F.col("size") - F.ceil(F.lit(tau) * F.col("size")).cast("int") + 1)
-    keys = sets.select("doc_id", "size", "p", F.explode_outer(prefix).alias("h"))
+    each = sets.select("doc_id", "size", "p", F.explode_outer("sigs").alias("h"))
+    ranked = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h").groupBy("doc_id", "size", "p").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r"))
+    prefix = F.slice("r", F.lit(1), F.col("size") - F.ceil(F.lit(tau) * F.col("size")).cast("int") + 1)
+    # a signature that no other set has brings no pair
+    keys = ranked.select("doc_id", "size", "p", F.explode_outer(F.filter(prefix, lambda x: x["df"] > 1)).alias("x")).where("x is not null").select("doc_id", "size", "p", F.col("x.h").alias("h"))
     left = keys.select(F.col("doc_id").alias("a"), F.col("size").alias("n_a"), F.explode(F.array("p", F.col("p") + 1)).alias("p"), "h")
     right = keys.select(F.col("doc_id").alias("b"), F.col("size").alias("n_b"), "p", "h")
     fit = (F.least("n_a", "n_b") >= F.lit(tau) * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b"))
