@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_: thin calls of the operators with production parameters. Results of small inputs come in few
+"""The queries op1_ to op13_: thin calls of the operators with production parameters. Results of small inputs come in few
 partitions, see `compact`."""
 
 from __future__ import annotations
@@ -93,6 +93,30 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import conversation_repair
+
+    ship(spark)
+    return conversation_repair.digest(conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations"))))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat_format
+
+    ship(spark)
+    own = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    added = own.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], own.schema)
+    return chat_format.digest(chat_format.format_chats(own.unionByName(added)))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import runs
+
+    ship(spark)
+    return runs.digest(runs.find_runs(runs.plant(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
