@@ -27,7 +27,7 @@ def frame(spark, texts: dict):
 # Line templates
 
 
-def kept_lines(texts: dict[int, str | None], min_docs=2, min_tokens=3, depth=3, similarity=0.8) -> dict[int, str | None]:
+def kept_lines(texts: dict[int, str | None], min_docs=2, min_tokens=3, depth=3, similarity=0.8, word_docs=8, word_values=4) -> dict[int, str | None]:
     """Templates line by line, each compared with every template of its leaf."""
     holders: dict[str, set] = {}
     leaf_of: dict[str, str] = {}
@@ -68,25 +68,27 @@ def kept_lines(texts: dict[int, str | None], min_docs=2, min_tokens=3, depth=3,
         for t, members in templates:
             merged.setdefault(" ".join(t), []).extend(members)
         for members in merged.values():
-            who = set().union(*(holders[x] for x in members))
-            if len(who) >= min_docs:
-                first |= dict.fromkeys(members, min(who))
+            first |= {x: min(holders[x]) for x in members if len(holders[x]) >= min_docs}
+            starts = {min(holders[x]) for x in members}
+            values = [set(column) for column in zip(*(x.split(" ") for x in members), strict=True)]
+            if len(members) > 1 and len(starts) >= max(word_docs, min_docs) and all(len(v) == 1 or len(v - {"<*>"}) >= word_values for v in values):
+                first |= dict.fromkeys(members, min(starts))
     out = {}
     for i, t in texts.items():
         out[i] = None if t is None else "\n".join(raw for raw in t.split("\n") if (x := form(raw)) is None or first.get(x, i) == i)
     return out
 
 
-@pytest.mark.parametrize("min_docs", [2, 4])
-def test_line_templates_equal_brute_force(spark, min_docs):
+@pytest.mark.parametrize(("min_docs", "evidence"), [(2, {}), (4, {}), (2, {"word_docs": 3, "word_values": 2})])
+def test_line_templates_equal_brute_force(spark, min_docs, evidence):
     rng = random.Random(min_docs)
     words = ["the", "page", "of", "all", "sites", "now", "ends", "12", "a@b", "see", "http://x"]
     line = lambda: " ".join(rng.choice(words[: rng.choice([3, 5, 11])]) for _ in range(rng.choice([1, 2, 3, 5, 6, 6, 6, 10, 10])))
     pool = [line() for _ in range(120)] + ["", "  ", "\t"]
     texts: dict[int, str | None] = {i: "\n".join(rng.choice(pool) if rng.random() < 0.7 else line() for _ in range(rng.randrange(1, 9))) for i in range(60)}
     texts |= {100: None, 101: "", 102: texts[3], 103: "one line " * 60000}
-    got = {r.doc_id: r for r in line_templates.drop_recurring(frame(spark, texts), min_docs=min_docs).collect()}
-    want = kept_lines(texts, min_docs)
+    got = {r.doc_id: r for r in line_templates.drop_recurring(frame(spark, texts), min_docs=min_docs, **evidence).collect()}
+    want = kept_lines(texts, min_docs, **evidence)
     assert {i: r.text for i, r in got.items()} == want
     assert got[5]["Gone_0"] == "x" and got[5]["__gone"] == 1 and [c for c in got[5].__fields__ if c.lower() == "n_lines"] == ["n_lines"]
     assert sum(len(texts[i] or "") for i in texts) > sum(len(t or "") for t in want.values())

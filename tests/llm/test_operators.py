@@ -301,6 +301,26 @@ def test_automaton_allows_exactly_the_merged_paths():
             assert own.encode([*word[:-1], word[-1] + "</w>"]) == library.encode(word).ids, word
 
 
+def test_long_words_take_linear_time():
+    """Words beyond a block, of letters that merge and of few letters, equal the steps taken together; time grows with length."""
+    import time
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        own = bpe_automaton.WordTokenizer(f.read())
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choices(letters[:k], k=n)) for k, n in ((26, 1025), (2, 1500), (1, 1300), (26, 1024), (5, 3000))]
+    for w in words:
+        codes = np.array([[own.inner[b] for b in w[:-1].encode()] + [own.last[ord(w[-1])]]], np.int64)
+        assert own.automaton.encode_all(codes, np.array([len(w)]))[0].tolist() == own.automaton.encode_long(codes[0]).tolist()
+        assert own.texts([w])[0].tolist() == own.library.encode(w, add_special_tokens=False).ids
+    blob = "".join(rng.choices(letters, k=200_000))
+    began = time.time()
+    ids = own.texts([blob])[0]
+    assert time.time() - began < 20 and own.decode(ids).replace(" ", "") == blob + "</w>"
+    assert ids.tolist() == own.library.encode(blob, add_special_tokens=False).ids
+
+
 def test_decontamination(spark, docs, rows):
     texts = [t for _, t in rows if t and len(t.split()) > 40]
     items = [(1, " ".join(texts[0].split()[5:30]).upper()), (2, " ".join(texts[1].split()[:20]) + " " + "z1 z2 z3 z4 z5 z6 z7"), (3, None), (4, "two WORDS!"), (5, "nothing like it anywhere at all in here"), (6, " ".join(texts[2].split()[3:40]))]
@@ -333,7 +353,24 @@ def test_line_templates(docs, rows):
 
 def test_leaf_generalises_what_differs():
     rows = [(1, "by the author John under terms", 4, 9), (2, "by the author Mary under terms", 2, 3), (3, "by the author was not a", 1, 1)]
-    assert line_templates.grow(rows, 0.8) == [(1, "by the author <*> under terms", 6, 3), (2, "by the author <*> under terms", 6, 3), (3, "by the author was not a", 1, 1)]
+    assert line_templates.grow(rows, 0.8) == [0, 0, 1]
+    evidence = lambda docs, values: line_templates._recurring(rows, 0.8, 0, 2, docs, values)
+    assert evidence(2, 2) == [(1, 3), (2, 3)] and evidence(2, 3) == evidence(3, 2) == [(1, 9), (2, 3)]
+
+
+def test_sentences_that_differ_in_a_word_stay(spark):
+    """Two sentences that are alike but for a word are no template; a field with many words in many documents is one."""
+    ship(spark)
+    alike = ["The committee met on Monday and {} the budget for schools", "We think that this {} will be sold in all our shops by May", "It is said by {} that rain comes late in the valley this year"]
+    words = ["approved", "rejected", "delayed", "doubled", "halved", "praised", "ignored"]
+    # up to seven documents, or up to three words in any number of them
+    texts = {k: [a.format(words[k])] for k in range(7) for a in alike[:2]}
+    texts |= {20 + k: [alike[2].format(words[k % 3]) + f" {'x' * k}"] for k in range(12)}
+    names = ["ann", "bob", "cid", "dan", "eve", "flo", "gus", "hal", "ida", "joe"]
+    texts |= {40 + k: [f"Posted here today by {n} in the group of readers at noon", f"{n} ends"] for k, n in enumerate(names)}
+    docs = spark.createDataFrame([(i, "\n".join(t), "", 0) for i, t in texts.items()], KINDS).repartition(3)
+    got = {r.doc_id: r.text.split("\n") for r in line_templates.drop_recurring(docs).collect()}
+    assert got == {i: t[1:] if i > 40 else t for i, t in texts.items()}
 
 
 @pytest.mark.parametrize("min_docs", [2, 3, 5])
@@ -349,16 +386,20 @@ def test_template_counts_different_documents(spark, min_docs):
     for i, t in texts.items():
         for x in t.split("\n"):
             occurs.setdefault(x, set()).add(i)
-    # lines of one leaf here differ in one token of seven or eight, so they share a template
+    # lines of one leaf here differ in one token of seven or eight, so they share a template; documents count by their lines'
+    # first ones
+    key = lambda x: (len(x.split()), *x.split()[:3])
     groups: dict[tuple, set] = {}
-    for x, who in occurs.items():
-        groups.setdefault((len(x.split()), *x.split()[:3]), set()).update(who)
-    want = {}
-    for i, t in texts.items():
-        of = lambda x: groups[(len(x.split()), *x.split()[:3])]
-        want[i] = "\n".join(x for x in t.split("\n") if len(of(x)) < min_docs or min(of(x)) == i)
+    for x in occurs:
+        groups.setdefault(key(x), set()).add(x)
+    first = {x: min(who) for x, who in occurs.items() if len(who) >= min_docs}
+    for lines in groups.values():
+        starts = {min(occurs[x]) for x in lines}
+        if len(starts) >= min_docs and len(lines) > 1:
+            first |= dict.fromkeys(lines, min(starts))
+    want = {i: "\n".join(x for x in t.split("\n") if first.get(x, i) == i) for i, t in texts.items()}
     docs = spark.createDataFrame([(i, t, "", 0) for i, t in texts.items()], KINDS).repartition(3)
-    assert {r.doc_id: r.text for r in line_templates.drop_recurring(docs, min_docs=min_docs).collect()} == want
+    assert {r.doc_id: r.text for r in line_templates.drop_recurring(docs, min_docs=min_docs, word_docs=2, word_values=2).collect()} == want
     assert (want[21] == texts[21]) == (min_docs > 2) and want != texts
 
 

@@ -3,8 +3,13 @@
 Fields with digits, addresses and links are variable and stand as <*>. The tree has a fixed depth: a line goes by its token
 count, then by its first `depth` tokens, to a leaf. In a leaf, lines in order of how many documents have them join the
 template most like them (equal tokens in equal places, of all tokens, at least `similarity`), whose differing places become
-<*>, or start one. A template recurs if its lines occur in at least `min_docs` different documents, however many of its lines a
-document has. Lines of a recurring template go from every document but the first (least doc_id) that has one.
+<*>, or start one.
+
+A line recurs if it occurs (its variable fields apart) in at least `min_docs` different documents, however often a document has
+it. That two lines are alike but for a word says little: a template that stands for words recurs as a whole only if its lines
+are first seen in at least `word_docs` different documents and each such place has at least `word_values` different words; else
+its lines go by themselves. Recurring lines go from every document but the first (least doc_id) that has the line, or one of the
+recurring template.
 
 Equal lines are counted before anything is dealt by leaf, so a leaf holds different lines only; leaves that can't recur, and
 those with one line, are settled without being gathered. In a leaf, templates are found by blocks of their tokens, one of which
@@ -26,9 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, cut, slices, total
+from .common import cut, slices, total
 
 MIN_DOCS, MIN_TOKENS, DEPTH, SIMILARITY = 2, 3, 3, 0.8
+#: What shows that a place of words in a template is a field.
+WORD_DOCS, WORD_VALUES = 8, 4
 WILD = "<*>"
 #: What makes a token variable: a digit, an @ or ://.
 _VARIABLE = re.compile(r"[0-9@]|://")
@@ -95,58 +102,56 @@ class _Index:
         return found[0] if len(found) == 1 else sorted(set().union(*found))
 
 
-def grow(leaf_lines: list[tuple[int, str, int, int]], similarity: float, depth: int = 0) -> list[tuple[int, str, int, int]]:
-    """(h, line, docs, first) of one leaf, in order -> (h, template, docs of the template, first of the template). All lines have
-    the same number of tokens, of which the first `depth` are equal."""
-    templates: list[list] = []
+def grow(leaf_lines: list[tuple[int, str, int, int]], similarity: float, depth: int = 0) -> list[int]:
+    """(h, line, docs, first) of one leaf, in order -> the number of each line's template. All lines have the same number of
+    tokens, of which the first `depth` are equal."""
+    templates: list[list[str]] = []
     member = []
     index = None
-    for _, line, docs, first in leaf_lines:
+    for _, line, _, _ in leaf_lines:
         tokens = line.split(" ")
         index = index or _Index(len(tokens), depth, similarity)
         best, most = None, similarity * len(tokens)
         for number in sorted(set(index.like(tokens))):
-            same = sum(map(str.__eq__, templates[number][0], tokens))
+            same = sum(map(str.__eq__, templates[number], tokens))
             if same >= most and (best is None or same > most):
                 best, most = number, same
         if best is None:
             best = len(templates)
-            templates.append([tokens, 0, first])
+            templates.append(tokens)
             index.add(best, tokens)
         else:
-            merged = [x if x == y else WILD for x, y in zip(templates[best][0], tokens, strict=True)]
-            if merged != templates[best][0]:
-                templates[best][0] = merged
+            merged = [x if x == y else WILD for x, y in zip(templates[best], tokens, strict=True)]
+            if merged != templates[best]:
+                templates[best] = merged
                 index.add(best, merged)
-        t = templates[best]
-        t[1] += docs
-        t[2] = min(t[2], first)
-        member.append(t)
-    return [(row[0], " ".join(t[0]), t[1], t[2]) for row, t in zip(leaf_lines, member, strict=True)]
-
+        member.append(best)
+    names: dict[str, int] = {}
+    number_of = [names.setdefault(" ".join(t), i) for i, t in enumerate(templates)]
+    return [number_of[m] for m in member]
 
-def _known(leaf_lines: list[tuple[int, str, int, int]], similarity: float, depth: int) -> list[tuple[int, int, int, int, int]]:
-    """(h, template, known, most, first) of one leaf's lines: the template's number, documents it has at least and at most, its first.
 
-    known is exact if each line is in one document, its first; it's the line in most documents or the different firsts otherwise.
-    """
-    templates: dict[str, list] = {}
-    grown = grow(leaf_lines, similarity, depth)
-    for (h, _, docs, first), (_, text, _, _) in zip(leaf_lines, grown, strict=True):
-        t = templates.setdefault(text, [h, 0, 0, set()])
-        t[1], t[2] = max(t[1], docs), t[2] + docs
-        t[3].add(first)
+def _recurring(leaf_lines: list[tuple[int, str, int, int]], similarity: float, depth: int, min_docs: int, word_docs: int, word_values: int) -> list[tuple[int, int]]:
+    """(h, first) of one leaf's lines that recur: first is the first document of the line, or of its template if that recurs."""
+    templates: dict[int, list[int]] = {}
+    for i, number in enumerate(grow(leaf_lines, similarity, depth)):
+        templates.setdefault(number, []).append(i)
     out = []
-    for h, text, _, _ in grown:
-        number, docs, total, firsts = templates[text]
-        out.append((h, number, max(docs, len(firsts)), len(firsts) if docs == 1 else total, min(firsts)))
+    for lines in templates.values():
+        firsts = {leaf_lines[i][3] for i in lines}
+        whole = len(lines) > 1 and len(firsts) >= max(word_docs, min_docs)
+        if whole:
+            places = [set(tokens) for tokens in zip(*(leaf_lines[i][1].split(" ") for i in lines), strict=True)]
+            whole = all(len(words) == 1 or len(words - {WILD}) >= word_values for words in places)
+        out += [(leaf_lines[i][0], min(firsts) if whole else leaf_lines[i][3]) for i in lines if whole or leaf_lines[i][2] >= min_docs]
     return out
 
 
-def _leaves(similarity: float, depth: int):
+def _leaves(similarity: float, depth: int, *evidence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*_known(rows, similarity, depth), strict=True)], ["h", "template", "known", "most", "first"])
+            found = _recurring(rows, similarity, depth, *evidence)
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in (0, 1)], ["h", "first"])
 
         held, now = [], None
         for batch in batches:
@@ -162,10 +167,10 @@ def _leaves(similarity: float, depth: int):
     return run
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similarity: float = SIMILARITY) -> tuple[DataFrame, int]:
-    """h (of a masked line), first: the lines of every template that recurs; and how many there are at most."""
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similarity: float = SIMILARITY, word_docs: int = WORD_DOCS, word_values: int = WORD_VALUES) -> tuple[DataFrame, int]:
+    """h (of a masked line) and first document of every line that recurs; and how many there are at most."""
     lines = _lines(docs, depth, min_tokens)
-    counted = cut(compact(lines.groupBy("leaf", "h").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")), docs))
+    counted = cut(lines.groupBy("leaf", "h").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")))
     # a leaf's lines together are in at most the sum of their documents
     leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("lines")).where(F.col("all") >= min_docs)
     several = cut(counted.join(leaves.where("lines > 1").select("leaf"), "leaf"), total(counted))
@@ -175,19 +180,13 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(several.select(F.col("first").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     words = _lines(texts, depth, min_tokens, True).join(several.withColumnRenamed("first", "doc_id").hint("merge"), ["doc_id", "leaf", "h"]).dropDuplicates(["h"])
     dealt = words.select("leaf", "h", "line", "docs", F.col("doc_id").alias("first")).repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "h")
-    grown = dealt.mapInArrow(_leaves(similarity, depth), "h long, template long, known long, most long, first long").where(F.col("most") >= min_docs)
-    if min_docs <= 2:  # a template whose lines are in one document each is counted exactly, any other is in two
-        return alone.select("h", "first").union(grown.where(F.col("known") >= min_docs).select("h", "first")), total(counted)
-    grown = cut(grown, total(several))
-    unsure = grown.where(F.col("known") < min_docs).select("h", "template")
-    counts = lines.select("doc_id", "h").join(unsure, "h").groupBy("template").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") >= min_docs)
-    sure = grown.where(F.col("known") >= min_docs)
-    return alone.select("h", "first").union(sure.select("h", "first")).union(grown.join(counts.select("template"), "template", "left_semi").select("h", "first")), total(counted)
+    grown = dealt.mapInArrow(_leaves(similarity, depth, min_docs, word_docs, word_values), "h long, first long")
+    return alone.select("h", "first").union(grown), total(counted)
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similarity: float = SIMILARITY, word_docs: int = WORD_DOCS, word_values: int = WORD_VALUES) -> DataFrame:
     """All columns of docs, text without the dropped lines, and n_lines, n_dropped (names that docs has are replaced)."""
-    out = cut(*recurring(docs, min_docs, min_tokens, depth, similarity))
+    out = cut(*recurring(docs, min_docs, min_tokens, depth, similarity, word_docs, word_values))
     place = _lines(docs, depth, min_tokens).drop("leaf")
     rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     mark = next(c for i in range(len(rest) + 1) if (c := f"gone_{i}") not in {x.lower() for x in rest})

@@ -75,7 +75,7 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ship(spark)
     docs = table(spark, sf_dir, "documents")
-    return compact(bpe.digest(bpe.encode_decode(docs, bpe.public_file(spark, "word_bpe_49k.json"))), docs)
+    return bpe.digest(bpe.encode_decode(docs, bpe.public_file(spark, "word_bpe_49k.json")))
 
 
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ship(spark)
     docs = table(spark, sf_dir, "documents")
-    return compact(line_templates.digest(line_templates.drop_recurring(docs)), docs)
+    return line_templates.digest(line_templates.drop_recurring(docs))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
