@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import ids
 from .functions import text as T
-from .operators import generate, ingest, retrieve, stages
+from .operators import generate, ingest, pruned, retrieve, stages
 from .plans import provenance
 from .plans.config import compose, configs, normalise, plan
 from .session import cut
@@ -65,6 +65,11 @@ class Engine:
     def postings(self) -> DataFrame:
         return self.stored.get("postings") or cut(retrieve.postings(self.chunks))
 
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """The postings in blocks, for pruned retrieval."""
+        return self.stored.get("blocks") or cut(pruned.blocks(self.postings))
+
     @cached_property
     def vocabulary(self) -> DataFrame:
         words = self.postings.select(F.col("term").alias("token")).union(retrieve.query_terms(self.questions).select(F.col("term").alias("token")))
@@ -88,7 +93,8 @@ class Engine:
 
     @cached_property
     def semantic(self) -> DataFrame:
-        return cut(retrieve.concept_knn(self.pairs()))
+        own, asked, weights = self.concepts
+        return cut(pruned.concept_knn(self.chunks, self.questions, own, asked, weights))
 
     @cached_property
     def legs(self) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def nearest_rank(df: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
     """group, n, and p<share>: the value at the (half-even rounded) rank share * (n - 1); exact. Values are counted first, so what
@@ -16,33 +18,83 @@ def nearest_rank(df: DataFrame, group: str, value: str, shares: list[float]) ->
     return run.join(n, group).groupBy(group).agg(F.first("n").alias("n"), *[F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(f"p{round(100 * p)}") for p in shares])
 
 
+#: Scores are compared in millionths, thresholds tried in ten-thousandths; scores that differ by less than WIDTH millionths may
+#: share a range, which so has WIDTH different scores at most.
+MICRO, STEP, WIDTH = 1_000_000, 100, 1 << 16
+
+
 def threshold(scores: DataFrame, name: str = "gate") -> DataFrame:
-    """scores(answerable boolean, score) -> threshold, false_refusal, false_admit.
+    """scores(answerable boolean, score) -> threshold, false_refusal, false_admit, name.
+
+    Each midpoint of an answerable and an unanswerable score, to four places, is a candidate; the one with the least of the worse
+    of both errors wins, the lowest of equal ones, and is rounded to three places, at which the errors are taken again. Without
+    scores of both kinds: nulls.
 
-    Each midpoint of an answerable and an unanswerable score is a candidate; the one with the least of the worse of both
-    errors wins, the lowest of equal ones, and is rounded to three places, at which the errors are taken again. Errors are read from running counts over distinct scores, not by comparing all
-    scores with all candidates.
+    With rising thresholds one error rises and the other falls, so only the candidates next to where they cross matter, and of
+    those below it the first with the same error. Different scores are counted, summed up by ranges (which are few: the driver
+    holds one row for each), and each step then looks into ranges side by side: no candidate is met with all scores, nor each
+    score with each. Scores count to six places.
     """
-    a = scores.where("answerable").groupBy("score").agg(F.count("*").alias("n"))
-    o = scores.where("not answerable").groupBy("score").agg(F.count("*").alias("n"))
-    mid = a.select(F.col("score").alias("x")).crossJoin(o.select(F.col("score").alias("y"))).select(F.bround((F.col("x") + F.col("y")) / 2, 4).alias("t")).distinct()
-    best = _best(_errors(scores, mid)).select(F.bround("threshold", 3).alias("t"))
-    return _best(_errors(scores, best)).withColumn("name", F.lit(name))
-
-
-def _errors(scores: DataFrame, at: DataFrame) -> DataFrame:
-    """t, false_refusal, false_admit: from one ordered pass over thresholds and scores together."""
-    marks = at.select(F.col("t").alias("v"), F.lit(0).alias("kind"), F.lit(0).alias("a"), F.lit(0).alias("o"))
-    rows = scores.groupBy("score").agg(F.count_if("answerable").alias("a"), F.count_if(~F.col("answerable")).alias("o")).select(F.col("score").alias("v"), F.lit(1).alias("kind"), "a", "o")
-    total = scores.agg(F.count_if("answerable").alias("na"), F.count_if(~F.col("answerable")).alias("no"))
-    below = Window.orderBy("v", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = marks.union(rows).withColumn("ca", F.sum("a").over(below)).withColumn("co", F.sum("o").over(below)).where("kind = 0")
-    return run.crossJoin(F.broadcast(total)).select(F.col("v").alias("t"), (F.col("ca") / F.col("na")).alias("false_refusal"), (1 - F.col("co") / F.col("no")).alias("false_admit"))
-
-
-def _best(errors: DataFrame) -> DataFrame:
-    cost = F.bround(F.greatest("false_refusal", "false_admit"), 9)
-    return errors.agg(F.min(F.struct(cost.alias("cost"), "t", "false_refusal", "false_admit")).alias("b")).select(F.col("b.t").alias("threshold"), F.bround("b.false_refusal", 4).alias("false_refusal"), F.bround("b.false_admit", 4).alias("false_admit"))
+    value = F.bround(F.col("score") * MICRO, 0).cast("long")
+    counted = scores.where("score is not null and answerable is not null").groupBy(value.alias("v")).agg(F.count_if("answerable").alias("a"), F.count_if(~F.col("answerable")).alias("o"))
+    marks = cut(counted.withColumn("range", F.floor(F.col("v") / WIDTH)))
+    first = lambda kind, f: f(F.when(F.col(kind) > 0, F.col("v")))
+    ranges = marks.groupBy("range").agg(F.sum("a").alias("a"), F.sum("o").alias("o"), first("a", F.min).alias("a_min"), first("o", F.min).alias("o_min"), first("o", F.max).alias("o_max")).orderBy("range").collect()
+    na, no = sum(r.a for r in ranges), sum(r.o for r in ranges)
+    spark, shape = scores.sparkSession, "threshold double, false_refusal double, false_admit double, name string"
+    if not na or not no:
+        return spark.createDataFrame([(None, None, None, name)], shape)
+
+    def errors(at: int) -> tuple[float, float]:
+        """False refusals and admissions at a threshold in millionths."""
+        below = marks.where(F.col("v") < at).agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("o"), F.lit(0)).alias("o")).first()
+        return below.a / na, 1 - below.o / no
+
+    def near(edge: int) -> tuple[int | None, int | None]:
+        """The last candidate up to `edge` and the first above it, in steps."""
+        most = STEP * 2 * edge + STEP - edge % 2  # sums of two scores up to it are rounded, half to even, to `edge` at most
+        held = [(r.range, r.o_min, r.o_max) for r in ranges if r.o]
+        lowest = (most - max(r.range for r in ranges if r.a) * WIDTH - WIDTH) // WIDTH
+        highest = (most - min(r.range for r in ranges if r.a) * WIDTH) // WIDTH
+        around = []
+        for k in range(lowest, highest + 1):  # the nearest scores outside a range, for those that have none inside on a side
+            around.append((k, max((top for at, _, top in held if at < k), default=None), min((low for at, low, _ in held if at > k), default=None)))
+        edges = spark.createDataFrame(around, "range long, before long, after long")
+        asks = marks.where("a > 0").select(F.lit(most).cast("long").alias("most"), F.col("v").alias("own")).select((F.col("most") - F.col("own")).alias("at"), "own")
+        rows = asks.select("at", "own", F.lit(None).cast("long").alias("o")).union(marks.where("o > 0").select(F.col("v").alias("at"), F.lit(None).cast("long"), F.col("v")))
+        rows = rows.withColumn("range", F.floor(F.col("at") / WIDTH)).join(F.broadcast(edges), "range")
+        line = Window.partitionBy("range").orderBy("at")
+        upto = F.coalesce(F.max("o").over(line.rangeBetween(Window.unboundedPreceding, 0)), F.col("before"))
+        above = F.coalesce(F.min("o").over(line.rangeBetween(1, Window.unboundedFollowing)), F.col("after"))
+        pairs = rows.select("own", upto.alias("upto"), above.alias("above")).where("own is not null")
+        low, high = pairs.agg(F.max(F.col("own") + F.col("upto")), F.min(F.col("own") + F.col("above"))).first()
+        return tuple(None if x is None else _half_even(x, 2 * STEP) for x in (low, high))
+
+    # the last score up to which no more are refused than admitted wrongly
+    a = o = 0
+    for r in ranges:
+        if (no - o) * na < a * no:
+            break
+        here, a, o = (r.range, a, o), a + r.a, o + r.o
+    line = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = marks.where(F.col("range") == here[0]).select("v", *[(F.coalesce(F.sum(c).over(line), F.lit(0)) + before).alias(c) for c, before in (("a", here[1]), ("o", here[2]))])
+    cross = inside.where((no - F.col("o")) * na >= F.col("a") * no).agg(F.max("v")).first()[0]
+    low, high = near(cross // STEP)
+    cost = lambda t: round(max(errors(t * STEP)), 9)
+    if low is not None and (high is None or cost(low) <= cost(high)):
+        before = marks.where((F.col("o") > 0) & (F.col("v") < low * STEP)).agg(F.max("v")).first()[0]
+        best = _half_even(min(r.a_min for r in ranges if r.a) + min(r.o_min for r in ranges if r.o), 2 * STEP) if before is None else near(before // STEP)[1]
+    else:
+        best = high
+    best = _half_even(best, 10)
+    refused, admitted = errors(best * 10 * STEP)
+    return spark.createDataFrame([(best / 1000, round(refused, 4), round(admitted, 4), name)], shape)
+
+
+def _half_even(x: int, by: int) -> int:
+    """x / by to the nearest whole number, halves to the even one."""
+    whole, rest = divmod(x, by)
+    return whole + (2 * rest > by or (2 * rest == by and whole % 2 == 1))
 
 
 def confusion(pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import small
+from . import search
 
 EQUIVALENT_FROM, DEGRADED_FROM, CACHE_FROM = 0.72, 0.35, 0.93
 
@@ -45,9 +45,10 @@ def rollup(findings: DataFrame, acknowledged: DataFrame | None = None) -> DataFr
 
 
 def canary_scan(surfaces: DataFrame, canaries: DataFrame) -> DataFrame:
-    """Surfaces (tenant_id, surface, text) that show another tenant's canary; canaries(tenant_id, canary) are broadcast if they are few."""
-    c = small(canaries.select(F.col("tenant_id").alias("owner"), "canary"))
-    return surfaces.join(c, (F.col("tenant_id") != F.col("owner")) & F.contains(F.col("text"), F.col("canary"))).select("tenant_id", "surface", "owner", "canary")
+    """Surfaces (tenant_id, surface, text) that show another tenant's canary, of canaries(tenant_id, canary)."""
+    c = canaries.select(F.struct(F.col("tenant_id").alias("owner"), "canary").alias("pattern_id"), F.col("canary").alias("pattern"))
+    found = search.containing(surfaces, c, ["tenant_id", "surface"]).select("tenant_id", "surface", "pattern_id.owner", "pattern_id.canary")
+    return found.where("tenant_id != owner")
 
 
 def cache_hits(asked: DataFrame, threshold: float = CACHE_FROM) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import oracle as O
 from .engine import Engine
 from .functions import text as T
-from .operators import calibrate, counterfactual, generate, ingest, judge, retrieve, stages, vectors
+from .operators import calibrate, counterfactual, generate, ingest, judge, pruned, retrieve, search, stages, vectors
 from .plans.config import ABLATIONS, COMPOSITES, configs, plan
 from .session import cut, ship, small
 from .sources import fixtures as S
@@ -181,6 +181,13 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return Index.of(spark, sf).lexical
 
 
+@query("bm25_pruned_topk", "SELECT query_id, chunk_id, score, rank FROM lex_leg", ["lex_leg"])
+def bm25_pruned_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The lexical leg from stored blocks of postings, without reading lists that can't change a rank."""
+    i = Index.of(spark, sf)
+    return pruned.bm25(i.blocks, i.chunks, i.questions)
+
+
 @query("concept_df_idf", "SELECT concept, df, round_even(idf, 6) AS idf FROM idf", ["idf"])
 def concept_df_idf(spark: SparkSession, sf: str) -> DataFrame:
     return Index.of(spark, sf).concepts[2].select("concept", "df", F.bround("idf", 6).alias("idf"))
@@ -267,7 +274,9 @@ def _sweep(i: Index, names: list[str]) -> dict[str, DataFrame]:
 
 def _gold(c: DataFrame, cases: DataFrame) -> DataFrame:
     few = cases.where("answer_key is not null and kind = 'answerable'")
-    return c.select("chunk_id", "text").join(small(few), F.contains(F.lower("text"), F.lower("answer_key"))).select("query_id", "chunk_id")
+    lower = c.select("chunk_id", F.lower("text").alias("text"))
+    found = search.containing(lower, few.select(F.col("query_id").alias("pattern_id"), F.lower("answer_key").alias("pattern")), ["chunk_id"])
+    return found.select(F.col("pattern_id").alias("query_id"), "chunk_id")
 
 
 _A = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -48,14 +49,23 @@ def small(df, rows: int = 10_000):
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def cut(df):
-    """The rows of df, computed now and kept in the folder that driver and executors share (spark.checkpoint.dir): later plans
-    start from files, so they stay small and a lost executor repeats nothing before this point."""
-    spark = df.sparkSession
+def shared_dir(spark) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new local one on a local master, and
+    an error on any other."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not sc.master.startswith("local"):
+    now = sc._jsc.sc().getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or (now.get() if now.isDefined() else None)
+    if not path:
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="tracelens-"))
-    return df.checkpoint(eager=True)
+        path = "file://" + tempfile.mkdtemp(prefix="tracelens-")
+        sc.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def cut(df):
+    """The rows of df, written now as Parquet in the folder that driver and executors share and read from there: later plans start
+    from files, of which they read the columns that they need, and a lost executor repeats nothing before this point."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

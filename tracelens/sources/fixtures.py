@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
-from ..session import small
+from ..operators import search
 
 GLOBAL = "tenant_global"
 
@@ -36,12 +36,9 @@ def chunks(docs: DataFrame, lines_each: int = 4) -> DataFrame:
 
 
 def gold_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """item_id, doc_no, tenant_id: documents that hold the whole text of an item.
-
-    The test is a substring, so it is a nested loop; items are the small side, and broadcast only if they are few.
-    """
-    few = small(items.select("item_id", F.col("text").alias("item_text")))
-    return docs.join(few, F.contains(F.col("text"), F.col("item_text"))).select("item_id", "doc_no", "tenant_id")
+    """item_id, doc_no, tenant_id: documents that hold the whole text of an item."""
+    found = search.containing(docs, items.select(F.col("item_id").alias("pattern_id"), F.col("text").alias("pattern")), ["doc_no", "tenant_id"])
+    return found.select(F.col("pattern_id").alias("item_id"), "doc_no", "tenant_id")
 
 
 def questions(docs: DataFrame, items: DataFrame) -> DataFrame:
