@@ -354,8 +354,8 @@ def test_line_templates(docs, rows):
 def test_leaf_generalises_what_differs():
     rows = [(1, "by the author John under terms", 4, 9), (2, "by the author Mary under terms", 2, 3), (3, "by the author was not a", 1, 1)]
     assert line_templates.grow(rows, 0.8) == [0, 0, 1]
-    evidence = lambda docs, values: line_templates._recurring(rows, 0.8, 0, 2, docs, values)
-    assert evidence(2, 2) == [(1, 3), (2, 3)] and evidence(2, 3) == evidence(3, 2) == [(1, 9), (2, 3)]
+    evidence = lambda docs: line_templates._recurring(rows, 0.8, 0, 2, docs)
+    assert evidence(2) == [(1, 3), (2, 3)] and evidence(3) == [(1, 9), (2, 3)]
 
 
 def test_sentences_that_differ_in_a_word_stay(spark):
@@ -363,9 +363,7 @@ def test_sentences_that_differ_in_a_word_stay(spark):
     ship(spark)
     alike = ["The committee met on Monday and {} the budget for schools", "We think that this {} will be sold in all our shops by May", "It is said by {} that rain comes late in the valley this year"]
     words = ["approved", "rejected", "delayed", "doubled", "halved", "praised", "ignored"]
-    # up to seven documents, or up to three words in any number of them
-    texts = {k: [a.format(words[k])] for k in range(7) for a in alike[:2]}
-    texts |= {20 + k: [alike[2].format(words[k % 3]) + f" {'x' * k}"] for k in range(12)}
+    texts = {k: [a.format(words[k]) for a in alike] for k in range(7)}
     names = ["ann", "bob", "cid", "dan", "eve", "flo", "gus", "hal", "ida", "joe"]
     texts |= {40 + k: [f"Posted here today by {n} in the group of readers at noon", f"{n} ends"] for k, n in enumerate(names)}
     docs = spark.createDataFrame([(i, "\n".join(t), "", 0) for i, t in texts.items()], KINDS).repartition(3)
@@ -399,7 +397,7 @@ def test_template_counts_different_documents(spark, min_docs):
             first |= dict.fromkeys(lines, min(starts))
     want = {i: "\n".join(x for x in t.split("\n") if first.get(x, i) == i) for i, t in texts.items()}
     docs = spark.createDataFrame([(i, t, "", 0) for i, t in texts.items()], KINDS).repartition(3)
-    assert {r.doc_id: r.text for r in line_templates.drop_recurring(docs, min_docs=min_docs, word_docs=2, word_values=2).collect()} == want
+    assert {r.doc_id: r.text for r in line_templates.drop_recurring(docs, min_docs=min_docs, word_docs=2).collect()} == want
     assert (want[21] == texts[21]) == (min_docs > 2) and want != texts
 
 

@@ -7,8 +7,7 @@ template most like them (equal tokens in equal places, of all tokens, at least `
 
 A line recurs if it occurs (its variable fields apart) in at least `min_docs` different documents, however often a document has
 it. That two lines are alike but for a word says little: a template that stands for words recurs as a whole only if its lines
-are first seen in at least `word_docs` different documents and each such place has at least `word_values` different words; else
-its lines go by themselves. Recurring lines go from every document but the first (least doc_id) that has the line, or one of the
+are first seen in at least `word_docs` different documents; else its lines go by themselves. Recurring lines go from every document but the first (least doc_id) that has the line, or one of the
 recurring template.
 
 Equal lines are counted before anything is dealt by leaf, so a leaf holds different lines only; leaves that can't recur, and
@@ -34,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import cut, slices, total
 
 MIN_DOCS, MIN_TOKENS, DEPTH, SIMILARITY = 2, 3, 3, 0.8
-#: What shows that a place of words in a template is a field.
-WORD_DOCS, WORD_VALUES = 8, 4
+#: Documents that show that a template's places of words are fields.
+WORD_DOCS = 8
 WILD = "<*>"
 #: What makes a token variable: a digit, an @ or ://.
 _VARIABLE = re.compile(r"[0-9@]|://")
@@ -131,7 +130,7 @@ def grow(leaf_lines: list[tuple[int, str, int, int]], similarity: float, depth:
     return [number_of[m] for m in member]
 
 
-def _recurring(leaf_lines: list[tuple[int, str, int, int]], similarity: float, depth: int, min_docs: int, word_docs: int, word_values: int) -> list[tuple[int, int]]:
+def _recurring(leaf_lines: list[tuple[int, str, int, int]], similarity: float, depth: int, min_docs: int, word_docs: int) -> list[tuple[int, int]]:
     """(h, first) of one leaf's lines that recur: first is the first document of the line, or of its template if that recurs."""
     templates: dict[int, list[int]] = {}
     for i, number in enumerate(grow(leaf_lines, similarity, depth)):
@@ -140,9 +139,6 @@ def _recurring(leaf_lines: list[tuple[int, str, int, int]], similarity: float, d
     for lines in templates.values():
         firsts = {leaf_lines[i][3] for i in lines}
         whole = len(lines) > 1 and len(firsts) >= max(word_docs, min_docs)
-        if whole:
-            places = [set(tokens) for tokens in zip(*(leaf_lines[i][1].split(" ") for i in lines), strict=True)]
-            whole = all(len(words) == 1 or len(words - {WILD}) >= word_values for words in places)
         out += [(leaf_lines[i][0], min(firsts) if whole else leaf_lines[i][3]) for i in lines if whole or leaf_lines[i][2] >= min_docs]
     return out
 
@@ -167,7 +163,7 @@ def _leaves(similarity: float, depth: int, *evidence: int):
     return run
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similarity: float = SIMILARITY, word_docs: int = WORD_DOCS, word_values: int = WORD_VALUES) -> tuple[DataFrame, int]:
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similarity: float = SIMILARITY, word_docs: int = WORD_DOCS) -> tuple[DataFrame, int]:
     """h (of a masked line) and first document of every line that recurs; and how many there are at most."""
     lines = _lines(docs, depth, min_tokens)
     counted = cut(lines.groupBy("leaf", "h").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")))
@@ -180,13 +176,13 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(several.select(F.col("first").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     words = _lines(texts, depth, min_tokens, True).join(several.withColumnRenamed("first", "doc_id").hint("merge"), ["doc_id", "leaf", "h"]).dropDuplicates(["h"])
     dealt = words.select("leaf", "h", "line", "docs", F.col("doc_id").alias("first")).repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "h")
-    grown = dealt.mapInArrow(_leaves(similarity, depth, min_docs, word_docs, word_values), "h long, first long")
+    grown = dealt.mapInArrow(_leaves(similarity, depth, min_docs, word_docs), "h long, first long")
     return alone.select("h", "first").union(grown), total(counted)
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similarity: float = SIMILARITY, word_docs: int = WORD_DOCS, word_values: int = WORD_VALUES) -> DataFrame:
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, similarity: float = SIMILARITY, word_docs: int = WORD_DOCS) -> DataFrame:
     """All columns of docs, text without the dropped lines, and n_lines, n_dropped (names that docs has are replaced)."""
-    out = cut(*recurring(docs, min_docs, min_tokens, depth, similarity, word_docs, word_values))
+    out = cut(*recurring(docs, min_docs, min_tokens, depth, similarity, word_docs))
     place = _lines(docs, depth, min_tokens).drop("leaf")
     rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     mark = next(c for i in range(len(rest) + 1) if (c := f"gone_{i}") not in {x.lower() for x in rest})
