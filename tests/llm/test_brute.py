@@ -27,7 +27,7 @@ def frame(spark, texts: dict):
 # Line templates
 
 
-def kept_lines(texts: dict[int, str | None], min_docs=2, min_tokens=3, depth=3, similarity=0.8, word_docs=8) -> dict[int, str | None]:
+def kept_lines(texts: dict[int, str | None], min_docs=2, min_tokens=3, depth=3, similarity=0.8, word_docs=3) -> dict[int, str | None]:
     """Templates line by line, each compared with every template of its leaf."""
     holders: dict[str, set] = {}
     leaf_of: dict[str, str] = {}
@@ -78,7 +78,7 @@ def kept_lines(texts: dict[int, str | None], min_docs=2, min_tokens=3, depth=3,
     return out
 
 
-@pytest.mark.parametrize(("min_docs", "evidence"), [(2, {}), (4, {}), (2, {"word_docs": 3})])
+@pytest.mark.parametrize(("min_docs", "evidence"), [(2, {}), (4, {}), (2, {"word_docs": 8})])
 def test_line_templates_equal_brute_force(spark, min_docs, evidence):
     rng = random.Random(min_docs)
     words = ["the", "page", "of", "all", "sites", "now", "ends", "12", "a@b", "see", "http://x"]

@@ -359,11 +359,11 @@ def test_leaf_generalises_what_differs():
 
 
 def test_sentences_that_differ_in_a_word_stay(spark):
-    """Two sentences that are alike but for a word are no template; a field with many words in many documents is one."""
+    """Sentences of two documents that are alike but for a word are no template; those of many documents are one."""
     ship(spark)
     alike = ["The committee met on Monday and {} the budget for schools", "We think that this {} will be sold in all our shops by May", "It is said by {} that rain comes late in the valley this year"]
-    words = ["approved", "rejected", "delayed", "doubled", "halved", "praised", "ignored"]
-    texts = {k: [a.format(words[k]) for a in alike] for k in range(7)}
+    words = ["approved", "rejected"]
+    texts = {k: [a.format(words[k]) for a in alike] for k in range(2)}
     names = ["ann", "bob", "cid", "dan", "eve", "flo", "gus", "hal", "ida", "joe"]
     texts |= {40 + k: [f"Posted here today by {n} in the group of readers at noon", f"{n} ends"] for k, n in enumerate(names)}
     docs = spark.createDataFrame([(i, "\n".join(t), "", 0) for i, t in texts.items()], KINDS).repartition(3)

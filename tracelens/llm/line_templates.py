@@ -34,7 +34,7 @@ from .common import cut, slices, total
 
 MIN_DOCS, MIN_TOKENS, DEPTH, SIMILARITY = 2, 3, 3, 0.8
 #: Documents that show that a template's places of words are fields.
-WORD_DOCS = 8
+WORD_DOCS = 3
 WILD = "<*>"
 #: What makes a token variable: a digit, an @ or ://.
 _VARIABLE = re.compile(r"[0-9@]|://")
