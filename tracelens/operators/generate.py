@@ -40,7 +40,8 @@ def answers(runs: DataFrame, context: DataFrame, decided: DataFrame, configs: Da
     quote = F.struct("r", "chunk_id", "coverage", F.concat("sentence", F.lit(" ["), "final_rank", F.lit("]")).alias("quote"))
     picked = scored.groupBy("config_id", "query_id").agg(F.min(quote).alias("one"), F.min(F.when(F.col("chunk_id") != F.col("best"), quote)).alias("two"), F.first("all").alias("all"))
     wanted = questions.select("query_id", T.discriminators("query").alias("wanted"))
-    held = context.join(chunks.select("chunk_id", T.discriminators("text").alias("d")), "chunk_id").groupBy("config_id", "query_id").agg(F.array_distinct(F.flatten(F.collect_list("d"))).alias("held"), F.count("*").alias("sources"))
+    read = chunks.join(context.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", T.discriminators("text").alias("d"))
+    held = context.join(read, "chunk_id").groupBy("config_id", "query_id").agg(F.array_distinct(F.flatten(F.collect_list("d"))).alias("held"), F.count("*").alias("sources"))
     j = runs.join(decided.select("config_id", "query_id", "gate_passed"), ["config_id", "query_id"], "left").join(held, ["config_id", "query_id"], "left").join(covered, ["config_id", "query_id"], "left").join(picked, ["config_id", "query_id"], "left")
     j = j.join(wanted, "query_id").join(F.broadcast(configs.select("config_id", "discriminator_guard")), "config_id")
     unmet = F.array_except("wanted", F.coalesce("held", F.array().cast("array<string>")))
