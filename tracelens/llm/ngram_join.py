@@ -15,7 +15,8 @@ nothing). Two link when 100 * intersection >= threshold * union. Shingles are 64
 4. Documents with a common signature form a list. Twice, each document is compared with the two hubs (a list's member with
    fewest shingles of its own) that it shares most lists with, which joins up most groups of copies.
 5. Lists still in several components are decided exactly, in rounds. Where a list has few pairs for its rows (`direct` a row
-   at most), they are compared by exact intersection. The members of any other list are measured against its hub: with
+   at most in the first round, more in later ones up to a fixed bound, so that lists that shrink slowly end in few rounds), they
+   are compared by exact intersection. The members of any other list are measured against its hub: with
    D = set xor hub's set, and E = (100 + t) |D| - (100 - t) n, two of them link exactly if 2 (100 + t) |D_x and D_y| >=
    E_x + E_y. So all with E_x + E_z <= 0, z the one of least E, link with z outright; any other link needs shared members of D,
    in number known from E, and so lists are formed anew over prefixes of D, of the same rare-to-frequent order: pairs across
@@ -40,10 +41,11 @@ from .common import compact, cut, drop, slices, total
 from .components import components
 from .wordhash import U, gram_starts, mix, runs, short_runs, words
 
-#: Shingles that a hash range holds, on average; the most documents in which a shingle counts as rare; pairs for each row of a
-#: list up to which they are compared directly; documents from which on a shingle of a range too large for memory is frequent
-#: without being counted further.
-RANGE_SHINGLES, RARE, DIRECT, HOT = 1 << 20, 32, 32, 1 << 12
+#: Shingles that a hash range holds, on average; the most documents in which a shingle counts as rare; documents from which on a
+#: shingle of a range too large for memory is frequent without being counted further.
+RANGE_SHINGLES, RARE, HOT = 1 << 20, 32, 1 << 12
+#: Pairs for each row of a list up to which they are compared directly: in the first round, times how much from round to round, at most.
+DIRECT, DIRECT_GROWTH, DIRECT_MOST = 32, 4, 1 << 10
 HOT_COUNT = (1 << 31) - 1
 #: A row with a set counts as so many when files are dealt out.
 WIDE = 8
@@ -391,6 +393,7 @@ def link_components(docs: DataFrame, threshold: int = 75, k: int = 5, rare: int
         drop(label)
         if measured is None:
             break
+        direct = max(direct, min(DIRECT_GROWTH * direct, DIRECT_MOST))
         label = cut(compact(_refined(_renamed(_renamed(measured, found), found, "z_of"), threshold), docs))
     named = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("n_shingles", "h1", "h2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     return each.join(named, ["n_shingles", "h1", "h2"]).select("doc_id", "n_shingles", "component_id", "class_id")
