@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import compact, cut, drop, slices, total
+from .common import compact, cut, drop, slices, total, trim
 from .components import components
 from .wordhash import U, gram_starts, mix, runs, short_runs, words
 
@@ -159,10 +159,13 @@ def _shared(limit: int, hot: int):
                 if key != now:
                     if held:
                         yield held.settle(True)
+                        trim()
                     held, now = _Range(limit, hot), key
                 yield from held.add(*row)
         if held:
             yield held.settle(True)
+        held = None
+        trim()
 
     return run
 
@@ -224,6 +227,7 @@ def _signed(threshold: int, rare: int):
             n = np.array(sizes, dtype=np.int64)
             columns = {"doc_id": batch.column("doc_id").to_numpy(zero_copy_only=False), "n": n, "alone": n - size} | {c: np.ascontiguousarray(kept[:, j]) for j, c in enumerate(SKETCH)}
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sigs, np.zeros(0, U)]).view(np.int64)), *[pa.array(np.repeat(c, each)) for c in columns.values()]], ["sig", *columns])
+        trim()
 
     return run
 
@@ -325,6 +329,7 @@ def _measure(threshold: int):
             delta = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*deltas, np.zeros(0, np.int64)]), pa.int64()))
             kept = [c for c in batch.schema.names if c not in ("own", "ref")]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(es, pa.int64()), pa.array(places, pa.int32()), delta], [*kept, "e", "place", "delta"])
+        trim()
 
     return run
 
