@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tracelens.operators import calibrate, counterfactual, judge, retrieve, scope, stages
@@ -96,8 +98,6 @@ def test_kappa_of_perfect_and_constant_judges(spark):
 
 
 def test_threshold_matches_trying_each(spark):
-    import random
-
     rng = random.Random(3)
     rows = [(rng.random() < 0.6, round(rng.random(), 2)) for _ in range(60)]
     got = calibrate.threshold(spark.createDataFrame(rows, "answerable boolean, score double")).first()
@@ -113,6 +113,26 @@ def test_cache_hits_need_equal_discriminators(spark):
     assert [(r.entry, r.hit) for r in judge.cache_hits(asked).collect()] == [(2, 1)]
 
 
+@pytest.mark.parametrize(("threshold", "hot"), [(0.93, 2048), (0.6, 3), (0.5, 1)])
+def test_cache_hits_equal_brute_force(spark, threshold, hot):
+    rng = random.Random(int(threshold * 100))
+    rows = []
+    for entry in rng.sample(range(1000), 150):
+        base = [f"w{i}" for i in range(rng.choice([3, 16, 17, 30]))]  # all questions begin with the same concepts
+        words = None if rng.random() < 0.05 else [w for w in base if rng.random() < 0.97] + ["own"] * (rng.random() < 0.3)
+        rows.append((entry, rng.choice(["n", "n", "m", None]), words, rng.choice([[], [], ["7", "5"], ["5", "7"], None])))
+    like = lambda x, y: len(x & y) >= threshold * len(x | y)
+    whole = [(e, ns, set(c), sorted(k)) for e, ns, c, k in rows if ns and c and k is not None]
+    want = {}
+    for e, ns, c, k in whole:
+        earlier = [f for f, ns2, c2, k2 in whole if f < e and (ns, k) == (ns2, k2) and like(c, c2)]
+        if earlier:
+            want[e] = min(earlier)
+    asked = spark.createDataFrame(rows, "entry long, ns string, concepts array<string>, marks array<string>").repartition(3)
+    assert {r.entry: r.hit for r in judge.cache_hits(asked, threshold, hot).collect()} == want and want
+    assert judge.cache_hits(asked.where("false"), threshold, hot).count() == 0
+
+
 def test_rate_is_over_what_was_attempted(spark):
     attempted = spark.createDataFrame([(1,), (2,), (3,)], "case_id long")
     scored = spark.createDataFrame([(1, "wrong_confident")], "case_id long, verdict string")

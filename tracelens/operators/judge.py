@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 from . import search
 
 EQUIVALENT_FROM, DEGRADED_FROM, CACHE_FROM = 0.72, 0.35, 0.93
+#: Classes of the answer cache that meet at one point from which on it is split; what bounds give way to rounding of doubles.
+HOT, SLACK = 2048, 1e-9
 
 
 def concept_sets(texts: DataFrame, vocabulary: DataFrame, key: str, text: str, out: str) -> DataFrame:
@@ -51,19 +54,49 @@ def canary_scan(surfaces: DataFrame, canaries: DataFrame) -> DataFrame:
     return found.where("tenant_id != owner")
 
 
-def cache_hits(asked: DataFrame, threshold: float = CACHE_FROM) -> DataFrame:
+def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
+    """c, ns, mark, n, k, at: the concepts by which a class meets others, from rare to frequent, and their places. Rarity is counted
+    over the classes of the same namespace and discriminators, as only those can meet."""
+    each = classes.select("c", "ns", "mark", "n", F.explode("concepts").alias("k"))
+    counts = each.groupBy("ns", "mark", "k").agg(F.count("*").alias("df"))
+    order = F.sort_array(F.collect_list(F.struct("df", "k")))
+    ranked = each.join(counts, ["ns", "mark", "k"]).groupBy("c", "ns", "mark", "n").agg(order.alias("ranked"))
+    first = F.slice("ranked", F.lit(1), (F.col("n") - F.ceil(threshold * F.col("n") - SLACK) + 1).cast("int"))
+    return ranked.select("c", "ns", "mark", "n", F.posexplode(F.transform(first, lambda r: r["k"])).alias("at", "k"))
+
+
+def cache_hits(asked: DataFrame, threshold: float = CACHE_FROM, hot: int = HOT) -> DataFrame:
     """entry, hit: each question's earliest earlier one in its namespace with the same discriminators and like concepts.
 
-    asked(entry, ns, concepts array, marks array). Concepts in code-point order; sets that reach the threshold share one of
-    their first n - ceil(t n) + 1, so questions meet by those, not each with each.
+    asked(entry, ns, concepts array, marks array); entries are unique, threshold is over 0. Questions without namespace, marks
+    (null) or concepts hit nothing.
+
+    Questions with equal concepts are one class, whose first stands for all: the earliest like question of any of them is the
+    first of some class, so copies are never paired. Sets that reach the threshold share one of their n - ceil(t n) + 1 rarest
+    concepts, and are of like size: classes meet by concept and the smaller one's size, where the concepts after the shared one can
+    still bring them to the threshold. A meeting point of over `hot` classes is split in parts of about that many. Concept sets are
+    read for the pairs left only.
     """
-    n = F.size("concepts")
-    prefix = F.slice("concepts", F.lit(1), n - F.ceil(F.lit(threshold) * n).cast("int") + 1)
-    keyed = asked.withColumn("mark", F.array_join(F.array_sort("marks"), " ")).select("entry", "ns", "mark", "concepts", F.explode_outer(prefix).alias("k"))
-    a = keyed.select("entry", "ns", "mark", "k", F.col("concepts").alias("c_a"))
-    b = keyed.select(F.col("entry").alias("earlier"), "ns", "mark", "k", F.col("concepts").alias("c_b"))
-    met = a.join(b, ["ns", "mark", "k"]).where("earlier < entry").where(T.jaccard("c_a", "c_b") >= threshold)
-    return met.groupBy("entry").agg(F.min("earlier").alias("hit"))
+    keep = asked.where("ns is not null and marks is not null and size(concepts) > 0")
+    keep = keep.select("entry", "ns", F.array_join(F.array_sort("marks"), " ").alias("mark"), F.array_sort(F.array_distinct("concepts")).alias("concepts"))
+    classes = cut(keep.groupBy("ns", "mark", "concepts").agg(F.min("entry").alias("c")).withColumn("n", F.size("concepts")))
+    key = ["ns", "mark", "k", "m"]
+    place = cut(_prefixes(classes, threshold))
+    few = place.select("ns", "mark", "k", F.col("n").alias("m"), F.col("c").alias("b"), F.col("at").alias("at_b"))
+    parts = few.groupBy(*key).agg(F.count("*").alias("held")).where(F.col("held") > hot).select(*key, F.ceil(F.col("held") / hot).cast("int").alias("parts"))
+    few = few.join(parts, key, "left").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("b"), F.col("parts"))).otherwise(0).cast("int")).drop("parts")
+    sizes = F.sequence(F.ceil(threshold * F.col("n") - SLACK).cast("int"), F.col("n"))
+    many = place.select("ns", "mark", "k", F.explode(sizes).alias("m"), F.col("c").alias("a"), F.col("at").alias("at_a"), "n")
+    many = many.join(parts, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    rest = 1 + F.least(F.col("n") - F.col("at_a") - 1, F.col("m") - F.col("at_b") - 1)
+    able = (rest >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - SLACK) & ((F.col("n") > F.col("m")) | (F.col("a") > F.col("b")))
+    pairs = many.join(few, [*key, "part"]).where(able).select("a", "b").distinct()
+    for x in "ab":
+        pairs = pairs.join(classes.select(F.col("c").alias(x), F.col("concepts").alias(f"c_{x}")), x)
+    like = pairs.where(T.jaccard("c_a", "c_b") >= threshold).select("a", "b")
+    best = like.union(like.select("b", "a")).groupBy(F.col("a").alias("c")).agg(F.min("b").alias("other"))
+    first = classes.join(best, "c", "left").select("ns", "mark", "concepts", F.least("c", "other").alias("hit"))
+    return keep.join(first, ["ns", "mark", "concepts"]).where("hit < entry").select("entry", "hit")
 
 
 def cache_report(asked: DataFrame, threshold: float = CACHE_FROM) -> DataFrame:

@@ -596,20 +596,39 @@ def semantic_cache_hits(spark: SparkSession, sf: str) -> DataFrame:
 _ASKED = "SELECT 2 * query_id AS entry, tenant_id AS ns, query AS text FROM questions UNION ALL SELECT 2 * query_id + 1, tenant_id, CASE WHEN query_id % 2 = 0 THEN 'the ' || query || ' of' ELSE query || ' 77' END FROM questions"
 
 
+_ASKED_SETS = {"ask": (_ASKED, ["questions"]), "voc0": (f"SELECT DISTINCT token, token AS t FROM (SELECT unnest({O.content('text')}) AS token FROM ask)", ["ask"]), "e": (f"SELECT entry, ns, array_to_string({O.disc('text')}, ' ') AS mark, list_sort(list_distinct(list(concept))) AS cs FROM (SELECT entry, ns, text, unnest({O.content('text')}) AS token FROM ask) JOIN voc USING (token) GROUP BY entry, ns, text", ["ask", "voc"])}
+
+
+def _asked_again(spark: SparkSession, sf: str) -> DataFrame:
+    """entry, ns, marks, concepts: every question, and each once more in other words or with a number of its own."""
+    q = Index.of(spark, sf).questions
+    again = F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("the "), "query", F.lit(" of"))).otherwise(F.concat("query", F.lit(" 77")))
+    asked = q.select((2 * F.col("query_id")).alias("entry"), F.col("tenant_id").alias("ns"), F.col("query").alias("text")).union(q.select(2 * F.col("query_id") + 1, "tenant_id", again))
+    voc = ingest.vocabulary(asked.select(F.explode_outer(T.content_tokens("text")).alias("token")).where("token is not null"))
+    sets = judge.concept_sets(asked, voc, "entry", "text", "concepts")
+    return asked.select("entry", "ns", T.discriminators("text").alias("marks")).join(sets, "entry")
+
+
 @query(
     "semantic_cache_report",
     "SELECT entry, hit, hit IS NULL AS rejected FROM (SELECT a.entry, min(b.entry) FILTER (a.mark = b.mark) AS hit FROM e a JOIN e b ON b.entry < a.entry AND a.ns = b.ns AND len(list_intersect(a.cs, b.cs)) >= 0.93 * (len(a.cs) + len(b.cs) - len(list_intersect(a.cs, b.cs))) GROUP BY a.entry)",
     ["e"],
-    {"ask": (_ASKED, ["questions"]), "voc0": (f"SELECT DISTINCT token, token AS t FROM (SELECT unnest({O.content('text')}) AS token FROM ask)", ["ask"]), "e": (f"SELECT entry, ns, array_to_string({O.disc('text')}, ' ') AS mark, list_sort(list_distinct(list(concept))) AS cs FROM (SELECT entry, ns, text, unnest({O.content('text')}) AS token FROM ask) JOIN voc USING (token) GROUP BY entry, ns, text", ["ask", "voc"])},
+    _ASKED_SETS,
 )
 def semantic_cache_report(spark: SparkSession, sf: str) -> DataFrame:
     """Every question again: in other words without weight, which hits, or with a number of its own, which is turned down."""
-    q = Index.of(spark, sf).questions
-    again = F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("the "), "query", F.lit(" of"))).otherwise(F.concat("query", F.lit(" 77")))
-    asked = q.select((2 * F.col("query_id")).alias("entry"), F.col("tenant_id").alias("ns"), F.col("query").alias("text")).union(q.select(2 * F.col("query_id") + 1, "tenant_id", again))
-    voc = ingest.vocabulary(asked.select(F.explode_outer(T.content_tokens("text")).alias("token")).where("token is not null"))
-    sets = judge.concept_sets(asked, voc, "entry", "text", "concepts")
-    return judge.cache_report(asked.select("entry", "ns", T.discriminators("text").alias("marks")).join(sets, "entry"))
+    return judge.cache_report(_asked_again(spark, sf))
+
+
+@query(
+    "semantic_cache_earliest",
+    "SELECT a.entry, min(b.entry) AS hit FROM e a JOIN e b ON b.entry < a.entry AND a.ns = b.ns AND a.mark = b.mark AND len(list_intersect(a.cs, b.cs)) >= 0.93 * (len(a.cs) + len(b.cs) - len(list_intersect(a.cs, b.cs))) GROUP BY a.entry",
+    ["e"],
+    _ASKED_SETS,
+)
+def semantic_cache_earliest(spark: SparkSession, sf: str) -> DataFrame:
+    """The same questions: those that the cache answers, and from which earlier question."""
+    return judge.cache_hits(_asked_again(spark, sf))
 
 
 @query(
