@@ -12,7 +12,7 @@ from .functions import text as T
 from .operators import generate, ingest, pruned, retrieve, stages
 from .plans import provenance
 from .plans.config import compose, configs, normalise, plan
-from .session import cut
+from .session import MANY, cut, small
 from .sources import files
 
 
@@ -41,10 +41,8 @@ class Engine:
             return None
         q = cut(self.given_questions.select("query_id", "tenant_id", "query", "previous"))
         said = [q.select(F.explode_outer(T.content_tokens(c)).alias("token")) for c in ("query", "previous")]
-        words = self.postings.select(F.col("term").alias("token")).union(said[0]).union(said[1]).where("token is not null")
-        vocabulary = cut(ingest.vocabulary(words))
-        own, _ = retrieve.concept_tables(self.postings, q, vocabulary)
-        new = stages.rewrite(q.select("query_id", "query", F.coalesce("previous", F.lit("")).alias("previous")), vocabulary, retrieve.concept_idf(own, self.chunks))
+        words = said[0].union(said[1]).where("token is not null")
+        new = stages.rewrite(q.select("query_id", "query", F.coalesce("previous", F.lit("")).alias("previous")), self._with(words), self.weights)
         j = q.select("query_id", "tenant_id", "query").join(new.select("query_id", F.col("rewritten").alias("text")), "query_id")
         forms = F.array(F.struct(F.lit(False).alias("rewritten"), F.col("query").alias("q")), F.struct(F.lit(True).alias("rewritten"), F.when(F.col("text") != F.col("query"), F.col("text")).alias("q")))
         rows = j.withColumn("only", F.col("text") == F.col("query")).select("query_id", "only", "tenant_id", F.explode(forms).alias("f")).where("f.q is not null")
@@ -72,15 +70,31 @@ class Engine:
 
     @cached_property
     def vocabulary(self) -> DataFrame:
-        words = self.postings.select(F.col("term").alias("token")).union(retrieve.query_terms(self.questions).select(F.col("term").alias("token")))
-        return cut(ingest.vocabulary(words))
+        return self._with(retrieve.query_terms(self.questions).select(F.col("term").alias("token")))
+
+    @cached_property
+    def chunk_vocabulary(self) -> DataFrame:
+        return self.stored.get("vocabulary") or cut(ingest.vocabulary(self.postings.select(F.col("term").alias("token"))))
+
+    def _with(self, words: DataFrame) -> DataFrame:
+        """The chunks' vocabulary and that of words(token) that they don't have."""
+        words = cut(words.distinct())
+        known = self.chunk_vocabulary.select("token").join(small(words, MANY), "token", "left_semi")
+        return self.chunk_vocabulary.union(cut(ingest.vocabulary(words.join(known, "token", "left_anti"))))
+
+    @cached_property
+    def own(self) -> DataFrame:
+        """Chunks' concepts."""
+        return self.stored.get("concepts") or cut(retrieve.chunk_concepts(self.postings, self.chunk_vocabulary))
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        return self.stored.get("weights") or cut(retrieve.concept_idf(self.own, self.chunks))
 
     @cached_property
     def concepts(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Chunks' concepts, questions' concepts, idf."""
-        own, asked = retrieve.concept_tables(self.postings, self.questions, self.vocabulary)
-        own, asked = cut(own), cut(asked)
-        return own, asked, cut(retrieve.concept_idf(own, self.chunks))
+        return self.own, cut(retrieve.asked_concepts(self.questions, self.vocabulary)), self.weights
 
     def pairs(self) -> DataFrame:
         """Each question with every chunk in its scope that shares a concept with it: not kept, as the legs rank it at once."""
@@ -93,8 +107,8 @@ class Engine:
 
     @cached_property
     def semantic(self) -> DataFrame:
-        own, asked, weights = self.concepts
-        return cut(pruned.concept_knn(self.chunks, self.questions, own, asked, weights))
+        """All pairs ranked: their scores are summed where the chunk is, and cost less than candidates that are met again."""
+        return cut(retrieve.concept_knn(self.pairs()))
 
     @cached_property
     def legs(self) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import MANY, cut, small
 from . import ingest
 
 REFUSE_BELOW, CONFIDENT_FROM, LEAST_CHARS = 0.18, 0.55, 25
@@ -14,24 +15,27 @@ REFUSE_BELOW, CONFIDENT_FROM, LEAST_CHARS = 0.18, 0.55, 25
 def weighted_terms(questions: DataFrame, asked: DataFrame, weights: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, concept, weight (idf times count), whole (of all of the question's concepts)."""
     total = chunks.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_docs"))
-    w = asked.join(weights.select("concept", "idf"), "concept", "left").crossJoin(F.broadcast(total))
+    known = weights.select("concept", "idf").join(small(asked.select("concept").distinct(), MANY), "concept", "left_semi")
+    w = asked.join(known, "concept", "left").crossJoin(F.broadcast(total))
     w = w.select("query_id", "concept", (F.col("qn") * F.coalesce("idf", ingest.idf(F.lit(0), F.col("n_docs")))).alias("weight"))
     return w.join(w.groupBy("query_id").agg(F.sum("weight").alias("whole")), "query_id")
 
 
 def sentence_coverage(used: DataFrame, chunks: DataFrame, vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
     """query_id, chunk_id, sentence, coverage for used(query_id, chunk_id): prose sentences long enough to quote."""
-    s = used.join(chunks.select("chunk_id", "text"), "chunk_id")
+    s = chunks.select("chunk_id", "text").join(small(used, MANY), "chunk_id")
     s = s.select("query_id", "chunk_id", F.posexplode_outer(T.sentences(T.strip_code_fences("text"))).alias("place", "raw")).where("raw is not null")
-    s = s.select("query_id", "chunk_id", "place", T.clean_sentence("raw").alias("sentence")).where((F.length("sentence") >= LEAST_CHARS) & T.is_prose("sentence"))
-    said = s.select("query_id", "chunk_id", "place", F.explode_outer(T.content_tokens("sentence")).alias("token")).join(vocabulary, "token").select("query_id", "chunk_id", "place", "concept").distinct()
+    s = cut(s.select("query_id", "chunk_id", "place", T.clean_sentence("raw").alias("sentence")).where((F.length("sentence") >= LEAST_CHARS) & T.is_prose("sentence")))
+    told = s.select("query_id", "chunk_id", "place", F.explode_outer(T.content_tokens("sentence")).alias("token"))
+    known = vocabulary.join(small(told.select("token").distinct(), MANY), "token", "left_semi")
+    said = told.join(known, "token").select("query_id", "chunk_id", "place", "concept").distinct()
     part = said.join(terms, ["query_id", "concept"]).groupBy("query_id", "chunk_id", "place").agg((F.sum("weight") / F.first("whole")).alias("c"))
     return s.join(part, ["query_id", "chunk_id", "place"], "left").select("query_id", "chunk_id", "sentence", F.bround(F.coalesce("c", F.lit(0.0)), 6).alias("coverage"))
 
 
 def answers(runs: DataFrame, context: DataFrame, decided: DataFrame, configs: DataFrame, questions: DataFrame, chunks: DataFrame, own: DataFrame, vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
     """config_id, query_id, status, hedged, answer, citations, reason for runs(config_id, query_id)."""
-    covered = context.join(own.select("chunk_id", "concept"), "chunk_id").select("config_id", "query_id", "concept").distinct().join(terms, ["query_id", "concept"])
+    covered = own.select("chunk_id", "concept").join(small(context, MANY), "chunk_id").select("config_id", "query_id", "concept").distinct().join(terms, ["query_id", "concept"])
     covered = covered.groupBy("config_id", "query_id").agg(F.bround(F.sum("weight") / F.first("whole"), 6).alias("context_coverage"))
     said = sentence_coverage(context.select("query_id", "chunk_id").distinct(), chunks, vocabulary, terms)
     scored = context.select("config_id", "query_id", "chunk_id", "final_rank").join(said, ["query_id", "chunk_id"])
@@ -40,7 +44,7 @@ def answers(runs: DataFrame, context: DataFrame, decided: DataFrame, configs: Da
     quote = F.struct("r", "chunk_id", "coverage", F.concat("sentence", F.lit(" ["), "final_rank", F.lit("]")).alias("quote"))
     picked = scored.groupBy("config_id", "query_id").agg(F.min(quote).alias("one"), F.min(F.when(F.col("chunk_id") != F.col("best"), quote)).alias("two"), F.first("all").alias("all"))
     wanted = questions.select("query_id", T.discriminators("query").alias("wanted"))
-    read = chunks.join(context.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", T.discriminators("text").alias("d"))
+    read = chunks.join(small(context.select("chunk_id").distinct(), MANY), "chunk_id", "left_semi").select("chunk_id", T.discriminators("text").alias("d"))
     held = context.join(read, "chunk_id").groupBy("config_id", "query_id").agg(F.array_distinct(F.flatten(F.collect_list("d"))).alias("held"), F.count("*").alias("sources"))
     j = runs.join(decided.select("config_id", "query_id", "gate_passed"), ["config_id", "query_id"], "left").join(held, ["config_id", "query_id"], "left").join(covered, ["config_id", "query_id"], "left").join(picked, ["config_id", "query_id"], "left")
     j = j.join(wanted, "query_id").join(F.broadcast(configs.select("config_id", "discriminator_guard")), "config_id")

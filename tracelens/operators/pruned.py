@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import MANY, cut, small
 from . import retrieve
 from .scope import scope_map
 
@@ -145,7 +145,8 @@ def concept_knn(chunks: DataFrame, questions: DataFrame, own: DataFrame, asked:
         return lists.join(owned.select("chunk_tenant", "concept", "chunk_id"), ["chunk_tenant", "concept"]).select("query_id", "chunk_id").distinct()
 
     def score(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(owned.select("chunk_id", "n", "concept"), "chunk_id").join(weighted, ["query_id", "concept"])
+        asked_only = owned.join(small(wanted.select(F.col("term").alias("concept")).distinct(), MANY), "concept", "left_semi")
+        met = pairs.join(asked_only.select("chunk_id", "n", "concept"), "chunk_id").join(small(weighted, MANY), ["query_id", "concept"])
         part = met.groupBy("query_id", "chunk_id", "n").agg(F.sum(F.col("qn") * F.col("idf")).alias("part")).join(whole, "query_id")
         return part.select("query_id", "chunk_id", F.bround(F.col("part") / F.col("whole") * (1 - 0.30 * F.col("n") / (F.col("n") + 80)), 6).alias("score")).where("score > 0")
 

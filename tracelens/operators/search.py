@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small
+from ..session import MANY, cut, is_small, small
 
 GRAM = 3
 _PIECES = r"\s+"
@@ -35,7 +35,7 @@ def _rarest(of: DataFrame, key: list[str], part: str, counts: DataFrame) -> Data
 
 
 def _inside(edges: DataFrame, words: DataFrame) -> DataFrame:
-    """pattern_id, token: the words that hold edges(pattern_id, piece, place) as their end, beginning or anywhere."""
+    """pattern_id, pattern, token: the words that hold edges(pattern_id, pattern, piece, place) as their end, beginning or anywhere."""
     pieces = edges.select("piece").distinct()
     sizes = sorted(r[0] for r in edges.select(F.least(F.length("piece"), F.lit(GRAM))).distinct().collect())
     size = F.explode(F.array(*[F.lit(s) for s in sizes]))
@@ -44,7 +44,23 @@ def _inside(edges: DataFrame, words: DataFrame) -> DataFrame:
     counts = grams.join(small(own.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     anchored = edges.join(_rarest(own, ["piece"], "gram", counts), "piece")
     place = F.when(F.col("place") == "end", F.endswith("token", "piece")).when(F.col("place") == "begin", F.startswith("token", "piece")).otherwise(F.contains("token", "piece"))
-    return grams.join(small(anchored), "gram").where(place).select("pattern_id", "token").distinct()
+    return grams.join(small(anchored), "gram").where(place).select("pattern_id", "pattern", "token").distinct()
+
+
+def _in_place(texts: DataFrame, cut_up: DataFrame, held: DataFrame, anchors: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """What `containing` gives, where the anchors are few and go to the texts: a text is compared where it is read and only what is
+    found is shuffled. A pattern with an edge piece can meet a text at several tokens: rows are numbered for the time being, and each
+    number counts once. No lambda may stand between the tokens and the join: the text would be copied for each token."""
+    rows = texts.select(*keys, F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__row"))
+    each = rows.select(*keys, "__text", "__row", F.explode_outer(F.array_distinct(F.split("__text", _PIECES))).alias("token")).where("token != ''")
+    met = each.join(F.broadcast(anchors), "token").where(F.contains("__text", "pattern"))
+    found = met.select(*keys, "__row", "pattern_id", "pattern").distinct().drop("__row")
+    blank = cut_up.where(F.forall("pieces", lambda p: p == "")).select("pattern_id", "pattern")
+    if not blank.isEmpty():
+        everywhere = texts.select(*keys, F.col(text).alias("__text"), F.lit("").alias("token"))
+        met = everywhere.join(small(blank.withColumn("token", F.lit(""))), "token").where(F.contains("__text", "pattern"))
+        found = found.union(met.select(*keys, "pattern_id", "pattern"))
+    return found.join(small(held), ["pattern_id", "pattern"]).select(*keys, "pattern_id")
 
 
 def containing(texts: DataFrame, patterns: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -58,13 +74,16 @@ def containing(texts: DataFrame, patterns: DataFrame, keys: list[str], text: str
     inner = each.where("at > 0 and at < n - 1").select("pattern_id", "pattern", F.col("piece").alias("token"))
     tokens = _tokens(texts, keys, text)
     counts = tokens.join(small(inner.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    anchors = _rarest(inner, ["pattern_id", "pattern"], "token", counts).select("pattern_id", "token")
+    anchors = _rarest(inner, ["pattern_id", "pattern"], "token", counts)
     # patterns whose pieces are all at an edge, by the longest of those
     place = F.when(F.col("n") == 1, "any").when(F.col("at") == 0, "end").otherwise("begin")
     longest = Window.partitionBy("pattern_id", "pattern").orderBy(F.desc(F.length("piece")), "at")
-    edges = each.where("n <= 2").withColumn("place", place).withColumn("r", F.row_number().over(longest)).where("r = 1").select("pattern_id", "piece", "place")
+    edges = each.where("n <= 2").withColumn("place", place).withColumn("r", F.row_number().over(longest)).where("r = 1").select("pattern_id", "pattern", "piece", "place")
     if not edges.isEmpty():
-        anchors = anchors.union(_inside(edges, tokens.select("token").distinct()))
+        anchors = anchors.select("pattern_id", "pattern", "token").union(_inside(edges, tokens.select("token").distinct()))
+    anchors = cut(anchors.select("pattern_id", "pattern", "token"))
+    if is_small(anchors, MANY):
+        return _in_place(texts, cut_up, held, anchors, keys, text)
     met = tokens.join(small(anchors), "token").select(*keys, "pattern_id")
     blank = cut_up.where(F.forall("pieces", lambda p: p == "")).select("pattern_id")
     if not blank.isEmpty():

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import MANY, small
 from . import retrieve
 
 
@@ -64,7 +65,7 @@ def rerank_decision(gated: DataFrame, configs: DataFrame) -> DataFrame:
 def rerank_scores(candidates: DataFrame, pairs: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, chunk_id, rerank_score: 100 * (0.6 coverage + 0.4 share of the question's identifiers in the chunk)."""
     asked = questions.select("query_id", T.identifiers("query").alias("asked"))
-    held = chunks.join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", T.identifiers("text").alias("held"))
+    held = chunks.join(small(candidates.select("chunk_id").distinct(), MANY), "chunk_id", "left_semi").select("chunk_id", T.identifiers("text").alias("held"))
     c = candidates.select("query_id", "chunk_id").distinct().join(pairs.select("query_id", "chunk_id", "coverage"), ["query_id", "chunk_id"], "left")
     c = c.join(asked, "query_id").join(held, "chunk_id").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
     exact = F.when(F.size("asked") > 0, F.size(F.array_intersect("asked", "held")) / F.size("asked")).otherwise(F.col("coverage"))

@@ -13,7 +13,7 @@ from .engine import Engine
 from .functions import text as T
 from .operators import calibrate, counterfactual, generate, ingest, judge, pruned, retrieve, search, stages, vectors
 from .plans.config import ABLATIONS, COMPOSITES, configs, plan
-from .session import cut, ship, small
+from .session import MANY, cut, ship, small
 from .sources import fixtures as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -767,7 +767,7 @@ def followup_context(spark: SparkSession, sf: str) -> DataFrame:
     """Each item told in the turn before, and a question that points to it: with and without rewriting."""
     i = Index.of(spark, sf)
     asked = i.questions.select("query_id", "tenant_id", F.lit("and what about that").alias("query"), F.col("query").alias("previous"))
-    e = Engine(spark, i.chunks, asked, {"chunks": i.chunks, "postings": i.postings})
+    e = Engine(spark, i.chunks, asked, {"chunks": i.chunks, "postings": i.postings, "vocabulary": i.chunk_vocabulary, "concepts": i.own, "weights": i.weights})
     return e.run(["baseline", "no_rewrite"])["ctx"].select("config_id", "query_id", "chunk_id", "final_rank", "inclusion_reason")
 
 
@@ -787,8 +787,9 @@ def trace_totals(r: dict[str, DataFrame]) -> DataFrame:
 @_swept("missing_concepts", f"SELECT query_id, config_id, array_to_string(list_filter(asked, lambda c: NOT list_contains(held, c)), ' ') AS missing FROM (SELECT a.query_id, v.config_id, a.asked, coalesce(h.held, []) AS held FROM (SELECT query_id, list(concept ORDER BY p) AS asked FROM (SELECT query_id, concept, min(p) AS p FROM (SELECT query_id, unnest({O.content('query')}) AS token, unnest(range(0, len({O.content('query')}))) AS p FROM questions) JOIN voc USING (token) GROUP BY ALL) GROUP BY query_id) a, configs v LEFT JOIN (SELECT config_id, query_id, list_distinct(list(concept)) AS held FROM ctx JOIN own USING (chunk_id) GROUP BY ALL) h ON h.query_id = a.query_id AND h.config_id = v.config_id)", ["questions", "voc", "configs", "ctx", "own"])
 def missing_concepts(r: dict[str, DataFrame]) -> DataFrame:
     """What a question asks and its context doesn't say, in the question's order."""
-    held = r["ctx"].join(r["own"].select("chunk_id", "concept"), "chunk_id").groupBy("config_id", "query_id").agg(F.collect_set("concept").alias("held"))
-    said = r["questions"].select("query_id", F.posexplode_outer(T.content_tokens("query")).alias("p", "token")).join(r["vocabulary"], "token").groupBy("query_id", "concept").agg(F.min("p").alias("p"))
+    held = r["own"].select("chunk_id", "concept").join(small(r["ctx"], MANY), "chunk_id").groupBy("config_id", "query_id").agg(F.collect_set("concept").alias("held"))
+    words = r["questions"].select("query_id", F.posexplode_outer(T.content_tokens("query")).alias("p", "token"))
+    said = r["vocabulary"].join(small(words, MANY), "token").groupBy("query_id", "concept").agg(F.min("p").alias("p"))
     asked = said.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("p", "concept"))).alias("a")).select("query_id", F.col("a.concept").alias("asked"))
     grid = asked.crossJoin(F.broadcast(r["configs"].select("config_id"))).join(held, ["config_id", "query_id"], "left")
     return grid.select("config_id", "query_id", F.array_join(T.missing("asked", F.coalesce("held", F.array().cast("array<string>"))), " ").alias("missing"))

@@ -46,7 +46,15 @@ def small(df, rows: int = 10_000):
     """df marked for broadcast if it has that many rows at most, which is counted; else as it is, for a shuffled join."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+#: Rows of a table of questions' terms, candidates or winners up to which it is broadcast to the corpus' tables (see small).
+MANY = 100_000
+
+
+def is_small(df, rows: int = 10_000) -> bool:
+    return df.limit(rows + 1).count() <= rows
 
 
 def shared_dir(spark) -> str:
