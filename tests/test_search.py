@@ -116,3 +116,11 @@ def test_threshold_without_one_kind_is_null(spark):
     for pairs in ([], [(True, 1.0)], [(False, 1.0)]):
         got = calibrate.threshold(spark.createDataFrame(pairs, "answerable boolean, score double"))
         assert [tuple(r) for r in got.collect()] == [(None, None, None, "gate")]
+
+
+def test_threshold_is_rounded_like_the_sql(spark):
+    """A thousand times 0.5015 is just under 501.5 as a double, so the SQL's half-even rounding gives 0.501."""
+    import duckdb
+
+    got = calibrate.threshold(spark.createDataFrame([(True, 0.6015), (False, 0.4015)], "answerable boolean, score double")).first()
+    assert got.threshold == duckdb.execute("SELECT round_even(round_even((0.6015::DOUBLE + 0.4015::DOUBLE) / 2, 4), 3)").fetchall()[0][0] == 0.501

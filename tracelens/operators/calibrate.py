@@ -86,7 +86,7 @@ def threshold(scores: DataFrame, name: str = "gate") -> DataFrame:
         best = _half_even(min(r.a_min for r in ranges if r.a) + min(r.o_min for r in ranges if r.o), 2 * STEP) if before is None else near(before // STEP)[1]
     else:
         best = high
-    best = _half_even(best, 10)
+    best = round(best / 10_000 * 1000)  # as doubles, like the SQL: a product that is just off a half is not one
     refused, admitted = errors(best * 10 * STEP)
     return spark.createDataFrame([(best / 1000, round(refused, 4), round(admitted, 4), name)], shape)
 
