@@ -41,3 +41,12 @@ def test_pairs_are_summed_where_the_chunk_is(spark, joined_by_shuffle):
     pairs = retrieve.concept_pairs(c, q, own.localCheckpoint(), asked.localCheckpoint(), retrieve.concept_idf(own, c).localCheckpoint())
     assert "SortMergeJoin" not in plan(pairs)
     assert {(r.query_id, r.chunk_id) for r in pairs.collect()} == {(1, "c0"), (1, "c2"), (1, "c3")}
+
+
+def test_an_engine_takes_stored_tables(spark):
+    """Questions put to an index that is there don't build its vocabulary, concepts and weights again."""
+    from tracelens.engine import Engine
+
+    stored = {name: spark.range(1) for name in ("vocabulary", "concepts", "weights")}
+    e = Engine(spark, chunks(spark), None, stored)
+    assert (e.chunk_vocabulary, e.own, e.weights) == (stored["vocabulary"], stored["concepts"], stored["weights"])
