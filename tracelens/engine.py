@@ -12,7 +12,7 @@ from .functions import text as T
 from .operators import generate, ingest, pruned, retrieve, stages
 from .plans import provenance
 from .plans.config import compose, configs, normalise, plan
-from .session import MANY, cut, small
+from .session import MANY, bucketed, buckets, cut, small
 from .sources import files
 
 
@@ -31,7 +31,17 @@ class Engine:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return self.stored.get("chunks") or cut(self.given_chunks)
+        return self.stored.get("chunks") or bucketed(self.given_chunks, "chunk_id", self.parts)
+
+    @cached_property
+    def parts(self) -> int:
+        """Buckets of the tables that are kept by chunk: chunks, postings and concepts. What is summed for a chunk is then summed where
+        the chunk is, and is ranked there before anything is shuffled."""
+        return buckets(self.given_chunks)
+
+    def by_chunk(self, df: DataFrame) -> DataFrame:
+        """Rows made from the chunks' own, kept in the same buckets; those of a stored index, which has none, as they come."""
+        return cut(df) if "chunks" in self.stored else bucketed(df, "chunk_id", self.parts, dealt=True)
 
     @cached_property
     def asks(self) -> DataFrame | None:
@@ -61,7 +71,7 @@ class Engine:
 
     @cached_property
     def postings(self) -> DataFrame:
-        return self.stored.get("postings") or cut(retrieve.postings(self.chunks))
+        return self.stored.get("postings") or self.by_chunk(retrieve.postings(self.chunks))
 
     @cached_property
     def blocks(self) -> DataFrame:
@@ -74,7 +84,12 @@ class Engine:
 
     @cached_property
     def chunk_vocabulary(self) -> DataFrame:
-        return self.stored.get("vocabulary") or cut(ingest.vocabulary(self.postings.select(F.col("term").alias("token"))))
+        return self.stored.get("vocabulary") or cut(ingest.with_concept(self.terms))
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        """The chunks' terms, and in how many chunks each stands."""
+        return cut(retrieve.terms(self.postings))
 
     def _with(self, words: DataFrame) -> DataFrame:
         """The chunks' vocabulary and that of words(token) that they don't have."""
@@ -85,7 +100,7 @@ class Engine:
     @cached_property
     def own(self) -> DataFrame:
         """Chunks' concepts."""
-        return self.stored.get("concepts") or cut(retrieve.chunk_concepts(self.postings, self.chunk_vocabulary))
+        return self.stored.get("concepts") or self.by_chunk(retrieve.chunk_concepts(self.postings, counted=self.terms))
 
     @cached_property
     def weights(self) -> DataFrame:

@@ -100,21 +100,40 @@ def corpus_version(docs: DataFrame, label: str = "corpus") -> DataFrame:
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
-    """token -> concept for each distinct token: identifiers with digit runs as #, else four rounds of synonym, stem, synonym.
+    """token -> concept for each distinct token (see `with_concept`)."""
+    return with_concept(tokens.select("token").distinct())
+
+
+def with_concept(tokens: DataFrame) -> DataFrame:
+    """tokens(token) and the concept of each, row by row: identifiers with digit runs as #, else four rounds of synonym, stem, synonym.
 
     Each round joins the small lexicon, so an expression is never expanded into itself.
     """
     spark = tokens.sparkSession
     lex = F.broadcast(spark.createDataFrame(list(lexicon.SYNONYMS.items()), "word string, instead string"))
-    out = tokens.select("token").distinct().withColumn("t", F.col("token"))
+    out = tokens.select("token").withColumn("t", F.col("token"))
     for _ in range(4):
         for then_stem in (True, False):
             out = out.join(lex, F.col("t") == F.col("word"), "left").withColumn("t", F.coalesce("instead", "t")).drop("word", "instead")
             if then_stem:
                 out = out.withColumn("t", T.stem("t"))
     out = out.join(lex, F.col("token") == F.col("word"), "left")
-    smeared = F.concat(F.lit("id:"), F.regexp_replace("token", "[0-9]+", "#"))
-    return out.select("token", F.when(F.col("word").isNull() & T.is_identifier("token"), smeared).otherwise(F.col("t")).alias("concept"))
+    return out.select("token", F.when(F.col("word").isNull() & T.is_identifier("token"), _smeared("token")).otherwise(F.col("t")).alias("concept"))
+
+
+def _smeared(token: str) -> Column:
+    return F.concat(F.lit("id:"), F.regexp_replace(token, "[0-9]+", "#"))
+
+
+def concept(token: str) -> Column:
+    """What `with_concept` gives, as an expression: nothing is joined, and where it stands behind a coalesce it costs nothing for the
+    other rows. Each step is a transform of an array of one, so it is never expanded into itself either."""
+    lex = F.create_map(*[F.lit(w) for pair in lexicon.SYNONYMS.items() for w in pair])
+    instead = lambda t: F.coalesce(F.try_element_at(lex, t), t)
+    one = F.array(token)
+    for _ in range(4):
+        one = F.transform(F.transform(F.transform(one, instead), T.stem), instead)
+    return F.when(F.try_element_at(lex, F.col(token)).isNull() & T.is_identifier(token), _smeared(token)).otherwise(F.get(one, F.lit(0)))
 
 
 def incremental(chunks: DataFrame, had: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:

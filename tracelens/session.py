@@ -77,3 +77,24 @@ def cut(df):
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of a plan's input for which a bucket is made, and of a bucket of an input with fewer of those than the cluster has cores.
+BUCKET_BYTES, LEAST_BYTES = 32 << 20, 4 << 20
+
+
+def buckets(df) -> int:
+    """How many buckets a table made from df gets: one for BUCKET_BYTES of what Spark estimates df at, but work for all cores."""
+    size, cores = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), df.sparkSession.sparkContext.defaultParallelism
+    if size >= 1 << 50:  # not known
+        return cores
+    return max(1, size // BUCKET_BYTES, min(cores, size // LEAST_BYTES))
+
+
+def bucketed(df, key: str, n: int, dealt: bool = False):
+    """What `cut` gives, as a table in n buckets of a key: later aggregations by the key, with or without other columns, need no
+    shuffle. dealt: df comes row by row from a table in the same buckets, so that it isn't dealt again."""
+    name = f"tracelens_{uuid.uuid4().hex}"
+    rows = df if dealt else df.repartition(n, key)
+    rows.write.format("parquet").bucketBy(n, key).option("path", f"{shared_dir(df.sparkSession)}/{name}").saveAsTable(name)
+    return df.sparkSession.table(name)
