@@ -80,7 +80,7 @@ def containing(texts: DataFrame, patterns: DataFrame, keys: list[str], text: str
     longest = Window.partitionBy("pattern_id", "pattern").orderBy(F.desc(F.length("piece")), "at")
     edges = each.where("n <= 2").withColumn("place", place).withColumn("r", F.row_number().over(longest)).where("r = 1").select("pattern_id", "pattern", "piece", "place")
     if not edges.isEmpty():
-        anchors = anchors.select("pattern_id", "pattern", "token").union(_inside(edges, tokens.select("token").distinct()))
+        anchors = anchors.select("pattern_id", "pattern", "token").union(_inside(edges, cut(tokens.select("token").distinct())))
     anchors = cut(anchors.select("pattern_id", "pattern", "token"))
     if is_small(anchors, MANY):
         return _in_place(texts, cut_up, held, anchors, keys, text)
