@@ -110,7 +110,7 @@ class Automaton:
             parent.append(target[u])
             closed.append(self._closes(v, rank))
             target[u] = len(parent) - 1
-        starts, ends = [], []
+        starts, ends = array("q"), array("q")  # lists of as many integers would take five times the memory
         for label in set(vocab.values()) - self.dead:
             state, base = target[label], label * self.n
             while state:
