@@ -80,7 +80,7 @@ def cut(df):
 
 
 #: Bytes of a plan's input for which a bucket is made, and of a bucket of an input with fewer of those than the cluster has cores.
-BUCKET_BYTES, LEAST_BYTES = 32 << 20, 4 << 20
+BUCKET_BYTES, LEAST_BYTES = 16 << 20, 4 << 20
 
 
 def buckets(df) -> int:
