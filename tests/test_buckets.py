@@ -1,14 +1,16 @@
 """The shared index keeps its tables by chunk: what is summed for a chunk is summed and ranked there, and not shuffled."""
 
 import re
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tracelens.engine import Engine
 from tracelens.functions.lexicon import SYNONYMS
 from tracelens.operators import ingest, retrieve
-from tracelens.session import buckets
+from tracelens.session import bucketed, buckets, cut
 
 TEXTS = ["the rust of lint and rust", "", "lint", "cargo cargo cargo rust-1.2 rust cargo", "the of", None, "deleting configs", "x86_64 replicas fail"]
 
@@ -71,3 +73,18 @@ def test_how_many_buckets(spark):
     assert buckets(spark.range(10)) == 1
     assert buckets(spark.range(1 << 30)) == (8 << 30) // (16 << 20)
     assert buckets(spark.range(1 << 21)) == spark.sparkContext.defaultParallelism
+
+
+def test_a_task_reads_one_bucket_and_writes_one(spark):
+    """Also where nothing in the plan needs buckets and files are small: tasks of several buckets sort all their rows to write them."""
+    made = bucketed(spark.range(1000), "id", 12)  # three times the cores
+    assert made.select((made.id + 1).alias("x")).rdd.getNumPartitions() == 12
+    again = bucketed(made.select("id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("j")), "id", 12, dealt=True)
+    assert len(again.inputFiles()) == 12
+    assert sorted(again.collect()) == [(i, j) for i in range(1000) for j in range(1, 6)]
+
+
+def test_kept_tables_are_packed(spark):
+    for df in (cut(spark.range(1000)), bucketed(spark.range(1000), "id", 2)):
+        for name in df.inputFiles():
+            assert pq.ParquetFile(Path(name.removeprefix("file://"))).metadata.row_group(0).column(0).compression == "ZSTD"
