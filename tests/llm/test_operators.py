@@ -545,3 +545,17 @@ def test_native_operators_run_no_python(spark, docs):
     for out in (spotsigs.fingerprints(docs), spotsigs.near_pairs(docs), decontaminate.contaminated(docs, items)):
         plan = out._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_pairs_of_short_lists_are_plain_columns(spark):
+    """Pairs are put in order column by column: from structs, compared over and over in one method, the JVM's compiler took 444 MB of an
+    executor, which the executor kept."""
+    about = "n long, alone long, k0 long, k1 long, k2 long, k3 long"
+    row = lambda sig, doc, side: (sig, doc, side, 4, 0, 0, 0, 0, 0, doc + 100, None)
+    lists = [row(1, 10, 0), row(1, 7, 0), row(2, 30, 1), row(2, 20, 2), row(3, 5, 1), row(3, 40, 2), row(4, 7, 0), row(4, 10, 0)]
+    label = spark.createDataFrame(lists, f"sig long, doc_id long, side int, {about}, of long, hub long")
+    held = {10: [1, 2, 3, 4], 7: [1, 2, 3, 4], 30: [5, 6, 7, 8], 20: [5, 6, 7, 8], 5: [1, 2, 3, 4], 40: [5, 6, 7, 8]}
+    sets = spark.createDataFrame([(i, 4, [(2, t) for t in s]) for i, s in held.items()], "doc_id long, n_shingles long, shared array<struct<df: int, token: long>>")
+    links = ngram_join._direct(label, sets, 75)
+    assert sorted(map(tuple, links.collect())) == [(107, 110), (120, 130)]
+    assert "struct(" not in links._jdf.queryExecution().optimizedPlan().toString()

@@ -303,8 +303,10 @@ def _direct(label: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     meets = (F.col("x.side") == 0) & (F.col("x.doc_id") < F.col("y.doc_id")) | (F.col("x.side") == 1) & (F.col("y.side") == 2)
     fit = _fit(threshold, lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
     pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & meets & (F.col("x.of") != F.col("y.of")) & fit)
-    a, b = (F.struct(F.col(f"{s}.doc_id").alias("id"), F.col(f"{s}.of").alias("of")) for s in "xy")
-    pairs = pairs.select(F.least(a, b).alias("p"), F.greatest(a, b).alias("q")).distinct().select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.of").alias("of_a"), F.col("q.of").alias("of_b"))
+    # plain columns: of structs, compared in one expression, the JVM's compiler took 444 MB, which an executor kept
+    first = F.col("x.doc_id") < F.col("y.doc_id")
+    both = [F.when(first, F.col(f"{s}.{c}")).otherwise(F.col(f"{t}.{c}")).alias(name) for s, t, c, name in (("x", "y", "doc_id", "a"), ("y", "x", "doc_id", "b"), ("x", "y", "of", "of_a"), ("y", "x", "of", "of_b"))]
+    pairs = pairs.select(*both).distinct()
     return _verified(pairs, sets, threshold).select("of_a", "of_b")
 
 
