@@ -124,3 +124,20 @@ def test_threshold_is_rounded_like_the_sql(spark):
 
     got = calibrate.threshold(spark.createDataFrame([(True, 0.6015), (False, 0.4015)], "answerable boolean, score double")).first()
     assert got.threshold == duckdb.execute("SELECT round_even(round_even((0.6015::DOUBLE + 0.4015::DOUBLE) / 2, 4), 3)").fetchall()[0][0] == 0.501
+
+
+@pytest.mark.parametrize("pairs", [[(True, 1.0)] * 57 + [(True, 3.0)] * 103 + [(False, 1.0)] * 25 + [(False, 3.0)] * 15, [(True, 46.03295), (False, 24.84995)], [(True, 39.0), (True, 78.9084), (False, 73.2265), (False, 76.1)]])
+def test_gate_equals_its_sql_where_doubles_miss_ties(spark, pairs):
+    """57 of 160 are 0.35625, which the SQL's product of doubles rounds to 0.3562, though the double itself is above; and midpoints
+    that are ties at four places as decimals, but not as doubles."""
+    import duckdb
+
+    from tracelens.queries import SQL, _gate_sql
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE sc (answerable BOOLEAN, score DOUBLE)")
+    con.executemany("INSERT INTO sc VALUES (?, ?)", [list(p) for p in pairs])
+    parts, final = _gate_sql("lex_leg"), SQL["gate_calibration_lex_leg"]
+    want = con.execute(f"WITH mid AS ({parts['mid'][0]}), err AS ({parts['err'][0]}) " + final[final.index("SELECT b.t AS") :]).fetchall()
+    got = calibrate.threshold(spark.createDataFrame(pairs, "answerable boolean, score double"), "lex_leg")
+    assert [tuple(r) for r in got.collect()] == want

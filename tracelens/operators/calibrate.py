@@ -28,7 +28,8 @@ def threshold(scores: DataFrame, name: str = "gate") -> DataFrame:
 
     Each midpoint of an answerable and an unanswerable score, to four places, is a candidate; the one with the least of the worse
     of both errors wins, the lowest of equal ones, and is rounded to three places, at which the errors are taken again. Without
-    scores of both kinds: nulls.
+    scores of both kinds: nulls. All is rounded as SQL rounds doubles, half-even after a product (`_places`), which can take a
+    midpoint that is a tie as a decimal to either side: two pairs of one sum may give two candidates.
 
     With rising thresholds one error rises and the other falls, so only the candidates next to where they cross matter, and of
     those below it the first with the same error. Different scores are counted, summed up by ranges (which are few: the driver
@@ -48,11 +49,10 @@ def threshold(scores: DataFrame, name: str = "gate") -> DataFrame:
     def errors(at: int) -> tuple[float, float]:
         """False refusals and admissions at a threshold in millionths."""
         below = marks.where(F.col("v") < at).agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("o"), F.lit(0)).alias("o")).first()
-        return below.a / na, 1 - below.o / no
+        return below.a / na, (no - below.o) / no
 
-    def near(edge: int) -> tuple[int | None, int | None]:
-        """The last candidate up to `edge` and the first above it, in steps."""
-        most = STEP * 2 * edge + STEP - edge % 2  # sums of two scores up to it are rounded, half to even, to `edge` at most
+    def beside(most: int) -> tuple[int | None, int | None]:
+        """The greatest sum of an answerable and an unanswerable score up to `most` and the least above it."""
         held = [(r.range, r.o_min, r.o_max) for r in ranges if r.o]
         lowest = (most - max(r.range for r in ranges if r.a) * WIDTH - WIDTH) // WIDTH
         highest = (most - min(r.range for r in ranges if r.a) * WIDTH) // WIDTH
@@ -67,8 +67,26 @@ def threshold(scores: DataFrame, name: str = "gate") -> DataFrame:
         upto = F.coalesce(F.max("o").over(line.rangeBetween(Window.unboundedPreceding, 0)), F.col("before"))
         above = F.coalesce(F.min("o").over(line.rangeBetween(1, Window.unboundedFollowing)), F.col("after"))
         pairs = rows.select("own", upto.alias("upto"), above.alias("above")).where("own is not null")
-        low, high = pairs.agg(F.max(F.col("own") + F.col("upto")), F.min(F.col("own") + F.col("above"))).first()
-        return tuple(None if x is None else _half_even(x, 2 * STEP) for x in (low, high))
+        return tuple(pairs.agg(F.max(F.col("own") + F.col("upto")), F.min(F.col("own") + F.col("above"))).first())
+
+    def ends(total: int) -> tuple[int, int]:
+        """The least and the greatest candidate that pairs of this sum give, in steps; they differ for ties only."""
+        if total % (2 * STEP) != STEP:
+            return ((total + STEP) // (2 * STEP),) * 2
+        other = marks.where("o > 0").select((F.lit(total).cast("long") - F.col("v")).alias("v"), F.col("v").alias("other"))
+        middle = (F.col("v") / float(MICRO) + F.col("other") / float(MICRO)) / 2
+        step = F.rint(middle * float(MICRO // STEP)).cast("long")
+        return tuple(marks.where("a > 0").select("v").join(other, "v").agg(F.min(step), F.max(step)).first())
+
+    def near(edge: int) -> tuple[int | None, int | None]:
+        """The last candidate up to `edge` and the first above it, in steps."""
+        tie = 2 * STEP * edge + STEP
+        low, high = beside(tie - 1)
+        down, up = ends(tie) if high == tie else (None, None)
+        if high == tie and up == edge:  # none of them is above
+            high = beside(tie)[1]
+        first = edge + 1 if up == edge + 1 else None if high is None else ends(high)[0]
+        return edge if down == edge else None if low is None else ends(low)[1], first
 
     # the last score up to which no more are refused than admitted wrongly
     a = o = 0
@@ -80,21 +98,20 @@ def threshold(scores: DataFrame, name: str = "gate") -> DataFrame:
     inside = marks.where(F.col("range") == here[0]).select("v", *[(F.coalesce(F.sum(c).over(line), F.lit(0)) + before).alias(c) for c, before in (("a", here[1]), ("o", here[2]))])
     cross = inside.where((no - F.col("o")) * na >= F.col("a") * no).agg(F.max("v")).first()[0]
     low, high = near(cross // STEP)
-    cost = lambda t: round(max(errors(t * STEP)), 9)
+    cost = lambda t: _places(max(errors(t * STEP)), 9)
     if low is not None and (high is None or cost(low) <= cost(high)):
         before = marks.where((F.col("o") > 0) & (F.col("v") < low * STEP)).agg(F.max("v")).first()[0]
-        best = _half_even(min(r.a_min for r in ranges if r.a) + min(r.o_min for r in ranges if r.o), 2 * STEP) if before is None else near(before // STEP)[1]
+        best = ends(min(r.a_min for r in ranges if r.a) + min(r.o_min for r in ranges if r.o))[0] if before is None else near(before // STEP)[1]
     else:
         best = high
-    best = round(best / 10_000 * 1000)  # as doubles, like the SQL: a product that is just off a half is not one
-    refused, admitted = errors(best * 10 * STEP)
-    return spark.createDataFrame([(best / 1000, round(refused, 4), round(admitted, 4), name)], shape)
+    best = _places(best / (MICRO // STEP), 3)
+    refused, admitted = errors(round(best * MICRO))
+    return spark.createDataFrame([(best, _places(refused, 4), _places(admitted, 4), name)], shape)
 
 
-def _half_even(x: int, by: int) -> int:
-    """x / by to the nearest whole number, halves to the even one."""
-    whole, rest = divmod(x, by)
-    return whole + (2 * rest > by or (2 * rest == by and whole % 2 == 1))
+def _places(x: float, n: int) -> float:
+    """x to n places as SQL has it for doubles: halves to the even one, of a product that is a double itself."""
+    return round(x * 10.0**n) / 10.0**n
 
 
 def confusion(pairs: DataFrame) -> DataFrame:
