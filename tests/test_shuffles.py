@@ -50,3 +50,16 @@ def test_an_engine_takes_stored_tables(spark):
     stored = {name: spark.range(1) for name in ("vocabulary", "concepts", "weights")}
     e = Engine(spark, chunks(spark), None, stored)
     assert (e.chunk_vocabulary, e.own, e.weights) == (stored["vocabulary"], stored["concepts"], stored["weights"])
+
+
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_pruned_scores_are_summed_where_the_chunk_is(spark, joined_by_shuffle, monkeypatch, few):
+    """Candidates by the thousand and their terms' blocks are not shuffled: not at all, or only few chunks and their entries once."""
+    from tracelens.operators import pruned
+    from tracelens.queries import QUERIES
+
+    monkeypatch.setattr(pruned, "FEW", few, raising=False)
+    got, want = (QUERIES[name](spark, "/root/testdata/sf0.001") for name in ("bm25_pruned_topk", "bm25_topk"))
+    assert plan(got).count("hashpartitioning(chunk_id") <= 2 * (few > 0) and "hashpartitioning(query_id" in plan(got) and "SortMergeJoin" not in plan(got)
+    rows = lambda df: sorted((r.query_id, r.chunk_id, r.score, r["rank"]) for r in df.collect())
+    assert rows(got) == rows(want) and rows(want)

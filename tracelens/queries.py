@@ -183,9 +183,11 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bm25_pruned_topk", "SELECT query_id, chunk_id, score, rank FROM lex_leg", ["lex_leg"])
 def bm25_pruned_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The lexical leg from stored blocks of postings, without reading lists that can't change a rank."""
+    """The lexical leg from blocks of the lists that are asked for; those that can't change a rank give no candidates."""
     i = Index.of(spark, sf)
-    return pruned.bm25(i.blocks, i.chunks, i.questions)
+    asked = retrieve.query_terms(i.questions).select("term").distinct()
+    stored = cut(pruned.blocks(i.postings.join(small(asked, MANY), "term", "left_semi")))
+    return pruned.bm25(stored, i.chunks, i.questions, posted=i.postings)
 
 
 @query("concept_df_idf", "SELECT concept, df, round_even(idf, 6) AS idf FROM idf", ["idf"])
