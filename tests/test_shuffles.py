@@ -63,3 +63,29 @@ def test_pruned_scores_are_summed_where_the_chunk_is(spark, joined_by_shuffle, m
     assert plan(got).count("hashpartitioning(chunk_id") <= 2 * (few > 0) and "hashpartitioning(query_id" in plan(got) and "SortMergeJoin" not in plan(got)
     rows = lambda df: sorted((r.query_id, r.chunk_id, r.score, r["rank"]) for r in df.collect())
     assert rows(got) == rows(want) and rows(want)
+
+
+def test_spread_keeps_counts_and_no_pairs(spark, joined_by_shuffle, monkeypatch, tmp_path):
+    """Scores of every pair, of which none is kept: against the plain sum, with equal, empty, null, uneven and zero vectors."""
+    import random
+
+    from tracelens.functions import text as T
+    from tracelens.operators import vectors
+    from tracelens.queries import QUERIES
+
+    rng = random.Random(7)
+    some = lambda n=5: [rng.choice([rng.gauss(0, 1), rng.randrange(3) - 1.0]) for _ in range(n)]
+    rows = [(i, 0 if i < 400 else i % 3, some()) for i in range(700)] + [(700 + i, 1, [1.0, 2.0, 0.0, 0.0, -1.0]) for i in range(300)]
+    rows += [(1000, 2, [0.0] * 5), (1001, 2, None), (1002, 2, some(4)), (1003, 2, []), (1050, 9, [0.5] * 5), (1100, 8, None), (1150, 2, some(4)), (1004, 2, [None, *some(4)])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {}
+    for i, s in v.join(v.where("vec_id % 50 = 0").selectExpr("vec_id AS q", "label", "embedding AS e"), "label").select("q", T.cosine("embedding", "e")).collect():
+        want.setdefault(i, []).append(s)
+    known = lambda x: [s for s in x if s is not None] or [None]
+    want = {i: (max(known(x)), sorted(x, key=lambda s: -9 if s is None else s)[len(x) // 2], min(known(x)), len(x)) for i, x in want.items()}
+    monkeypatch.setattr(vectors, "VECTORS", 50, raising=False)
+    monkeypatch.setattr(vectors, "QUERIES", 3, raising=False)
+    got = QUERIES["embedding_browse"](spark, str(tmp_path))
+    assert "Join" not in plan(got)
+    assert {r.query_id: (r.most, r.middle, r.least, r.n) for r in got.collect()} == want and len(want) == 24

@@ -800,11 +800,8 @@ def missing_concepts(r: dict[str, DataFrame]) -> DataFrame:
 @query("embedding_browse", "SELECT query_id, round_even(max(score), 6) AS most, list_sort(list(score))[count(*) // 2 + 1] AS middle, min(score) AS least, count(*) AS n FROM s GROUP BY query_id", ["s"], {"s": (f"SELECT q.vec_id AS query_id, round_even({_DOT.format('v.embedding', 'q.embedding')} / (sqrt({_DOT.format('v.embedding', 'v.embedding')}) * sqrt({_DOT.format('q.embedding', 'q.embedding')})), 6) AS score FROM embeddings v JOIN embeddings q ON v.label = q.label WHERE q.vec_id % 50 = 0", [])})
 def embedding_browse(spark: SparkSession, sf: str) -> DataFrame:
     """The spread of all scores in a query's scope; the middle one is the upper median."""
-    v = S.table(spark, sf, "embeddings")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    scored = v.join(q, "label").select("query_id", "vec_id", T.cosine("embedding", "q").alias("score"))
-    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
-    return ranked.groupBy("query_id").agg(F.max("score").alias("most"), F.max(F.when(F.col("r") == F.floor(F.col("n") / 2), F.col("score"))).alias("middle"), F.min("score").alias("least"), F.count("*").alias("n"))
+    v = S.table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("scope"), "embedding")
+    return vectors.spread(v, v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"))
 
 
 @query("signal_separation", "SELECT signal, round_even(list_sort(list(score) FILTER (answerable))[CAST(round_even(0.1 * (count(*) FILTER (answerable) - 1), 0) AS INTEGER) + 1] - list_sort(list(score) FILTER (NOT answerable))[CAST(round_even(0.9 * (count(*) FILTER (NOT answerable) - 1), 0) AS INTEGER) + 1], 4) AS separation FROM sc GROUP BY signal", ["sc"], _cfg("baseline") | {"tops": ("SELECT 'lexical_top1' AS signal, query_id, max(score) AS top FROM lex_leg GROUP BY query_id UNION ALL SELECT 'dense_top1', query_id, max(score) FROM sem_leg GROUP BY query_id UNION ALL SELECT 'fused_top1', query_id, max(fused_score) FROM cand GROUP BY query_id", ["lex_leg", "sem_leg", "cand"]), "sc": ("SELECT s.signal, kind = 'answerable' AS answerable, coalesce(top, 0.0) AS score FROM questions q CROSS JOIN (SELECT DISTINCT signal FROM tops) s LEFT JOIN tops t ON t.signal = s.signal AND t.query_id = q.query_id", ["questions", "tops"])})
