@@ -559,3 +559,24 @@ def test_pairs_of_short_lists_are_plain_columns(spark):
     links = ngram_join._direct(label, sets, 75)
     assert sorted(map(tuple, links.collect())) == [(107, 110), (120, 130)]
     assert "struct(" not in links._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_shingles_of_copies_alone_are_not_shared(spark, monkeypatch, few):
+    """Copies of texts that have no near copy bring no set, signature or list: the rows follow the different texts."""
+    ship(spark)
+    monkeypatch.setattr(ngram_join, "COPIES", few, raising=False)
+    written, cut = [], ngram_join.cut
+
+    def seen(df, *args, **totals):
+        written.append(cut(df, *args, **totals))
+        return written[-1]
+
+    monkeypatch.setattr(ngram_join, "cut", seen)
+    text = lambda i: " ".join(f"w{i}-{j}" for j in range(40))
+    rows = [(1000 * copy + i, text(i)) for copy in range(3) for i in range(20)] + [(5000, text(3) + " more"), (5001, ""), (5002, None), (5001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.link_components(docs).collect()}
+    assert got == {i: i % 1000 for i, _ in rows[:60]} | {5000: 3, 5001: 5001, 5002: 5002}
+    sets = [ngram_join.total(df) for df in written if df.columns == ["doc_id", "n_shingles", "shared"]]
+    assert sets == [2]

@@ -4,7 +4,7 @@ A document is the set of its distinct five-word shingles (fewer words: the whole
 nothing). Two link when 100 * intersection >= threshold * union. Shingles are 64-bit hashes (see wordhash).
 
 1. Equal sets fall together: one representative (least doc_id) stands for each class, so copies are never paired.
-2. Every shingle is counted over all documents. Shingles travel packed, in hash ranges of bounded size, with their
+2. Every shingle is counted over the representatives. Shingles travel packed, in hash ranges of bounded size, with their
    documents; only those that two documents share come out. One that very many documents share doesn't stay in memory.
 3. Shingles are ordered from rare to frequent. With tau = how many of its n shingles a document may lack in a partner, one
    of any tau + 1 must be shared. Shingles that no other document has come first and stand for nothing. Rare ones (in at
@@ -47,6 +47,8 @@ RANGE_SHINGLES, RARE, HOT = 1 << 20, 32, 1 << 12
 #: Pairs for each row of a list up to which they are compared directly: in the first round, times how much from round to round, at most.
 DIRECT, DIRECT_GROWTH, DIRECT_MOST = 32, 4, 1 << 10
 HOT_COUNT = (1 << 31) - 1
+#: Copies of other documents' sets up to which their ids are broadcast.
+COPIES = 1_000_000
 #: A row with a set counts as so many when files are dealt out.
 WIDE = 8
 SHARED = "array<struct<df:int,token:long>>"
@@ -372,7 +374,7 @@ def link_components(docs: DataFrame, threshold: int = 75, k: int = 5, rare: int
     each = cut(compact(docs.mapInArrow(_classes(k), "doc_id long, n_shingles long, h1 long, h2 long"), docs), shingles=F.sum("n_shingles"))
     classes = cut(each.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id")), total(each))
     ranges = max(1, -(-(total(each, "shingles") or 0) // range_shingles))
-    packed = docs.mapInArrow(_packed(k, ranges), "range long, n long, base long, width int, payload binary")
+    packed = _distinct(docs, each, classes).mapInArrow(_packed(k, ranges), "range long, n long, base long, width int, payload binary")
     shared = packed.repartition(min(ranges, 100_000), "range").sortWithinPartitions("range").mapInArrow(_shared(4 * range_shingles, hot), "doc_id long, df int, token long")
     reps = classes.where("n_shingles > 0").select(F.col("class_id").alias("doc_id"), "n_shingles")
     lists = shared.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("shared"))
@@ -406,6 +408,16 @@ def link_components(docs: DataFrame, threshold: int = 75, k: int = 5, rare: int
     return each.join(named, ["n_shingles", "h1", "h2"]).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def _distinct(docs: DataFrame, each: DataFrame, classes: DataFrame) -> DataFrame:
+    """docs without those that only repeat another one's set: a shingle that only copies have would count as shared, and all of their
+    sets would be indexed. While copies are few, which is counted, their ids are broadcast; else the texts meet the classes' ids."""
+    same = each.join(classes, ["n_shingles", "h1", "h2"])
+    copies = cut(same.where("doc_id != class_id").select("doc_id"))
+    if total(copies) <= COPIES:
+        return docs.join(F.broadcast(copies), "doc_id", "left_anti")
+    return docs.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
+
+
 def _still_open(label: DataFrame) -> DataFrame:
     """The rows of lists that are in more than one component."""
     many = label.groupBy("sig").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x != y").select("sig")
